@@ -12,6 +12,7 @@ from netloom.llm.licenses import license_scan
 from netloom.llm.mixing import mix_sources, mixing_sql
 from netloom.llm.packing import best_fit_packing
 from netloom.llm.token_shards import token_id_output
+from netloom.llm.vectors import exact_top_k, near_duplicate_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(rows, prototypes, "text", ["doc_id", "held_out"])
 
 
+def op4_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), 5, 50, 256)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +54,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_language_id, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan)}
 ORACLE_SQL = {"op6_source_mixing": mixing_sql("documents")}
