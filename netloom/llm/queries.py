@@ -11,6 +11,7 @@ from netloom.llm.language import held_out, identify_language, train_prototypes
 from netloom.llm.licenses import license_scan
 from netloom.llm.mixing import mix_sources, mixing_sql
 from netloom.llm.packing import best_fit_packing
+from netloom.llm.shingle_join import jaccard_components
 from netloom.llm.token_shards import token_id_output
 from netloom.llm.vectors import exact_top_k, near_duplicate_vectors
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
 
@@ -54,5 +59,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan)}
 ORACLE_SQL = {"op6_source_mixing": mixing_sql("documents")}
