@@ -12,6 +12,7 @@ from netloom.llm.licenses import license_scan
 from netloom.llm.mixing import mix_sources, mixing_sql
 from netloom.llm.packing import best_fit_packing
 from netloom.llm.shingle_join import jaccard_components
+from netloom.llm.suffix_dedup import remove_repeats
 from netloom.llm.token_shards import token_id_output
 from netloom.llm.vectors import exact_top_k, near_duplicate_vectors
 
@@ -59,5 +60,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan, op10_suffix_array_dedup)}
 ORACLE_SQL = {"op6_source_mixing": mixing_sql("documents")}
