@@ -1,10 +1,78 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
+and read again as the next one's ``docs``.  Columns that a stage does not need
+pass through unchanged.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from netloom.llm.language import UNDETERMINED, held_out, identify_language, train_prototypes
+from netloom.llm.mixing import mixed_documents
+from netloom.llm.packing import best_fit_packing
+from netloom.llm.shingle_join import jaccard_components
+from netloom.llm.suffix_dedup import remove_repeats
+from netloom.plans.shared import materialize
+
+#: Least cosine with any language's prototype for a text to count as language.
+LEAST_COSINE = 0.02
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that resemble a learned language; texts without letters go."""
+    prototypes = train_prototypes(docs.where(~held_out()).where("doc_id is not null"))
+    known = identify_language(docs, prototypes)
+    return known.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near-duplicates, that with the smallest id."""
+    found = materialize(jaccard_components(docs), "near-duplicates")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    twice = materialize(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "repeated-ids")
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(twice, kept["doc_id"] == twice["_id"], "left_anti")
+    among = kept.join(twice, kept["doc_id"] == twice["_id"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return once.unionByName(among.where("_nth = 1").drop("_nth"))
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated 100-byte strings; a text that was null stays null."""
+    cut = remove_repeats(docs, keep=docs.columns)
+    text = F.when(F.col("text").isNotNull(), F.col("repeats_kept_text"))
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take every document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents of the mix into sequences of 1024 tokens."""
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: SQL expresses neither profiles nor tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; the rows of the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

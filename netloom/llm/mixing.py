@@ -57,21 +57,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return final.select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(F.least("cap", F.col("share") * F.col("weight"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Return ``doc_id, size, source_size, target, taken`` for every row of ``docs``.
+def _digest(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("place"))
 
-    A source with target r times its size takes every document floor(r) times,
-    and once more those whose hash lies below the threshold at which the words
-    come nearest to the target.  The rows at the threshold's own hash value go
-    in if that brings the sum nearer.  Rows with the same key share their place
-    and fate.  Null texts have size 0, null sources are a source of their own,
-    and an empty table gives an empty result.
+
+def mixing_rules(digest: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """One row for each source: ``s, source_size, target, whole, last``.
+
+    Every document of the source is taken ``whole`` times, and once more if its
+    place is at most ``last``.
     """
-    spark = docs.sparkSession
-    digest = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("place")),
-        "mix",
-    )
     sizes = digest.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
@@ -103,11 +98,40 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
     threshold = F.when(F.col("words") + F.col("inside") - F.col("budget") < F.col("budget") - F.col("words"), F.col("low")).otherwise(F.col("low") - 1)
     last = bound.select("source", threshold.alias("last"))
-    rules = targets.alias("t").join(last.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(F.col("t.source").alias("s"), "source_size", "target", "whole", F.col("budget"), F.col("last"))
+    return targets.alias("t").join(last.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(F.col("t.source").alias("s"), "source_size", "target", "whole", "last")
+
+
+def copies_of(rules_place: Column | None = None) -> Column:
+    """How often the mix takes a document, from the rules' columns and its place."""
+    # Without a threshold the source is taken whole times only.
+    at = F.col("place") if rules_place is None else rules_place
+    return F.col("whole") + F.when(F.col("last").isNotNull() & (at <= F.col("last")), 1).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """Return ``doc_id, size, source_size, target, taken, copies`` for every row of ``docs``.
+
+    A source with target r times its size takes every document floor(r) times,
+    and once more those whose hash lies below the threshold at which the words
+    come nearest to the target.  The rows at the threshold's own hash value go
+    in if that brings the sum nearer.  Rows with the same key share their place
+    and fate.  Null texts have size 0, null sources are a source of their own,
+    and an empty table gives an empty result.
+    """
+    digest = materialize(_digest(docs, id_col, text_col, source_col), "mix")
+    rules = materialize(mixing_rules(digest, weights, most), "mix-rules")
     joined = digest.join(rules, digest["source"].eqNullSafe(rules["s"]))
-    # Without a crossing the budget is not exceeded by the whole source: a zero budget with zero words.
-    extra = F.when(F.col("last").isNotNull() & (F.col("place") <= F.col("last")), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra)).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies_of()).alias("taken"), copies_of().alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, rows without words left out."""
+    digest = materialize(_digest(docs, id_col, text_col, source_col), "mix")
+    rules = materialize(mixing_rules(digest, weights, most), "mix-rules")
+    placed = docs.withColumn("_place", place(F.col(id_col))).withColumn("_size", word_count(F.col(text_col))).where("_size > 0")
+    joined = placed.join(rules, placed[source_col].eqNullSafe(rules["s"]))
+    taken = joined.withColumn("_copies", copies_of(F.col("_place")).cast("int")).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def mixing_sql(docs: str, levels: int = 0) -> str:
@@ -133,5 +157,5 @@ def mixing_sql(docs: str, levels: int = 0) -> str:
     cu as (select p.source, p.place, p.size, sum(p.size) over (partition by p.source order by p.place) as until, t.budget from pl p join tw t on p.source is not distinct from t.source),
     cr as (select source, min(place) as low, min_by(until, place) as until, min_by(size, place) as inside, min_by(budget, place) as budget from cu where until > budget group by source),
     la as (select source, case when until - budget < budget - (until - inside) then low else low - 1 end as last from cr)
-    select d.doc_id, cast(d.size as bigint) as size, t.source_size, t.target, cast(d.size * (t.whole + case when la.last is not null and d.place <= la.last then 1 else 0 end) as bigint) as taken
+    select d.doc_id, cast(d.size as bigint) as size, t.source_size, t.target, cast(d.size * (t.whole + case when la.last is not null and d.place <= la.last then 1 else 0 end) as bigint) as taken, cast(t.whole + case when la.last is not null and d.place <= la.last then 1 else 0 end as bigint) as copies
     from d join tw t on d.source is not distinct from t.source left join la on d.source is not distinct from la.source"""

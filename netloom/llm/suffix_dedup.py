@@ -120,7 +120,7 @@ class _Part:
     def __init__(self, texts: pa.Table, notes: pa.Table):
         doc, row = texts.column("doc").to_numpy(), texts.column("row").to_numpy()
         order = np.lexsort((row, doc))
-        self.doc, self.row = doc[order], row[order]
+        self.order, self.doc, self.row = order, doc[order], row[order]
         column = texts.column("body").combine_chunks()
         self.texts = [column[i].as_buffer().to_pybytes() if column[i].is_valid else b"" for i in order.tolist()]
         self.notes = [r for r in notes.to_pylist()] if notes is not None else []
@@ -151,12 +151,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ids come first, rows with equal ids follow each other in row order.  Every
     string is judged on the input.  Returns ``doc_id, n_bytes, n_removed,
     n_spans, kept_sha256`` and ``kept_text``, the remaining bytes, decoded with
-    bytes that no longer form a character left out, for every row.
+    bytes that no longer form a character left out, for every row, after the
+    columns ``keep`` of ``docs``, which may have any names.
     """
+    keep = keep or []
     parts = max(8, -(-plan_bytes(docs) // PART_BYTES))
     shards = max(4, parts // PARTS_A_SHARD)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body")).withColumn("row", F.monotonically_increasing_id())
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     digest = base.select("part", "row", "doc", F.octet_length("body").alias("n"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(3), "body", F.lit(5)).alias("h2")).where(F.col("n") >= length)
     first = digest.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
@@ -299,6 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+        schema = pa.schema([*[left.schema.field(f"kept_{i}") for i in range(len(keep))], *schema])
         if not left.num_rows:
             return schema.empty_table()
         part = _Part(left, right)
@@ -320,7 +323,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             removed.append(len(text) - len(kept)), n_spans.append(len(start))
             sha.append(hashlib.sha256(kept).hexdigest()), kept_text.append(kept.decode("utf-8", "ignore"))
         ids = pa.array(part.doc, mask=part.doc == _NULL)
-        return pa.table([pa.array(part.row), ids, pa.array([len(t) for t in part.texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept_text)], schema=schema)
+        others = left.select([f"kept_{i}" for i in range(len(keep))]).take(pa.array(part.order)).columns
+        return pa.table([*others, pa.array(part.row), ids, pa.array([len(t) for t in part.texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept_text)], schema=schema)
 
     final = texts.cogroup(copies.unionAll(marks).groupBy("part"))
-    return final.applyInArrow(cut, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    kinds = "".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    found = final.applyInArrow(cut, f"{kinds}row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    own = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    if not keep:
+        return found.select(*own)
+    return found.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(f"repeats_{c}") for c in own])
