@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from netloom.plans.fixtures import tables, with_views
+from netloom.plans.portable import PORTABLE, sql_for
 
-def oracle_sql() -> dict:
-    return {}
+
+def _portable(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables(spark, sf_dir)
+        views, text = sql_for(name, "spark")
+        return spark.sql(with_views(text, views, "spark"))
+
+    query.__name__ = name
+    return query
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _portable(name) for name in PORTABLE}
+
+
+def oracle_sql() -> dict[str, str]:
+    found = {}
+    for name in PORTABLE:
+        views, text = sql_for(name, "duckdb")
+        found[name] = with_views(text, views, "duckdb")
+    return found
