@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.plans import operator_queries
 from netloom.plans.fixtures import tables, with_views
 from netloom.plans.portable import PORTABLE, sql_for
 
+flagship = operator_queries.flagship
+
 
 def _portable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +24,7 @@ def _portable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _portable(name) for name in PORTABLE}
+    return {name: _portable(name) for name in PORTABLE} | operator_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -29,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
     for name in PORTABLE:
         views, text = sql_for(name, "duckdb")
         found[name] = with_views(text, views, "duckdb")
-    return found
+    return found | operator_queries.ORACLES
