@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,17 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of ``df``: free, and it grows with the input."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Estimates from here on say that the size is unknown.
+UNKNOWN_BYTES = 1 << 53
+
+
+def plan_bytes(df: DataFrame, column: str) -> int:
+    """Size of ``df`` for choosing a number of partitions.
+
+    The optimizer's estimate is free and grows with the files that are read;
+    where it knows none, the bytes of ``column`` are summed.
+    """
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < UNKNOWN_BYTES:
+        return known
+    return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
