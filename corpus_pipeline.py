@@ -18,15 +18,12 @@ from netloom.llm.shingle_join import jaccard_components
 from netloom.llm.suffix_dedup import remove_repeats
 from netloom.plans.shared import materialize
 
-#: Least cosine with any language's prototype for a text to count as language.
-LEAST_COSINE = 0.02
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that resemble a learned language; texts without letters go."""
+    """Keep documents whose language can be told; null texts and those without letters go."""
     prototypes = train_prototypes(docs.where(~held_out()).where("doc_id is not null"))
     known = identify_language(docs, prototypes)
-    return known.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    return known.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     columns ``keep`` of ``docs``, which may have any names.
     """
     keep = keep or []
-    parts = max(8, -(-plan_bytes(docs) // PART_BYTES))
+    parts = max(8, -(-plan_bytes(docs, text_col) // PART_BYTES))
     shards = max(4, parts // PARTS_A_SHARD)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())

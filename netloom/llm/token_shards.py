@@ -150,7 +150,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     -2**63, rows with equal keys follow each other by text and are found by
     occurrence number.  An empty table gives an empty manifest.
     """
-    parts = max(8, -(-plan_bytes(docs) // RANGE_BYTES))
+    parts = max(8, -(-plan_bytes(docs, text_col) // RANGE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
