@@ -1,4 +1,12 @@
-"""Queries of the operators that are functions, with their DuckDB SQL."""
+"""Queries of the operators that are functions, with their DuckDB SQL.
+
+Inventory numbers: S01-S03 S06 S07 S09-S12 S14 S20 ``netloom.sources.files``;
+K01 K05 K08-K14 K17-K20 K22 A23 ``netloom.sources.sinks``; L01-L04 L15 J06 A11-A16
+W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 J22 G04-G06 A26 P11
+``operators.circuits``; W03 W04 W07 W08 W11 W14 M02 R05 R07 ``operators.curriculum``;
+I04 A22 ``operators.anchors``; T01-T04 T07 T08 T10 T24 ``functions.text``; T05 T17
+T18 I03 ``operators.replies``; S04 ST01-ST03 ST05 ``streaming.frames``.
+"""
 
 from __future__ import annotations
 

@@ -170,6 +170,17 @@ PORTABLE: dict[str, tuple[str, list[str], str]] = {
     "detection_views": ("K19", ["detections"], "select image_id, det_id, x1 as xmin, y1 as ymin, (x1 + x2) / 2e0 as xcenter, (y1 + y2) / 2e0 as ycenter, round(x1 / 640e0, 9) as xminn, round((x1 + x2) / 2e0 / 640, 9) as xcentern, conf as confidence, cls as class_ from detections"),
     "crop_boxes": ("K21", ["detections"], f"select image_id, det_id, {TRUNC.format('(x1 + x2) / 2e0 - ((x2 - x1) * 1.2e0 + 3) / 2')} as cx1, {TRUNC.format('(y1 + y2) / 2e0 + ((y2 - y1) * 1.2e0 + 3) / 2')} as cy2, concat(cast(cls as varchar(3)), '/', cast(image_id as varchar(12)), '_', cast(det_id as varchar(9)), '.jpg') as path from detections"),
     "flatten_files": ("K23", [], "with f as (select doc_id, concat(cast(doc_id % 50 as varchar(9)), '.jpg') as file from documents), r as (select *, row_number() over (partition by file order by doc_id desc) as nth from f) select file, doc_id from r where nth = 1"),
+    "description_lines": ("K03 K07", ["detections", "classes"], f"with t as ({TYPED}) select image_id, det_id, concat('- ', ctype, ' ', cast(det_id as varchar(9)), ': (', cast(x1 as varchar(9)), ', ', cast(y1 as varchar(9)), ') to (', cast(x2 as varchar(9)), ', ', cast(y2 as varchar(9)), ')') as line from t"),
+    "output_paths": ("K04", ["detections"], "select i.image_id, p.product, concat('out/', p.product, '/', cast(i.image_id as varchar(12)), p.ending) as path from (select distinct image_id from detections) i cross join (values ('images', '.png'), ('spice', '.sp'), ('captions', '.txt'), ('detection', '.json'), ('agents', '.json')) as p(product, ending)"),
+    "flow_log": ("K07", ["stage_results"], "select image_id, stage, concat('## ', stage, ': ', cast(count(*) as varchar(9)), ' iterations, ', cast(cast(sum(tokens) as bigint) as varchar(12)), ' tokens') as line from stage_results group by image_id, stage"),
+    "batch_summary": ("K06", ["stage_results"], "select stage, count(*) as n, count(distinct image_id) as images, cast(sum(tokens) as bigint) as tokens, round(avg(score), 6) as mean_score, max(score) as best_score from stage_results group by stage"),
+    "evolution_best": ("K15", [], "with r as (select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id) as nth from events) select user_id, event_id from r where nth = 1"),
+    "dataset_stats": ("K16", ["detections"], "select case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split, cls, count(*) as instances, count(distinct image_id) as images from detections group by case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end, cls"),
+    "label_histogram": ("K25 A24", ["detections"], "select cast(floor(x1 / 40e0) as bigint) as bx, cast(floor(y1 / 40e0) as bigint) as by_, count(*) as n from detections group by cast(floor(x1 / 40e0) as bigint), cast(floor(y1 / 40e0) as bigint)"),
+    "judge_retry": ("I02", ["stage_results"], "with a as (select *, score >= 0.96e0 as passes from stage_results where iteration <= 3), r as (select *, row_number() over (partition by image_id, stage order by case when passes then 0 else 1 end, case when passes then iteration end, score desc, iteration) as nth from a) select image_id, stage, iteration, score, passes from r where nth = 1"),
+    "collate_index": ("N01", ["detections"], "select image_id, det_id, cast(dense_rank() over (order by image_id) - 1 as bigint) as batch_index from detections"),
+    "class_ids": ("N02", ["classes"], "select name, min(cls) as cls from classes group by name"),
+    "netlist_sections": ("T06", ["netlist_lines"], "select image_id, det_id, case when substr(line, 1, 1) = '*' then 'comment' when substr(line, 1, 1) in ('V', 'I') then 'sources' when substr(line, 1, 1) in ('M', 'Q', 'D') then 'devices' else 'passives' end as section, line from netlist_lines"),
     "class_statistics": ("K02", ["detections", "classes"], f"with t as ({TYPED}) select image_id, ctype, count(*) as n, count(distinct x1 % 5) as nets from t group by image_id, ctype"),
 }
 PORTABLE["shape_intersection"] = ("U05", ["detections", "ground_truth"], PORTABLE["shape_intersection"][2].replace("ground_truth_like", "ground_truth"))
