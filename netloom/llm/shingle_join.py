@@ -6,11 +6,14 @@ for any order.  A set of n shingles has the prefix of its first n - ceil(t n) +
 two sets with Jaccard t share a shingle of both prefixes.
 
 Documents with equal sets are one class, classes with equal prefix and size one
-group.  In every prefix shingle's list, groups meet one leader of fitting size
-(a star, not all pairs); verified stars give components.  Then lists that still
-hold more than one component are expanded to their members, and every pair
-across components that the size filter lets through is verified as well, so no
-link between different components is lost.
+group.  In a short list of a prefix shingle all groups of fitting size are
+paired; the number of lists that a pair shares bounds its overlap, and most
+pairs fall to that bound.  In a long list groups meet one leader of fitting size
+(a star, not all pairs).  What is left is expanded to members and verified, and
+verified pairs give components.  Members of long lists that still hold more than
+one component meet other leaders in further rounds.  At last every pair across
+components that the size filter lets through is verified as well, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.spans import U, mix, shingle_sets
@@ -37,6 +40,12 @@ COUNT_CHUNK, SLICE_BYTES = 3 << 20, 4 << 20
 FILTER_BITS = 26
 #: A shingle above this count is dealt to several tasks; members compared in one task.
 SPLIT_COUNT, LIST_BLOCK = 1 << 20, 2048
+#: Entries of a list whose groups are all paired; classes that one group collapses.
+SHORT_LIST, GROUP_MEMBERS = 8, 64
+#: Further rounds in which members of long lists meet a leader of another component.
+STAR_ROUNDS = 1
+#: Shared-list count of pairs that the overlap bound must not drop.
+_SURE = 1 << 40
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -120,13 +129,15 @@ def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                 hit = known[at] == values
                 often[hit] = counts[at[hit]]
-            prefix, lengths = [], np.zeros(len(raw), np.int64)
+            prefix, lengths, last = [], np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
             for i, (a, n) in enumerate(zip(begin[:-1].tolist(), size.tolist())):
                 if not n:
                     continue
                 v, c = values[a : a + n], often[a : a + n]
                 take = n - -(-least * n // 100) + 1
                 rare = v[c == 0]
+                # Frequent shingles have no simple place in the order: they count as its end.
+                last[i] = int(rare[take - 1] >> U(1)) if len(rare) >= take else (1 << 63) - 1
                 if len(rare) < take:
                     late = np.flatnonzero(c)
                     late = late[np.argsort(c[late], kind="stable")]
@@ -148,59 +159,111 @@ def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray
                     pa.array(folded(values, begin, 11)),
                     pa.array(folded(values, begin, 29)),
                     pa.array(folded(flat, offsets, 47)),
+                    pa.array(last),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))),
                 ],
-                ["doc_id", "n", "h1", "h2", "p", "prefix"],
+                ["doc_id", "n", "h1", "h2", "p", "ends", "prefix"],
             )
 
-    return docs.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, p long, prefix array<long>")
+    return docs.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, p long, ends long, prefix array<long>")
 
 
-def _stars(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> DataFrame:
-    """Star pairs ``a, b`` and the entries ``token, a`` of every list with two or more groups."""
+def _band(n: Column, least: int) -> Column:
+    """Number of the size band of a set: sizes of one band reach the similarity's ratio."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / least)) + 1e-9)
+
+
+def _new_stars(lists: DataFrame, least: int, seed: int) -> DataFrame:
+    """Pairs of list members with a leader of another component, chosen anew by ``seed`` in each list and band."""
+    banded = lists.withColumn("band", _band(F.col("n"), least))
+    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("rep", "n", "c"), F.xxhash64("token", "rep", F.lit(seed))).alias("l"))
+    met = banded.join(leaders, ["token", "band"]).where(F.col("c") != F.col("l.c"))
+    fits = 100 * F.least("n", "l.n") >= least * F.greatest("n", "l.n")
+    return met.where(fits).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
+
+
+def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> DataFrame:
+    """Rows ``a, b, c`` of pairs that share a list, and ``token, a`` of the entries of long lists.
+
+    Entries are read in order of (token, size band, hash).  The state between
+    batches is one short list, or the leader of a long one.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = tuple(np.zeros(0, np.int64) for _ in range(3))
-        state: list = [None, 0, 0]
-
-        def emit(token: np.ndarray, gid: np.ndarray, n: np.ndarray, last: bool) -> pa.RecordBatch:
-            same = token[1:] == token[:-1]
-            before = np.concatenate(([state[0] is not None and len(token) > 0 and token[0] == state[0]], same))[: len(token)]
-            after = np.concatenate((same, [False]))
-            stop = len(token) if last else len(token) - 1
-            mine = np.flatnonzero((before | after)[:stop])
-            pairs: set[tuple[int, int]] = set()
-            for t, g, k, follows in zip(token[mine].tolist(), gid[mine].tolist(), n[mine].tolist(), before[mine].tolist()):
-                if not follows or least * k > 100 * state[2]:
-                    state[0], state[1], state[2] = t, g, k
-                elif g != state[1]:
-                    pairs.add((state[1], g))
-            if stop:
-                if state[0] != token[stop - 1]:
-                    state[0] = token[stop - 1] if stop and before[stop - 1] else None
-            a = [p[0] for p in pairs]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*token[mine].tolist(), *[None] * len(a)], pa.int64()),
-                    pa.array([*gid[mine].tolist(), *a], pa.int64()),
-                    pa.array([*[None] * len(mine), *(p[1] for p in pairs)], pa.int64()),
-                ],
-                ["token", "a", "b"],
-            )
+        kept = [np.zeros(0, np.int64) for _ in range(5)]
+        long_token, leader, leader_n = None, 0, 0
+
+        def emit(token: np.ndarray, gid: np.ndarray, n: np.ndarray, weight: np.ndarray, split: np.ndarray, last: bool) -> tuple[pa.RecordBatch, int]:
+            nonlocal long_token, leader, leader_n
+            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            size = np.diff(np.append(begin, len(token)))
+            done = len(begin)
+            if not last and size[-1] <= SHORT_LIST and not split[-1] and token[-1] != long_token:
+                done -= 1
+            used = len(token) if done == len(begin) else int(begin[-1])
+            begin, size = begin[:done], size[:done]
+            going_on = done > 0 and token[0] == long_token
+            # A piece of a list that was dealt to several tasks is long whatever its size.
+            is_long = (size > SHORT_LIST) | (split[begin] != 0)
+            if done:
+                is_long[0] |= going_on
+            a, b, c, t, e = [], [], [], [], []
+            for k in range(2, SHORT_LIST + 1):
+                at = begin[(size == k) & ~is_long]
+                for i in range(k) if len(at) else ():
+                    for j in range(i + 1, k):
+                        fits = 100 * np.minimum(n[at + i], n[at + j]) >= least * np.maximum(n[at + i], n[at + j])
+                        a.append(gid[at + i][fits]), b.append(gid[at + j][fits]), c.append(weight[at + i][fits])
+            for r in np.flatnonzero(is_long).tolist():
+                low, high = int(begin[r]), int(begin[r] + size[r])
+                if token[low] != long_token:
+                    long_token, leader, leader_n = token[low], int(gid[low]), int(n[low])
+                pairs = []
+                for g, m in zip(gid[low:high].tolist(), n[low:high].tolist()):
+                    if least * max(m, leader_n) > 100 * min(m, leader_n):
+                        leader, leader_n = g, m
+                    elif g != leader:
+                        pairs.append((leader, g))
+                t.append(token[low:high]), e.append(gid[low:high])
+                a.append(np.array([x for x, _ in pairs], np.int64)), b.append(np.array([x for _, x in pairs], np.int64)), c.append(np.full(len(pairs), _SURE))
+            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
+            a, b, c, t, e = map(cat, (a, b, c, t, e))
+            none = lambda m: pa.nulls(m, pa.int64())
+            join = lambda x, y: pa.concat_arrays([x, y])
+            rows = [join(none(len(a)), pa.array(t)), join(pa.array(a), pa.array(e)), join(pa.array(b), none(len(t))), join(pa.array(c), none(len(t)))]
+            return pa.RecordBatch.from_arrays(rows, ["token", "a", "b", "c"]), used
 
         for batch in batches:
-            token, gid, n = (np.concatenate((c, batch.column(k).to_numpy())) for k, c in enumerate(carry))
-            if len(token) < 2:
-                carry = (token, gid, n)
-                continue
-            yield emit(token, gid, n, False)
-            carry = (token[-1:], gid[-1:], n[-1:])
-        if len(carry[0]):
-            yield emit(*carry, True)
+            kept = [np.concatenate((k, batch.column(i).to_numpy())) for i, k in enumerate(kept)]
+            if len(kept[0]):
+                out, used = emit(*kept, False)
+                kept = [k[used:] for k in kept]
+                yield out
+        if len(kept[0]):
+            yield emit(*kept, True)[0]
 
     salt = F.when(F.col("token").isin(heavy), F.pmod(F.xxhash64("gid"), F.lit(pieces))).otherwise(F.lit(0)) if heavy else F.lit(0)
-    dealt = entries.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "gid")
-    return dealt.select("token", "gid", "n").mapInArrow(scan, "token long, a long, b long")
+    split = F.col("token").isin(heavy).cast("long") if heavy else F.lit(0).cast("long")
+    dealt = entries.withColumn("salt", salt).repartition("token", "salt")
+    # Groups of one band fit each other; the first of a band leads it, another in each list.
+    dealt = dealt.sortWithinPartitions("token", "salt", _band(F.col("n"), least), F.xxhash64("token", "gid"), "gid")
+    return dealt.select("token", "gid", "n", "weight", split.alias("split")).mapInArrow(scan, "token long, a long, b long, c long")
+
+
+def _may_link(pairs: DataFrame, groups: DataFrame, long_entries: DataFrame, least: int) -> DataFrame:
+    """Drop pairs whose shared prefix shingles cannot lead to the needed overlap.
+
+    Of the overlap, what lies up to the end of the prefix that ends first is
+    shared by both prefixes; the rest is at most what that set has left.  Lists
+    that were not paired in full count as shared.
+    """
+    open_lists = long_entries.groupBy("a").agg(F.count("*").alias("open"))
+    facts = groups.join(open_lists.withColumnRenamed("a", "gid"), "gid", "left").select("gid", "n", "ends", (F.col("n") - F.col("length")).alias("left"), F.coalesce("open", F.lit(0)).alias("open"))
+    first, second = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "ab")
+    joined = pairs.join(first, pairs["a"] == F.col("gid_a")).join(second, pairs["b"] == F.col("gid_b"))
+    needed = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / (100 + least))
+    rest = F.when(F.col("ends_a") < F.col("ends_b"), F.col("left_a")).when(F.col("ends_b") < F.col("ends_a"), F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
+    return joined.where(F.col("c") + F.least("open_a", "open_b") + rest >= needed).select("a", "b")
 
 
 def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
@@ -250,9 +313,10 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> D
                 linked.append(100 * common >= least * (len(s) + len(t) - common))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    left = pairs.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(found.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    # Both joins read one exchange of the sets.
+    left = pairs.join(found, pairs["a"] == found["id"]).select("a", "b", F.col("shingles").alias("x"))
+    both = left.join(found, left["b"] == found["id"]).select("a", "b", "x", F.col("shingles").alias("y"))
+    return both.mapInArrow(check, "a long, b long")
 
 
 def _across(lists: DataFrame, least: int) -> DataFrame:
@@ -282,7 +346,20 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
     )
-    return spread.groupBy("token", "low", "high").applyInArrow(cross, "a long, b long").distinct()
+    found = spread.groupBy("token", "low", "high").applyInArrow(cross, "a long, b long")
+    return found.groupBy("a", "b").agg(F.count("*").alias("lists"))
+
+
+def _may_link_across(pairs: DataFrame, members: DataFrame, counted: DataFrame, least: int) -> DataFrame:
+    """The overlap bound for pairs across components: every list that both are in is counted now."""
+    sides = [members.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "gid", "n", "ends")], (F.col("n") - F.col("length")).alias(f"left_{side}")) for side in "ab"]
+    joined = pairs.join(sides[0], pairs["a"] == F.col("rep_a")).join(sides[1], pairs["b"] == F.col("rep_b"))
+    short = counted.select(F.col("a").alias("ga"), F.col("b").alias("gb"), "c")
+    joined = joined.join(short, (F.least("gid_a", "gid_b") == F.col("ga")) & (F.greatest("gid_a", "gid_b") == F.col("gb")), "left")
+    needed = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / (100 + least))
+    rest = F.when(F.col("ends_a") < F.col("ends_b"), F.col("left_a")).when(F.col("ends_b") < F.col("ends_a"), F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
+    keep = (F.col("gid_a") == F.col("gid_b")) | (F.coalesce("c", F.lit(0)) + F.col("lists") + rest >= needed)
+    return joined.where(keep).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -299,34 +376,60 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = frequent_shingles(source, width)
     digests = materialize(_digests(source, width, least, frequent), "digests")
     same = ["n", "h1", "h2"]
-    classes = materialize(
-        digests.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"), F.first("prefix").alias("prefix")), "classes"
+    able = digests.where("n > 0 and doc_id is not null")
+    classes = materialize(able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"), F.first("ends").alias("ends"), F.first(F.size("prefix")).alias("length")), "classes")
+    groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
+    members = classes.join(groups, ["n", "p"]).withColumn("collapsed", F.col("size") <= GROUP_MEMBERS)
+    members = members.select(F.when(F.col("collapsed"), F.col("gid")).otherwise(F.col("rep")).alias("gid"), "rep", "n", "ends", "length", F.when(F.col("collapsed"), F.col("size")).otherwise(1).alias("size"), F.xxhash64("n", "p").alias("token"))
+    members = materialize(members, "members")
+    groups = members.where("gid = rep").select("gid", "n", "ends", "length", "size")
+    # Documents with equal ids may have several sets; all of them are read.
+    prefixes = able.join(groups.select(F.col("gid").alias("doc_id"), F.col("gid"), F.col("n").alias("group_n")), "doc_id").where("n = group_n").dropDuplicates(["doc_id", "h1", "h2"])
+    entries = prefixes.select(F.explode("prefix").alias("token"), "gid", "n", F.lit(1).cast("long").alias("weight")).unionAll(
+        members.where("size > 1").select("token", F.col("rep").alias("gid"), "n", F.lit(_SURE).alias("weight"))
     )
-    groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = materialize(groups, "groups")
-    members = classes.select("n", "p", "rep").join(groups.select("n", "p", "gid", "members"), ["n", "p"])
-    members = materialize(members.select("gid", "rep", "n", "members", F.xxhash64("n", "p").alias("token")), "members")
-    entries = groups.select(F.explode("prefix").alias("token"), "gid", "n").unionAll(members.where("members > 1").select("token", F.col("rep").alias("gid"), "n"))
     heavy = np.argsort(-frequent[1])[:1000]
     heavy = heavy[frequent[1][heavy] > SPLIT_COUNT]
     pieces = int(-(-frequent[1].max(initial=0) // SPLIT_COUNT))
-    stars = materialize(_stars(entries, least, frequent[0][heavy].view(np.int64).tolist(), pieces), "stars")
-    discard(groups)
-    tried = materialize(stars.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    paired = materialize(_paired(entries, least, frequent[0][heavy].view(np.int64).tolist(), pieces), "pairs")
+    lists = paired.where("b is null").select("token", "a")
+    counted = paired.where("b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
+    counted = materialize(counted, "counted")
+    # Pairs of one group's members are of classes, all others of groups.
+    facts = groups.unionAll(members.where("gid <> rep").select(F.col("rep").alias("gid"), "n", "ends", "length", F.lit(1).cast("long").alias("size")))
+    likely = materialize(_may_link(counted, facts, lists, least), "likely")
+    several = members.where("size > 1").select("gid", "rep")
+    one = several.select(F.col("gid").alias("a"), F.col("rep").alias("ra"))
+    two = several.select(F.col("gid").alias("b"), F.col("rep").alias("rb"))
+    grown = likely.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
+    tried = materialize(likely.unionAll(grown.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "tried")
     links = materialize(verify_pairs(source, tried, width, least), "links")
     parts = connected_components(links, "a", "b")
-    lists = stars.where("b is null").select("token", F.col("a").alias("gid"))
     # A group's own list names members; a prefix list names groups and is expanded.
-    grouped = members.select("gid", "rep", "n").unionAll(members.where("members > 1 and gid <> rep").select(F.col("rep").alias("gid"), "rep", "n"))
-    expanded = lists.join(grouped, "gid").select("token", "rep", "n").distinct()
-    labelled = expanded.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    labelled = materialize(labelled, "lists")
-    mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    more = materialize(_across(labelled.join(mixed, "token", "left_semi"), least).join(tried, ["a", "b"], "left_anti"), "across")
-    discard(stars)
+    grouped = members.select("gid", "rep", "n").unionAll(members.where("gid <> rep").select(F.col("rep").alias("gid"), "rep", "n"))
+    expanded = lists.withColumnRenamed("a", "gid").join(grouped, "gid").select("token", "rep", "n").distinct()
+    expanded = materialize(expanded, "lists")
+    discard(paired)
+
+    def mixed_lists(parts: DataFrame) -> DataFrame:
+        """Long lists that hold more than one component, with the component of each member."""
+        labelled = expanded.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+        return materialize(labelled.join(mixed, "token", "left_semi"), "mixed")
+
+    left_over = mixed_lists(parts)
+    for seed in range(1, STAR_ROUNDS + 1):
+        pairs = materialize(_new_stars(left_over, least, seed).join(tried, ["a", "b"], "left_anti"), "stars")
+        fresh = materialize(verify_pairs(source, pairs, width, least), "links")
+        tried, links = tried.unionAll(pairs), links.unionAll(fresh)
+        if not fresh.limit(1).count():
+            break
+        discard(left_over)
+        left_over = mixed_lists(connected_components(links, "a", "b"))
+    more = materialize(_may_link_across(_across(left_over, least), members, counted, least).join(tried, ["a", "b"], "left_anti"), "across")
     found = materialize(verify_pairs(source, more, width, least), "links")
     final = connected_components(links.unionAll(found), "a", "b")
-    for table in (tried, labelled, more):
+    for table in (counted, likely, expanded, left_over, more):
         discard(table)
     roots = classes.select(*[F.col(c).alias(f"c_{c}") for c in same], "rep").join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     roots = roots.select("c_n", "c_h1", "c_h2", F.coalesce("component", "rep").alias("component"))
