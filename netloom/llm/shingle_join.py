@@ -11,9 +11,13 @@ paired; the number of lists that a pair shares bounds its overlap, and most
 pairs fall to that bound.  In a long list groups meet one leader of fitting size
 (a star, not all pairs).  What is left is expanded to members and verified, and
 verified pairs give components.  Members of long lists that still hold more than
-one component meet other leaders in further rounds.  At last every pair across
-components that the size filter lets through is verified as well, so no link
-between components is lost.
+one component meet other leaders in further rounds.  At last the pairs across
+components are compared too, so no link between components is lost.
+
+Two exact bounds thin out the pairs of long lists.  By position: where two sets
+meet first, the overlap is at most what each has left from there.  By sketch: in
+a bitmap of the parity of shingles per bit, every differing bit needs a shingle
+that only one of both sets has.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ SPLIT_COUNT, LIST_BLOCK = 1 << 20, 2048
 SHORT_LIST, GROUP_MEMBERS = 8, 64
 #: Further rounds in which members of long lists meet a leader of another component.
 STAR_ROUNDS = 1
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 512
 #: Shared-list count of pairs that the overlap bound must not drop.
 _SURE = 1 << 40
 
@@ -116,7 +122,7 @@ def frequent_shingles(docs: DataFrame, width: int, most: int = BROADCAST_SHINGLE
 
 
 def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: set size, set hashes, prefix hash and prefix."""
+    """Per row: set size, set hashes, prefix hash, prefix and parity sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +151,9 @@ def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray
                 prefix.append(rare[:take])
                 lengths[i] = take
             flat = np.concatenate(prefix) if prefix else np.zeros(0, U)
+            spots = np.repeat(np.arange(len(raw)) * SKETCH_BITS, size) + (values % U(SKETCH_BITS)).astype(np.int64)
+            parity = (np.bincount(spots, minlength=len(raw) * SKETCH_BITS) & 1).astype(np.uint8)
+            sketch = np.packbits(parity, bitorder="little").view(np.int64)
             ends = np.cumsum(lengths)
             offsets = np.concatenate(([0], ends))
 
@@ -161,11 +170,12 @@ def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray
                     pa.array(folded(flat, offsets, 47)),
                     pa.array(last),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(sketch)),
                 ],
-                ["doc_id", "n", "h1", "h2", "p", "ends", "prefix"],
+                ["doc_id", "n", "h1", "h2", "p", "ends", "prefix", "sketch"],
             )
 
-    return docs.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, p long, ends long, prefix array<long>")
+    return docs.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, p long, ends long, prefix array<long>, sketch array<long>")
 
 
 def _band(n: Column, least: int) -> Column:
@@ -173,28 +183,43 @@ def _band(n: Column, least: int) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / least)) + 1e-9)
 
 
+def _meets(n: Column, pos: Column, other_n: Column, other_pos: Column, least: int) -> Column:
+    """Whether two sets whose first common shingle has these positions can link."""
+    return least * (n + other_n) <= (100 + least) * F.least(n - pos, other_n - other_pos)
+
+
+def _sketches_fit(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Drop pairs whose sketches differ in more bits than linked sets can have shingles of their own."""
+    sides = [sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "sketch")]) for side in "ab"]
+    joined = pairs.join(sides[0], pairs["a"] == F.col("rep_a")).join(sides[1], pairs["b"] == F.col("rep_b"))
+    words = range(SKETCH_BITS // 64)
+    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in words), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    return joined.where(apart <= both - 2 * F.ceil(F.lit(least) * both / (100 + least))).select("a", "b").distinct()
+
+
 def _new_stars(lists: DataFrame, least: int, seed: int) -> DataFrame:
     """Pairs of list members with a leader of another component, chosen anew by ``seed`` in each list and band."""
     banded = lists.withColumn("band", _band(F.col("n"), least))
-    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("rep", "n", "c"), F.xxhash64("token", "rep", F.lit(seed))).alias("l"))
+    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64("token", "rep", F.lit(seed))).alias("l"))
     met = banded.join(leaders, ["token", "band"]).where(F.col("c") != F.col("l.c"))
     fits = 100 * F.least("n", "l.n") >= least * F.greatest("n", "l.n")
-    return met.where(fits).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
+    return met.where(fits & _meets(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), least)).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
 
 
 def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> DataFrame:
-    """Rows ``a, b, c`` of pairs that share a list, and ``token, a`` of the entries of long lists.
+    """Rows ``a, b, c`` of pairs that share a list, and ``token, a, c`` of the entries of long lists, ``c`` their position.
 
     Entries are read in order of (token, size band, hash).  The state between
     batches is one short list, or the leader of a long one.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64) for _ in range(5)]
-        long_token, leader, leader_n = None, 0, 0
+        kept = [np.zeros(0, np.int64) for _ in range(6)]
+        long_token, leader, leader_n, leader_pos = None, 0, 0, 0
 
-        def emit(token: np.ndarray, gid: np.ndarray, n: np.ndarray, weight: np.ndarray, split: np.ndarray, last: bool) -> tuple[pa.RecordBatch, int]:
-            nonlocal long_token, leader, leader_n
+        def emit(token: np.ndarray, gid: np.ndarray, n: np.ndarray, weight: np.ndarray, split: np.ndarray, pos: np.ndarray, last: bool) -> tuple[pa.RecordBatch, int]:
+            nonlocal long_token, leader, leader_n, leader_pos
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(begin, len(token)))
             done = len(begin)
@@ -207,7 +232,7 @@ def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> Da
             is_long = (size > SHORT_LIST) | (split[begin] != 0)
             if done:
                 is_long[0] |= going_on
-            a, b, c, t, e = [], [], [], [], []
+            a, b, c, t, e, o = [], [], [], [], [], []
             for k in range(2, SHORT_LIST + 1):
                 at = begin[(size == k) & ~is_long]
                 for i in range(k) if len(at) else ():
@@ -217,20 +242,20 @@ def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> Da
             for r in np.flatnonzero(is_long).tolist():
                 low, high = int(begin[r]), int(begin[r] + size[r])
                 if token[low] != long_token:
-                    long_token, leader, leader_n = token[low], int(gid[low]), int(n[low])
+                    long_token, leader, leader_n, leader_pos = token[low], int(gid[low]), int(n[low]), int(pos[low])
                 pairs = []
-                for g, m in zip(gid[low:high].tolist(), n[low:high].tolist()):
+                for g, m, q in zip(gid[low:high].tolist(), n[low:high].tolist(), pos[low:high].tolist()):
                     if least * max(m, leader_n) > 100 * min(m, leader_n):
-                        leader, leader_n = g, m
-                    elif g != leader:
+                        leader, leader_n, leader_pos = g, m, q
+                    elif g != leader and least * (m + leader_n) <= (100 + least) * min(m - q, leader_n - leader_pos):
                         pairs.append((leader, g))
-                t.append(token[low:high]), e.append(gid[low:high])
+                t.append(token[low:high]), e.append(gid[low:high]), o.append(pos[low:high])
                 a.append(np.array([x for x, _ in pairs], np.int64)), b.append(np.array([x for _, x in pairs], np.int64)), c.append(np.full(len(pairs), _SURE))
             cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-            a, b, c, t, e = map(cat, (a, b, c, t, e))
+            a, b, c, t, e, o = map(cat, (a, b, c, t, e, o))
             none = lambda m: pa.nulls(m, pa.int64())
             join = lambda x, y: pa.concat_arrays([x, y])
-            rows = [join(none(len(a)), pa.array(t)), join(pa.array(a), pa.array(e)), join(pa.array(b), none(len(t))), join(pa.array(c), none(len(t)))]
+            rows = [join(none(len(a)), pa.array(t)), join(pa.array(a), pa.array(e)), join(pa.array(b), none(len(t))), join(pa.array(c), pa.array(o))]
             return pa.RecordBatch.from_arrays(rows, ["token", "a", "b", "c"]), used
 
         for batch in batches:
@@ -247,7 +272,7 @@ def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> Da
     dealt = entries.withColumn("salt", salt).repartition("token", "salt")
     # Groups of one band fit each other; the first of a band leads it, another in each list.
     dealt = dealt.sortWithinPartitions("token", "salt", _band(F.col("n"), least), F.xxhash64("token", "gid"), "gid")
-    return dealt.select("token", "gid", "n", "weight", split.alias("split")).mapInArrow(scan, "token long, a long, b long, c long")
+    return dealt.select("token", "gid", "n", "weight", split.alias("split"), "pos").mapInArrow(scan, "token long, a long, b long, c long")
 
 
 def _may_link(pairs: DataFrame, groups: DataFrame, long_entries: DataFrame, least: int) -> DataFrame:
@@ -320,23 +345,30 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> D
 
 
 def _across(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of list members of different components and fitting sizes, in blocks."""
+    """Pairs of list members of different components that size, position and sketch let link, in blocks."""
 
     def cross(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        rep, n, c, own = (table.column(x).to_numpy() for x in ("rep", "n", "c", "own"))
+        rep, n, pos, c, own = (table.column(x).to_numpy() for x in ("rep", "n", "pos", "c", "own"))
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(rep), -1)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        out = set()
+        out = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
-            small, large = np.minimum(n[i][:, None], n[right]), np.maximum(n[i][:, None], n[right])
-            fits = (c[i][:, None] != c[right]) & (100 * small >= least * large)
+            needed = least * (n[i][:, None] + n[right])
+            fits = (c[i][:, None] != c[right]) & (needed <= (100 + least) * np.minimum((n - pos)[i][:, None], (n - pos)[right]))
             if low == high:
                 fits &= i[:, None] < right
             x, y = np.nonzero(fits)
-            r, s = rep[i[x]], rep[right[y]]
-            out.update(zip(np.minimum(r, s).tolist(), np.maximum(r, s).tolist()))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+            for cut in range(0, len(x), 1 << 16):
+                s, t = i[x[cut : cut + (1 << 16)]], right[y[cut : cut + (1 << 16)]]
+                both = n[s] + n[t]
+                apart = np.bitwise_count(sketch[s] ^ sketch[t]).sum(axis=1, dtype=np.int64)
+                near = apart <= both + 2 * (-least * both // (100 + least))
+                r, q = rep[s[near]], rep[t[near]]
+                out.append(np.stack((np.minimum(r, q), np.maximum(r, q))))
+        found = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
     counts = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
     spread = (
@@ -346,20 +378,7 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
     )
-    found = spread.groupBy("token", "low", "high").applyInArrow(cross, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("lists"))
-
-
-def _may_link_across(pairs: DataFrame, members: DataFrame, counted: DataFrame, least: int) -> DataFrame:
-    """The overlap bound for pairs across components: every list that both are in is counted now."""
-    sides = [members.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "gid", "n", "ends")], (F.col("n") - F.col("length")).alias(f"left_{side}")) for side in "ab"]
-    joined = pairs.join(sides[0], pairs["a"] == F.col("rep_a")).join(sides[1], pairs["b"] == F.col("rep_b"))
-    short = counted.select(F.col("a").alias("ga"), F.col("b").alias("gb"), "c")
-    joined = joined.join(short, (F.least("gid_a", "gid_b") == F.col("ga")) & (F.greatest("gid_a", "gid_b") == F.col("gb")), "left")
-    needed = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / (100 + least))
-    rest = F.when(F.col("ends_a") < F.col("ends_b"), F.col("left_a")).when(F.col("ends_b") < F.col("ends_a"), F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
-    keep = (F.col("gid_a") == F.col("gid_b")) | (F.coalesce("c", F.lit(0)) + F.col("lists") + rest >= needed)
-    return joined.where(keep).select("a", "b").distinct()
+    return spread.groupBy("token", "low", "high").applyInArrow(cross, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -377,7 +396,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digests = materialize(_digests(source, width, least, frequent), "digests")
     same = ["n", "h1", "h2"]
     able = digests.where("n > 0 and doc_id is not null")
-    classes = materialize(able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"), F.first("ends").alias("ends"), F.first(F.size("prefix")).alias("length")), "classes")
+    classes = materialize(able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"), F.first("ends").alias("ends"), F.first(F.size("prefix")).alias("length"), F.first("sketch").alias("sketch")), "classes")
+    sketches = classes.select("rep", "n", "sketch")
     groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
     members = classes.join(groups, ["n", "p"]).withColumn("collapsed", F.col("size") <= GROUP_MEMBERS)
     members = members.select(F.when(F.col("collapsed"), F.col("gid")).otherwise(F.col("rep")).alias("gid"), "rep", "n", "ends", "length", F.when(F.col("collapsed"), F.col("size")).otherwise(1).alias("size"), F.xxhash64("n", "p").alias("token"))
@@ -385,14 +405,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = members.where("gid = rep").select("gid", "n", "ends", "length", "size")
     # Documents with equal ids may have several sets; all of them are read.
     prefixes = able.join(groups.select(F.col("gid").alias("doc_id"), F.col("gid"), F.col("n").alias("group_n")), "doc_id").where("n = group_n").dropDuplicates(["doc_id", "h1", "h2"])
-    entries = prefixes.select(F.explode("prefix").alias("token"), "gid", "n", F.lit(1).cast("long").alias("weight")).unionAll(
-        members.where("size > 1").select("token", F.col("rep").alias("gid"), "n", F.lit(_SURE).alias("weight"))
+    entries = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "gid", "n").select("token", "gid", "n", F.lit(1).cast("long").alias("weight"), F.col("pos").cast("long").alias("pos")).unionAll(
+        members.where("size > 1").select("token", F.col("rep").alias("gid"), "n", F.lit(_SURE).alias("weight"), F.lit(0).cast("long").alias("pos"))
     )
     heavy = np.argsort(-frequent[1])[:1000]
     heavy = heavy[frequent[1][heavy] > SPLIT_COUNT]
     pieces = int(-(-frequent[1].max(initial=0) // SPLIT_COUNT))
     paired = materialize(_paired(entries, least, frequent[0][heavy].view(np.int64).tolist(), pieces), "pairs")
-    lists = paired.where("b is null").select("token", "a")
+    lists = paired.where("b is null").select("token", "a", F.col("c").alias("pos"))
     counted = paired.where("b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
     counted = materialize(counted, "counted")
     # Pairs of one group's members are of classes, all others of groups.
@@ -402,31 +422,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = several.select(F.col("gid").alias("a"), F.col("rep").alias("ra"))
     two = several.select(F.col("gid").alias("b"), F.col("rep").alias("rb"))
     grown = likely.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-    tried = materialize(likely.unionAll(grown.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "tried")
+    asked = likely.unionAll(grown.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    tried = materialize(_sketches_fit(asked, sketches, least), "tried")
     links = materialize(verify_pairs(source, tried, width, least), "links")
     parts = connected_components(links, "a", "b")
     # A group's own list names members; a prefix list names groups and is expanded.
     grouped = members.select("gid", "rep", "n").unionAll(members.where("gid <> rep").select(F.col("rep").alias("gid"), "rep", "n"))
-    expanded = lists.withColumnRenamed("a", "gid").join(grouped, "gid").select("token", "rep", "n").distinct()
+    expanded = lists.withColumnRenamed("a", "gid").join(grouped, "gid").select("token", "rep", "n", "pos").distinct()
     expanded = materialize(expanded, "lists")
     discard(paired)
 
     def mixed_lists(parts: DataFrame) -> DataFrame:
-        """Long lists that hold more than one component, with the component of each member."""
-        labelled = expanded.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+        """Long lists that may hide a link between components, with the component of each member.
+
+        The smaller set of a linked pair has the list early in its prefix.
+        """
+        labelled = expanded.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+        early = _meets(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), least)
+        mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
         return materialize(labelled.join(mixed, "token", "left_semi"), "mixed")
 
     left_over = mixed_lists(parts)
     for seed in range(1, STAR_ROUNDS + 1):
-        pairs = materialize(_new_stars(left_over, least, seed).join(tried, ["a", "b"], "left_anti"), "stars")
+        pairs = materialize(_sketches_fit(_new_stars(left_over, least, seed).join(tried, ["a", "b"], "left_anti"), sketches, least), "stars")
         fresh = materialize(verify_pairs(source, pairs, width, least), "links")
         tried, links = tried.unionAll(pairs), links.unionAll(fresh)
         if not fresh.limit(1).count():
             break
         discard(left_over)
         left_over = mixed_lists(connected_components(links, "a", "b"))
-    more = materialize(_may_link_across(_across(left_over, least), members, counted, least).join(tried, ["a", "b"], "left_anti"), "across")
+    compared = left_over.join(sketches.select("rep", "n", "sketch"), ["rep", "n"])
+    more = materialize(_across(compared, least).join(tried, ["a", "b"], "left_anti"), "across")
     found = materialize(verify_pairs(source, more, width, least), "links")
     final = connected_components(links.unionAll(found), "a", "b")
     for table in (counted, likely, expanded, left_over, more):
