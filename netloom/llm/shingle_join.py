@@ -305,7 +305,8 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> D
     place = F.col("spot") + 1
     maps = asked.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros((1 << FILTER_BITS) // 8 + 4096, np.uint8)
-    for r in maps.toLocalIterator():
+    # At most 2 ** FILTER_BITS bits in all, whatever the number of pairs.
+    for r in maps.collect():
         chunk = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["bucket"] - 1) * 4096
         bits[at : at + len(chunk)] = chunk
