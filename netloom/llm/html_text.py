@@ -3,9 +3,11 @@
 A tag scanner builds the node tree.  Nodes that by element, role or name hold
 no article are cut first.  Every node that stays has a density, its characters
 for each tag, reduced where its text lies in links; a node's sum adds its
-children's densities.  The node with the largest sum is the article's core.
-The smallest density on the path from it to the body is the threshold: parents
-that reach it, or are article elements, are taken instead of the core.
+children's densities.  The node with the largest sum, which may be the body, is
+the article's core.  The smallest density on the path from it up to and with the
+body is the threshold: below each node that reaches it the node with the largest
+sum is kept.  A node whose own text reaches it is kept whole, and a heading goes
+with the kept node that follows it.
 """
 
 from __future__ import annotations
@@ -39,14 +41,16 @@ _BOILER = frozenset(
 _PARTS = re.compile(r"[^a-z]+")
 _LEADS = re.compile(r"([a-z])([A-Z])")
 _ARTICLE = frozenset({"article", "main"})
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "boiler", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "boiler", "chars", "tags", "link_chars", "link_tags", "density", "total", "loose", "peak", "kept")
 
     def __init__(self, tag: str, parent: Node | None, boiler: bool = False):
         self.tag, self.parent, self.boiler = tag, parent, boiler
         self.children: list[Node | str] = []
+        self.kept = False
 
 
 def _is_boiler(tag: str, attributes: str, parent: Node) -> bool:
@@ -150,66 +154,92 @@ def _measure(root: Node) -> tuple[Node, int]:
             link_chars = chars
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, link_chars, link_tags
     whole, linked = body.chars, body.link_chars
-    for node in reversed(order):
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
+
+    def density(c: int, t: int, lc: int, lt: int) -> float:
         if not c:
-            node.density = 0.0
-        else:
-            base = math.log(c * lc / max(c - lc, 1) + linked * c / max(whole, 1) + math.e)
-            node.density = c / t * math.log(c * t / (max(lc, 1) * lt) + 1.0) / math.log(base + 1.0)
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.boiler)
+            return 0.0
+        base = math.log(c * lc / max(c - lc, 1) + linked * c / max(whole, 1) + math.e)
+        return c / t * math.log(c * t / (max(lc, 1) * lt) + 1.0) / math.log(base + 1.0)
+
+    for node in reversed(order):
+        inner = [x for x in node.children if isinstance(x, Node) and not x.boiler]
+        node.density = density(node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1))
+        node.loose = 0.0 if node.tag == "a" else density(sum(len(x.strip()) for x in node.children if isinstance(x, str)), 1, 0, 1)
+        node.total = sum(x.density for x in inner)
+        node.peak = node
+        for x in inner:
+            if x.chars and (x.peak.total, x.peak.tag in _ARTICLE) > (node.peak.total, node.peak.tag in _ARTICLE):
+                node.peak = x.peak
     return body, whole
 
 
-def _article(body: Node) -> Node:
-    best, stack = body, [c for c in reversed(body.children) if isinstance(c, Node) and not c.boiler]
-    top = -1.0
+def _keep(body: Node) -> None:
+    """Mark what belongs to the article."""
+    node: Node | None = body.peak
+    threshold = node.density
+    while node is not body:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    stack = [body]
     while stack:
         node = stack.pop()
-        if node.total > top or node.tag in _ARTICLE and not _inside(best, _ARTICLE) and node.total >= top:
-            best, top = node, node.total
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.boiler)
-    path, node = [], best
-    while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    threshold = min((n.density for n in path), default=0.0)
-    for node in path[1:]:
-        if node.tag in _ARTICLE or node.parent is not body and node.density >= threshold and node.density >= best.density:
-            best = node
-    if best.tag == "p" and best.parent is not None and best.parent is not body:
-        best = best.parent
-    return best
+        if node.chars and node.density >= threshold:
+            (node if node.loose >= threshold else node.peak).kept = True
+        if not node.kept:
+            stack.extend(c for c in node.children if isinstance(c, Node) and not c.boiler)
 
 
-def _blocks(node: Node, core: Node) -> list[str]:
-    out, held = [], []
+def _blocks(body: Node) -> list[str]:
+    """Text of the kept nodes, block by block."""
+    out, held, heading = [], [], []
 
     def close() -> None:
         if text := " ".join("".join(held).split()):
             out.append(text)
         held.clear()
 
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(body, False, False)]
     while stack:
-        x, done = stack.pop()
+        x, inside, done = stack.pop()
         if isinstance(x, str):
-            held.append(x)
+            if inside:
+                held.append(x)
+            elif x.strip():
+                heading.clear()
             continue
-        block = x.tag in _BLOCK
-        if block:
+        if done:
             close()
-        if done or x.boiler and x is not core:
             continue
-        if x is not core and x.tag in ("ul", "ol", "div", "section") and x.chars and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
+        if x.boiler:
+            if inside and x.tag in _BLOCK:
+                close()
+            continue
+        if not inside and x.kept:
+            inside = True
+            close()
+            out.extend(heading)
+            heading.clear()
+            stack.append((x, True, True))
+        elif not inside and x.tag in _HEADING and x.chars:
+            heading.extend(_blocks_of(x))
             continue
-        if block:
-            stack.append((x, True))
-        stack.extend((c, False) for c in reversed(x.children))
+        elif inside:
+            if x.tag in _BLOCK:
+                close()
+            if x.tag in ("ul", "ol", "div", "section") and x.chars and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
+                continue
+            if x.tag in _BLOCK:
+                stack.append((x, True, True))
+        stack.extend((c, inside, False) for c in reversed(x.children))
     close()
     return out
 
 
+def _blocks_of(node: Node) -> list[str]:
+    node.kept = True
+    return _blocks(node)
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and text-free pages."""
     if not page:
@@ -217,11 +247,12 @@ def main_text(page: str | None) -> str:
     body, chars = _measure(parse(page))
     if not chars:
         return ""
-    core = _article(body)
-    if not _inside(core, _ARTICLE):
-        named = [n for n in _walk(body) if n.tag in _ARTICLE and n.chars]
-        core = named[0] if len(named) == 1 else core
-    return " ".join(_blocks(core, core))
+    _keep(body)
+    named = [n for n in _walk(body) if n.tag in _ARTICLE and n.chars]
+    if len(named) == 1:
+        named[0].kept = True
+        return " ".join(_blocks(named[0]))
+    return " ".join(_blocks(body))
 
 
 def _walk(node: Node) -> Iterator[Node]:

@@ -104,6 +104,15 @@ def test_html_extraction(spark):
     assert main_text(long) == ("word " * 50_000).strip()
 
 
+def test_html_without_article_element():
+    a, b, c, d = (f"{w} paragraph with a good many words of the story." for w in ("First", "Second", "Third", "Fourth"))
+    assert main_text(f"<body><h1>T</h1><p>{a}</p><p>{b}</p></body>") == f"T {a} {b}"
+    assert main_text("<body><h1>T</h1><p>A</p><p>B</p></body>") == "T A B"
+    split = main_text(f"<body><div><p>{a}</p><p>{b}</p><p>{c}</p></div><div class='ad'>Buy</div><h2>More</h2><div><p>{c}</p><p>{d}</p></div></body>")
+    assert split == f"{a} {b} {c} More {c} {d}"
+    assert main_text(f"<body><div>{a * 4}<div><p>{b}</p><p>{c}</p><p>{d}</p></div></div></body>") == f"{a * 4} {b} {c} {d}"
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("<>/ab p&;\"'!-=", max_size=60))
 def test_html_never_fails(page):
