@@ -6,7 +6,9 @@ for each tag, reduced where its text lies in links; a node's sum adds its
 children's densities.  The node with the largest sum, which may be the body, is
 the article's core.  The smallest density on the path from it up to and with the
 body is the threshold: below each node that reaches it the node with the largest
-sum is kept.  A node whose own text reaches it is kept whole, and a heading goes
+sum is kept.  Of equal sums that of an article or main element goes first.  A
+core that is a paragraph, a heading or in a line of text gives way to its parent.
+A node whose own text reaches the threshold is kept whole, and a heading goes
 with the kept node that follows it.
 """
 
@@ -175,8 +177,15 @@ def _measure(root: Node) -> tuple[Node, int]:
 
 def _keep(body: Node) -> None:
     """Mark what belongs to the article."""
-    node: Node | None = body.peak
-    threshold = node.density
+
+    def raised(top: Node) -> Node:
+        node = top.peak
+        while node is not top and (node.tag == "p" or node.tag in _HEADING or node.tag not in _BLOCK):
+            node = node.parent
+        return node
+
+    node = raised(body)
+    node.kept, threshold = True, node.density
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
@@ -184,7 +193,7 @@ def _keep(body: Node) -> None:
     while stack:
         node = stack.pop()
         if node.chars and node.density >= threshold:
-            (node if node.loose >= threshold else node.peak).kept = True
+            (node if node.loose >= threshold else raised(node)).kept = True
         if not node.kept:
             stack.extend(c for c in node.children if isinstance(c, Node) and not c.boiler)
 
@@ -248,21 +257,9 @@ def main_text(page: str | None) -> str:
     if not chars:
         return ""
     _keep(body)
-    named = [n for n in _walk(body) if n.tag in _ARTICLE and n.chars]
-    if len(named) == 1:
-        named[0].kept = True
-        return " ".join(_blocks(named[0]))
     return " ".join(_blocks(body))
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack.extend(c for c in x.children if isinstance(c, Node) and not c.boiler)
-
-
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Add ``text`` and ``n_chars`` (its code points) to the columns ``keep`` of ``pages``.
 

@@ -113,6 +113,18 @@ def test_html_without_article_element():
     assert main_text(f"<body><div>{a * 4}<div><p>{b}</p><p>{c}</p><p>{d}</p></div></div></body>") == f"{a * 4} {b} {c} {d}"
 
 
+@pytest.mark.parametrize("thin", ["<article><p>A teaser.</p></article>", "<main><h2>Latest</h2></main>"])
+def test_html_density_outweighs_article_element(thin):
+    story = [f"Paragraph {n} of the story, with a good many words in it." for n in range(6)]
+    got = main_text(f"<body>{thin}<div class='text'>{''.join(f'<p>{p}</p>' for p in story)}</div></body>")
+    assert got.endswith(" ".join(story))
+
+
+def test_html_keeps_paragraphs_beside_a_bold_one():
+    page = f"<body><div><h1>T</h1><p><b>{'long bold text ' * 60}<br></b></p><p>Short one.</p></div></body>"
+    assert main_text(page) == f"T {('long bold text ' * 60).strip()} Short one."
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("<>/ab p&;\"'!-=", max_size=60))
 def test_html_never_fails(page):
