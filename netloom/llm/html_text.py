@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A tag scanner builds the node tree.  Nodes that by element, role or name hold
-no article are cut first.  Every node that stays has a density, its characters
+A tag scanner builds the node tree.  Nodes that by element hold no article are
+cut first, then those that a word of class, id or role names as such, unless they
+hold an article or main element or most of the body's text outside links.  Every node that stays has a density, its characters
 for each tag, reduced where its text lies in links; a node's sum adds its
 children's densities.  The node with the largest sum, which may be the body, is
 the article's core.  The smallest density on the path from it up to and with the
@@ -47,10 +48,10 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "boiler", "chars", "tags", "link_chars", "link_tags", "density", "total", "loose", "peak", "kept")
+    __slots__ = ("tag", "parent", "children", "boiler", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "loose", "peak", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool = False):
-        self.tag, self.parent, self.boiler = tag, parent, boiler
+    def __init__(self, tag: str, parent: Node | None, boiler: bool = False, named: int = 0):
+        self.tag, self.parent, self.boiler, self.named = tag, parent, boiler, named
         self.children: list[Node | str] = []
         self.kept = False
 
@@ -62,13 +63,17 @@ def _is_boiler(tag: str, attributes: str, parent: Node) -> bool:
         return not _inside(parent, _ARTICLE)
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
+    return bool(_HIDDEN.search(attributes))
+
+
+def _is_named(tag: str, attributes: str) -> int:
+    """1 where a word of class, id or role tells of boilerplate, 2 where there is no other word."""
+    found = set()
     for m in _NAMES.finditer(attributes):
-        words = _PARTS.split(_LEADS.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower())
-        if m[1].lower() != "itemprop" and not _BOILER.isdisjoint(words) and not (tag in _ARTICLE or "article" in words):
-            return True
-    return False
+        words = set(_PARTS.split(_LEADS.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower())) - {""}
+        if m[1].lower() != "itemprop" and not (tag in _ARTICLE or "article" in words):
+            found |= words
+    return 0 if _BOILER.isdisjoint(found) else 1 + (found <= _BOILER)
 
 
 def _inside(node: Node | None, tags: frozenset[str]) -> bool:
@@ -121,7 +126,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not None and node.tag in _CLOSES[name]:
                 current = node.parent
-        node = Node(name, current, _is_boiler(name, m[3], current))
+        node = Node(name, current, _is_boiler(name, m[3], current), 0 if name in ("header", "body") else _is_named(name, m[3]))
         current.children.append(node)
         if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
             continue
@@ -133,6 +138,29 @@ def parse(page: str) -> Node:
     return root
 
 
+def _cut_named(root: Node) -> None:
+    """Boilerplate by name: nodes with neither an article or main element nor most of the body's text outside links.
+
+    Where all words say so, as in a bare advert, only text in blocks inside counts.
+    """
+    order, stack, body = [], [root], root
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.tag == "body":
+            body = node
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.boiler)
+    plain, wrapped, article = {}, {}, {}
+    for node in reversed(order):
+        inner = [c for c in node.children if isinstance(c, Node) and not c.boiler]
+        plain[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(plain[c] for c in inner)
+        wrapped[node] = sum(plain[c] if c.tag in _BLOCK else wrapped[c] for c in inner)
+        article[node] = any(article[c] or c.tag in _ARTICLE for c in inner)
+    for node in order:
+        held = wrapped[node] if node.named == 2 else plain[node]
+        node.boiler = bool(node.named) and not article[node] and 2 * held <= plain[body]
+
+
 def _measure(root: Node) -> tuple[Node, int]:
     """Counts of each node that stays, bottom up; the body (or root) and its characters."""
     order, stack, body = [], [root], root
@@ -253,7 +281,9 @@ def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and text-free pages."""
     if not page:
         return ""
-    body, chars = _measure(parse(page))
+    root = parse(page)
+    _cut_named(root)
+    body, chars = _measure(root)
     if not chars:
         return ""
     _keep(body)

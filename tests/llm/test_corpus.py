@@ -120,6 +120,18 @@ def test_html_density_outweighs_article_element(thin):
     assert got.endswith(" ".join(story))
 
 
+@pytest.mark.parametrize("name", ['class="content with-sidebar"', 'id="page" class="header-fixed"', 'class="share-enabled post"', "role=form"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrappers_named_like_boilerplate(name, inner):
+    story = [f"Paragraph {n} of the story, with a good many words in it." for n in range(4)]
+    page = f"<body><div {name}><{inner}>{''.join(f'<p>{p}</p>' for p in story)}</{inner}><div class='sidebar'><p>Side text.</p></div></div><div class='related'><p>Elsewhere</p></div></body>"
+    assert main_text(page) == " ".join(story)
+
+
+def test_html_cuts_a_bare_advert_longer_than_the_text():
+    assert main_text(f"<body><div class='ad'>{'Buy now. ' * 40}</div><article><h1>T</h1><p>Short.</p></article></body>") == "T Short."
+
+
 def test_html_keeps_paragraphs_beside_a_bold_one():
     page = f"<body><div><h1>T</h1><p><b>{'long bold text ' * 60}<br></b></p><p>Short one.</p></div></body>"
     assert main_text(page) == f"T {('long bold text ' * 60).strip()} Short one."
