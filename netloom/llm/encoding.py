@@ -3,8 +3,9 @@
 A BPE tokenizer merges only inside a pre-token.  Texts of ASCII and Latin-1
 letters are cut into pre-tokens by array operations on their bytes, equal
 pre-tokens of a batch are found by hash, and only those that a bounded cache of
-the Python worker does not hold go to the library.  Every other text goes to
-the library as a whole, so the ids are always those of the library.
+the Python worker does not hold go to the library.  Every other text, and every
+text with an added token such as ``<|endoftext|>``, goes to the library as a
+whole, so the ids are always those of the library by default.
 """
 
 from __future__ import annotations
@@ -46,8 +47,9 @@ class PieceEncoder:
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.lower() for t in added] if self.lower else added
         self.border = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.border[i] = token.endswith("</w>") if self.lower else token.startswith("\u0120")
@@ -55,6 +57,11 @@ class PieceEncoder:
         self.old: dict[bytes, bytes] = {}
         self.cache_units = cache_units
 
+    def _has_added(self, raw: bytes) -> bool:
+        """Whether a text or, where the library lowers texts, its lower case has an added token."""
+        raw = raw.lower() if self.lower else raw
+        return any(t in raw for t in self.added)
+
     def _starts(self, data: bytes) -> np.ndarray:
         """Where a pre-token begins, for texts that end in a zero byte each."""
         kind = _CLASS[np.frombuffer(data, np.uint8)]
@@ -156,7 +163,7 @@ class PieceEncoder:
             if not text:
                 continue
             raw = text.encode("utf-8", "surrogatepass")
-            if _plain(raw):
+            if _plain(raw) and not self._has_added(raw):
                 batch.append(raw), where.append(i)
                 size += len(raw)
                 if size >= SLICE_BYTES:

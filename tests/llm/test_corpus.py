@@ -225,6 +225,16 @@ def test_encoding_is_the_library(name, batch):
     assert coder.encode([None]) == [b""]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "hello", " ", "'", "É", "—", "<|", "1"]), max_size=8).map("".join), max_size=6))
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_those_of_a_fresh_library(name, batch):
+    coder, fresh = encoding.encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    batch = [*batch, "hello <|endoftext|> world", "a'<|ENDOFTEXT|>"]
+    want = [t.ids for t in fresh.encode_batch(batch, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in coder.encode(batch)] == want
+
+
 def test_token_shards(spark, texts):
     ids = list(range(len(texts)))
     ids[5] = ids[4]
