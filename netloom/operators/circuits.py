@@ -95,13 +95,13 @@ def segment_components(segments: DataFrame, radius: float) -> DataFrame:
     """Connected components of near segments, labelled by the smallest segment id of the image.
 
     A component never leaves its image, so labels spread inside (image, segment)
-    keys by the shared large-star and small-star steps.
+    pairs by the shared large-star and small-star steps.
     """
     from netloom.operators.components import connected_components
 
-    key = lambda c: F.col("image_id") * 1_000_000 + F.col(c)
+    key = lambda c: F.struct("image_id", F.col(c).alias("seg_id"))
     found = connected_components(near_segments(segments, radius).select(key("a").alias("a"), key("b").alias("b")), "a", "b")
-    return segments.select("image_id", "seg_id", key("seg_id").alias("vertex")).join(found, "vertex", "left").select("image_id", "seg_id", F.coalesce(F.col("component") % 1_000_000, "seg_id").alias("component"))
+    return segments.select("image_id", "seg_id", key("seg_id").alias("vertex")).join(found, "vertex", "left").select("image_id", "seg_id", F.coalesce("component.seg_id", "seg_id").alias("component"))
 
 
 def cluster_centroids(labelled: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from netloom.plans.shared import discard, materialize
 
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """Label each vertex of an undirected edge list by its smallest reachable id.
 
     Returns ``vertex, component`` for vertices that occur in an edge between
-    different vertices.  Null ends and self loops join nothing and are dropped;
+    different vertices.  Ids are numbers or structs of numbers.  Null ends and self loops join nothing and are dropped;
     repeated edges count once; an empty edge list gives an empty table.
     """
     spark = edges.sparkSession
@@ -46,10 +47,12 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         "cc",
     )
 
+    kind = current.schema["v"].dataType
+    parts = [f"v.{name}" for name in kind.names] if isinstance(kind, StructType) else ["v"]
+
     def mark(table):
-        return table.select(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s")
-        ).first()
+        sums = [F.sum(F.col(p).cast("decimal(38,0)")).alias(f"s{i}") for i, p in enumerate(parts)]
+        return table.select(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), *sums).first()
 
     seen = mark(current)
     for _ in range(max_rounds):

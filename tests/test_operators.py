@@ -70,6 +70,13 @@ def test_long_chain(spark):
     assert {r.component for r in connected_components(edges, "a", "b").collect()} == {0}
 
 
+def test_components_of_large_segment_ids(spark):
+    # Packed as image * 1,000,000 + segment, 1,000,001 of image 1 would be 1 of image 2.
+    lines = spark.createDataFrame([(1, 1_000_001, 0, 0, 9, 0), (1, 1_000_002, 9, 0, 18, 0), (2, 1, 0, 0, 9, 0), (2, 5, 9, 0, 18, 0), (2, 7, 900, 0, 990, 0)], "image_id long, seg_id long, x1 long, y1 long, x2 long, y2 long")
+    got = {(r.image_id, r.seg_id): r.component for r in circuits.segment_components(lines, 40.0).collect()}
+    assert got == {(1, 1_000_001): 1_000_001, (1, 1_000_002): 1_000_001, (2, 1): 1, (2, 5): 1, (2, 7): 7}
+
+
 def test_series(spark):
     losses = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate([4, 4, 4, 1, 1, 1])] + [(2, 0, 3.0)], "sample_id long, step long, loss double")
     state = {r.sample_id: r for r in curriculum.loss_state(losses).withColumn("up", curriculum.improving(F.col("history"))).collect()}
