@@ -148,7 +148,7 @@ def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.round(F.avg("p"), 5).alias("mp"), F.round(F.avg("r"), 5).alias("mr"), F.round(ap, 5).alias("map"), F.round(0.1 * ap + 0.9 * ap, 5).alias("fitness"))
 
 
-# Circuits: components are boxes 1-3 of an image, terminals corners of all boxes, nodes middles of segments.
+# Circuits: components are all boxes of an image (the SQL still takes boxes 1-3), terminals corners of all boxes, nodes middles of segments.
 _PARTS = """comp as (select image_id, det_id as comp_id, (x1 + x2) / 2e0 as mx, (y1 + y2) / 2e0 as my from detections where det_id <= 3), term as (select image_id, det_id as term_id, cast(x1 as double) as tx, cast(y1 as double) as ty from detections),
  node as (select image_id, seg_id as node_id, (x1 + x2) / 2e0 as nx, (y1 + y2) / 2e0 as ny from segments)"""
 _NEAR = f"""{_PARTS}, nt0 as (select c.image_id, comp_id, term_id, tx, ty, row_number() over (partition by c.image_id, comp_id order by sqrt(power(mx - tx, 2) + power(my - ty, 2)), term_id) as rank from comp c join term t on c.image_id = t.image_id), nt as (select * from nt0 where rank <= 2)"""
@@ -161,7 +161,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     d, s = view(spark, sf_dir, "detections"), view(spark, sf_dir, "segments")
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
     return (
-        d.where("det_id <= 3").select("image_id", F.col("det_id").alias("comp_id"), mid("x1", "x2").alias("mx"), mid("y1", "y2").alias("my")),
+        d.select("image_id", F.col("det_id").alias("comp_id"), mid("x1", "x2").alias("mx"), mid("y1", "y2").alias("my")),
         d.select("image_id", F.col("det_id").alias("term_id"), F.col("x1").cast("double").alias("tx"), F.col("y1").cast("double").alias("ty")),
         s.select("image_id", F.col("seg_id").alias("node_id"), mid("x1", "x2").alias("nx"), mid("y1", "y2").alias("ny")),
     )
