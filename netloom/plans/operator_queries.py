@@ -367,7 +367,7 @@ def retry_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, concat('data:image/png;base64,', base64(encode(substr(text, 1, 20)))) as url from documents")
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir)
-    return spark.table("documents").select("doc_id", T.data_url(F.substring("text", 1, 20).cast("binary")).alias("url"))
+    return spark.table("documents").select("doc_id", T.data_url(F.col("text").cast("binary")).alias("url"))
 
 
 # Sources and sinks

@@ -46,6 +46,10 @@ def test_all_boxes_are_components(spark, name):
     assert_equals_sql_without_cut(spark, name, "where det_id <= 3", "")
 
 
+def test_data_urls_hold_the_whole_text(spark):
+    assert_equals_sql_without_cut(spark, "data_urls", "substr(text, 1, 20)", "text")
+
+
 def assert_equals_sql_without_cut(spark, name, cut, whole):
     base = duckdb.connect()
     for table in BASE:
