@@ -349,7 +349,7 @@ def minimal_netlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select conv_id, count(*) + 1 as n_messages from conversations group by conv_id")
 def message_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir)
-    return replies.message_lists(spark.table("conversations"), "You read schematics.").select("conv_id", "n_messages")
+    return replies.message_lists(spark.table("conversations"), "You read schematics.")
 
 
 @query(f"with {_TYPES} select image_id, concat('DETECTIONS:', chr(10), string_agg(concat('[', det_id, '] ', ctype, ' (', case when conf >= 0.8e0 then 'HIGH' when conf >= 0.5e0 then 'MEDIUM' else 'LOW' end, ')'), chr(10) order by det_id)) as prompt from t group by image_id", "detections classes")
@@ -402,7 +402,10 @@ def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select head, count(*) as n from (select 'components' as head from detections union all select 'wires' from segments union all select 'nodes' from segments) s group by head", "detections segments")
 def multihead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = view(spark, sf_dir, "segments").select("image_id", F.col("x1").alias("nx"), F.col("y1").alias("ny"))
-    return sinks.multihead_lines(view(spark, sf_dir, "detections"), view(spark, sf_dir, "segments"), nodes, 512, 512).groupBy("head").agg(F.count("*").alias("n"))
+    boxes = view(spark, sf_dir, "detections")
+    terminals = boxes.select("image_id", "cls", F.col("x1").alias("tx"), F.col("y1").alias("ty"), F.col("det_id").alias("component_id"), F.lit("t1").alias("terminal_name"))
+    tiers = view(spark, sf_dir, "samples").select(F.col("sample_id").alias("image_id"), "quality_tier")
+    return sinks.multihead_lines(boxes, view(spark, sf_dir, "segments"), nodes, terminals, tiers, 512, 512)
 
 
 @query(f"with {_TYPES}, n as (select image_id, ctype, count(*) as n from t group by image_id, ctype) select image_id, string_agg(concat(n, ' ', ctype, case when n > 1 then 's' else '' end), ', ' order by ctype) as summary from n group by image_id", "detections classes")

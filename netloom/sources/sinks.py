@@ -19,16 +19,23 @@ def label_files(boxes: DataFrame, width: int, height: int) -> DataFrame:
     return grouped.select("image_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("labels"))
 
 
-def multihead_lines(boxes: DataFrame, segments: DataFrame, nodes: DataFrame, width: int, height: int) -> DataFrame:
-    """Lines of the component, wire and node heads as ``head, image_id, line``."""
+def multihead_lines(boxes: DataFrame, segments: DataFrame, nodes: DataFrame, terminals: DataFrame, tiers: DataFrame, width: int, height: int) -> DataFrame:
+    """Lines of the component, wire, node and terminal heads as ``head, image_id, line``.
+
+    Images that ``tiers`` (``image_id, quality_tier``) calls FAILED give none.
+    Halves of the sixth decimal go to the even digit, as the reference's do.
+    """
     x = lambda c: F.col(c) / width
     y = lambda c: F.col(c) / height
-    box = yolo_line(F.col("cls"), (x("x1") + x("x2")) / 2, (y("y1") + y("y2")) / 2, x("x2") - x("x1"), y("y2") - y("y1"))
-    wire = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(0), x("x1"), y("y1"), x("x2"), y("y2"))
-    node = F.format_string("%d %.6f %.6f 2", F.lit(0), x("nx"), y("ny"))
-    parts = [("components", boxes, box), ("wires", segments, wire), ("nodes", nodes, node)]
+    six = lambda *v: [F.bround(c, 6) for c in v]
+    box = yolo_line(F.col("cls"), *six((x("x1") + x("x2")) / 2, (y("y1") + y("y2")) / 2, x("x2") - x("x1"), y("y2") - y("y1")))
+    wire = F.format_string("%d %.6f %.6f %.6f %.6f", F.lit(0), *six(x("x1"), y("y1"), x("x2"), y("y2")))
+    node = F.format_string("%d %.6f %.6f 2", F.lit(0), *six(x("nx"), y("ny")))
+    terminal = F.format_string("%d %.6f %.6f 2 %s %s", F.col("cls"), *six(x("tx"), y("ty")), F.col("component_id").cast("string"), F.col("terminal_name"))
+    parts = [("components", boxes, box), ("wires", segments, wire), ("nodes", nodes, node), ("terminals", terminals, terminal)]
     rows = [d.select(F.lit(h).alias("head"), "image_id", line.alias("line")) for h, d, line in parts]
-    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+    failed = tiers.where("quality_tier = 'FAILED'").select("image_id").distinct()
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3]).join(failed, "image_id", "left_anti").select("head", "image_id", "line")
 
 
 def dataset_yaml(classes: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ from netloom.functions import text as T
 from netloom.operators import circuits, curriculum, detection, replies
 from netloom.operators.components import connected_components
 from netloom.plans import registry
-from netloom.plans.fixtures import BASE
+from netloom.plans.fixtures import BASE, with_views
 from netloom.sources import files, sinks
 from netloom.streaming.frames import Hooks
 
@@ -50,6 +51,29 @@ def test_data_urls_hold_the_whole_text(spark):
     assert_equals_sql_without_cut(spark, "data_urls", "substr(text, 1, 20)", "text")
 
 
+def test_multihead_lines_have_four_heads_and_no_failed_image(spark):
+    base = duckdb.connect()
+    for table in BASE:
+        base.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    heads = with_views("select image_id, cls, det_id, x1, y1, x2, y2 from detections", ["detections"], "duckdb")
+    failed = {i for (i,) in base.execute(with_views("select sample_id from samples where quality_tier = 'FAILED'", ["samples"], "duckdb")).fetchall()}
+    boxes = [r for r in base.execute(heads).fetchall() if r[0] not in failed]
+    got = [tuple(r) for r in registry.queries()["multihead_lines"](spark, SF).collect()]
+    of = lambda head: sorted(r[1:] for r in got if r[0] == head)
+    assert failed and {r[0] for r in got} == {"components", "wires", "nodes", "terminals"} and len(got) == 4 * len(boxes)
+    assert of("terminals") == sorted((i, f"{c} {x1 / 512:.6f} {y1 / 512:.6f} 2 {d} t1") for i, c, d, x1, y1, x2, y2 in boxes)
+    assert of("components") == sorted((i, f"{c} {(x1 / 512 + x2 / 512) / 2:.6f} {(y1 / 512 + y2 / 512) / 2:.6f} {x2 / 512 - x1 / 512:.6f} {y2 / 512 - y1 / 512:.6f}") for i, c, d, x1, y1, x2, y2 in boxes)
+
+
+def test_message_list_holds_the_messages(spark):
+    turns = duckdb.execute(f"select conv_id, role, text from '{SF}/conversations.parquet' order by conv_id, turn").fetchall()
+    want = {}
+    for key, role, text in turns:
+        want.setdefault(key, [{"role": "system", "text": "You read schematics."}]).append({"role": role, "text": text})
+    got = {r.conv_id: (json.loads(r.messages), r.n_messages) for r in registry.queries()["message_list"](spark, SF).collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
 def assert_equals_sql_without_cut(spark, name, cut, whole):
     base = duckdb.connect()
     for table in BASE:
