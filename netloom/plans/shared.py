@@ -47,6 +47,17 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself where every reading gives the same rows in the same partitions, else a written copy.
+
+    That holds for columns and filters over files.  Behind an exchange, a task
+    that runs again after a lost executor may get its rows in another order.
+    """
+    nodes = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    plain = all(line.lstrip(" :+-").split(" ")[0] in ("Project", "Filter", "Relation") for line in nodes)
+    return df if plain else materialize(df, name)
+
+
 #: Estimates from here on say that the size is unknown.
 UNKNOWN_BYTES = 1 << 53
 
