@@ -1,181 +1,278 @@
 """N-gram Jaccard join: grouped prefix join over distinct word shingles.
 
-Order: shingles that a mergeable frequency summary finds frequent come last, by
-count, all others by hash.  The order steers cost only; the prefix rule holds
-for any order.  A set of n shingles has the prefix of its first n - ceil(t n) + 1;
-two sets with Jaccard t share a shingle of both prefixes.
+Order: shingles go by the number of documents that have them, rare ones first,
+then by hash.  A set of n shingles has the prefix of its first n - ceil(t n) + 1;
+two sets with Jaccard t share a shingle of both prefixes.  A shingle of one
+document links nothing, so a set needs t n shared shingles to link at all; all
+other sets are done once the counts are known.
+
+Counting: texts are cut into chunks of bounded size.  A chunk sends its distinct
+shingles, packed, to shards by hash; a shingle that the chunk holds several times
+is sent once, with its count.  Shards return the shared ones with their counts to
+the chunks, which have the shared shingles of each set in the end.  Nothing is
+broadcast, and no key gets more than one entry from each chunk.
 
 Documents with equal sets are one class, classes with equal prefix and size one
-group.  In a short list of a prefix shingle all groups of fitting size are
-paired; the number of lists that a pair shares bounds its overlap, and most
-pairs fall to that bound.  In a long list groups meet one leader of fitting size
-(a star, not all pairs).  What is left is expanded to members and verified, and
-verified pairs give components.  Members of long lists that still hold more than
-one component meet other leaders in further rounds.  At last the pairs across
-components are compared too, so no link between components is lost.
-
-Two exact bounds thin out the pairs of long lists.  By position: where two sets
-meet first, the overlap is at most what each has left from there.  By sketch: in
-a bitmap of the parity of shingles per bit, every differing bit needs a shingle
-that only one of both sets has.
+group.  Lists of groups by prefix shingle give pairs in the same way at any
+length: each group meets one leader of its list and size band (a star, not all
+pairs); pairs that size and position allow are verified and give components;
+groups outside their leader's component meet another leader; at last lists are
+expanded to members, and all pairs across components that size, position and a
+parity sketch allow are verified, in blocks of bounded size.  Hence no link
+between components is lost.
+
+Sketch: in a bitmap of the parity of shingles per bit, each differing bit needs
+a shingle that only one of both sets has.  Its width grows with the set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.spans import U, mix, shingle_sets
 from netloom.operators.components import connected_components
-from netloom.plans.shared import discard, materialize
+from netloom.plans.shared import discard, materialize, plan_bytes, steady
 
 WIDTH = 5
 #: Similarity in hundredths: the tests are exact in integers.
 LEAST = 80
-#: Entries of a task's frequency summary, and most shingles whose count is broadcast (16 bytes each).
-SUMMARY, BROADCAST_SHINGLES = 1 << 18, 1 << 18
-#: Shingles that are counted at a time; text bytes that are cut at a time.
-COUNT_CHUNK, SLICE_BYTES = 3 << 20, 4 << 20
+#: Bits of a shingle's hash.
+HASH_BITS = 56
+#: Shingles and documents of a chunk; text bytes that are cut at a time; plan bytes for each shard, fewest shards.
+CHUNK, CHUNK_DOCS, SLICE_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 21, 60_000, 4 << 20, 4 << 20, 32
 #: Bits of the fixed-size filter of documents that pairs ask for (8 MB).
 FILTER_BITS = 26
-#: A shingle above this count is dealt to several tasks; members compared in one task.
-SPLIT_COUNT, LIST_BLOCK = 1 << 20, 2048
-#: Entries of a list whose groups are all paired; classes that one group collapses.
-SHORT_LIST, GROUP_MEMBERS = 8, 64
-#: Further rounds in which members of long lists meet a leader of another component.
-STAR_ROUNDS = 1
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 512
-#: Shared-list count of pairs that the overlap bound must not drop.
-_SURE = 1 << 40
+#: Rounds in which groups meet a leader of each list.
+STAR_ROUNDS = 2
+#: Members of a list, or pairs of one document, that meet in one task.
+LIST_BLOCK, PAIR_BLOCK = 2048, 256
+#: Fewest bits of a set's parity sketch; it has as many as the set has shingles, up to the next power of two.
+SKETCH_BITS = 256
+#: Kinds of rows between chunks and shards; owner of a shingle that several sets of a chunk have.
+_META, _SEVERAL, _SHINGLES = 0, 1, 2
+_MANY = 0xFFFF
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches cut so that each holds a bounded number of text bytes; null texts are empty."""
     for batch in batches:
-        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column(text).to_pylist()]
-        low = size = 0
-        for i, r in enumerate(raw):
-            size += len(r)
-            if size >= SLICE_BYTES or i == len(raw) - 1:
-                yield batch.slice(low, i + 1 - low), raw[low : i + 1]
-                low, size = i + 1, 0
-
-
-class FrequencySummary:
-    """Misra-Gries summary in bulk: keeps every item with more than total / capacity occurrences."""
-
-    def __init__(self, capacity: int = SUMMARY):
-        self.capacity = capacity
-        self.items, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, items: np.ndarray, counts: np.ndarray | None = None) -> None:
-        items = np.concatenate((self.items, items))
-        weights = np.concatenate((self.counts, np.ones(len(items) - len(self.counts), np.int64) if counts is None else counts))
-        order = np.argsort(items)
-        items, weights = items[order], weights[order]
-        first = np.flatnonzero(np.concatenate(([True], items[1:] != items[:-1]))) if len(items) else np.zeros(0, np.int64)
-        self.items, self.counts = items[first], np.add.reduceat(weights, first) if len(first) else weights
-        if len(self.items) > self.capacity:
-            self.counts = self.counts - np.partition(self.counts, len(self.counts) - self.capacity - 1)[len(self.counts) - self.capacity - 1]
-            kept = self.counts > 0
-            self.items, self.counts = self.items[kept], self.counts[kept]
-
-
-def frequent_shingles(docs: DataFrame, width: int, most: int = BROADCAST_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` of the most frequent shingles over all texts, sorted, with their counts."""
-
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, held, size = FrequencySummary(), [], 0
-        for _, raw in _slices(batches, 0):
-            values, _ = shingle_sets(raw, width)
-            held.append(values.view(np.int64))
-            size += len(values)
-            if size >= COUNT_CHUNK:
-                summary.add(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            summary.add(np.concatenate(held))
-        often = summary.counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(summary.items[often]), pa.array(summary.counts[often])], ["shingle", "n"])
-
-    counted = docs.select("text").mapInArrow(summarize, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    table = materialize(counted.where("n > 2"), "shingles")
-    by_size = sorted(table.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("b")).count().collect(), key=lambda r: -r["b"])
-    total, lowest = 0, None
-    for r in by_size:
-        total += r["count"]
-        if total > most:
-            break
-        lowest = r["b"]
-    if lowest is None:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    found = table.where(F.col("n") >= F.lit(2.0) ** F.lit(float(lowest))).toPandas()
-    discard(table)
-    items, counts = found["shingle"].to_numpy(np.int64).view(U), found["n"].to_numpy(np.int64)
-    order = np.argsort(items)
-    return items[order], counts[order]
-
-
-def _digests(docs: DataFrame, width: int, least: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Per row: set size, set hashes, prefix hash, prefix and parity sketch."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
+        column = batch.column(text).cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        low = 0
+        while low < len(column):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE_BYTES, side="right")) - 1)
+            yield batch.slice(low, high - low), [t or b"" for t in column.slice(low, high - low).to_pylist()]
+            low = high
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted numbers as a width and differences of that many bytes."""
+    steps = np.diff(values, prepend=U(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    """The numbers of :func:`pack`."""
+    steps = np.zeros(((len(blob) - 1) // blob[0], 8), np.uint8)
+    steps[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    return np.cumsum(steps.view("<u8").ravel(), dtype=U)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]]:
+    """Rows of each key of batches in key order."""
+    held: list[dict] = []
+    for batch in batches:
+        name = batch.schema.names[key]
+        for row in batch.to_pylist():
+            if held and row[name] != held[-1][name]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+class _Chunk:
+    """Sets of some documents, equal ones once."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        ids, absent, begins, values = zip(*parts)
+        self.ids, self.absent = np.concatenate(ids), np.concatenate(absent)
+        size = np.concatenate([np.diff(b) for b in begins])
+        flat = np.concatenate(values)
+        ends = np.cumsum(size)
+
+        def folded(salt: int) -> np.ndarray:
+            run = np.concatenate((np.zeros(1, U), np.cumsum(mix(flat + U(salt)), dtype=U)))
+            return mix(run[ends] - run[ends - size] + U(salt)).view(np.int64)
+
+        self.keys = np.stack([size, folded(11), folded(29)])
+        order = np.lexsort(self.keys)
+        new = np.concatenate(([True], (np.diff(self.keys[:, order], axis=1) != 0).any(axis=0)))
+        self.owner = np.zeros(len(size), np.int64)
+        self.owner[order] = np.cumsum(new) - 1
+        first = np.zeros(len(size), bool)
+        first[order[new]] = True
+        kept = np.repeat(first, size)
+        self.tokens = flat[kept] >> U(64 - HASH_BITS)
+        self.owners = np.repeat(self.owner, size)[kept].astype(np.uint16)
+
+    def rows(self, chunk: int, shards: int) -> Iterator[tuple]:
+        order = np.argsort(self.tokens, kind="stable")
+        tokens, owners = self.tokens[order], self.owners[order]
+        begin = _runs(tokens)
+        count = np.diff(np.append(begin, len(tokens)))
+        yield chunk % shards, chunk, _META, self.ids.tobytes(), np.concatenate((self.owner, self.absent.astype(np.int64))).tobytes(), self.keys.tobytes()
+        several = count > 1
+        if several.any():
+            yield chunk % shards, chunk, _SEVERAL, pack(tokens[begin[several]]), owners[np.repeat(several, count)].tobytes(), count[several].astype(np.uint32).tobytes()
+        tokens, owners = tokens[begin], np.where(several, _MANY, owners[begin]).astype(np.uint16)
+        # Ranges of the hash: shingles of one shard stand together.
+        shard = ((tokens >> U(HASH_BITS - 32)) * U(shards) >> U(32)).astype(np.int64)
+        for low, high in zip(edges := _runs(shard), [*edges[1:], len(shard)]):
+            yield int(shard[low]), chunk, _SHINGLES, pack(tokens[low:high]), owners[low:high].tobytes(), count[low:high][several[low:high]].astype(np.uint32).tobytes()
+
+
+_ROW = "shard long, chunk long, kind int, tokens binary, owners binary, more binary"
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(rows, ["shard", "chunk", "kind", "tokens", "owners", "more"], [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3])
+
+
+def _cut(width: int, shards: int) -> Callable:
+    """From documents to rows of their chunks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, docs = TaskContext.get().partitionId() << 32, [], 0, 0
         for part, raw in _slices(batches, 1):
-            values, begin = shingle_sets(raw, width)
-            size = np.diff(begin)
-            often = np.zeros(len(values), np.int64)
-            if len(known) and len(values):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                hit = known[at] == values
-                often[hit] = counts[at[hit]]
-            prefix, lengths, last = [], np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
-            for i, (a, n) in enumerate(zip(begin[:-1].tolist(), size.tolist())):
-                if not n:
-                    continue
-                v, c = values[a : a + n], often[a : a + n]
-                take = n - -(-least * n // 100) + 1
-                rare = v[c == 0]
-                # Frequent shingles have no simple place in the order: they count as its end.
-                last[i] = int(rare[take - 1] >> U(1)) if len(rare) >= take else (1 << 63) - 1
-                if len(rare) < take:
-                    late = np.flatnonzero(c)
-                    late = late[np.argsort(c[late], kind="stable")]
-                    rare = np.concatenate((rare, v[late]))
-                prefix.append(rare[:take])
-                lengths[i] = take
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, U)
-            spots = np.repeat(np.arange(len(raw)) * SKETCH_BITS, size) + (values % U(SKETCH_BITS)).astype(np.int64)
-            parity = (np.bincount(spots, minlength=len(raw) * SKETCH_BITS) & 1).astype(np.uint8)
-            sketch = np.packbits(parity, bitorder="little").view(np.int64)
-            ends = np.cumsum(lengths)
-            offsets = np.concatenate(([0], ends))
-
-            def folded(x: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
-                run = np.concatenate((np.zeros(1, U), np.cumsum(mix(x + U(salt)))))
-                return mix(run[bounds[1:]] - run[bounds[:-1]] + U(salt)).view(np.int64)
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(size),
-                    pa.array(folded(values, begin, 11)),
-                    pa.array(folded(values, begin, 29)),
-                    pa.array(folded(flat, offsets, 47)),
-                    pa.array(last),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(sketch)),
-                ],
-                ["doc_id", "n", "h1", "h2", "p", "ends", "prefix", "sketch"],
-            )
-
-    return docs.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, p long, ends long, prefix array<long>, sketch array<long>")
+            if held and (size >= CHUNK or docs + len(raw) > CHUNK_DOCS):
+                yield _row_batch(list(_Chunk(held).rows(number, shards)))
+                number, held, size, docs = number + 1, [], 0, 0
+            for low in range(0, len(raw), CHUNK_DOCS):
+                ids = part.column(0).slice(low, CHUNK_DOCS)
+                values, begin = shingle_sets(raw[low : low + CHUNK_DOCS], width)
+                held.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), begin, values))
+                size, docs = size + len(values), docs + len(ids)
+                if docs >= CHUNK_DOCS:
+                    yield _row_batch(list(_Chunk(held).rows(number, shards)))
+                    number, held, size, docs = number + 1, [], 0, 0
+        if held:
+            yield _row_batch(list(_Chunk(held).rows(number, shards)))
+
+    return cut
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Return to each chunk its shingles that other sets have too, with a code of how many."""
+    for group in _by_key(batches, 0):
+        out = [tuple(r.values()) for r in group if r["kind"] != _SHINGLES]
+        rows = [r for r in group if r["kind"] == _SHINGLES]
+        if rows:
+            tokens = [unpack(r["tokens"]) for r in rows]
+            source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t in tokens])
+            tokens = np.concatenate(tokens)
+            owners = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in rows])
+            times = np.ones(len(tokens), np.int64)
+            times[owners == _MANY] = np.concatenate([np.frombuffer(r["more"], np.uint32) for r in rows])
+            order = np.argsort(tokens, kind="stable")
+            begin = _runs(tokens[order])
+            total = np.add.reduceat(times[order], begin) if len(begin) else times
+            code = np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
+            of = np.empty(len(tokens), np.uint8)
+            of[order] = np.repeat(code, np.diff(np.append(begin, len(tokens))))
+            shared = np.flatnonzero(of)
+            # Entries stand by source, and by shingle within each.
+            for low, high in zip(edges := _runs(source[shared]), [*edges[1:], len(shared)]):
+                at = shared[low:high]
+                out.append((0, rows[source[at[0]]]["chunk"], _SHINGLES, pack(tokens[at]), owners[at].tobytes(), of[at].tobytes()))
+        yield _row_batch(out)
+
+
+def _sketch(tokens: np.ndarray, n: int) -> bytes:
+    bits = max(SKETCH_BITS, 1 << (n - 1).bit_length())
+    parity = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _gather(least: int) -> Callable:
+    """From what a chunk got back to a row for each document."""
+
+    def sets(rows: list[dict]) -> pa.RecordBatch:
+        meta = next(r for r in rows if r["kind"] == _META)
+        ids = np.frombuffer(meta["tokens"], np.int64)
+        owner, absent = np.frombuffer(meta["owners"], np.int64).reshape(2, -1)
+        keys = np.frombuffer(meta["more"], np.int64).reshape(3, -1)
+        found = [r for r in rows if r["kind"] == _SHINGLES]
+        tokens = np.concatenate([unpack(r["tokens"]) for r in found] or [np.zeros(0, U)])
+        owners = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in found] or [np.zeros(0, np.uint16)])
+        codes = np.concatenate([np.frombuffer(r["more"], np.uint8) for r in found] or [np.zeros(0, np.uint8)])
+        for r in rows:
+            if r["kind"] == _SEVERAL:
+                own, times = unpack(r["tokens"]), np.frombuffer(r["more"], np.uint32)
+                many = owners == _MANY
+                order = np.argsort(tokens[many])
+                known = codes[many][order]
+                tokens = np.concatenate((tokens[~many], np.repeat(own, times)))
+                owners = np.concatenate((owners[~many], np.frombuffer(r["owners"], np.uint16)))
+                codes = np.concatenate((codes[~many], np.repeat(known, times)))
+        order = np.lexsort((tokens, codes, owners))
+        tokens = tokens[order]
+        classes = int(owner.max(initial=-1)) + 1
+        end = np.cumsum(np.bincount(owners, minlength=classes))
+        begin = np.concatenate(([0], end))
+        carrier = np.full(classes, -1)
+        real = np.flatnonzero(absent == 0)
+        real = real[np.lexsort((ids[real], owner[real]))]
+        carrier[owner[real][_runs(owner[real])]] = real[_runs(owner[real])]
+        out = []
+        for i, (o, n, none) in enumerate(zip(owner.tolist(), keys[0].tolist(), absent.tolist())):
+            prefix = blob = sketch = None
+            if n and carrier[o] == i and end[o] - begin[o] >= -(-least * n // 100):
+                own = tokens[begin[o] : end[o]]
+                # Shingles of this set alone stand first in its order; they link nothing.
+                prefix = own[: len(own) - -(-least * n // 100) + 1].view(np.int64)
+                blob, sketch = own.tobytes(), _sketch(own, n)
+            out.append((None if none else int(ids[i]), n, int(keys[1, i]), int(keys[2, i]), prefix, blob, sketch))
+        return _batch(out, ["doc_id", "n", "h1", "h2", "prefix", "shingles", "sketch"], [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.binary()])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, 1):
+            yield sets(rows)
+
+    return gather
+
+
+def shared_shingles(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """A row ``doc_id, n, h1, h2, prefix, shingles, sketch`` for each row ``doc_id, text`` of ``docs``.
+
+    ``n, h1, h2`` stand for the set of all shingles.  The rest is given for one
+    document of each set and chunk, and only where enough of its shingles occur in
+    other documents for a link: those shingles, rare ones first, the part of the
+    prefix that they make up, and their sketch.
+    """
+    docs = steady(docs, "texts")
+    shards = max(LEAST_SHARDS, -(-plan_bytes(docs, "text") // SHARD_BYTES))
+    cut = docs.mapInArrow(_cut(width, shards), _ROW)
+    counted = cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_count, _ROW)
+    back = counted.repartition(shards, "chunk").sortWithinPartitions("chunk")
+    return back.mapInArrow(_gather(least), "doc_id long, n long, h1 long, h2 long, prefix array<long>, shingles binary, sketch binary")
 
 
 def _band(n: Column, least: int) -> Column:
@@ -188,117 +285,27 @@ def _meets(n: Column, pos: Column, other_n: Column, other_pos: Column, least: in
     return least * (n + other_n) <= (100 + least) * F.least(n - pos, other_n - other_pos)
 
 
-def _sketches_fit(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Drop pairs whose sketches differ in more bits than linked sets can have shingles of their own."""
-    sides = [sketches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "sketch")]) for side in "ab"]
-    joined = pairs.join(sides[0], pairs["a"] == F.col("rep_a")).join(sides[1], pairs["b"] == F.col("rep_b"))
-    words = range(SKETCH_BITS // 64)
-    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in words), F.lit(0))
-    both = F.col("n_a") + F.col("n_b")
-    return joined.where(apart <= both - 2 * F.ceil(F.lit(least) * both / (100 + least))).select("a", "b").distinct()
-
+def _stars(lists: DataFrame, least: int, seed: int) -> DataFrame:
+    """Pairs of a leader and a group of another component, the leader chosen by ``seed`` in each list and band.
 
-def _new_stars(lists: DataFrame, least: int, seed: int) -> DataFrame:
-    """Pairs of list members with a leader of another component, chosen anew by ``seed`` in each list and band."""
+    Lists of much the same groups have the same leader.
+    """
     banded = lists.withColumn("band", _band(F.col("n"), least))
-    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("rep", "n", "pos", "c"), F.xxhash64("token", "rep", F.lit(seed))).alias("l"))
+    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("gid", "n", "pos", "c"), F.xxhash64("gid", F.lit(seed))).alias("l"))
     met = banded.join(leaders, ["token", "band"]).where(F.col("c") != F.col("l.c"))
     fits = 100 * F.least("n", "l.n") >= least * F.greatest("n", "l.n")
-    return met.where(fits & _meets(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), least)).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
-
-
-def _paired(entries: DataFrame, least: int, heavy: list[int], pieces: int) -> DataFrame:
-    """Rows ``a, b, c`` of pairs that share a list, and ``token, a, c`` of the entries of long lists, ``c`` their position.
-
-    Entries are read in order of (token, size band, hash).  The state between
-    batches is one short list, or the leader of a long one.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64) for _ in range(6)]
-        long_token, leader, leader_n, leader_pos = None, 0, 0, 0
-
-        def emit(token: np.ndarray, gid: np.ndarray, n: np.ndarray, weight: np.ndarray, split: np.ndarray, pos: np.ndarray, last: bool) -> tuple[pa.RecordBatch, int]:
-            nonlocal long_token, leader, leader_n, leader_pos
-            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            size = np.diff(np.append(begin, len(token)))
-            done = len(begin)
-            if not last and size[-1] <= SHORT_LIST and not split[-1] and token[-1] != long_token:
-                done -= 1
-            used = len(token) if done == len(begin) else int(begin[-1])
-            begin, size = begin[:done], size[:done]
-            going_on = done > 0 and token[0] == long_token
-            # A piece of a list that was dealt to several tasks is long whatever its size.
-            is_long = (size > SHORT_LIST) | (split[begin] != 0)
-            if done:
-                is_long[0] |= going_on
-            a, b, c, t, e, o = [], [], [], [], [], []
-            for k in range(2, SHORT_LIST + 1):
-                at = begin[(size == k) & ~is_long]
-                for i in range(k) if len(at) else ():
-                    for j in range(i + 1, k):
-                        fits = 100 * np.minimum(n[at + i], n[at + j]) >= least * np.maximum(n[at + i], n[at + j])
-                        a.append(gid[at + i][fits]), b.append(gid[at + j][fits]), c.append(weight[at + i][fits])
-            for r in np.flatnonzero(is_long).tolist():
-                low, high = int(begin[r]), int(begin[r] + size[r])
-                if token[low] != long_token:
-                    long_token, leader, leader_n, leader_pos = token[low], int(gid[low]), int(n[low]), int(pos[low])
-                pairs = []
-                for g, m, q in zip(gid[low:high].tolist(), n[low:high].tolist(), pos[low:high].tolist()):
-                    if least * max(m, leader_n) > 100 * min(m, leader_n):
-                        leader, leader_n, leader_pos = g, m, q
-                    elif g != leader and least * (m + leader_n) <= (100 + least) * min(m - q, leader_n - leader_pos):
-                        pairs.append((leader, g))
-                t.append(token[low:high]), e.append(gid[low:high]), o.append(pos[low:high])
-                a.append(np.array([x for x, _ in pairs], np.int64)), b.append(np.array([x for _, x in pairs], np.int64)), c.append(np.full(len(pairs), _SURE))
-            cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-            a, b, c, t, e, o = map(cat, (a, b, c, t, e, o))
-            none = lambda m: pa.nulls(m, pa.int64())
-            join = lambda x, y: pa.concat_arrays([x, y])
-            rows = [join(none(len(a)), pa.array(t)), join(pa.array(a), pa.array(e)), join(pa.array(b), none(len(t))), join(pa.array(c), pa.array(o))]
-            return pa.RecordBatch.from_arrays(rows, ["token", "a", "b", "c"]), used
-
-        for batch in batches:
-            kept = [np.concatenate((k, batch.column(i).to_numpy())) for i, k in enumerate(kept)]
-            if len(kept[0]):
-                out, used = emit(*kept, False)
-                kept = [k[used:] for k in kept]
-                yield out
-        if len(kept[0]):
-            yield emit(*kept, True)[0]
-
-    salt = F.when(F.col("token").isin(heavy), F.pmod(F.xxhash64("gid"), F.lit(pieces))).otherwise(F.lit(0)) if heavy else F.lit(0)
-    split = F.col("token").isin(heavy).cast("long") if heavy else F.lit(0).cast("long")
-    dealt = entries.withColumn("salt", salt).repartition("token", "salt")
-    # Groups of one band fit each other; the first of a band leads it, another in each list.
-    dealt = dealt.sortWithinPartitions("token", "salt", _band(F.col("n"), least), F.xxhash64("token", "gid"), "gid")
-    return dealt.select("token", "gid", "n", "weight", split.alias("split"), "pos").mapInArrow(scan, "token long, a long, b long, c long")
-
-
-def _may_link(pairs: DataFrame, groups: DataFrame, long_entries: DataFrame, least: int) -> DataFrame:
-    """Drop pairs whose shared prefix shingles cannot lead to the needed overlap.
-
-    Of the overlap, what lies up to the end of the prefix that ends first is
-    shared by both prefixes; the rest is at most what that set has left.  Lists
-    that were not paired in full count as shared.
-    """
-    open_lists = long_entries.groupBy("a").agg(F.count("*").alias("open"))
-    facts = groups.join(open_lists.withColumnRenamed("a", "gid"), "gid", "left").select("gid", "n", "ends", (F.col("n") - F.col("length")).alias("left"), F.coalesce("open", F.lit(0)).alias("open"))
-    first, second = (facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns]) for side in "ab")
-    joined = pairs.join(first, pairs["a"] == F.col("gid_a")).join(second, pairs["b"] == F.col("gid_b"))
-    needed = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / (100 + least))
-    rest = F.when(F.col("ends_a") < F.col("ends_b"), F.col("left_a")).when(F.col("ends_b") < F.col("ends_a"), F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
-    return joined.where(F.col("c") + F.least("open_a", "open_b") + rest >= needed).select("a", "b")
+    return met.where(fits & _meets(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), least)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct()
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
+def verify_pairs(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """Pairs ``a, b`` of document ids whose shingle sets reach the similarity.
 
-    Sets are made again from the texts.  A filter of fixed size, built from all
-    ids that occur in a pair, keeps other texts out of the shuffle; what it
-    lets through by chance only costs time.
+    A filter of fixed size, built from all ids that occur in a pair, keeps other
+    sets out of the shuffle; what it lets through by chance only costs time.  The
+    set of ``a`` is sent once for each block of its pairs, so it should be the
+    side with many.
     """
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     asked = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).select(spot.alias("spot"))
     # The bitmap functions count positions from 1 in buckets from 1.
@@ -312,74 +319,100 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> D
         bits[at : at + len(chunk)] = chunk
     shared = spark.sparkContext.broadcast(bits)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            spots = batch.column(2).to_numpy()
-            kept = np.flatnonzero(table[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
-            for part, raw in _slices(iter([batch.take(pa.array(kept))]), 1) if len(kept) else ():
-                values, begin = shingle_sets(raw, width)
-                blobs = [values[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "shingles"])
+            spots = batch.column(3).to_numpy()
+            yield batch.filter(pa.array((table[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)))
 
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("spot"))
-    found = known.mapInArrow(sets, "id long, shingles binary")
+    known = sets.where("shingles is not null").select(F.col("doc_id").alias("id"), "n", "shingles", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("spot"))
+    found = known.mapInArrow(asked_for, "id long, n long, shingles binary, spot long").drop("spot")
+    # Both joins read one exchange of the sets.
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    one = blocks.join(found, blocks["a"] == found["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "n", "shingles")
+    two = pairs.join(found, pairs["b"] == found["id"]).join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", "n", "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                short, long = (s, t) if len(s) < len(t) else (t, s)
-                if not len(short):
+            for a, block, b, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                values = np.sort(np.frombuffer(blob.as_buffer(), U))
+                if (a, block) != key:
+                    key, own = (a, block), []
+                if b is None:
+                    own.append((n, values))
                     linked.append(False)
                     continue
-                at = np.searchsorted(long, short)
-                common = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                linked.append(100 * common >= least * (len(s) + len(t) - common))
-            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-
-    # Both joins read one exchange of the sets.
-    left = pairs.join(found, pairs["a"] == found["id"]).select("a", "b", F.col("shingles").alias("x"))
-    both = left.join(found, left["b"] == found["id"]).select("a", "b", "x", F.col("shingles").alias("y"))
-    return both.mapInArrow(check, "a long, b long")
+                link = False
+                for m, others in own:
+                    short, long = (values, others) if len(values) < len(others) else (others, values)
+                    common = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+                    link |= 100 * common >= least * (n + m - common)
+                linked.append(link)
+            yield batch.select([0, 2]).filter(pa.array(linked, pa.bool_()))
+
+    met = one.unionAll(two).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    return met.mapInArrow(check, "a long, b long")
+
+
+def _folded(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in bytes: rows of a sketch of that width, or of twice that width folded, and the sketches."""
+    width = np.array([len(s) for s in sketches])
+    out = {}
+    for w in np.unique(width).tolist():
+        for to in {w, max(w // 2, SKETCH_BITS // 8)}:
+            at = np.flatnonzero(width == w)
+            rows = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), U).reshape(len(at), -1)
+            if to < w:
+                rows = rows[:, : to // 8] ^ rows[:, to // 8 :]
+            out.setdefault(to, []).append((at, rows))
+    return {w: (np.concatenate([a for a, _ in x]), np.concatenate([r for _, r in x])) for w, x in out.items()}
 
 
 def _across(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of list members of different components that size, position and sketch let link, in blocks."""
+    """Pairs of list members of different components that size, position and sketch let link, in blocks.
+
+    A list's members of its largest component go to one block each, the others to all.
+    """
 
     def cross(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        rep, n, pos, c, own = (table.column(x).to_numpy() for x in ("rep", "n", "pos", "c", "own"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(U).reshape(len(rep), -1)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        rep, n, pos, c, alone, home = (table.column(x).to_numpy() for x in ("rep", "n", "pos", "c", "alone", "home"))
+        sketches = table.column("sketch").to_pylist()
+        width = np.array([len(s) for s in sketches])
+        folded = _folded(sketches)
+        row = {}
+        for w, (at, _) in folded.items():
+            row[w] = np.full(len(rep), -1)
+            row[w][at] = np.arange(len(at))
+        left = np.flatnonzero(home)
         out = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
-            needed = least * (n[i][:, None] + n[right])
-            fits = (c[i][:, None] != c[right]) & (needed <= (100 + least) * np.minimum((n - pos)[i][:, None], (n - pos)[right]))
-            if low == high:
-                fits &= i[:, None] < right
+            fits = (c[i][:, None] != c) & (least * (n[i][:, None] + n) <= (100 + least) * np.minimum((n - pos)[i][:, None], n - pos))
+            # Two members at home meet once.
+            fits &= ~home | (i[:, None] < np.arange(len(rep)))
             x, y = np.nonzero(fits)
-            for cut in range(0, len(x), 1 << 16):
-                s, t = i[x[cut : cut + (1 << 16)]], right[y[cut : cut + (1 << 16)]]
+            for cut in range(0, len(x), 1 << 14):
+                s, t = i[x[cut : cut + (1 << 14)]], y[cut : cut + (1 << 14)]
                 both = n[s] + n[t]
-                apart = np.bitwise_count(sketch[s] ^ sketch[t]).sum(axis=1, dtype=np.int64)
+                apart = alone[s] + alone[t]
+                narrow = np.minimum(width[s], width[t])
+                for w in np.unique(narrow).tolist():
+                    k = np.flatnonzero(narrow == w)
+                    bits = folded[w][1]
+                    apart[k] += np.bitwise_count(bits[row[w][s[k]]] ^ bits[row[w][t[k]]]).sum(axis=1, dtype=np.int64)
                 near = apart <= both + 2 * (-least * both // (100 + least))
-                r, q = rep[s[near]], rep[t[near]]
-                out.append(np.stack((np.minimum(r, q), np.maximum(r, q))))
+                out.append(np.stack((rep[t[near]], rep[s[near]])))
         found = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
-    counts = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    spread = (
-        lists.join(counts, "token")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-    )
-    return spread.groupBy("token", "low", "high").applyInArrow(cross, "a long, b long").distinct()
+    sizes = lists.groupBy("token", "c").count()
+    facts = sizes.groupBy("token").agg(F.ceil(F.sum("count") / LIST_BLOCK).cast("int").alias("blocks"), F.max_by("c", F.struct("count", "c")).alias("largest"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    to = F.when(F.col("c") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = lists.join(facts, "token").withColumn("own", own).withColumn("block", F.explode(to)).withColumn("home", F.col("own") == F.col("block"))
+    return spread.groupBy("token", "block").applyInArrow(cross, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -388,78 +421,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than ASCII white space, A-Z lower-cased.  Two
     documents link when 100 * intersection >= ``least`` * union of their sets of
     ``width``-word shingles; a shorter text has its whole sequence as its one
-    shingle; null, empty and blank texts have none and link with nothing.  Rows
-    with equal ids are one document for linking; rows with a null id link with
-    nothing and have no component.  An empty table gives an empty result.
+    shingle; null, empty and blank texts have none, link with nothing and are
+    their own component.  Other rows with equal ids are one document; rows with a
+    null id link with nothing and have no component.  An empty table gives an empty result; other
+    columns of ``docs`` are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(source, width)
-    digests = materialize(_digests(source, width, least, frequent), "digests")
+    sets = materialize(shared_shingles(source, width, least), "sets")
     same = ["n", "h1", "h2"]
-    able = digests.where("n > 0 and doc_id is not null")
-    classes = materialize(able.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("p").alias("p"), F.first("ends").alias("ends"), F.first(F.size("prefix")).alias("length"), F.first("sketch").alias("sketch")), "classes")
-    sketches = classes.select("rep", "n", "sketch")
-    groups = classes.groupBy("n", "p").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    members = classes.join(groups, ["n", "p"]).withColumn("collapsed", F.col("size") <= GROUP_MEMBERS)
-    members = members.select(F.when(F.col("collapsed"), F.col("gid")).otherwise(F.col("rep")).alias("gid"), "rep", "n", "ends", "length", F.when(F.col("collapsed"), F.col("size")).otherwise(1).alias("size"), F.xxhash64("n", "p").alias("token"))
-    members = materialize(members, "members")
-    groups = members.where("gid = rep").select("gid", "n", "ends", "length", "size")
-    # Documents with equal ids may have several sets; all of them are read.
-    prefixes = able.join(groups.select(F.col("gid").alias("doc_id"), F.col("gid"), F.col("n").alias("group_n")), "doc_id").where("n = group_n").dropDuplicates(["doc_id", "h1", "h2"])
-    entries = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "gid", "n").select("token", "gid", "n", F.lit(1).cast("long").alias("weight"), F.col("pos").cast("long").alias("pos")).unionAll(
-        members.where("size > 1").select("token", F.col("rep").alias("gid"), "n", F.lit(_SURE).alias("weight"), F.lit(0).cast("long").alias("pos"))
-    )
-    heavy = np.argsort(-frequent[1])[:1000]
-    heavy = heavy[frequent[1][heavy] > SPLIT_COUNT]
-    pieces = int(-(-frequent[1].max(initial=0) // SPLIT_COUNT))
-    paired = materialize(_paired(entries, least, frequent[0][heavy].view(np.int64).tolist(), pieces), "pairs")
-    lists = paired.where("b is null").select("token", "a", F.col("c").alias("pos"))
-    counted = paired.where("b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"))
-    counted = materialize(counted, "counted")
-    # Pairs of one group's members are of classes, all others of groups.
-    facts = groups.unionAll(members.where("gid <> rep").select(F.col("rep").alias("gid"), "n", "ends", "length", F.lit(1).cast("long").alias("size")))
-    likely = materialize(_may_link(counted, facts, lists, least), "likely")
-    several = members.where("size > 1").select("gid", "rep")
-    one = several.select(F.col("gid").alias("a"), F.col("rep").alias("ra"))
-    two = several.select(F.col("gid").alias("b"), F.col("rep").alias("rb"))
-    grown = likely.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
-    asked = likely.unionAll(grown.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-    tried = materialize(_sketches_fit(asked, sketches, least), "tried")
-    links = materialize(verify_pairs(source, tried, width, least), "links")
-    parts = connected_components(links, "a", "b")
-    # A group's own list names members; a prefix list names groups and is expanded.
-    grouped = members.select("gid", "rep", "n").unionAll(members.where("gid <> rep").select(F.col("rep").alias("gid"), "rep", "n"))
-    expanded = lists.withColumnRenamed("a", "gid").join(grouped, "gid").select("token", "rep", "n", "pos").distinct()
-    expanded = materialize(expanded, "lists")
-    discard(paired)
-
-    def mixed_lists(parts: DataFrame) -> DataFrame:
-        """Long lists that may hide a link between components, with the component of each member.
-
-        The smaller set of a linked pair has the list early in its prefix.
-        """
-        labelled = expanded.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-        early = _meets(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), least)
-        mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
-        return materialize(labelled.join(mixed, "token", "left_semi"), "mixed")
-
-    left_over = mixed_lists(parts)
-    for seed in range(1, STAR_ROUNDS + 1):
-        pairs = materialize(_sketches_fit(_new_stars(left_over, least, seed).join(tried, ["a", "b"], "left_anti"), sketches, least), "stars")
-        fresh = materialize(verify_pairs(source, pairs, width, least), "links")
-        tried, links = tried.unionAll(pairs), links.unionAll(fresh)
-        if not fresh.limit(1).count():
-            break
-        discard(left_over)
-        left_over = mixed_lists(connected_components(links, "a", "b"))
-    compared = left_over.join(sketches.select("rep", "n", "sketch"), ["rep", "n"])
-    more = materialize(_across(compared, least).join(tried, ["a", "b"], "left_anti"), "across")
-    found = materialize(verify_pairs(source, more, width, least), "links")
-    final = connected_components(links.unionAll(found), "a", "b")
-    for table in (counted, likely, expanded, left_over, more):
+    rows = sets.select("doc_id", *same)
+    classes = rows.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    able = sets.where("shingles is not null").select("doc_id", *same, "prefix", (F.col("n") - F.octet_length("shingles") / 8).cast("long").alias("alone"), "sketch")
+    members = able.join(classes, same).where("doc_id = rep").dropDuplicates(same).withColumn("p", F.xxhash64("prefix"))
+    members = materialize(members.select("rep", "n", "alone", "p", "prefix", "sketch"), "members")
+    keys = ["n", "alone", "p"]
+    groups = members.groupBy(*keys).agg(F.min("rep").alias("gid"))
+    grouped = members.select("rep", *keys).join(groups, keys).select("gid", "rep", "n", "alone")
+    grouped = materialize(grouped, "groups")
+    leads = members.join(groups.select(*keys, F.col("gid").alias("rep")), [*keys, "rep"], "left_semi").dropDuplicates([*keys, "rep"])
+    entries = leads.select(F.posexplode("prefix").alias("at", "token"), F.col("rep").alias("gid"), "n", "alone")
+    entries = entries.select("token", "gid", "n", (F.col("alone") + F.col("at")).alias("pos"))
+    several = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    lists = materialize(entries.join(several, "token", "left_semi").withColumn("c", F.col("gid")), "lists")
+    pairs = _stars(lists, least, 0).unionAll(grouped.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
+    # Ids that stand for several sets join those sets.
+    twice = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct(*same).alias("m")).where("m > 1").select("doc_id")
+    links = rows.where("n > 0").join(twice, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = None
+
+    def labelled(table: DataFrame, vertex: str) -> DataFrame:
+        """``table`` with the component of each ``vertex``."""
+        known = parts.select(F.col("vertex").alias(vertex), "component")
+        return table.join(known, vertex, "left").withColumn("c", F.coalesce("component", vertex)).drop("component")
+
+    for seed in range(STAR_ROUNDS):
+        asked = materialize(pairs, "pairs")
+        links = links.unionAll(verify_pairs(sets, asked, least))
+        parts = connected_components(links, "a", "b")
+        discard(asked)
+        links = parts.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+        if seed + 1 < STAR_ROUNDS:
+            pairs = _stars(labelled(lists.drop("c"), "gid"), least, seed + 1)
+    expanded = lists.select("token", "gid", "pos").join(grouped, "gid").select("token", "rep", "n", "alone", "pos")
+    # Of a linked pair the smaller set has its first common shingle early.
+    early = _meets(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), least)
+    expanded = materialize(labelled(expanded, "rep"), "expanded")
+    mixed = expanded.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
+    left_over = expanded.join(mixed, "token", "left_semi").join(members.select("rep", "n", "alone", "sketch").distinct(), ["rep", "n", "alone"])
+    asked = materialize(_across(left_over, least), "pairs")
+    final = connected_components(links.unionAll(verify_pairs(sets, asked, least)), "a", "b")
+    for table in (asked, expanded, lists, grouped, members):
         discard(table)
-    roots = classes.select(*[F.col(c).alias(f"c_{c}") for c in same], "rep").join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
-    roots = roots.select("c_n", "c_h1", "c_h2", F.coalesce("component", "rep").alias("component"))
-    rows = digests.select("doc_id", *same)
+    roots = classes.join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+    roots = roots.select(*[F.col(c).alias(f"c_{c}") for c in same], F.coalesce("component", "rep").alias("component"))
     joined = rows.join(roots, (rows["n"] == roots["c_n"]) & (rows["h1"] == roots["c_h1"]) & (rows["h2"] == roots["c_h2"]) & rows["doc_id"].isNotNull(), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

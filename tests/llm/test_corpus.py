@@ -80,12 +80,36 @@ def test_jaccard_join_without_rows_and_ids(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (4, 1, 4), (4, 1, 4)]
 
 
-def test_frequency_summary_is_sure():
-    summary = shingle_join.FrequencySummary(10)
+def test_packed_numbers():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        summary.add(np.concatenate((np.full(30, 7), rng.integers(100, 10_000, 100))))
-    assert 7 in summary.items and len(summary.items) <= 10
+    for size, top in ((0, 1), (1, 1 << 56), (1000, 1 << 56), (1000, 3)):
+        values = np.sort(rng.integers(0, top, size).astype(np.uint64))
+        assert (shingle_join.unpack(shingle_join.pack(values)) == values).all()
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_jaccard_join_of_a_large_family(spark, monkeypatch, block):
+    """A third of all rows are near copies of one text, some linked by a chain only, in small and large chunks."""
+    rng = random.Random(11)
+    base = words(rng, 90, 5000).split()
+    texts = [words(rng, rng.randrange(5, 90), 5000) for _ in range(300)] + [" ".join(base)] * 40
+    for _ in range(160):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            copy[rng.randrange(len(copy))] = f"z{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    for name, value in (("LIST_BLOCK", block), ("PAIR_BLOCK", block), ("CHUNK", 50 * block), ("SLICE_BYTES", 1000 * block)):
+        monkeypatch.setattr(shingle_join, name, value)
+    got = sorted(tuple(r) for r in shingle_join.jaccard_components(table(spark, texts).repartition(5)).collect())
+    assert got == jaccard(texts)
+
+
+def test_jaccard_join_ids_of_several_texts(spark):
+    """An id that stands for two texts joins what each of them links with."""
+    a, b, c = ("one two three four five six", "red green blue white black grey", "north east south west up down")
+    got = shingle_join.jaccard_components(table(spark, [a, b, a, b, c, None, "\x0b\x1c"], [9, 9, 3, 5, 8, 9, 7])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 2, 3), (5, 2, 3), (7, 1, 7), (8, 2, 8), (9, 0, 9), (9, 2, 3), (9, 2, 3)]
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><header>Top of site</header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
