@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def quoted(column: str) -> str:
+    """A column's name as the DataFrame API reads it, whatever characters it has."""
+    return f"`{column.replace('`', '``')}`"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Return an unused path for an intermediate table."""
     return f"{shared_dir(spark)}/netloom/{name}-{uuid.uuid4().hex}"
