@@ -2,9 +2,11 @@
 
 A tag scanner builds the node tree.  Nodes that by element hold no article are
 cut first, then those that a word of class, id or role names as such, unless they
-hold an article or main element or most of the body's text outside links.  Every node that stays has a density, its characters
-for each tag, reduced where its text lies in links; a node's sum adds its
-children's densities.  The node with the largest sum, which may be the body, is
+hold an article or main element or most of the body's text outside links.  Words
+that also name parts of articles, such as header or social, cut a node only where
+its density is below the body's and it has no main headline.  Every node that stays
+has a density, its characters for each tag, reduced where its text lies in links; a
+node's sum adds its children's densities.  The node with the largest sum, which may be the body, is
 the article's core.  The smallest density on the path from it up to and with the
 body is the threshold: below each node that reaches it the node with the largest
 sum is kept.  Of equal sums that of an article or main element goes first.  A
@@ -18,13 +20,17 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# A quote opens a value only behind an equals sign; nothing here goes back over what it has read.
+_REST = re.compile(r"((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>")
+_LONG_REFERENCE = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{7,}));?")
 _NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 # Element kinds.
@@ -41,6 +47,8 @@ _BOILER = frozenset(
     "sidebar aside widget comment comments respond reply replies disqus notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login search share sharing social related "
     "recommended pagination pager toolbar skip form".split()
 )
+# Those of them that also name parts of an article.
+_WEAK = frozenset("header banner social share sharing form notice notices menu search related recommended reply replies respond copyright aside skip promotion overlay".split())
 _PARTS = re.compile(r"[^a-z]+")
 _LEADS = re.compile(r"([a-z])([A-Z])")
 _ARTICLE = frozenset({"article", "main"})
@@ -56,92 +64,135 @@ class Node:
         self.kept = False
 
 
-def _is_boiler(tag: str, attributes: str, parent: Node) -> bool:
+def _is_boiler(tag: str, attributes: str, path: Counter[str]) -> bool:
     if tag in _DROP:
         return True
     if tag == "header":
-        return not _inside(parent, _ARTICLE)
+        return not any(path[t] for t in _ARTICLE)
     if not attributes or tag in ("html", "body"):
         return False
     return bool(_HIDDEN.search(attributes))
 
 
 def _is_named(tag: str, attributes: str) -> int:
-    """1 where a word of class, id or role tells of boilerplate, 2 where there is no other word."""
+    """2 where words of class, id or role tell of boilerplate alone, 1 or, for weak words, 3 where there are others too."""
     found = set()
     for m in _NAMES.finditer(attributes):
         words = set(_PARTS.split(_LEADS.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower())) - {""}
         if m[1].lower() != "itemprop" and not (tag in _ARTICLE or "article" in words):
             found |= words
-    return 0 if _BOILER.isdisjoint(found) else 1 + (found <= _BOILER)
+    told = found & _BOILER
+    return 0 if not told else 2 if found == told else 3 if told <= _WEAK else 1
 
 
-def _inside(node: Node | None, tags: frozenset[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _decoded(text: str) -> str:
+    """``text`` with its character references decoded; a number beyond all characters gives U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[2] else ''}{digits};"
+
+    return html.unescape(_LONG_REFERENCE.sub(short, text) if "&#" in text else text)
+
+
+def _tags(page: str) -> Generator[tuple[str, str, str, str, int], int | None, None]:
+    """Text before each tag, its slash, name and attributes, and where it ends; at last the text after all.
+
+    Comments and declarations have no name.  A tag that no unquoted ``>`` ends
+    stops at the first ``>``; from then on quotes count for nothing, so a page
+    is read in time proportional to its length.
+    """
+    at = begin = 0
+    last, quotes = page.rfind(">"), True
+    while (low := page.find("<", at)) >= 0:
+        at = low + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            end = len(page) if end < 0 else end + 3
+            yield page[begin:low], "", "", "", end
+            at = begin = end
+        elif low > last:
+            break
+        elif page[at] in "!?":
+            end = page.index(">", at) + 1
+            yield page[begin:low], "", "", "", end
+            at = begin = end
+        elif m := _NAME.match(page, at):
+            rest = _REST.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.index(">", m.end()) + 1
+            skip = yield page[begin:low], m[1], m[2].lower(), page[m.end() : end - 1], end
+            at = begin = skip or end
+    yield page[begin:], "", "", "", -1
 
 
 def parse(page: str) -> Node:
     """Node tree of a page; unclosed and stray tags are repaired as browsers do in simple cases."""
     root = current = Node("html", None)
-    at, size = 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else size]
+    # Names of the nodes from the root to the current one, so that no search starts in vain.
+    path: Counter[str] = Counter({"html": 1})
+
+    def close(until: Node) -> Node:
+        node = current
+        while node is not until:
+            path[node.tag] -= 1
+            node = node.parent
+        return until
+
+    tags = _tags(page)
+    text, slash, name, attributes, at = next(tags)
+    while True:
+        skip = None
         if text:
-            current.children.append(html.unescape(text))
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+            current.children.append(_decoded(text))
+        if at < 0:
+            return root
         if not name:
-            continue
-        if m[1]:
-            node: Node | None = current
+            pass
+        elif slash:
+            node: Node | None = current if path[name] else None
             while node is not None and node.tag != name:
                 node = None if node.tag in ("body", "td", "th") and name not in ("html", "body", "table", "tr", "tbody", "div", "section", "article", "main") else node.parent
             if name == "p" and node is None:
                 current.children.append(Node("p", current))
             if node is not None and node.parent is not None:
-                current = node.parent
-            continue
-        if name in ("html", "body"):
-            if name == "body" and not _inside(current, frozenset({"body"})):
-                current = root
+                current = close(node.parent)
+        elif name in ("html", "body"):
+            if name == "body" and not path["body"]:
+                current = close(root)
                 current.children.append(body := Node("body", current))
                 current = body
-            continue
-        if name in _ENDS_P:
-            node = current
-            while node is not None and node.tag not in _SCOPE and node.tag != "p":
-                node = node.parent
-            if node is not None and node.tag == "p":
-                current = node.parent
-        if name in _CLOSES:
-            node = current
-            while node is not None and node.tag not in _SCOPE and node.tag not in _CLOSES[name]:
-                node = node.parent
-            if node is not None and node.tag in _CLOSES[name]:
-                current = node.parent
-        node = Node(name, current, _is_boiler(name, m[3], current), 0 if name in ("header", "body") else _is_named(name, m[3]))
-        current.children.append(node)
-        if name in _VOID or m[3].endswith("/") and name not in _BLOCK:
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        current = node
-    return root
+                path["body"] += 1
+        else:
+            if name in _ENDS_P and path["p"]:
+                node = current
+                while node is not None and node.tag not in _SCOPE and node.tag != "p":
+                    node = node.parent
+                if node is not None and node.tag == "p":
+                    current = close(node.parent)
+            if name in _CLOSES and any(path[t] for t in _CLOSES[name]):
+                node = current
+                while node is not None and node.tag not in _SCOPE and node.tag not in _CLOSES[name]:
+                    node = node.parent
+                if node is not None and node.tag in _CLOSES[name]:
+                    current = close(node.parent)
+            node = Node(name, current, _is_boiler(name, attributes, path), 0 if name in ("header", "body") else _is_named(name, attributes))
+            current.children.append(node)
+            if name in _RAW:
+                found = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                end = page.find(">", found.end()) + 1 if found else 0
+                skip = end or len(page)
+            elif name not in _VOID and not (attributes.endswith("/") and name not in _BLOCK):
+                current = node
+                path[name] += 1
+        text, slash, name, attributes, at = tags.send(skip)
 
 
 def _cut_named(root: Node) -> None:
     """Boilerplate by name: nodes with neither an article or main element nor most of the body's text outside links.
 
     Where all words say so, as in a bare advert, only text in blocks inside counts.
+    Nodes of weak words need a density below the body's too, and no main headline.
     """
     order, stack, body = [], [root], root
     while stack:
@@ -150,15 +201,17 @@ def _cut_named(root: Node) -> None:
         if node.tag == "body":
             body = node
         stack.extend(c for c in node.children if isinstance(c, Node) and not c.boiler)
-    plain, wrapped, article = {}, {}, {}
+    plain, wrapped, article, headline = {}, {}, {}, {}
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node) and not c.boiler]
         plain[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(plain[c] for c in inner)
         wrapped[node] = sum(plain[c] if c.tag in _BLOCK else wrapped[c] for c in inner)
         article[node] = any(article[c] or c.tag in _ARTICLE for c in inner)
+        headline[node] = node.tag == "h1" or any(headline[c] for c in inner)
     for node in order:
         held = wrapped[node] if node.named == 2 else plain[node]
-        node.boiler = bool(node.named) and not article[node] and 2 * held <= plain[body]
+        named = bool(node.named) and not (node.named == 3 and (headline[node] or node.density >= body.density))
+        node.boiler = named and not article[node] and 2 * held <= plain[body]
 
 
 def _measure(root: Node) -> tuple[Node, int]:
@@ -263,8 +316,6 @@ def _blocks(body: Node) -> list[str]:
         elif inside:
             if x.tag in _BLOCK:
                 close()
-            if x.tag in ("ul", "ol", "div", "section") and x.chars and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
-                continue
             if x.tag in _BLOCK:
                 stack.append((x, True, True))
         stack.extend((c, inside, False) for c in reversed(x.children))
@@ -282,6 +333,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _measure(root)
     _cut_named(root)
     body, chars = _measure(root)
     if not chars:
@@ -296,13 +348,14 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
     Character references are decoded, white space inside a block becomes one
     blank, blocks are joined in page order by one blank.  A page without main
     text has an empty one; repeated rows each give a row; nothing is shuffled.
+    Columns of ``pages`` named ``text`` or ``n_chars`` give way to the new ones.
     """
-    keep = [c for c in pages.columns if c != html_col] if keep is None else keep
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars") and (keep or c != html_col)]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py()) for h in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(extract, f"{schema}, text string, n_chars long")
+    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
+    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(extract, f"{schema}text string, n_chars long")
