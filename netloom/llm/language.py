@@ -14,12 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from netloom.plans.shared import quoted
 
 #: Symbols (0 is every run of non-letters), dimensions, seed of the letter vectors.
 SYMBOLS, DIMENSIONS, SEED = 64, 1024, 20_011
 UNDETERMINED = "und"
-#: Texts whose profiles are made together; code points that are looked up at a time.
-BLOCK_TEXTS, SLICE_CHARS = 256, 1 << 20
+#: Texts whose profiles are made together.
+BLOCK_TEXTS = 256
+#: Languages whose counts (2 MB each) a task holds at a time.
+HELD_LANGUAGES = 32
 
 
 def _symbol_table() -> np.ndarray:
@@ -92,56 +97,64 @@ def profiles(texts: list[str | None], letters: np.ndarray) -> np.ndarray:
 def train_prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """Prototype of each language from all rows of ``labelled``.
 
-    Tasks count trigrams by language, one compact row for each language and
-    task; counts are summed by language, and only one vector for each language
-    goes to the driver.  Rows with a null language or text teach nothing.
+    Tasks count trigrams, and the counts of each language are summed by
+    trigram; a language then has at most one row for each of the 2 ** 18
+    trigrams, whatever its share of the texts, and one vector of it goes to the
+    driver.  Rows with a null language or text teach nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def rows() -> pa.RecordBatch:
+            at = [np.flatnonzero(t) for t in totals.values()]
+            langs = pa.array(list(totals), pa.string()).take(pa.array(np.repeat(np.arange(len(at)), list(map(len, at)))))
+            codes = np.concatenate(at or [np.zeros(0, np.int64)]).astype(np.int32)
+            counts = np.concatenate([t[a] for t, a in zip(totals.values(), at)] or [np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([langs, pa.array(codes), pa.array(counts)], ["lang", "code", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 codes = trigram_codes(text.as_py())
                 if lang not in totals:
+                    if len(totals) == HELD_LANGUAGES:
+                        yield rows()
+                        totals.clear()
                     totals[lang] = np.zeros(SYMBOLS**3, np.int64)
                 if len(codes) > 20_000:
                     totals[lang] += np.bincount(codes, minlength=SYMBOLS**3)
                 elif len(codes):
                     np.add.at(totals[lang], codes, 1)
-        rows = []
-        for lang, total in totals.items():
-            at = np.flatnonzero(total)
-            rows.append({"lang": lang, "codes": at.astype("<i4").tobytes(), "counts": total[at].astype("<i8").tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())]))
+        yield rows()
 
     def bundle(table: pa.Table) -> pa.Table:
-        total = np.zeros(SYMBOLS**3, np.int64)
-        for codes, counts in zip(table.column("codes").to_pylist(), table.column("counts").to_pylist()):
-            total[np.frombuffer(codes, "<i4")] += np.frombuffer(counts, "<i8")
+        codes, counts = table.column("code").to_numpy(), table.column("n").to_numpy()
         letters, out = letter_vectors(), np.zeros(DIMENSIONS)
-        known = np.flatnonzero(total)
-        for low in range(0, len(known), 4096):
-            part = known[low : low + 4096]
-            out += total[part].astype(float) @ trigram_vectors(part, letters).astype(float)
+        # In one order, so that sums of doubles do not depend on the shuffle.
+        order = np.argsort(codes)
+        for low in range(0, len(order), 4096):
+            part = order[low : low + 4096]
+            out += counts[part].astype(float) @ trigram_vectors(codes[part], letters).astype(float)
         return pa.table({"lang": [table.column("lang")[0].as_py()], "vector": [out.tobytes()]})
 
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = source.mapInArrow(count, "lang string, codes binary, counts binary").groupBy("lang").applyInArrow(bundle, "lang string, vector binary")
-    vectors = {r["lang"]: np.frombuffer(bytes(r["vector"])) for r in sums.collect()}
+    sums = source.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    vectors = {r["lang"]: np.frombuffer(bytes(r["vector"])) for r in sums.groupBy("lang").applyInArrow(bundle, "lang string, vector binary").collect()}
     return {k: v / n for k, v in sorted(vectors.items()) if (n := np.linalg.norm(v))}
 
 
-def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to ``docs`` (or to its columns ``keep``).
+def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add ``lang_pred`` and ``score``, or columns of other ``names``, to ``docs`` (or to its columns ``keep``).
 
     The prediction is the language whose prototype has the largest cosine with
     the text's profile, ties to the smaller name; ``score`` is that cosine, 0
     at least.  A null text, one without letters, and every text when there are
-    no prototypes are ``und`` with score 0.  Nothing is shuffled.
+    no prototypes are ``und`` with score 0.  Columns that have the new names
+    already give way to them.  Nothing is shuffled.
     """
-    names = list(prototypes)
-    matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
-    keep = docs.columns if keep is None else keep
+    known_as = list(prototypes)
+    matrix = np.stack([prototypes[n] for n in known_as]).astype(np.float32) if known_as else np.zeros((0, DIMENSIONS), np.float32)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_vectors()
@@ -150,17 +163,17 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_c
                 part = batch.slice(low, BLOCK_TEXTS)
                 bundles = profiles(part.column(part.num_columns - 1).to_pylist(), letters)
                 norms = np.linalg.norm(bundles, axis=1)
-                known = (norms > 0) & bool(names)
+                known = (norms > 0) & bool(known_as)
                 cosine = bundles @ matrix.T / np.maximum(norms, 1e-9)[:, None]
-                best = cosine.argmax(1) if names else np.zeros(len(norms), np.int64)
-                lang = [names[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
-                top = cosine.max(1) if names else np.zeros(len(norms))
+                best = cosine.argmax(1) if known_as else np.zeros(len(norms), np.int64)
+                lang = [known_as[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
+                top = cosine.max(1) if known_as else np.zeros(len(norms))
                 score = np.where(known, np.clip(top, 0, 1), 0.0).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.col(text_col).alias("_text_to_identify"))
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("_text_to_identify"))
+    return rows.mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id"):
