@@ -44,48 +44,59 @@ def freedom(name: str) -> float:
     return FREEDOM[max(known, key=len)] if known else UNKNOWN
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """Licences that a lower-case expression names, and its score.
+def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[set[str], float] | None:
+    """Licences that a lower-case expression at ``text[begin:end]`` names, and its score.
 
     ``or`` lets the user choose and takes the larger score, ``and`` binds to
     both and takes the smaller, ``with`` keeps that of the licence.  Reading
     stops where no expression can go on; None if there is none.
     """
-    output: list[tuple[set[str], float]] = []
+    # Operands in order; a value is a range of them, its score, and whether it is one licence, so joining two is cheap.
+    names: list[str | None] = []
+    output: list[tuple[int, int, float, bool]] = []
     stack: list[str] = []
+    open_brackets = 0
 
     def reduce_top() -> None:
-        kind, (right, r), (left, x) = stack.pop(), output.pop(), output.pop()
-        output.append(({f"{min(left)}-with-{min(right)}"}, x) if kind == "with" and len(left) == 1 else (left | right, max(x, r) if kind == "or" else min(x, r)))
+        kind, (middle, high, r, _), (low, _, x, one) = stack.pop(), output.pop(), output.pop()
+        if kind == "with" and one:
+            names[low] = f"{names[low]}-with-{min(n for n in names[middle:high] if n is not None)}"
+            names[middle:high] = [None] * (high - middle)
+            output.append((low, high, x, True))
+        else:
+            output.append((low, high, max(x, r) if kind == "or" else min(x, r), False))
 
-    operand, at, complete = True, 0, None
-    for m in _TOKEN.finditer(expression):
-        if expression[at : m.start()].strip(" \t"):
+    operand, at, complete = True, begin, None
+    for m in _TOKEN.finditer(text, begin, len(text) if end is None else end):
+        if text[at : m.start()].strip(" \t"):
             break
         token, at = m.group(), m.end()
         if operand and token == "(":
             stack.append(token)
+            open_brackets += 1
         elif operand and token not in _RANK and token != ")":
-            output.append(({token.rstrip(".")}, freedom(token.rstrip("+."))))
+            names.append(token.rstrip("."))
+            output.append((len(names) - 1, len(names), freedom(token.rstrip("+.")), True))
             operand = False
         elif not operand and token in _RANK:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[token]:
                 reduce_top()
             stack.append(token)
             operand = True
-        elif not operand and token == ")" and "(" in stack:
+        elif not operand and token == ")" and open_brackets:
             while stack[-1] != "(":
                 reduce_top()
             stack.pop()
+            open_brackets -= 1
         else:
             break
         if not operand and not stack:
             complete = output[-1]
-    if not operand and "(" not in stack:
+    if not operand and not open_brackets:
         while stack:
             reduce_top()
         complete = output[-1]
-    return complete if output else None
+    return ({n for n in names[complete[0] : complete[1]] if n is not None}, complete[2]) if complete else None
 
 
 @lru_cache(maxsize=1)
@@ -93,8 +104,7 @@ def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for kind, table in (("base", BASE_PHRASES), ("notice", NOTICE_PHRASES)):
         for phrase, label in table.items():
-            key = f" {phrase} "
-            phrases.add_word(key, (kind, label, len(key)))
+            phrases.add_word(f" {phrase} ", (kind, label, len(phrase.split())))
     tags.add_word(TAG, len(TAG))
     phrases.make_automaton(), tags.make_automaton()
     return phrases, tags
@@ -107,9 +117,12 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
     words = raw.translate(_WORDS).split()
     clean = f" {b' '.join(words).decode('latin-1')} "
     n_base, first, last, base, more, scores = 0, None, None, set(), set(), []
+    at = blanks = 0
     for end, (kind, label, size) in phrases.iter(clean):
+        # Matches come by their ends, so blanks are counted once; the last one of a match ends its last word.
+        blanks, at = blanks + clean.count(" ", at, end), end
         if kind == "base":
-            start = clean.count(" ", 0, end - size + 1)
+            start = blanks - size
             n_base += 1
             first = start if first is None else min(first, start)
             last = start if last is None else max(last, start)
@@ -119,9 +132,12 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
             more.add(label)
             scores.append(RESERVED if label.endswith("reserved") else freedom(label.removeprefix("notice:")) * NOTICED)
     if b":" in raw:
-        plain = raw.lower().decode("latin-1")
+        plain, line = raw.lower().decode("latin-1"), -1
         for end, _ in tags.iter(plain):
-            if found := evaluate(plain[end + 1 :].split("\n", 1)[0]):
+            if line <= end:
+                line = plain.find("\n", end)
+                line = len(plain) if line < 0 else line
+            if found := evaluate(plain, end + 1, line):
                 more.update(f"spdx:{name}" for name in found[0])
                 scores.append(found[1])
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), min(scores, default=0.0)
