@@ -22,7 +22,10 @@ parity sketch allow are verified, in blocks of bounded size.  Hence no link
 between components is lost.
 
 Sketch: in a bitmap of the parity of shingles per bit, each differing bit needs
-a shingle that only one of both sets has.  Its width grows with the set.
+a shingle that only one of both sets has.  Its width grows with the set.  A list
+entry has the sketch of the shingles that follow in the set's order, for in the
+list of the first common shingle all that stand before differ; in other lists of
+the same pair common ones count as different, so most pairs come from few lists.
 """
 
 from __future__ import annotations
@@ -52,8 +55,8 @@ FILTER_BITS = 26
 STAR_ROUNDS = 2
 #: Members of a list, or pairs of one document, that meet in one task.
 LIST_BLOCK, PAIR_BLOCK = 2048, 256
-#: Fewest bits of a set's parity sketch; it has as many as the set has shingles, up to the next power of two.
-SKETCH_BITS = 256
+#: Fewest and most bits of a set's parity sketch; between, it has four for each shingle, up to the next power of two.
+SKETCH_BITS, MOST_SKETCH_BITS = 512, 8192
 #: Kinds of rows between chunks and shards; owner of a shingle that several sets of a chunk have.
 _META, _SEVERAL, _SHINGLES = 0, 1, 2
 _MANY = 0xFFFF
@@ -206,11 +209,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(tokens: np.ndarray, n: int) -> bytes:
-    bits = max(SKETCH_BITS, 1 << (n - 1).bit_length())
+    bits = min(max(SKETCH_BITS, 4 << (n - 1).bit_length()), MOST_SKETCH_BITS)
     parity = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a set's prefix, sketch and wanted shingles to an entry for each of these, with the sketch of what follows."""
+    names = ["token", "rep", "n", "c", "pos", "sketch"]
+    kinds = [*[pa.int64()] * 5, pa.binary()]
+    for batch in batches:
+        out, size = [], 0
+        for rep, n, alone, c, wanted, prefix, sketch in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            order = {t: at for at, t in enumerate(prefix)}
+            bits = np.frombuffer(sketch, np.uint8).copy()
+            done, mask = 0, 8 * len(bits) - 1
+            for at in sorted(order[t] for t in wanted):
+                for t in prefix[done:at]:
+                    bits[(t & mask) >> 3] ^= 1 << (t & 7)
+                done = at
+                out.append((prefix[at], rep, n, c, alone + at, bits.tobytes()))
+                size += len(bits)
+            if size >= SLICE_BYTES:
+                yield _batch(out, names, kinds)
+                out, size = [], 0
+        yield _batch(out, names, kinds)
+
+
 def _gather(least: int) -> Callable:
     """From what a chunk got back to a row for each document."""
 
@@ -377,7 +402,7 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
     """
 
     def cross(table: pa.Table) -> pa.Table:
-        rep, n, pos, c, alone, home = (table.column(x).to_numpy() for x in ("rep", "n", "pos", "c", "alone", "home"))
+        rep, n, pos, c, home = (table.column(x).to_numpy() for x in ("rep", "n", "pos", "c", "home"))
         sketches = table.column("sketch").to_pylist()
         width = np.array([len(s) for s in sketches])
         folded = _folded(sketches)
@@ -393,10 +418,10 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
             # Two members at home meet once.
             fits &= ~home | (i[:, None] < np.arange(len(rep)))
             x, y = np.nonzero(fits)
-            for cut in range(0, len(x), 1 << 14):
-                s, t = i[x[cut : cut + (1 << 14)]], y[cut : cut + (1 << 14)]
+            for cut in range(0, len(x), 1 << 13):
+                s, t = i[x[cut : cut + (1 << 13)]], y[cut : cut + (1 << 13)]
                 both = n[s] + n[t]
-                apart = alone[s] + alone[t]
+                apart = pos[s] + pos[t]
                 narrow = np.minimum(width[s], width[t])
                 for w in np.unique(narrow).tolist():
                     k = np.flatnonzero(narrow == w)
@@ -467,7 +492,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     early = _meets(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), least)
     expanded = materialize(labelled(expanded, "rep"), "expanded")
     mixed = expanded.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
-    left_over = expanded.join(mixed, "token", "left_semi").join(members.select("rep", "n", "alone", "sketch").distinct(), ["rep", "n", "alone"])
+    wanted = expanded.join(mixed, "token", "left_semi").groupBy("rep", "n", "alone", "c").agg(F.collect_set("token").alias("wanted"))
+    # A set's own prefix bounds what is gathered for it; an id's other sets may lack some of these shingles.
+    own = members.select("rep", "n", "alone", "prefix", "sketch")
+    both = wanted.join(own, ["rep", "n", "alone"]).withColumn("wanted", F.array_intersect("wanted", "prefix"))
+    left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(_later, "token long, rep long, n long, c long, pos long, sketch binary")
     asked = materialize(_across(left_over, least), "pairs")
     final = connected_components(links.unionAll(verify_pairs(sets, asked, least)), "a", "b")
     for table in (asked, expanded, lists, grouped, members):
