@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -15,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from netloom.llm import encoding, language, licenses, mixing, packing, queries, shingle_join, spans, suffix_dedup, suffix_sort, token_shards, vectors
+from netloom.llm import encoding, html_text, language, licenses, mixing, packing, queries, shingle_join, spans, suffix_dedup, suffix_sort, token_shards, vectors
 from netloom.llm.html_text import extract_main_text, main_text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component long, _size long"
@@ -161,6 +164,106 @@ def test_html_keeps_paragraphs_beside_a_bold_one():
     assert main_text(page) == f"T {('long bold text ' * 60).strip()} Short one."
 
 
+def test_html_character_references():
+    assert main_text(f"<p>a &#{'9' * 5000}; b &#x{'f' * 5000} c &#{'0' * 5000}65; &#x41; &eacute;</p>") == "a \ufffd b \ufffd c A A é"
+
+
+@pytest.mark.parametrize("junk", ["<a '", '<a b="x', "<a b='>' ", "<div>", "</span>", "<b><p>x", "<script></script ", "<!x", "<!--", "<li><b>x", "&#"])
+def test_html_reads_broken_pages_in_linear_time(junk):
+    page = "<body><p>Hello world.</p>" + junk * 30_000
+    begin = time.process_time()
+    assert main_text(page).startswith("Hello world.")
+    assert time.process_time() - begin < 5
+
+
+def test_html_columns_of_the_same_names(spark):
+    pages = spark.createDataFrame([(1, "old", "<p>new</p>", 7)], "page_id long, text string, html string, n_chars int")
+    got = extract_main_text(pages)
+    assert got.columns == ["page_id", "text", "n_chars"] and [tuple(r) for r in got.collect()] == [(1, "new", 3)]
+
+
+def test_html_words_that_also_name_parts_of_an_article():
+    story = [f"Paragraph {n} of the story, with a good many words in it." for n in range(6)]
+    links = "<ul><li><a href=a>One place</a></li><li><a href=b>Another place</a></li><li><a href=c>A third</a></li></ul>"
+    page = f"<body><article><div class='entry-header'><h1>Headline</h1></div>{''.join(f'<p>{p}</p>' for p in story[:3])}{links}<div class='social-history'><p>{story[3] * 3}</p></div><div class='social-share'><a href=x>Post</a> <a href=y>Mail</a></div></article><div class='post-comments'><p>{story[5]}</p></div></body>"
+    assert main_text(page) == " ".join(["Headline", *story[:3], "One place Another place A third", story[3] * 3])
+
+
+def densities(node, whole, linked):
+    """Composite text density and density sum of a node, by the definition; a node is its tag and a list of texts and nodes."""
+    def counts(x):
+        if isinstance(x, str):
+            return np.array([len(x), 0, 0, 0])
+        own = sum((counts(c) for c in x[1]), np.zeros(4, int)) + np.array([0, sum(not isinstance(c, str) for c in x[1]), 0, sum(c[0] == "a" for c in x[1] if not isinstance(c, str))])
+        if x[0] == "a":
+            own[2] = own[0]
+        return own
+
+    def density(x):
+        c, t, lc, lt = counts(x).tolist()
+        t, lt = max(t, 1), max(lt, 1)
+        return 0.0 if not c else c / t * math.log(c * t / (max(lc, 1) * lt) + 1) / math.log(math.log(c * lc / max(c - lc, 1) + linked * c / max(whole, 1) + math.e) + 1)
+
+    return density(node), sum(density(c) for c in node[1] if not isinstance(c, str))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10_000))
+def test_html_densities_are_those_of_the_definition(seed):
+    """Pages without article and main elements: densities, and what the threshold on the way from the largest sum to the body keeps."""
+    rng = random.Random(seed)
+
+    def block(depth):
+        kind = rng.choice(["div", "section", "p"]) if depth else "p"
+        if kind == "p":
+            return ("p", [w if rng.random() < 0.8 else ("a", [w]) for w in (f"{k}" + "word" * rng.randrange(1, 40) for k in range(rng.randrange(1, 4)))])
+        return (kind, [block(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    body = ("body", [block(3) for _ in range(rng.randrange(1, 5))])
+
+    def text(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(text, x[1]))}</{x[0]}>"
+
+    root = html_text.parse(text(body))
+    top, whole = html_text._measure(root)
+    linked = top.link_chars
+    nodes, stack = {}, [(top, body, None)]
+    while stack:
+        node, x, parent = stack.pop()
+        nodes[id(node)] = (node, x, parent)
+        d, total = densities(x, whole, linked)
+        assert math.isclose(node.density, d) and math.isclose(node.total, total, abs_tol=1e-12)
+        stack.extend((c, y, node) for c, y in zip(node.children, x[1]) if not isinstance(y, str))
+    core = top.peak
+    assert math.isclose(core.total, max(n.total for n, _, _ in nodes.values()))
+    while core is not top and core.tag in ("p", "a"):
+        core = core.parent
+    threshold, node = core.density, core
+    while node is not top:
+        node = node.parent
+        threshold = min(threshold, node.density)
+    html_text._keep(top)
+    inside = lambda n: n.kept or (n is not top and inside(n.parent))
+    for node, _, _ in nodes.values():
+        if node.chars and node.density >= threshold and node.tag not in ("p", "a"):
+            assert inside(node) or any(n.kept for n, _, _ in nodes.values() if n is not node and is_below(n, node))
+        if node.kept and node is not core:
+            assert any(n.density >= threshold for n, _, _ in nodes.values() if n is node or is_above(n, node) or is_below(n, node))
+    assert inside(core)
+
+
+def is_above(x, node):
+    while node.parent is not None:
+        node = node.parent
+        if node is x:
+            return True
+    return False
+
+
+def is_below(x, node):
+    return is_above(node, x)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("<>/ab p&;\"'!-=", max_size=60))
 def test_html_never_fails(page):
@@ -184,6 +287,42 @@ def test_language(spark):
     assert np.allclose(language.profiles(["abcab"], letters)[0], language.trigram_vectors(codes, letters).astype(float).sum(0))
 
 
+def test_language_is_that_of_a_naive_classifier(spark):
+    """Vectors bound and bundled one trigram at a time, in Python; more languages than a task holds; clashing names."""
+    rng = random.Random(4)
+    letters = language.letter_vectors().astype(int)
+    langs = [f"l{k:02}" for k in range(language.HELD_LANGUAGES + 5)]
+    alphabet = {lang: rng.sample("abcdefghijklmnopqrstuvwxyzéüßжи", 9) for lang in langs}
+    say = lambda lang: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(25))
+    known = [(say(lang), lang) for lang in langs for _ in range(3)]
+    asked = [*(say(lang) + "!?" for lang in langs), None, "", "12 ..", "a", "É " * 30]
+
+    def profile(text):
+        out, symbols = np.zeros(language.DIMENSIONS, int), [0]
+        for ch in text or "":
+            k = int(language._symbols(ch)[0])
+            if k or symbols[-1]:
+                symbols.append(k)
+        symbols += [0] if symbols[-1] else []
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            out += letters[0][a] * letters[1][b] * letters[2][c]
+        return out
+
+    prototypes = {lang: sum(profile(t) for t, own in known if own == lang) for lang in langs}
+    docs = spark.createDataFrame([(n, t, "x", 0.5) for n, t in enumerate(asked)], "doc_id long, text string, lang_pred string, score double")
+    model = language.train_prototypes(spark.createDataFrame(known, "text string, lang string").repartition(3))
+    assert sorted(model) == langs
+    found = language.identify_language(docs, model)
+    assert found.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in found.collect():
+        own = profile(asked[r.doc_id])
+        if not own.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {lang: float(own @ p / (np.linalg.norm(own) * np.linalg.norm(p))) for lang, p in prototypes.items()}
+        assert cosine[r.lang_pred] > max(cosine.values()) - 1e-5 and abs(r.score - max(0.0, cosine[r.lang_pred])) < 1e-5
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)).astype(np.float32)
@@ -311,6 +450,39 @@ def test_licenses(spark):
     assert licenses.evaluate("mit and gpl-3.0 or isc")[1] == 1.0 and licenses.evaluate("mit and (gpl-3.0 or agpl-3.0)")[1] == 0.3 and licenses.evaluate(") or") is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["mit", "MIT", "license", "apache", "general", "public", "GNU", "x", "é", " ", "\n", "-", "_", "licenses", "license.", "all rights reserved"]), max_size=40).map(" ".join))
+def test_license_words_and_places(text):
+    found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+    places = [(k, label) for k in range(len(found)) for phrase, label in licenses.BASE_PHRASES.items() if found[k : k + len(phrase.split())] == phrase.split()]
+    got = licenses.scan_text(text)
+    assert got[:2] == (len(found), len(places))
+    assert got[2:4] == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+    assert got[4] == ",".join(sorted({label for _, label in places})) and 0 <= got[6] <= 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.sampled_from(["mit", "isc", "gpl-2.0", "mpl-2.0", "foo"]), lambda x: st.tuples(x, st.sampled_from(["and", "or"]), x), max_leaves=12))
+def test_license_expressions(tree):
+    def text(x):
+        return x if isinstance(x, str) else f"({text(x[0])} {x[1]} {text(x[2])})"
+
+    def value(x):
+        if isinstance(x, str):
+            return {x}, licenses.freedom(x)
+        (a, s), (b, t) = value(x[0]), value(x[2])
+        return a | b, (max if x[1] == "or" else min)(s, t)
+
+    assert licenses.evaluate(text(tree)) == value(tree)
+
+
+@pytest.mark.parametrize("line", ["mit license ", "spdx-license-identifier: mit ", "spdx-license-identifier: ( ", "a or mit and "])
+def test_license_scan_takes_linear_time(line):
+    begin = time.process_time()
+    licenses.scan_text("SPDX-License-Identifier: " + line * 60_000)
+    assert time.process_time() - begin < 5
+
+
 def repeats(docs, length=100):
     seen, out = set(), []
     for i, text in docs:
