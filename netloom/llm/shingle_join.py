@@ -15,11 +15,11 @@ broadcast, and no key gets more than one entry from each chunk.
 Documents with equal sets are one class, classes with equal prefix and size one
 group.  Lists of groups by prefix shingle give pairs in the same way at any
 length: each group meets one leader of its list and size band (a star, not all
-pairs); pairs that size and position allow are verified and give components;
-groups outside their leader's component meet another leader; at last lists are
-expanded to members, and all pairs across components that size, position and a
-parity sketch allow are verified, in blocks of bounded size.  Hence no link
-between components is lost.
+pairs); pairs that size and position allow are verified and give components.
+Then lists are expanded to members, which meet in blocks of bounded size: first
+each member outside its list's largest component has its nearest one of another
+component verified, by a parity sketch; at last all pairs across components that
+size, position and sketch allow are.  Hence no link between components is lost.
 
 Sketch: in a bitmap of the parity of shingles per bit, each differing bit needs
 a shingle that only one of both sets has.  Its width grows with the set.  A list
@@ -47,12 +47,12 @@ WIDTH = 5
 LEAST = 80
 #: Bits of a shingle's hash.
 HASH_BITS = 56
-#: Shingles and documents of a chunk; text bytes that are cut at a time; plan bytes for each shard, fewest shards.
-CHUNK, CHUNK_DOCS, SLICE_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 21, 60_000, 4 << 20, 4 << 20, 32
+#: Shingles and documents of a chunk; text bytes that are cut at a time.
+CHUNK, CHUNK_DOCS, SLICE_BYTES = 1 << 21, 60_000, 4 << 20
+#: Plan bytes for each partition of shards; shards for each, so that partitions are much of a size.
+PART_BYTES, PART_SHARDS = 4 << 20, 8
 #: Bits of the fixed-size filter of documents that pairs ask for (8 MB).
 FILTER_BITS = 26
-#: Rounds in which groups meet a leader of each list.
-STAR_ROUNDS = 2
 #: Members of a list, or pairs of one document, that meet in one task.
 LIST_BLOCK, PAIR_BLOCK = 2048, 256
 #: Fewest and most bits of a set's parity sketch; between, it has four for each shingle, up to the next power of two.
@@ -293,10 +293,10 @@ def shared_shingles(docs: DataFrame, width: int, least: int) -> DataFrame:
     prefix that they make up, and their sketch.
     """
     docs = steady(docs, "texts")
-    shards = max(LEAST_SHARDS, -(-plan_bytes(docs, "text") // SHARD_BYTES))
-    cut = docs.mapInArrow(_cut(width, shards), _ROW)
-    counted = cut.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_count, _ROW)
-    back = counted.repartition(shards, "chunk").sortWithinPartitions("chunk")
+    parts = max(8, -(-plan_bytes(docs, "text") // PART_BYTES))
+    cut = docs.mapInArrow(_cut(width, parts * PART_SHARDS), _ROW)
+    counted = cut.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_count, _ROW)
+    back = counted.repartition(parts, "chunk").sortWithinPartitions("chunk")
     return back.mapInArrow(_gather(least), "doc_id long, n long, h1 long, h2 long, prefix array<long>, shingles binary, sketch binary")
 
 
@@ -310,14 +310,11 @@ def _meets(n: Column, pos: Column, other_n: Column, other_pos: Column, least: in
     return least * (n + other_n) <= (100 + least) * F.least(n - pos, other_n - other_pos)
 
 
-def _stars(lists: DataFrame, least: int, seed: int) -> DataFrame:
-    """Pairs of a leader and a group of another component, the leader chosen by ``seed`` in each list and band.
-
-    Lists of much the same groups have the same leader.
-    """
+def _stars(lists: DataFrame, least: int) -> DataFrame:
+    """Pairs of a leader and another group for each list and band; lists of much the same groups have the same leader."""
     banded = lists.withColumn("band", _band(F.col("n"), least))
-    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("gid", "n", "pos", "c"), F.xxhash64("gid", F.lit(seed))).alias("l"))
-    met = banded.join(leaders, ["token", "band"]).where(F.col("c") != F.col("l.c"))
+    leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("gid", "n", "pos"), F.xxhash64("gid")).alias("l"))
+    met = banded.join(leaders, ["token", "band"]).where(F.col("gid") != F.col("l.gid"))
     fits = 100 * F.least("n", "l.n") >= least * F.greatest("n", "l.n")
     return met.where(fits & _meets(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), least)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct()
 
@@ -395,10 +392,11 @@ def _folded(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {w: (np.concatenate([a for a, _ in x]), np.concatenate([r for _, r in x])) for w, x in out.items()}
 
 
-def _across(lists: DataFrame, least: int) -> DataFrame:
+def _across(lists: DataFrame, least: int, nearest: bool) -> DataFrame:
     """Pairs of list members of different components that size, position and sketch let link, in blocks.
 
-    A list's members of its largest component go to one block each, the others to all.
+    A list's members of its largest component go to one block each, the others
+    to all.  With ``nearest``, only one pair for each of the others in a block.
     """
 
     def cross(table: pa.Table) -> pa.Table:
@@ -411,6 +409,8 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
             row[w] = np.full(len(rep), -1)
             row[w][at] = np.arange(len(at))
         left = np.flatnonzero(home)
+        other = table.column("c").to_numpy() != table.column("largest").to_numpy()
+        best, mate = np.full(len(rep), np.iinfo(np.int64).max), np.zeros(len(rep), np.int64)
         out = [np.zeros((2, 0), np.int64)]
         for at in range(0, len(left), 256):
             i = left[at : at + 256]
@@ -428,7 +428,18 @@ def _across(lists: DataFrame, least: int) -> DataFrame:
                     bits = folded[w][1]
                     apart[k] += np.bitwise_count(bits[row[w][s[k]]] ^ bits[row[w][t[k]]]).sum(axis=1, dtype=np.int64)
                 near = apart <= both + 2 * (-least * both // (100 + least))
-                out.append(np.stack((rep[t[near]], rep[s[near]])))
+                s, t, apart = s[near], t[near], apart[near]
+                if not nearest:
+                    out.append(np.stack((rep[t], rep[s])))
+                    continue
+                own, partner, far = np.concatenate((s, t)), np.concatenate((t, s)), np.concatenate((apart, apart))
+                order = np.lexsort((rep[partner], far, own))
+                first = order[_runs(own[order])]
+                first = first[other[own[first]] & (far[first] < best[own[first]])]
+                best[own[first]], mate[own[first]] = far[first], partner[first]
+        if nearest:
+            has = np.flatnonzero(best < np.iinfo(np.int64).max)
+            out.append(np.stack((rep[has], rep[mate[has]])))
         found = np.concatenate(out, axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
@@ -467,41 +478,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = leads.select(F.posexplode("prefix").alias("at", "token"), F.col("rep").alias("gid"), "n", "alone")
     entries = entries.select("token", "gid", "n", (F.col("alone") + F.col("at")).alias("pos"))
     several = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    lists = materialize(entries.join(several, "token", "left_semi").withColumn("c", F.col("gid")), "lists")
-    pairs = _stars(lists, least, 0).unionAll(grouped.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
+    lists = materialize(entries.join(several, "token", "left_semi"), "lists")
+    pairs = _stars(lists, least).unionAll(grouped.where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     # Ids that stand for several sets join those sets.
     twice = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.countDistinct(*same).alias("m")).where("m > 1").select("doc_id")
     links = rows.where("n > 0").join(twice, "doc_id", "left_semi").join(classes, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    parts = None
-
-    def labelled(table: DataFrame, vertex: str) -> DataFrame:
-        """``table`` with the component of each ``vertex``."""
-        known = parts.select(F.col("vertex").alias(vertex), "component")
-        return table.join(known, vertex, "left").withColumn("c", F.coalesce("component", vertex)).drop("component")
-
-    for seed in range(STAR_ROUNDS):
-        asked = materialize(pairs, "pairs")
-        links = links.unionAll(verify_pairs(sets, asked, least))
-        parts = connected_components(links, "a", "b")
-        discard(asked)
-        links = parts.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
-        if seed + 1 < STAR_ROUNDS:
-            pairs = _stars(labelled(lists.drop("c"), "gid"), least, seed + 1)
     expanded = lists.select("token", "gid", "pos").join(grouped, "gid").select("token", "rep", "n", "alone", "pos")
     # Of a linked pair the smaller set has its first common shingle early.
     early = _meets(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), least)
-    expanded = materialize(labelled(expanded, "rep"), "expanded")
-    mixed = expanded.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
-    wanted = expanded.join(mixed, "token", "left_semi").groupBy("rep", "n", "alone", "c").agg(F.collect_set("token").alias("wanted"))
     # A set's own prefix bounds what is gathered for it; an id's other sets may lack some of these shingles.
     own = members.select("rep", "n", "alone", "prefix", "sketch")
-    both = wanted.join(own, ["rep", "n", "alone"]).withColumn("wanted", F.array_intersect("wanted", "prefix"))
-    left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(_later, "token long, rep long, n long, c long, pos long, sketch binary")
-    asked = materialize(_across(left_over, least), "pairs")
-    final = connected_components(links.unionAll(verify_pairs(sets, asked, least)), "a", "b")
-    for table in (asked, expanded, lists, grouped, members):
+    for step in ("stars", "nearest", "all"):
+        asked = materialize(pairs, "pairs")
+        parts = connected_components(links.unionAll(verify_pairs(sets, asked, least)), "a", "b")
+        discard(asked)
+        if step == "all":
+            break
+        links = parts.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+        known = parts.select(F.col("vertex").alias("rep"), "component")
+        labelled = materialize(expanded.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "labelled")
+        mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
+        wanted = labelled.join(mixed, "token", "left_semi").groupBy("rep", "n", "alone", "c").agg(F.collect_set("token").alias("wanted"))
+        both = wanted.join(own, ["rep", "n", "alone"]).withColumn("wanted", F.array_intersect("wanted", "prefix"))
+        left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(_later, "token long, rep long, n long, c long, pos long, sketch binary")
+        pairs = _across(left_over, least, step == "stars")
+    for table in (lists, grouped, members):
         discard(table)
-    roots = classes.join(final.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+    roots = classes.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     roots = roots.select(*[F.col(c).alias(f"c_{c}") for c in same], F.coalesce("component", "rep").alias("component"))
     joined = rows.join(roots, (rows["n"] == roots["c_n"]) & (rows["h1"] == roots["c_h1"]) & (rows["h2"] == roots["c_h2"]) & rows["doc_id"].isNotNull(), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
