@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.llm.spans import U, mix
 from netloom.operators.components import connected_components
 from netloom.plans.shared import materialize
 
-#: Most pivots, queries solved together, data rows in one block.
-PIVOTS, QUERY_BLOCK, DATA_BLOCK = 64, 1024, 8192
+#: Most pivots (a broadcast of at most 2 MB at 64 components), queries solved together, data rows in one block.
+MOST_PIVOTS, QUERY_BLOCK, DATA_BLOCK = 4096, 1024, 8192
+#: Classes of vectors for each pivot of the range join, and its fewest pivots.
+PIVOT_ROWS, LEAST_PIVOTS = 2048, 8
 #: Double sums of integers up to here are exact.
 _EXACT = float(1 << 53)
 
@@ -34,11 +37,6 @@ def usable(vector: str) -> str:
     return f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('Infinity'))"
 
 
-def _usual_length(rows: DataFrame) -> int:
-    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return found["n"] if found else 0
-
-
 def _pivots(rows: DataFrame, key: str, vector: str, kind: str, count: int) -> np.ndarray:
     """Vectors of the ``count`` rows with the smallest key hashes."""
     sample = rows.select(vector, F.xxhash64(key, F.lit(7)).alias("h")).orderBy("h").limit(count).collect()
@@ -51,78 +49,95 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """The ``k`` largest integer inner products of every query with all other rows.
 
     Components become floor(scale * x).  Queries are the rows whose id is
-    divisible by ``every``.  Queries and data are grouped by nearest pivot.  With
-    q in group i and x in group j, |q - p_i| <= R_i, |q| <= Q_i and b = |x - p_j|,
-    the product lies within p_i.p_j +- (R_i |p_j| + Q_i b).  From counts and
-    the k + 1 smallest b of each data group follows a bound that k products of
-    every query in group i reach; only data that may reach it is replicated.
+    divisible by ``every``, grouped by nearest pivot.  With q in group i,
+    |q - p_i| <= R_i and any row x, the product lies within p_i.x +- R_i |x|.  Each
+    task sums its rows up in the k + 1 largest lower bounds of each group; from
+    all of them follows a bound that k products of every query in the group
+    reach, and x goes to group i only if p_i.x + R_i |x| reaches it.  There is
+    one pivot for each ``QUERY_BLOCK`` queries, so that what no bound can save
+    is sent as often as there are blocks of queries.
 
     Returns ``query_id, rank, vec_id, score``, ties to the smaller id.  Rows with
-    a null id, with null, empty or non-finite vectors, and with another length
-    than the most frequent take no part; a query never meets rows of its own id;
-    with fewer rows than ``k`` all are returned.
+    a null id and with null, empty or non-finite vectors take no part; vectors of
+    different lengths have no product, so each length is searched on its own,
+    those other than the queries' most frequent one without pivots.  A query never
+    meets rows of its own id; rows with equal ids are candidates each, and as
+    queries their products compete for one list; with fewer rows than ``k`` all are
+    returned; an empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").where(usable("v"))
-    length = _usual_length(rows)
-    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    rows = rows.where(F.size("v") == length).select("id", whole.alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
     def to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), "<i8").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), "<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "v"])
+            raw = [np.array(v, "<i8").tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "v"])
 
     ints = materialize(rows.mapInArrow(to_binary, "id long, v binary"), "topk")
-    centers = _pivots(ints, "id", "v", "<i8", pivots)
+    queries = ints.where(F.col("id") % every == 0)
+    asked = {r["width"]: r["count"] for r in queries.groupBy(F.octet_length("v").alias("width")).count().collect()}
+    width = max(asked, key=lambda w: (asked[w], -w), default=8)
+    usual = F.octet_length("v") == width
+    count = min(MOST_PIVOTS, -(-asked.get(width, 0) // QUERY_BLOCK)) if pivots is None else pivots
+    p = _pivots(queries.where(usual), "id", "v", "<i8", count)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = _distances(_matrix(batch.column(1), "<i8").astype(float), p)
+            home = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(d[np.arange(len(home)), home])], ["cell", "d"])
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = queries.where(usual).mapInArrow(measure, "cell int, d double").groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()
+    radius = np.zeros(len(p))
+    for r in groups:
+        radius[r["cell"]] = r["radius"]
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((k + 1, len(p)), -np.inf)
         for batch in batches:
             x = _matrix(batch.column(1), "<i8").astype(float)
-            d = _distances(x, centers)
-            home = d.argmin(1)
-            size = np.sqrt((x * x).sum(1))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(home, pa.int32()), pa.array(d[np.arange(len(home)), home]), pa.array(size)], ["id", "v", "cell", "b", "norm"]
-            )
-
-    placed = materialize(ints.mapInArrow(assign, "id long, v binary, cell int, b double, norm double"), "topk")
-    is_query = F.col("id") % every == 0
-    groups = {r["cell"]: r for r in placed.where(is_query).groupBy("cell").agg(F.max("b").alias("radius"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()}
-    nearest = F.row_number().over(_window("cell", "b"))
-    close = placed.select("cell", "b").withColumn("r", nearest).where(F.col("r") <= k + 1).collect()
-    p, n_cells = centers, len(centers)
-    dots, sizes = p @ p.T, np.sqrt((p * p).sum(1)) if n_cells else np.zeros(0)
-    need = np.full((n_cells, n_cells), np.inf)
-    for i, g in groups.items():
-        slack = 1e-6 * (1 + abs(dots[i]).max())
-        low = sorted((dots[i, r["cell"]] - g["radius"] * sizes[r["cell"]] - g["norm"] * r["b"] for r in close), reverse=True)
-        # The query itself is one of the rows behind these bounds.
-        bound = low[k] if len(low) > k else -np.inf
-        need[i] = (bound - slack - dots[i] - g["radius"] * sizes) / max(g["norm"], 1e-300)
-    blocks = {i: -(-g["n"] // QUERY_BLOCK) for i, g in groups.items()}
-    targets = [(i, q) for i in sorted(groups) for q in range(blocks[i])]
-    chunks = max(1, -(-placed.count() // DATA_BLOCK))
+            best = np.sort(np.concatenate((best, x @ p.T - np.sqrt((x * x).sum(1))[:, None] * radius)), axis=0)[-k - 1 :]
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(p), dtype=np.int32), k + 1)), pa.array(best.ravel())], ["cell", "low"])
+
+    least = np.full(len(p), -np.inf)
+    # The query itself is one of the rows behind these bounds, so the one after the k-th counts.
+    ranked = ints.where(usual).mapInArrow(bounds, "cell int, low double").withColumn("r", F.row_number().over(_window("cell", F.desc("low"))))
+    for r in ranked.where(F.col("r") == k + 1).collect():
+        least[r["cell"]] = r["low"] - 1e-6 * (1 + abs(r["low"]))
+    blocks = {r["cell"]: -(-r["n"] // QUERY_BLOCK) for r in groups} | {-w: -(-n // QUERY_BLOCK) for w, n in asked.items() if w != width}
+    chunks = max(1, -(-ints.count() // DATA_BLOCK))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cell", "block", "chunk", "asks", "id", "v"]
+
+        def rows_of(part: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, block: np.ndarray, chunk: np.ndarray, asks: bool) -> pa.RecordBatch:
+            taken = part.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (cell, block, chunk)), pa.array(np.full(len(at), asks)), *taken.columns], names)
+
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            cell, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            chunk = np.mod((ids * 0x9E3779B1) >> 7, chunks)
-            for i, q in targets:
-                at = np.flatnonzero(b >= need[i][cell])
+            sizes = np.fromiter(map(len, batch.column(1).to_pylist()), np.int64, batch.num_rows)
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                ids = part.column(0).to_numpy()
+                chunk = (mix(ids.view(U)) % U(chunks)).astype(np.int64)
+                if size == width and len(p):
+                    x = _matrix(part.column(1), "<i8").astype(float)
+                    high = x @ p.T + np.sqrt((x * x).sum(1))[:, None] * radius
+                    home, groups_of = _distances(x, p).argmin(1), [(c, np.flatnonzero(high[:, c] + 1e-6 * (1 + np.abs(high[:, c])) >= least[c])) for c in range(len(p)) if c in blocks]
+                else:
+                    home, groups_of = np.full(len(ids), -size), [(-size, np.arange(len(ids)))] if -size in blocks else []
+                for c, at in groups_of:
+                    for b in range(blocks[c]):
+                        yield rows_of(part, at, np.full(len(at), c), np.full(len(at), b), chunk[at], False)
+                at = np.flatnonzero(ids % every == 0)
                 if len(at):
-                    t = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(np.full(len(at), q, np.int32)), pa.array(chunk[at].astype(np.int32)), pa.array(np.zeros(len(at), bool)), batch.column(0).take(t), batch.column(1).take(t)], names)
-            at = np.flatnonzero(ids % every == 0)
-            for c in range(chunks) if len(at) else ():
-                t = pa.array(at)
-                block = [(h * 0x85EBCA6B >> 9) % blocks[i] for h, i in zip(ids[at].tolist(), cell[at].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(t), pa.array(block, pa.int32()), pa.array(np.full(len(at), c, np.int32)), pa.array(np.ones(len(at), bool)), batch.column(0).take(t), batch.column(1).take(t)], names)
+                    block = (mix(ids[at].view(U) + U(1)) % np.array([blocks[c] for c in home[at].tolist()], U)).astype(np.int64)
+                    for c in range(chunks):
+                        yield rows_of(part, at, home[at], block, np.full(len(at), c), True)
 
     def solve(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -133,18 +148,20 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
             order = np.argsort(d_ids, kind="stable")
             d_ids, d = d_ids[order], d[order]
             small = float(abs(q).max()) * float(abs(d).max()) * q.shape[1] < _EXACT
-            scores = (q.astype(float) @ d.T.astype(float)).astype(np.int64) if small else q @ d.T
-            for row, own in zip(scores, q_ids.tolist()):
-                other = np.flatnonzero(d_ids != own)
-                s = row[other]
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    other, s = other[s >= least], s[s >= least]
-                best = np.argsort(-s, kind="stable")[:k]
-                out.extend((own, v, int(w)) for v, w in zip(d_ids[other[best]].tolist(), s[best].tolist()))
+            for low in range(0, len(q), 256):
+                part = q[low : low + 256]
+                scores = (part.astype(float) @ d.T.astype(float)).astype(np.int64) if small else part @ d.T
+                for row, own in zip(scores, q_ids[low : low + 256].tolist()):
+                    other = np.flatnonzero(d_ids != own)
+                    s = row[other]
+                    if len(s) > k:
+                        lowest = np.partition(s, len(s) - k)[len(s) - k]
+                        other, s = other[s >= lowest], s[s >= lowest]
+                    best = np.argsort(-s, kind="stable")[:k]
+                    out.extend((own, v, int(w)) for v, w in zip(d_ids[other[best]].tolist(), s[best].tolist()))
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.int64())})
 
-    dealt = placed.mapInArrow(deal, "cell int, block int, chunk int, asks boolean, id long, v binary")
+    dealt = ints.mapInArrow(deal, "cell int, block int, chunk int, asks boolean, id long, v binary")
     local = dealt.groupBy("cell", "block", "chunk").applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(_window("query_id", F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -156,19 +173,23 @@ def _window(key: str, *order):
     return Window.partitionBy(key).orderBy(*order)
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int = PIVOTS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", pivots: int | None = None) -> DataFrame:
     """Exact metric range join: links of vectors with equal labels and cosine >= ``least``.
 
     Equal vectors of a label are one class with a count.  On unit vectors the
     cosine bound is a distance r.  A class belongs to the cell of its nearest
-    pivot p_i, and is replicated to cell j < i only if d(x, p_j) - d(x, p_i) <=
-    2r, which holds for every pair across the two cells.  Cells are joined in
-    blocks by matrix products; each gives counts and a spanning forest.
+    pivot p_i, and is replicated to cell j < i only if it lies within r of the
+    plane between both, d(x, p_j)^2 - d(x, p_i)^2 <= 2 r d(p_i, p_j), which by the
+    triangle inequality holds for every pair across the two cells.  Cells are
+    joined in blocks by matrix products; each gives counts and a spanning forest.
 
     Returns ``vec_id, n_links, component_id, kept`` for every row.  Rows with a
     null label, and null, empty, zero or non-finite vectors, link with nothing;
     vectors of different lengths never link; rows with equal ids and vectors
-    are separate vectors that link with each other.
+    are separate vectors that link with each other; rows with equal ids and other
+    vectors share the links and the component of their id.  A row with a null id
+    links with nothing, has no component and is kept.  An empty table gives an
+    empty result.
     """
     reach = float(np.sqrt(max(2 - 2 * least, 0.0))) + 1e-9
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
@@ -196,7 +217,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     length = F.length("unit")
     usual = units.groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = usual["n"] if usual else 8
-    centers = _pivots(units.where(length == width), "rep", "unit", "<f8", pivots)
+    count = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-(usual["count"] if usual else 0) // PIVOT_ROWS))) if pivots is None else pivots
+    centers = _pivots(units.where(length == width), "rep", "unit", "<f8", count)
+    apart = _distances(centers, centers)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["label", "cell", "home", "rep", "copies", "unit", "raw"]
@@ -209,7 +232,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
                     d = _distances(_matrix(part.column(5), "<f8"), centers)
                     own = d.argmin(1)
                     near = d[np.arange(n), own]
-                    sends = (d - near[:, None] <= 2 * reach + 1e-9) & (np.arange(len(centers))[None, :] <= own[:, None])
+                    sends = (d * d - (near * near)[:, None] <= 2 * reach * apart[own] + 1e-9) & (np.arange(len(centers))[None, :] <= own[:, None])
                     at, cell = np.nonzero(sends)
                     home = cell == own[at]
                 else:
@@ -237,14 +260,18 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
         own = table.column("own").to_numpy()
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         links = np.zeros(len(rep), np.int64)
-        parent = np.arange(len(rep))
-        forest: list[tuple[int, int]] = []
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+        label = np.arange(len(rep))
+
+        def join(x: np.ndarray, y: np.ndarray) -> None:
+            """Give linked rows one label, the smallest of their components so far."""
+            nonlocal label
+            while len(x):
+                a, b = label[x], label[y]
+                open_ = a != b
+                x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
 
         for at in range(0, len(left), 512):
             a = left[at : at + 512]
@@ -261,13 +288,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
             x_at, y_at = x_at[linked], y_at[linked]
             np.add.at(links, x_at, copies[y_at])
             np.add.at(links, y_at, copies[x_at])
-            for i, j in zip(x_at.tolist(), y_at.tolist()):
-                ri, rj = root(i), root(j)
-                if ri != rj:
-                    parent[max(ri, rj)] = min(ri, rj)
-                    forest.append((i, j))
-        some = np.flatnonzero(links)
-        src, dst = [int(rep[i]) for i, _ in forest], [int(rep[j]) for _, j in forest]
+            join(x_at, y_at)
+        some, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rep)))
+        src, dst = rep[moved].tolist(), rep[label[moved]].tolist()
         return pa.table(
             {
                 "rep": pa.array([*rep[some].tolist(), *src], pa.int64()),
@@ -284,5 +307,5 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     joined = rows.drop("v").join(members, (F.col("label") == F.col("m_label")) & (F.col("h1") == F.col("m_h1")) & (F.col("h2") == F.col("m_h2")), "left")
     component = F.coalesce("component", "id")
     return joined.select(
-        F.col("id").alias("vec_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
+        F.col("id").alias("vec_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
