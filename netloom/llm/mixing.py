@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.plans.shared import materialize
+from netloom.plans.shared import materialize, quoted
 
 #: Bits of the hash, and bits that one histogram resolves.
 HASH_BITS, STEP_BITS = 60, 12
@@ -58,7 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def _digest(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("place"))
+    key, text, source = (F.col(quoted(c)) for c in (id_col, text_col, source_col))
+    return docs.select(key.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), place(key).alias("place"))
 
 
 def mixing_rules(digest: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -101,11 +102,10 @@ def mixing_rules(digest: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     return targets.alias("t").join(last.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(F.col("t.source").alias("s"), "source_size", "target", "whole", "last")
 
 
-def copies_of(rules_place: Column | None = None) -> Column:
+def copies_of() -> Column:
     """How often the mix takes a document, from the rules' columns and its place."""
     # Without a threshold the source is taken whole times only.
-    at = F.col("place") if rules_place is None else rules_place
-    return F.col("whole") + F.when(F.col("last").isNotNull() & (at <= F.col("last")), 1).otherwise(0)
+    return F.col("whole") + F.when(F.col("last").isNotNull() & (F.col("place") <= F.col("last")), 1).otherwise(0)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -125,13 +125,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken, rows without words left out."""
+    """The mix itself: rows of ``docs`` as often as they are taken, rows without words left out.
+
+    Columns pass through whatever their names are.
+    """
     digest = materialize(_digest(docs, id_col, text_col, source_col), "mix")
     rules = materialize(mixing_rules(digest, weights, most), "mix-rules")
-    placed = docs.withColumn("_place", place(F.col(id_col))).withColumn("_size", word_count(F.col(text_col))).where("_size > 0")
-    joined = placed.join(rules, placed[source_col].eqNullSafe(rules["s"]))
-    taken = joined.withColumn("_copies", copies_of(F.col("_place")).cast("int")).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+    placed = docs.select(whole, F.col(quoted(source_col)).alias("source"), place(F.col(quoted(id_col))).alias("place"), word_count(F.col(quoted(text_col))).alias("size")).where("size > 0")
+    joined = placed.join(rules, placed["source"].eqNullSafe(rules["s"]))
+    taken = joined.select("row", copies_of().cast("int").alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mixing_sql(docs: str, levels: int = 0) -> str:
