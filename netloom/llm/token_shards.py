@@ -11,6 +11,7 @@ one hash: bucket, displacement, slot, fingerprint, offset.
 from __future__ import annotations
 
 import json
+import math
 import struct
 import uuid
 import zlib
@@ -29,8 +30,8 @@ from netloom.plans.shared import materialize, new_path, plan_bytes
 MAGIC = b"NLTOK001"
 #: Keys for each hash bucket of the index, and ids at which a shard is closed.
 BUCKET_KEYS, SHARD_IDS = 4, 8 << 20
-#: Plan bytes for each range of documents.
-RANGE_BYTES = 8 << 20
+#: Plan bytes for each of the first ranges of documents, and the power of the size by which their number grows.
+RANGE_BYTES, RANGE_POWER = 4 << 20, 0.75
 _DIRECT = 1 << 31
 
 
@@ -108,8 +109,69 @@ def shard_bytes(keys: np.ndarray, payloads: list[bytes], width: int) -> bytes:
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *(x.tobytes() for x in parts.values())])
 
 
+class ShardFile:
+    """Keyed access to the ids of one shard file, of which it reads a few bytes for each key."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+        magic, (size,) = file.read(8), struct.unpack("<I", file.read(4))
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.header, self.base = json.loads(file.read(size)), 12 + size
+
+    def _at(self, name: str, kind: str, first: int, count: int = 1) -> np.ndarray:
+        width = int(kind[2:])
+        self.file.seek(self.base + self.header["sections"][name][0] + first * width)
+        return np.frombuffer(self.file.read(count * width), kind)
+
+    def number(self, key: int, repeat: int = 0) -> int | None:
+        """Number of the document with this key, the ``repeat``-th of equal ones; None if there is none."""
+        n = self.header["n"]
+        if not n:
+            return None
+        h = key_hash(np.array([key], np.int64), np.array([repeat]), self.header["seed"])
+        d = self._at("displace", "<u4", int((h[0] >> U(33)) % U(self.header["sections"]["displace"][1] // 4)))
+        slot = int(d[0]) & (_DIRECT - 1) if int(d[0]) & _DIRECT else int(_slots(h, d, n)[0])
+        if self._at("finger", "<u4", slot)[0] != h[0] & U(0xFFFFFFFF):
+            return None
+        number = int(self._at("rank", "<u4", slot)[0])
+        return number if self._at("keys", "<i8", number)[0] == key else None
+
+    def count(self, key: int) -> int:
+        """Documents with this key, which stand together."""
+        first = self.number(key)
+        if first is None:
+            return 0
+        low, high = first, self.header["n"]
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._at("keys", "<i8", middle)[0] == key else (low, middle)
+        return low - first + 1
+
+    def ids_of(self, number: int) -> np.ndarray:
+        """Ids of a document as unsigned 32-bit integers."""
+        begin, end = self._at("begin", "<i8", number, 2).tolist()
+        return self._at("ids", f"<u{self.header['width']}", begin, end - begin).astype("<u4")
+
+
+def ids_of_key(manifest: DataFrame, folder: str, key: int, repeat: int = 0) -> np.ndarray | None:
+    """Ids of one document: the manifest's key ranges name its shard, the shard's index the place.
+
+    Documents with equal keys may go on in the next shard.  None if there is no such document.
+    """
+    fs, root = _store(folder)
+    named = manifest.where(F.lit(key).between(F.col("first_key"), F.col("last_key")))
+    for row in named.orderBy("part", "seq").select("file").toLocalIterator():
+        with fs.open_input_file(f"{root}/{row['file']}") as f:
+            shard = ShardFile(f)
+            if repeat < (count := shard.count(key)):
+                return shard.ids_of(shard.number(key, repeat))
+            repeat -= count
+    return None
+
+
 class TokenShard:
-    """Keyed access to the raw ids of one shard."""
+    """Keyed access to the raw ids of one shard that is in memory as a whole."""
 
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
@@ -144,13 +206,13 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all rows and write shards in ascending key order; return the manifest.
 
-    The manifest, ``part, seq, file, n_docs, n_ids, base``, names the files of
-    the attempts that counted: a lost or repeated task leaves at most a file
+    The manifest, ``part, seq, file, n_docs, n_ids, first_key, last_key, base``,
+    names the files of the attempts that counted: a lost or repeated task leaves at most a file
     that no manifest names.  Null texts are empty, null keys come first as key
     -2**63, rows with equal keys follow each other by text and are found by
     occurrence number.  An empty table gives an empty manifest.
     """
-    parts = max(8, -(-plan_bytes(docs, text_col) // RANGE_BYTES))
+    parts = max(8, math.ceil((plan_bytes(docs, text_col) / RANGE_BYTES) ** RANGE_POWER))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -167,7 +229,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
             raw = shard_bytes(np.array(keys, np.int64), payloads, width)
             with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(raw)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(keys), "n_ids": held}], schema=manifest)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(keys), "n_ids": held, "first_key": keys[0], "last_key": keys[-1]}], schema=manifest)
 
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
@@ -183,10 +245,10 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
         if keys:
             yield close()
 
-    manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *[(c, pa.int64()) for c in ("n_docs", "n_ids", "first_key", "last_key")]])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    written = materialize(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long"), "shards")
+    written = materialize(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long, first_key long, last_key long"), "shards")
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
@@ -215,7 +277,7 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest.select("file", "base").repartition(max(8, manifest.count()))
+    files = manifest.select("file", "base").repartition(max(8, math.ceil(manifest.count() ** RANGE_POWER * 2)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
