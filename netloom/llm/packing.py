@@ -96,8 +96,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the rows of :func:`cut_pieces`.
 
-    Groups are dealt by hash of row content and a salt, so no key is hot.  A
-    group's sequences have ids of their own; every piece is placed exactly once.
+    Groups are dealt by the row's number in ``pieces``, which should be a written
+    table, so equal rows spread like any others.  A group's sequences have ids of
+    their own; every piece is placed exactly once.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
@@ -109,7 +110,7 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
         return table.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(groups)).cast("long"))
+    grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return grouped.groupBy("pack_group").applyInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
