@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.spans import U, hash_spans, mix
 from netloom.llm.suffix_sort import InducedSorter
-from netloom.plans.shared import materialize, plan_bytes
+from netloom.plans.shared import materialize, plan_bytes, quoted
 
 #: Bytes of a repeat, of an anchor's gram.
 LENGTH, GRAM = 100, 24
@@ -143,7 +143,7 @@ def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _NOTE = "part int, kind int, row long, blob binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "repeats_") -> DataFrame:
     """Remove each byte that a ``length``-byte string covers which also starts earlier.
 
     Texts are UTF-8 bytes, null is empty, matches stay inside documents, and
@@ -151,14 +151,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ids come first, rows with equal ids follow each other in row order.  Every
     string is judged on the input.  Returns ``doc_id, n_bytes, n_removed,
     n_spans, kept_sha256`` and ``kept_text``, the remaining bytes, decoded with
-    bytes that no longer form a character left out, for every row, after the
-    columns ``keep`` of ``docs``, which may have any names.
+    bytes that no longer form a character left out, for every row.  With ``keep``,
+    these columns of ``docs`` come first, and the names of the others get a
+    ``prefix``, which should make them differ from the names kept.
     """
     keep = keep or []
     parts = max(8, -(-plan_bytes(docs, text_col) // PART_BYTES))
     shards = max(4, parts // PARTS_A_SHARD)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *[F.col(quoted(c)).alias(f"kept_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     digest = base.select("part", "row", "doc", F.octet_length("body").alias("n"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(3), "body", F.lit(5)).alias("h2")).where(F.col("n") >= length)
     first = digest.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
@@ -332,4 +333,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     own = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     if not keep:
         return found.select(*own)
-    return found.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(f"repeats_{c}") for c in own])
+    return found.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(prefix + c) for c in own])

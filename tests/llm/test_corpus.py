@@ -16,6 +16,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netloom.llm import encoding, html_text, language, licenses, mixing, packing, queries, shingle_join, spans, suffix_dedup, suffix_sort, token_shards, vectors
@@ -339,6 +340,28 @@ def test_top_k(spark):
     assert got == sorted(want)
     assert vectors.exact_top_k(frame.limit(0)).count() == 0
     assert vectors.exact_top_k(frame.where("vec_id < 3")).count() == 2
+    assert vectors.exact_top_k(frame.where("vec_id = 1")).count() == 0
+
+
+def test_top_k_with_repeated_and_null_ids_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [3.0]), (None, [9.0, 9.0]), (50, [2.0]), (7, [])]
+    got = sorted(tuple(r) for r in vectors.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2, 50, 2).collect())
+    assert got == [(0, 1, 1, 8), (0, 2, 1, 8), (50, 1, 2, 24)]
+
+
+def test_top_k_prunes_clustered_vectors(spark):
+    """Groups of queries far apart: a row goes to its own group only, and results stay exact."""
+    rng = np.random.default_rng(8)
+    centers = np.eye(6) * 40
+    x = np.concatenate([c + rng.normal(scale=0.2, size=(60, 6)) for c in centers])
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vectors.exact_top_k(frame, 3, 10, 16, pivots=6).collect())
+    ints = np.floor(x * 16).astype(np.int64)
+    want = []
+    for q in range(0, 360, 10):
+        s = ints @ ints[q]
+        want += [(q, k + 1, j, int(s[j])) for k, j in enumerate([j for j in np.lexsort((np.arange(360), -s)).tolist() if j != q][:3])]
+    assert got == sorted(want)
 
 
 def test_near_vectors(spark):
@@ -359,6 +382,9 @@ def test_near_vectors(spark):
         r = got[i]
         assert (r.n_links, r.component_id, r.kept) == (near[i].sum() - 1, int(reach[i].argmax()), int(reach[i].argmax()) == i)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (500, 501, 502, 503))
+    odd = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (2, [0.0, 3.0], 1), (9, [1.0], 1), (8, [0.1, 3.0], 1)], "vec_id long, embedding array<double>, label int")
+    found = sorted(((r.vec_id or -1), r.n_links, r.component_id, r.kept) for r in vectors.near_duplicate_vectors(odd).collect())
+    assert found == [(-1, 0, None, True), (2, 1, 2, True), (4, 1, 4, True), (4, 1, 4, True), (8, 1, 2, False), (9, 0, 9, True)]
     assert vectors.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
@@ -374,6 +400,10 @@ def test_mixing(spark, texts):
     assert (got.taken <= 3 * got["size"]).all()
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == int(got[got["size"] > 0].copies.sum())
+    odd = docs.withColumnsRenamed({"lang": "row", "n_chars": "target", "component": "whole"}).withColumn("copies", F.lit("own")).withColumn("last", F.lit(1)).withColumn("a.b`c", F.col("doc_id"))
+    again = mixing.mixed_documents(odd).toPandas()
+    assert list(again.columns) == odd.columns and set(again["_size"]) == {2} and set(again["copies"]) == {"own"} and (again["a.b`c"] == again["doc_id"]).all()
+    assert sorted(again["doc_id"]) == sorted(r.doc_id for r in mixed.collect())
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     assert mixing.mix_sources(table(spark, [None, ""])).count() == 2
 
@@ -415,6 +445,19 @@ def test_token_shards(spark, texts):
     assert token_shards.token_id_output(spark, docs.limit(0), path, 1).count() == 0
 
 
+def test_ids_of_one_key(spark, texts, tmp_path, monkeypatch):
+    """Through the manifest and the index, with keys that go on in the next shard."""
+    monkeypatch.setattr(token_shards, "SHARD_IDS", 1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = [*range(len(texts)), *[7] * 2500]
+    manifest = token_shards.write_token_shards(table(spark, [*texts, *[f"text {k:05}" for k in range(2500)]], ids), str(tmp_path), path, 1)
+    coder = Tokenizer.from_file(path)
+    for key in (0, 4, len(texts) - 1):
+        assert token_shards.ids_of_key(manifest, str(tmp_path), key).tolist() == [*coder.encode(texts[key] or "", add_special_tokens=False).ids, 1]
+    assert token_shards.ids_of_key(manifest, str(tmp_path), 7, 2000).tolist() == [*coder.encode("text 02000", add_special_tokens=False).ids, 1]
+    assert token_shards.ids_of_key(manifest, str(tmp_path), 7, 2501) is None and token_shards.ids_of_key(manifest, str(tmp_path), -1) is None
+
+
 def test_shard_index():
     keys = np.sort(np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000))
     shard = token_shards.TokenShard(token_shards.shard_bytes(keys, [struct.pack("<I", k) for k in range(5000)], 4))
@@ -440,6 +483,35 @@ def test_packing(spark, texts):
     assert packing.best_fit_packing(table(spark, []), path, 2).count() == 0
 
 
+def test_packing_equal_rows_nulls_and_the_rule(spark, monkeypatch):
+    """Equal rows spread over the groups; bins are those of a naive search for the smallest sum of squares."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    rows = packing.pack(packing.materialize(packing.cut_pieces(table(spark, [None] * 3000, [None] * 3000), path, 2, 64), "pieces"), 64, 100).collect()
+    assert len(rows) == 3000 and len({r.sequence_id >> 36 for r in rows}) == 30 and {r.doc_id for r in rows} == {None}
+    rng = np.random.default_rng(5)
+    for capacity, top in ((20, 20), (20, 7), (64, 64)):
+        sizes = rng.integers(1, top + 1, 150)
+        bins, offsets = packing.sum_of_squares(sizes, capacity)
+        gaps: list[int] = []
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            s = int(sizes[i])
+
+            def squares(changed):
+                count = np.bincount([g for g in changed if 0 < g < capacity], minlength=capacity)
+                return int((count.astype(int) ** 2).sum())
+
+            options = [(squares([g - s if b == k else g for k, g in enumerate(gaps)]), gap, b) for b, gap in enumerate(gaps) if gap >= s]
+            gap = min(options)[1] if options else capacity
+            assert offsets[i] == capacity - gap
+            if options:
+                assert gaps[bins[i]] == gap
+                gaps[bins[i]] -= s
+            else:
+                assert bins[i] == len(gaps)
+                gaps.append(capacity - s)
+
+
 def test_licenses(spark):
     rows = ["The MIT License, mit license MIT\nLicense", None, "", "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0", "GNU General Public License", "amit license", "é mit license"]
     got = [r for r in licenses.license_scan(table(spark, rows)).orderBy("doc_id").collect()]
