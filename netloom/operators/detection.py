@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.curriculum import box_smooth
+
 #: Boxes of an image that enter suppression, and that leave it.
 MOST_BOXES, MOST_KEPT = 30_000, 300
 
@@ -97,42 +99,163 @@ def normalized_matrix(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("share", F.when(share >= 0.005, share)).drop("n")
 
 
-def precision_recall(marked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Running precision and recall by class in order of falling confidence; ``marked`` has ``tp`` 0/1."""
-    run = Window.partitionBy("cls").orderBy(F.desc("conf"), "image_id", "det_id")
-    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
-    curve = marked.withColumn("tpc", F.sum("tp").over(so_far)).withColumn("k", F.row_number().over(run))
+#: IoU levels at which a hit counts, and cells of confidence that running counts are cut into.
+LEVELS = tuple(round(0.5 + 0.05 * j, 2) for j in range(10))
+CONF_CELLS = 1000
+
+
+def mark_hits(detections: DataFrame, labels: DataFrame) -> DataFrame:
+    """``detections`` with the ``iou`` of their one-to-one match of the same class; 0 without one.
+
+    The best label of a detection and the best detection of a label do not
+    depend on the level, so one matching at the lowest level serves all: a
+    detection is a hit at each level that its IoU reaches.
+    """
+    pairs = iou_pairs(labels, detections, ["image_id", "cls"], 0.0).where(F.col("iou") >= LEVELS[0])
+    pairs = pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.gt_id").alias("gt_id"), F.col("b.det_id").alias("det_id"), "iou")
+    by_detection = Window.partitionBy("image_id", "det_id").orderBy(F.desc("iou"), F.desc("gt_id"))
+    by_label = Window.partitionBy("image_id", "gt_id").orderBy(F.desc("iou"), F.desc("det_id"))
+    one = pairs.withColumn("nth", F.row_number().over(by_detection)).where("nth = 1")
+    best = one.withColumn("nth", F.row_number().over(by_label)).where("nth = 1").select("image_id", "det_id", "iou")
+    return detections.join(best, ["image_id", "det_id"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+
+
+def running_hits(marked: DataFrame, labels: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Rank ``k`` and hits so far at each level, by class in order of falling confidence; ties by image and detection.
+
+    Rows are counted in cells of confidence, so that no class is one task's
+    work: a prefix sum over the cells of each class, then one inside each cell.
+    ``labels`` of the class come with each row; classes without labels drop out.
+    """
+    cell = F.floor(F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0)) * CONF_CELLS)
+    ones = [(F.col("iou") >= t).cast("long").alias(f"hit{j}") for j, t in enumerate(levels)]
+    rows = marked.select("cls", "image_id", "det_id", "conf", cell.alias("cell"), *ones)
+    names = [f"hit{j}" for j in range(len(levels))]
+    above = Window.partitionBy("cls").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("cls", "cell").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in names])
+    sums = sums.select("cls", "cell", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", *names)])
     counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))
-    return curve.join(counts, "cls").withColumn("recall", F.col("tpc") / (F.col("labels") + 1e-16)).withColumn("precision", F.col("tpc") / F.col("k"))
+    order = Window.partitionBy("cls", "cell").orderBy(F.desc("conf"), "image_id", "det_id")
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(sums, ["cls", "cell"]).join(counts, "cls")
+    total = F.array(*[F.col(f"before_{h}") + F.sum(h).over(inside) for h in names])
+    return joined.select("cls", "image_id", "det_id", "conf", "labels", (F.col("before_n") + F.row_number().over(order)).alias("k"), total.alias("hits"))
 
 
-def average_precision(curve: DataFrame, points: int = 101) -> DataFrame:
-    """Area under the precision envelope by ``points``-point interpolation.
+def precision_envelope(running: DataFrame, level: int = 0) -> DataFrame:
+    """The largest precision at each row's rank or a later one, by class, at one level.
 
-    The envelope at recall r is the largest precision at recall r or more, so a
-    grid point between two knots is interpolated between their envelopes, with
-    knots (0, 1) before and (1, 0) after the curve.  Only one row for each
-    distinct recall (its last) takes part, at most one for each label.
+    As in :func:`running_hits`, first over cells of confidence, then inside each.
     """
-    after = Window.partitionBy("cls").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    # Knots of equal recall: the right one bounds the interval to its right, the left one that to its left.
-    knots = curve.select("cls", F.col("k").cast("long").alias("k"), "recall", "precision")
-    edges = curve.groupBy("cls").agg(F.max("k").alias("n"))
-    ends = edges.select("cls", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision")).unionAll(
-        edges.select("cls", (F.col("n") + 1).cast("long"), F.lit(1.0), F.lit(0.0))
+    cell = F.floor(F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0)) * CONF_CELLS)
+    rows = running.select("cls", "image_id", "det_id", "k", cell.alias("cell"), (F.col("hits")[level] / F.col("k")).alias("precision"))
+    later = Window.partitionBy("cls").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    best = rows.groupBy("cls", "cell").agg(F.max("precision").alias("best")).withColumn("after", F.coalesce(F.max("best").over(later), F.lit(0.0)))
+    inside = Window.partitionBy("cls", "cell").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(best.drop("best"), ["cls", "cell"])
+    return joined.select("cls", "image_id", "det_id", F.greatest("after", F.max("precision").over(inside)).alias("envelope"))
+
+
+def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int = 101) -> DataFrame:
+    """``cls, level, ap``: area under the precision envelope on an even recall grid, by the trapezoid rule.
+
+    Between grid points the curve matters only through the first and the last
+    row of each cell of recall and the cell's largest precision, so rows are
+    reduced to these by one aggregation; all else runs on at most ``points``
+    rows for each class and level.  The curve starts in (0, 1) and ends in
+    (1, 0); rows of equal recall count by the last to their right.
+    """
+    last = points - 1
+    rows = running.select("cls", "k", "labels", F.posexplode("hits").alias("level", "hit")).where(F.col("level") < levels)
+    recall = F.col("hit") / (F.col("labels") + 1e-16)
+    knot = F.struct(recall.alias("r"), (F.col("hit") / F.col("k")).alias("p"))
+    cells = rows.withColumn("cell", F.ceil(recall * last - 1e-9)).groupBy("cls", "level", "cell").agg(F.min_by(knot, "k").alias("first"), F.max_by(knot, "k").alias("last"), F.max(F.col("hit") / F.col("k")).alias("best"))
+    grid = rows.select("cls", "level").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    on = ["cls", "level", "cell"]
+    by = Window.partitionBy("cls", "level").orderBy("cell")
+    to_here, behind = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
+    start, end = (F.struct(F.lit(r).alias("r"), F.lit(p).alias("p")) for r, p in ((0.0, 1.0), (1.0, 0.0)))
+    spans = grid.join(cells, on, "left").select(
+        *on, F.coalesce(F.last("last", True).over(to_here), start).alias("a"), F.coalesce(F.first("first", True).over(behind), end).alias("b"), F.coalesce(F.max("best").over(behind), F.lit(0.0)).alias("right")
     )
-    envelope = knots.unionAll(ends).withColumn("env", F.max("precision").over(after))
-    step = Window.partitionBy("cls").orderBy("k")
-    spans = envelope.select("cls", "recall", "env", F.lead("recall").over(step).alias("r2"), F.lead("env").over(step).alias("e2")).where("r2 is not null and r2 > recall")
-    low, high = F.ceil(F.col("recall") * (points - 1) - 1e-9), F.ceil(F.col("r2") * (points - 1) - 1e-9) - 1
-    grid = spans.where(high >= low).withColumn("g", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    x = F.col("g") / (points - 1)
-    value = F.col("env") + (F.col("e2") - F.col("env")) * (x - F.col("recall")) / (F.col("r2") - F.col("recall"))
-    weight = F.when(F.col("g") == 0, 0.5).otherwise(1.0)
-    return grid.groupBy("cls").agg((F.sum(value * weight) / (points - 1)).alias("ap"))
-
-
-def class_summary(curve: DataFrame, threshold: float) -> DataFrame:
-    """Precision, recall and F1 of each class at a confidence threshold."""
-    at = curve.where(F.col("conf") >= threshold).groupBy("cls").agg(F.max_by("precision", "k").alias("p"), F.max_by("recall", "k").alias("r"))
-    return at.withColumn("f1", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + 1e-16))
+    left, x = F.greatest(F.col("a.p"), F.col("right")), F.col("cell") / last
+    value = F.when(F.col("cell") == last, 0.0).otherwise(left + (F.col("right") - left) * (x - F.col("a.r")) / (F.col("b.r") - F.col("a.r")))
+    return spans.groupBy("cls", "level").agg((F.sum(value * F.when(F.col("cell") == 0, 0.5).otherwise(1.0)) / last).alias("ap"))
+
+
+def continuous_precision(running: DataFrame, level: int = 0) -> DataFrame:
+    """``cls, ap``: exact area under the envelope at one level, the sum over each step of recall."""
+    envelope = running.join(precision_envelope(running, level), ["cls", "image_id", "det_id"])
+    steps = envelope.groupBy("cls", "labels", F.col("hits")[level].alias("hit")).agg(F.max("envelope").alias("env")).where("hit > 0")
+    return steps.groupBy("cls").agg((F.sum("env") / (F.first("labels") + 1e-16)).alias("ap"))
+
+
+def confidence_curves(running: DataFrame, points: int = 1000) -> DataFrame:
+    """``cls, g, p, r``: precision and recall at the lowest level on an even grid of confidences g / (points - 1).
+
+    Interpolated between the last row at or above the confidence and the first
+    below; before the first row recall is 0 and precision 1, after the last row
+    both stay.  Rows are reduced to the first and last of each cell first.
+    """
+    last = points - 1
+    knot = F.struct("conf", (F.col("hits")[0] / (F.col("labels") + 1e-16)).alias("r"), (F.col("hits")[0] / F.col("k")).alias("p"))
+    cell = F.floor(F.col("conf") * last + 1e-9)
+    cells = running.withColumn("g", cell).groupBy("cls", "g").agg(F.min_by(knot, "k").alias("first"), F.max_by(knot, "k").alias("last"))
+    grid = cells.select("cls").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    falling = Window.partitionBy("cls").orderBy(F.desc("g"))
+    start = F.struct(F.lit(2.0).alias("conf"), F.lit(0.0).alias("r"), F.lit(1.0).alias("p"))
+    spans = grid.join(cells, ["cls", "g"], "left").select(
+        "cls", "g", F.coalesce(F.last("last", True).over(falling.rowsBetween(Window.unboundedPreceding, 0)), start).alias("a"), F.first("first", True).over(falling.rowsBetween(1, Window.unboundedFollowing)).alias("b")
+    )
+    share = (F.col("a.conf") - F.col("g") / last) / (F.col("a.conf") - F.col("b.conf"))
+    at = {c: F.when(F.col("b").isNull() | (F.col("a.conf") > 1), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * F.greatest(share, F.lit(0.0))) for c in "pr"}
+    return spans.select("cls", "g", at["p"].alias("p"), at["r"].alias("r"))
+
+
+def smoothing_half(points: int, fraction: float) -> int:
+    """Values on either side that a box filter over this fraction of a series takes; the filter's length is odd."""
+    return round(points * fraction * 2) // 2 // 2
+
+
+def best_f1(curves: DataFrame, points: int = 1000, fraction: float = 0.1, eps: float = 1e-16) -> DataFrame:
+    """``cls, g, p, r, f1`` at the grid point where the smoothed mean F1 of all classes is largest, ties to the first."""
+    f1 = curves.withColumn("f1", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + eps))
+    half = smoothing_half(points, fraction)
+    mean = f1.groupBy("g").agg(F.avg("f1").alias("f1")).withColumn("all", F.lit(0))
+    smooth = box_smooth(mean, half, "all", "g", "f1")
+    # Rounded, so that the order of a sum does not choose between equal points.
+    best = smooth.orderBy(F.desc(F.round("smooth", 12)), "g").limit(1).select("g")
+    return f1.join(F.broadcast(best), "g")
+
+
+def class_quality(running: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cls, labels, tp, fp, p, r, f1, ap50, ap`` of each class with labels and detections."""
+    at = best_f1(confidence_curves(running))
+    ap = average_precision(running).groupBy("cls").agg(F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
+    counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))
+    tp = F.bround(F.col("r") * F.col("labels"))
+    joined = at.join(ap, "cls").join(counts, "cls").withColumn("tp", tp)
+    return joined.select("cls", "labels", "tp", F.bround(F.col("tp") / (F.col("p") + 1e-16) - F.col("tp")).alias("fp"), "p", "r", "f1", "ap50", "ap")
+
+
+def mean_quality(quality: DataFrame) -> DataFrame:
+    """``mp, mr, map50, map, fitness`` over the classes; 0 without any."""
+    zero = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    means = quality.agg(zero("p").alias("mp"), zero("r").alias("mr"), zero("ap50").alias("map50"), zero("ap").alias("map"))
+    return means.withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
+
+
+def class_maps(quality: DataFrame, classes: int) -> DataFrame:
+    """``cls, map`` for each of ``classes`` numbers: the class's AP, or the mean of all where it has none."""
+    spark = quality.sparkSession
+    mean = quality.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("all"))
+    numbers = spark.range(classes).select(F.col("id").cast("int").alias("cls")).crossJoin(F.broadcast(mean))
+    return numbers.join(quality.select("cls", "ap"), "cls", "left").select("cls", F.coalesce("ap", "all").alias("map"))
+
+
+def box_and_mask(boxes: DataFrame, masks: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
+    """Means of both qualities side by side with the fitness of all eight, and the sum of both maps by class."""
+    means = mean_quality(boxes).crossJoin(F.broadcast(mean_quality(masks).select(*[F.col(c).alias(f"mask_{c}") for c in ("mp", "mr", "map50", "map", "fitness")])))
+    means = means.withColumn("fitness", F.col("fitness") + F.col("mask_fitness")).drop("mask_fitness")
+    sums = class_maps(boxes, classes).join(class_maps(masks, classes).withColumnRenamed("map", "mask"), "cls")
+    return means, sums.select("cls", (F.col("map") + F.col("mask")).alias("map"))

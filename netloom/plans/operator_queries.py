@@ -107,45 +107,102 @@ def confusion_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.normalized_matrix(confusion_matrix(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-_CURVE = """m as (select d.cls, d.image_id, d.det_id, d.conf, case when g.gt_id is not null then 1 else 0 end as tp from detections d left join ground_truth g on d.image_id = g.image_id and d.cls = g.cls and d.det_id = g.gt_id), n as (select cls, count(*) as labels from ground_truth group by cls),
- r as (select cls, image_id, det_id, conf, sum(tp) over (partition by cls order by conf desc, image_id, det_id rows between unbounded preceding and current row) as tpc, row_number() over (partition by cls order by conf desc, image_id, det_id) as k from m), c as (select r.cls, image_id, det_id, conf, k, tpc / (labels + 1e-16) as recall, tpc * 1e0 / k as prec from r join n on r.cls = n.cls)"""
+def _curve_sql(boxes: str = "detections", prefix: str = "") -> str:
+    """Marked detections, running counts at ten levels and AP, by the definition over all rows."""
+    p = prefix
+    return f"""{p}p as (select g.image_id, g.gt_id, d.det_id, {_IOU.format('g', 'd')} as iou from ground_truth g join {boxes} d on g.image_id = d.image_id and g.cls = d.cls),
+ {p}a as (select *, row_number() over (partition by image_id, det_id order by iou desc, gt_id desc) as j from {p}p where iou >= 0.5e0), {p}b as (select *, row_number() over (partition by image_id, gt_id order by iou desc, det_id desc) as i from {p}a where j = 1),
+ {p}m as (select d.cls, d.image_id, d.det_id, d.conf, coalesce(b.iou, 0e0) as iou from {boxes} d left join (select * from {p}b where i = 1) b on d.image_id = b.image_id and d.det_id = b.det_id), {p}n as (select cls, count(*) as labels from ground_truth group by cls),
+ {p}lv as (select cast(j as int) as level, round(0.5e0 + 0.05e0 * j, 2) as t from (select unnest(generate_series(0, 9)) as j) q),
+ {p}r as (select m.cls, level, image_id, det_id, conf, sum(case when iou >= t then 1 else 0 end) over (partition by m.cls, level order by conf desc, image_id, det_id rows between unbounded preceding and current row) as hits, row_number() over (partition by m.cls, level order by conf desc, image_id, det_id) as k from {p}m m cross join {p}lv),
+ {p}c as (select r.cls, level, image_id, det_id, conf, k, labels, hits, hits / (labels + 1e-16) as recall, hits * 1e0 / k as prec from {p}r r join {p}n n on r.cls = n.cls)"""
 
 
-def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ap_sql(boxes: str = "detections", prefix: str = "") -> str:
+    p = prefix
+    return f"""{_curve_sql(boxes, prefix)}, {p}q as (select cls, level, k, recall, prec from {p}c union all select cls, level, 0, 0e0, 1e0 from {p}n cross join {p}lv where cls in (select cls from {p}c) union all select cls, level, 1000000000, 1e0, 0e0 from {p}n cross join {p}lv where cls in (select cls from {p}c)),
+ {p}v as (select cls, level, k, recall, max(prec) over (partition by cls, level order by k rows between current row and unbounded following) as env from {p}q),
+ {p}w as (select cls, level, recall, env, lead(recall) over (partition by cls, level order by k) as r2, lead(env) over (partition by cls, level order by k) as e2 from {p}v), {p}g as (select i / 100e0 as x, i from (select unnest(generate_series(0, 99)) as i) s),
+ {p}y as (select w.cls, w.level, g.i, env + (e2 - env) * (g.x - recall) / (r2 - recall) as value from {p}w w join {p}g g on w.r2 > w.recall and g.x >= w.recall - 1e-11 and g.x < w.r2 - 1e-11), {p}ap as (select cls, level, sum(value * case when i = 0 then 0.5e0 else 1e0 end) / 100 as ap from {p}y group by cls, level)"""
+
+
+def _quality_sql(boxes: str = "detections", prefix: str = "") -> str:
+    """Class quality at the best point of the smoothed mean F1, from the nearest rows on both sides of each grid point."""
+    p = prefix
+    return f"""{_ap_sql(boxes, prefix)}, {p}z as (select cls, k, conf, recall, prec from {p}c where level = 0), {p}h as (select cast(i as bigint) as i, i / 999e0 as x from (select unnest(generate_series(0, 999)) as i) s), {p}cl as (select distinct cls from {p}z),
+ {p}l as (select cls, i, x, max(k) as ka from (select cl.cls, h.i, h.x, z.k from {p}cl cl cross join {p}h h left join (select cls, conf, max(k) as k from {p}z group by cls, conf) z on z.cls = cl.cls and z.conf >= h.x - 1e-12) s group by cls, i, x),
+ {p}f as (select l.cls, l.i, case when a.k is null then 0e0 when b.k is null then a.recall else a.recall + (b.recall - a.recall) * greatest(0e0, (a.conf - l.x) / (a.conf - b.conf)) end as r, case when a.k is null then 1e0 when b.k is null then a.prec else a.prec + (b.prec - a.prec) * greatest(0e0, (a.conf - l.x) / (a.conf - b.conf)) end as p
+  from {p}l l left join {p}z a on a.cls = l.cls and a.k = l.ka left join {p}z b on b.cls = l.cls and b.k = coalesce(l.ka, 0) + 1),
+ {p}fm as (select i, avg(2 * p * r / (p + r + 1e-16)) as f1 from {p}f group by i), {p}sm as (select a.i, sum(b.f1 * case when b.i = 0 then 1 + greatest(50 - a.i, 0) when b.i = 999 then 1 + greatest(a.i + 50 - 999, 0) else 1 end) / 101e0 as s from {p}fm a join {p}fm b on b.i between a.i - 50 and a.i + 50 group by a.i),
+ {p}best as (select i from {p}sm order by round(s, 12) desc, i limit 1),
+ {p}cq as (select f.cls, n.labels, round_even(r * n.labels, 0) as tp, round_even(round_even(r * n.labels, 0) / (p + 1e-16) - round_even(r * n.labels, 0), 0) as fp, p, r, 2 * p * r / (p + r + 1e-16) as f1, ap50, map as ap from {p}f f join {p}best bi on f.i = bi.i join {p}n n on n.cls = f.cls join (select cls, max(case when level = 0 then ap end) as ap50, avg(ap) as map from {p}ap group by cls) q on q.cls = f.cls)"""
+
+
+_MASKS = "masks as (select image_id, det_id, cls, conf, x1 + 6 as x1, y1 + 6 as y1, x2 - 6 as x2, y2 - 6 as y2 from detections)"
+
+
+def _running(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d, g = view(spark, sf_dir, "detections"), view(spark, sf_dir, "ground_truth")
-    hit = g.select("image_id", "cls", F.col("gt_id").alias("det_id"), F.lit(1).alias("hit"))
-    return detection.precision_recall(d.join(hit, ["image_id", "cls", "det_id"], "left").withColumn("tp", F.coalesce("hit", F.lit(0))), g)
+    return detection.running_hits(detection.mark_hits(d, g), g), g
 
 
-@query(f"with {_CURVE} select cls, image_id, det_id, round(max(prec) over (partition by cls order by k rows between current row and unbounded following), 6) as envelope from c", "detections ground_truth")
-def pr_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.class_quality(*_running(spark, sf_dir))
 
-    after = Window.partitionBy("cls").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return _curve(spark, sf_dir).select("cls", "image_id", "det_id", F.round(F.max("precision").over(after), 6).alias("envelope"))
 
+@query(f"with {_curve_sql()} select cls, image_id, det_id, k, hits as hits50, round(recall, 6) as recall, round(prec, 6) as precision from c where level = 0", "detections ground_truth")
+def running_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.col("hits")[0]
+    rows = _running(spark, sf_dir)[0]
+    return rows.select("cls", "image_id", "det_id", "k", hits.alias("hits50"), F.round(hits / (F.col("labels") + 1e-16), 6).alias("recall"), F.round(hits / F.col("k"), 6).alias("precision"))
 
-_AP = f"""{_CURVE}, q as (select cls, k, recall, prec from c union all select cls, 0, 0e0, 1e0 from n union all select cls, 1000000000, 1e0, 0e0 from n), v as (select cls, k, recall, max(prec) over (partition by cls order by k rows between current row and unbounded following) as env from q),
- w as (select cls, recall, env, lead(recall) over (partition by cls order by k) as r2, lead(env) over (partition by cls order by k) as e2 from v), g as (select i / 100e0 as x, i from (select unnest(generate_series(0, 100)) as i) s),
- y as (select w.cls, g.i, env + (e2 - env) * (g.x - recall) / (r2 - recall) as value from w join g on w.r2 > w.recall and g.x >= w.recall - 1e-11 and g.x < w.r2 - 1e-11), ap as (select cls, sum(value * case when i = 0 then 0.5e0 else 1e0 end) / 100 as ap from y group by cls)"""
 
+@query(f"with {_curve_sql()} select cls, image_id, det_id, round(max(prec) over (partition by cls order by k rows between current row and unbounded following), 6) as envelope from c where level = 0", "detections ground_truth")
+def pr_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.precision_envelope(_running(spark, sf_dir)[0]).withColumn("envelope", F.round("envelope", 6))
 
-@query(f"with {_AP} select cls, round(ap, 5) as ap from ap", "detections ground_truth")
+
+@query(f"with {_ap_sql()} select cls, level, round(ap, 5) as ap from ap", "detections ground_truth")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.average_precision(_curve(spark, sf_dir)).withColumn("ap", F.round("ap", 5))
+    return detection.average_precision(_running(spark, sf_dir)[0]).withColumn("ap", F.round("ap", 5))
+
 
+@query(f"with {_curve_sql()}, e as (select cls, k, labels, hits, max(prec) over (partition by cls order by k rows between current row and unbounded following) as env from c where level = 0), s as (select cls, labels, hits, max(env) as env from e where hits > 0 group by cls, labels, hits) select cls, round(sum(env) / (max(labels) + 1e-16), 5) as ap from s group by cls", "detections ground_truth")
+def continuous_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.continuous_precision(_running(spark, sf_dir)[0]).withColumn("ap", F.round("ap", 5))
 
-@query(f"with {_CURVE}, t as (select cls, max_by(prec, k) as p, max_by(recall, k) as r from c where conf >= 0.5e0 group by cls) select cls, round(p, 6) as p, round(r, 6) as r, round(2 * p * r / (p + r + 1e-16), 6) as f1 from t", "detections ground_truth")
+
+@query(f"with {_quality_sql()} select cls, labels, cast(tp as double) as tp, cast(fp as double) as fp, round(p, 5) as p, round(r, 5) as r, round(f1, 5) as f1, round(ap50, 5) as ap50, round(ap, 5) as ap from cq", "detections ground_truth")
 def class_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.class_summary(_curve(spark, sf_dir), 0.5).select("cls", *[F.round(c, 6).alias(c) for c in ("p", "r", "f1")])
+    found = _quality(spark, sf_dir)
+    return found.select("cls", "labels", "tp", "fp", *[F.round(c, 5).alias(c) for c in ("p", "r", "f1", "ap50", "ap")])
 
 
-@query(f"with {_AP}, t as (select cls, max_by(prec, k) as p, max_by(recall, k) as r from c where conf >= 0.5e0 group by cls) select round(avg(p), 5) as mp, round(avg(r), 5) as mr, round(avg(ap), 5) as map, round(0.1e0 * avg(ap) + 0.9e0 * avg(ap), 5) as fitness from t join ap on t.cls = ap.cls", "detections ground_truth")
+@query(f"with {_quality_sql()} select round(avg(p), 5) as mp, round(avg(r), 5) as mr, round(avg(ap50), 5) as map50, round(avg(ap), 5) as map, round(0.1e0 * avg(ap50) + 0.9e0 * avg(ap), 5) as fitness from cq", "detections ground_truth")
 def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = _curve(spark, sf_dir)
-    both = detection.class_summary(curve, 0.5).join(detection.average_precision(curve), "cls")
-    ap = F.avg("ap")
-    return both.agg(F.round(F.avg("p"), 5).alias("mp"), F.round(F.avg("r"), 5).alias("mr"), F.round(ap, 5).alias("map"), F.round(0.1 * ap + 0.9 * ap, 5).alias("fitness"))
+    return detection.mean_quality(_quality(spark, sf_dir)).select(*[F.round(c, 5).alias(c) for c in ("mp", "mr", "map50", "map", "fitness")])
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d, g = view(spark, sf_dir, "detections"), view(spark, sf_dir, "ground_truth")
+    masks = d.select("image_id", "det_id", "cls", "conf", *[(F.col(c) + 6).alias(c) for c in ("x1", "y1")], *[(F.col(c) - 6).alias(c) for c in ("x2", "y2")])
+    marked = (detection.mark_hits(boxes, g) for boxes in (d, masks))
+    return detection.box_and_mask(*(detection.class_quality(detection.running_hits(m, g), g) for m in marked), 14)
+
+
+_TWO = f"{_quality_sql()}, {_MASKS}, {_quality_sql('masks', 'k_')}"
+_MEANS = "select round(avg(b.p), 5) as mp, round(avg(b.r), 5) as mr, round(avg(b.ap50), 5) as map50, round(avg(b.ap), 5) as map, round(0.1e0 * avg(b.ap50) + 0.9e0 * avg(b.ap) + 0.1e0 * avg(m.ap50) + 0.9e0 * avg(m.ap), 5) as fitness, round(avg(m.p), 5) as mask_mp, round(avg(m.r), 5) as mask_mr, round(avg(m.ap50), 5) as mask_map50, round(avg(m.ap), 5) as mask_map from cq b join k_cq m on b.cls = m.cls"
+
+
+@query(f"with {_TWO} {_MEANS}", "detections ground_truth")
+def box_mask_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = _both(spark, sf_dir)[0]
+    return means.select(*[F.round(c, 5).alias(c) for c in ("mp", "mr", "map50", "map", "fitness", "mask_mp", "mask_mr", "mask_map50", "mask_map")])
+
+
+@query(f"with {_TWO} select cast(i.cls as int) as cls, round(coalesce(b.ap, (select avg(ap) from cq)) + coalesce(m.ap, (select avg(ap) from k_cq)), 5) as map from (select unnest(generate_series(0, 13)) as cls) i left join cq b on b.cls = i.cls left join k_cq m on m.cls = i.cls", "detections ground_truth")
+def box_mask_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir)[1].withColumn("map", F.round("map", 5))
 
 
 # Circuits: components are all boxes of an image (the SQL still takes boxes 1-3), terminals corners of all boxes, nodes middles of segments.
