@@ -203,33 +203,35 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     same = ["label", "h1", "h2"]
     classes = rows.where("good").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
 
-    def to_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.array(v, "<f8") for v in batch.column(batch.num_columns - 1).to_pylist()]
-            unit = []
-            for v in raw:
-                v = v / np.abs(v).max()
-                unit.append((v / np.sqrt((v * v).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(unit, pa.binary()), pa.array([v.tobytes() for v in raw], pa.binary())], [*same, "rep", "copies", "unit", "raw"])
+            raw = [np.array(v, "<f8").tobytes() for v in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(raw, pa.binary())], [*same, "rep", "copies", "raw"])
+
+    def units(raw: np.ndarray) -> np.ndarray:
+        """Rows of length 1; scaled by their largest component first, so squares neither overflow nor vanish."""
+        scaled = raw / np.abs(raw).max(1, keepdims=True)
+        return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
     label_kind = rows.schema["label"].dataType.simpleString()
-    units = materialize(classes.mapInArrow(to_unit, f"label {label_kind}, h1 long, h2 long, rep long, copies long, unit binary, raw binary"), "near")
-    length = F.length("unit")
-    usual = units.groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").first()
+    vectors = materialize(classes.mapInArrow(to_binary, f"label {label_kind}, h1 long, h2 long, rep long, copies long, raw binary"), "near")
+    length = F.length("raw")
+    usual = vectors.groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = usual["n"] if usual else 8
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-(usual["count"] if usual else 0) // PIVOT_ROWS))) if pivots is None else pivots
-    centers = _pivots(units.where(length == width), "rep", "unit", "<f8", count)
+    centers = _pivots(vectors.where(length == width), "rep", "raw", "<f8", count)
+    centers = units(centers) if len(centers) else centers
     apart = _distances(centers, centers)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "cell", "home", "rep", "copies", "unit", "raw"]
+        names = ["label", "cell", "home", "rep", "copies", "raw"]
         for batch in batches:
             sizes = np.fromiter(map(len, batch.column(5).to_pylist()), np.int64, batch.num_rows)
             for size in np.unique(sizes).tolist():
                 part = batch.take(pa.array(np.flatnonzero(sizes == size)))
                 n = part.num_rows
                 if size == width:
-                    d = _distances(_matrix(part.column(5), "<f8"), centers)
+                    d = _distances(units(_matrix(part.column(5), "<f8")), centers)
                     own = d.argmin(1)
                     near = d[np.arange(n), own]
                     sends = (d * d - (near * near)[:, None] <= 2 * reach * apart[own] + 1e-9) & (np.arange(len(centers))[None, :] <= own[:, None])
@@ -238,9 +240,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
                 else:
                     at, cell, home = np.arange(n), np.full(n, -size), np.ones(n, bool)
                 t = pa.array(at)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array(cell, pa.int32()), pa.array(home), *(part.column(c).take(t) for c in (3, 4, 5, 6))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(t), pa.array(cell, pa.int32()), pa.array(home), *(part.column(c).take(t) for c in (3, 4, 5))], names)
 
-    dealt = units.mapInArrow(deal, f"label {label_kind}, cell int, home boolean, rep long, copies long, unit binary, raw binary")
+    dealt = vectors.mapInArrow(deal, f"label {label_kind}, cell int, home boolean, rep long, copies long, raw binary")
     dealt = materialize(dealt, "near")
     filled = dealt.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("homes > 0")
     filled = filled.select("label", "cell", F.ceil(F.col("n") / DATA_BLOCK).cast("int").alias("blocks"))
@@ -256,7 +258,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     def solve(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         rep, copies, home = (table.column(c).to_numpy() for c in ("rep", "copies", "home"))
-        unit, raw = (_matrix(table.column(c).combine_chunks(), "<f8") for c in ("unit", "raw"))
+        raw = _matrix(table.column("raw").combine_chunks(), "<f8")
+        unit = units(raw)
         own = table.column("own").to_numpy()
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         links = np.zeros(len(rep), np.int64)
@@ -302,7 +305,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     solved = materialize(spread.groupBy("label", "cell", "low", "high").applyInArrow(solve, "rep long, links long, other long"), "near")
     parts = connected_components(solved.where("other is not null"), "rep", "other")
     counts = solved.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    members = units.select(*same, "rep", "copies").join(counts, "rep", "left").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
+    members = vectors.select(*same, "rep", "copies").join(counts, "rep", "left").join(parts.withColumnRenamed("vertex", "rep"), "rep", "left")
     members = members.select(*[F.col(c).alias(f"m_{c}") for c in same], F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "rep").alias("component"))
     joined = rows.drop("v").join(members, (F.col("label") == F.col("m_label")) & (F.col("h1") == F.col("m_h1")) & (F.col("h2") == F.col("m_h2")), "left")
     component = F.coalesce("component", "id")
