@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm.spans import U, hash_spans, mix
 from netloom.llm.suffix_sort import InducedSorter
-from netloom.plans.shared import materialize, plan_bytes, quoted
+from netloom.plans.shared import materialize, plan_bytes, quoted, steady
 
 #: Bytes of a repeat, of an anchor's gram.
 LENGTH, GRAM = 100, 24
@@ -156,6 +156,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ``prefix``, which should make them differ from the names kept.
     """
     keep = keep or []
+    # Rows are numbered where they are read, so every reading must give the same.
+    docs = steady(docs.select(*[F.col(quoted(c)) for c in dict.fromkeys([id_col, text_col, *keep])]), "texts")
     parts = max(8, -(-plan_bytes(docs, text_col) // PART_BYTES))
     shards = max(4, parts // PARTS_A_SHARD)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -171,10 +173,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         hashes = np.unique(_Part(left, right).runs(length, gram)[3]) if left.num_rows else np.zeros(0, U)
         bucket = (hashes % U(shards)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(shards + 1))
-        mine = [b for b in range(shards) if edge[b] < edge[b + 1]]
+        # Only shards that get something; there are never more of them than grams.
+        mine, edge = np.unique(bucket[order], return_index=True)
+        blobs = [hashes[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
         part = left.column("part")[0].as_py() if left.num_rows else -1
-        return pa.table({"bucket": pa.array(mine, pa.int32()), "part": pa.array([part] * len(mine), pa.int32()), "blob": pa.array([hashes[order[edge[b] : edge[b + 1]]].tobytes() for b in mine], pa.binary())})
+        return pa.table({"bucket": pa.array(mine, pa.int32()), "part": pa.array([part] * len(mine), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(b, U) for b in table.column("blob").to_pylist()]
@@ -213,15 +216,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         sent = sent[(times[inverse] > 1) | np.isin(left_over, elsewhere, assume_unique=True)[inverse]]
         shard = (mix(hashes[sent]) % U(shards)).astype(np.int64)
         by = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[by], np.arange(shards + 1))
-        rows = []
         me = left.column("part")[0].as_py()
-        for s in range(shards):
-            mine = sent[by[edge[s] : edge[s + 1]]]
-            if len(mine) or marks and s == me % shards:
-                heads = np.stack([part.doc[number[mine]], part.row[number[mine]], start[mine], windows[mine]], 1).astype("<i8").tobytes()
-                body = b"".join([data[o : o + w + length - 1] for o, w in zip(origin[mine].tolist(), windows[mine].tolist())])
-                rows.append({"shard": s, "part": me, "heads": heads, "bytes": body, "marks": marks if s == me % shards else b""})
+        rows = [{"shard": me % shards, "part": me, "heads": b"", "bytes": b"", "marks": marks}] if marks else []
+        found, edge = np.unique(shard[by], return_index=True)
+        for s, a, b in zip(found.tolist(), edge, [*edge[1:], len(by)]):
+            mine = sent[by[a:b]]
+            heads = np.stack([part.doc[number[mine]], part.row[number[mine]], start[mine], windows[mine]], 1).astype("<i8").tobytes()
+            body = b"".join([data[o : o + w + length - 1] for o, w in zip(origin[mine].tolist(), windows[mine].tolist())])
+            rows.append({"shard": s, "part": me, "heads": heads, "bytes": body, "marks": b""})
         return pa.Table.from_pylist(rows, schema=schema)
 
     notes = copies.unionAll(common)
