@@ -71,6 +71,38 @@ def spice_fallback(text: Column) -> Column:
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(looks, F.lit("")))
 
 
+def issue_list(value: Column) -> Column:
+    """Issues of a reply as strings: a JSON list without its empty entries, a string as the only one, else none.
+
+    Empty are null, "", 0, false, [] and {}; entries that are no strings keep their JSON text.
+    """
+    entries = F.filter(F.from_json(value, "array<string>"), lambda x: x.isNotNull() & ~x.isin("", "0", "0.0", "false", "[]", "{}"))
+    text = F.from_json(F.concat(F.lit('{"v": '), value, F.lit("}")), "v string")["v"]
+    none = F.array().cast("array<string>")
+    return F.when(F.trim(value).startswith("["), F.coalesce(entries, none)).when(F.trim(value).startswith('"') & (text != ""), F.array(text)).otherwise(none)
+
+
+def coordinates(text: Column) -> Column:
+    """All ``(x, y)`` pairs of whole numbers in a text, in order, as an array of structs."""
+    places = r"\((\d+),\s*(\d+)\)"
+    x, y = (F.regexp_extract_all(text, F.lit(places), F.lit(i)) for i in (1, 2))
+    return F.zip_with(x, y, lambda a, b: F.struct(a.cast("long").alias("x"), b.cast("long").alias("y")))
+
+
+def run_stamp(ts: Column) -> Column:
+    """Second of a time as the suffix of a run's name."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def iso_second(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def plain_date(ts: Column) -> Column:
+    """Year, month and day without leading zeros."""
+    return F.concat_ws("-", F.year(ts), F.month(ts), F.day(ts))
+
+
 def data_url(binary: Column, kind: str = "image/png") -> Column:
     """Binary content as a data URL; the line breaks that Spark puts after 76 characters are taken out."""
     return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(binary), F.lit("\r\n"), F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,26 +70,51 @@ def greedy_groups(segments: DataFrame, radius: float = 40.0) -> DataFrame:
     tested again, so this is no transitive closure.
     """
 
-    def group(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("seg_id").to_numpy(), kind="stable")
-        ends = np.stack([[table.column(c).to_numpy()[order] for c in p] for p in (("x1", "y1"), ("x2", "y2"))]).astype(float)
-        label = np.zeros(len(order), np.int64)
-        count = 0
-        for i in range(len(order)):
-            if label[i]:
-                continue
-            count += 1
-            label[i] = count
-            members = [i]
-            for j in range(i + 1, len(order)):
-                if not label[j]:
-                    gap = ends[:, None, :, members] - ends[None, :, :, [j]]
-                    if ((gap**2).sum(2) <= radius * radius).any():
-                        label[j] = count
-                        members.append(j)
-        return pa.table({"image_id": table.column("image_id").take(pa.array(order)), "seg_id": table.column("seg_id").take(pa.array(order)), "label": pa.array(label)})
+    kind = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
 
-    return segments.select("image_id", "seg_id", "x1", "y1", "x2", "y2").groupBy("image_id").applyInArrow(group, "image_id long, seg_id long, label long")
+    def labels(ends: np.ndarray) -> np.ndarray:
+        """Group numbers of one image's segments; ``ends`` is (segments, 2 ends, 2 coordinates)."""
+        label, count = np.zeros(len(ends), np.int64), 0
+        while len(free := np.flatnonzero(label == 0)):
+            count += 1
+            rest, at = ends[free], 0
+            near = np.zeros(len(free), bool)
+            label[free[0]] = count
+            while True:
+                gap = rest[at + 1 :, :, None, :] - rest[at][None, None]
+                near[at + 1 :] |= ((gap**2).sum(3) <= radius * radius).any((1, 2))
+                later = np.flatnonzero(near[at + 1 :])
+                if not len(later):
+                    break
+                at += 1 + int(later[0])
+                label[free[at]] = count
+        return label
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            image = table.column("image_id").to_numpy()
+            ends = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], 1).astype(float).reshape(-1, 2, 2)
+            cuts = [*(np.flatnonzero(image[1:] != image[:-1]) + 1).tolist(), len(image)] if len(image) else []
+            found = [labels(ends[a:b]) for a, b in zip([0, *cuts], cuts)]
+            return table.select(["image_id", "seg_id"]).append_column("label", pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))).combine_chunks()
+
+        for batch in batches:
+            held.append(batch)
+            image = batch.column(0).to_numpy()
+            last = np.flatnonzero(image[1:] != image[:-1])
+            # All images but the last one are complete.
+            if len(last):
+                table = pa.Table.from_batches(held)
+                cut = table.num_rows - len(image) + int(last[-1]) + 1
+                yield from out(table.slice(0, cut)).to_batches()
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from out(pa.Table.from_batches(held)).to_batches()
+
+    rows = segments.select("image_id", "seg_id", "x1", "y1", "x2", "y2").repartition("image_id").sortWithinPartitions("image_id", "seg_id")
+    return rows.mapInArrow(group, f"image_id {kind['image_id']}, seg_id {kind['seg_id']}, label long")
 
 
 def segment_components(segments: DataFrame, radius: float) -> DataFrame:
@@ -130,19 +156,23 @@ def mask_iou(masks: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.mask_id").alias("a_id"), F.col("b.mask_id").alias("b_id"), (inter / (total("a.bits") + total("b.bits") - inter + F.lit(1e-7))).alias("iou"))
 
 
-def build_targets(boxes: DataFrame, anchors: DataFrame, cell: int = 8, ratio: float = 4.0) -> DataFrame:
-    """Anchor matches with at most two neighbour cells each.
+def build_targets(boxes: DataFrame, anchors: DataFrame, cells_x: int, cells_y: int, cell: int = 8, ratio: float = 4.0) -> DataFrame:
+    """Anchor matches on a grid of ``cells_x`` by ``cells_y``, with at most two neighbour cells each.
 
-    ``anchors`` has a handful of rows by definition of a detection head, so it
-    is the broadcast side; a box matches where no side ratio reaches ``ratio``.
+    A middle in the near half of its cell also gives the cell before it, one in
+    the far half that behind it, unless it lies in the grid's first or last
+    cell; cells beyond the grid are moved to its border.  ``anchors`` has a
+    handful of rows by definition of a detection head, so it is the broadcast
+    side; a box matches where no side ratio reaches ``ratio``.
     """
     pairs = boxes.crossJoin(F.broadcast(anchors))
     rw, rh = F.col("w") / F.col("aw"), F.col("h") / F.col("ah")
     fits = F.greatest(rw, 1 / rw, rh, 1 / rh) < ratio
     gx, gy = F.col("cx") / cell, F.col("cy") / cell
-    near = lambda g, dx, dy: F.when((g % 1 < 0.5) & (g > 1), F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")))
-    offsets = F.array_compact(F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")), near(gx, -1, 0), near(gy, 0, -1), *[F.when((g % 1 > 0.5), F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))) for g, dx, dy in ((gx, 1, 0), (gy, 0, 1))]))
+    step = lambda dx, dy: F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+    near = lambda g, dx, dy: F.when((F.pmod(g, F.lit(1.0)) < 0.5) & (g > 1), step(dx, dy))
+    offsets = F.array_compact(F.array(step(0.0, 0.0), near(gx, -0.5, 0.0), near(gy, 0.0, -0.5), near(cells_x - gx, 0.5, 0.0), near(cells_y - gy, 0.0, 0.5)))
     hit = pairs.where(fits).withColumn("o", F.explode(offsets))
-    return hit.select("image_id", "det_id", "anchor_id", (F.floor(gx) + F.col("o.dx")).alias("gi"), (F.floor(gy) + F.col("o.dy")).alias("gj"))
-
-
+    # Towards zero, as a cast does.
+    at = lambda g, d, n: F.least(F.greatest((g + F.col(f"o.{d}")).cast("long"), F.lit(0)), F.lit(n - 1)).cast("long")
+    return hit.select("image_id", "det_id", "anchor_id", at(gx, "dx", cells_x).alias("gi"), at(gy, "dy", cells_y).alias("gj"))

@@ -57,20 +57,24 @@ def weighted_draws(weights: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """``draws`` ids with replacement in proportion to ``weight``, from hashed uniforms.
 
     Weights are summed by bucket of the id's hash first, so the running sum is
-    over a bounded number of buckets, then inside each bucket.
+    over a bounded number of buckets, then inside each.  A sample's range of the
+    whole is cut into the ``draws`` equal cells that it touches, so draws find
+    it by an equi-join on their cell.  Weights are positive.
     """
     b = weights.withColumn("bucket", F.pmod(F.xxhash64("sample_id"), F.lit(1024)))
     sums = b.groupBy("bucket").agg(F.sum("weight").alias("w"))
     run = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("w").over(run), F.lit(0.0))).withColumn("all", F.sum("w").over(Window.partitionBy()))
     inside = Window.partitionBy("bucket").orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    spans = b.withColumn("until", F.sum("weight").over(inside)).join(sums, "bucket").select("sample_id", "bucket", "weight", (F.col("before") + F.col("until")).alias("until"))
-    spark = weights.sparkSession
+    until = (F.col("before") + F.sum("weight").over(inside)) / F.col("all")
+    spans = b.join(F.broadcast(sums), "bucket").select("sample_id", until.alias("until"), (F.col("weight") / F.col("all")).alias("share"))
+    low, high = F.greatest(F.floor((F.col("until") - F.col("share")) * draws - 1e-6), F.lit(0)), F.least(F.floor(F.col("until") * draws + 1e-6), F.lit(draws - 1))
+    cells = spans.withColumn("cell", F.explode(F.sequence(low, F.greatest(low, high))))
     uniform = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    asked = spark.range(draws).select(F.col("id").alias("draw"), uniform.alias("u"))
-    ranges = F.broadcast(sums.select("bucket", "before", (F.col("before") + F.col("w")).alias("end"), "all"))
-    placed = asked.join(ranges, (F.col("u") * F.col("all") >= F.col("before")) & (F.col("u") * F.col("all") < F.col("end")))
-    found = placed.join(spans, "bucket").where(F.col("u") * F.col("all") < F.col("until"))
+    asked = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform.alias("u"))
+    placed = asked.withColumn("cell", F.least(F.floor(F.col("u") * draws), F.lit(draws - 1))).join(cells, "cell")
+    # The last sample's end may lie a rounding error below a draw.
+    found = placed.where((F.col("u") < F.col("until")) | (F.col("until") > 1 - 1e-12))
     return found.groupBy("draw").agg(F.min_by("sample_id", "until").alias("sample_id"))
 
 
@@ -97,6 +101,50 @@ def interpolated(knots: DataFrame, key: str, x: str, y: str, points: int) -> Dat
     return grid.select(key, "g", value.alias("value"))
 
 
+def normalized_weights(state: DataFrame) -> DataFrame:
+    """``sample_id, weight``: 1 / (EMA loss + 0.1), 1 where never sampled, in shares of the sum of all."""
+    raw = state.select("sample_id", F.when(F.col("times") > 0, 1 / (F.col("ema") + 0.1)).otherwise(1.0).alias("w"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.sum("w").alias("all")))).select("sample_id", (F.col("w") / F.col("all")).alias("weight"))
+
+
+def smoothed_best(series: DataFrame, fraction: float, key: str, order: str, value: str) -> DataFrame:
+    """The row of each series where its mean over ``fraction`` of its length is largest, ties to the first.
+
+    The filter takes an odd number of values, ``round(n * fraction * 2) // 2 + 1``, made odd by its padding of half as many.
+    """
+    w, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
+    half = F.floor(F.floor(F.bround(F.count("*").over(whole) * fraction * 2) / 2) / 2)
+    runs = series.withColumn("_half", half).withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole)).withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = runs.groupBy(key).agg(F.min_by(value, "_k").alias("_a"), F.max_by(value, "_k").alias("_z"))
+    at = lambda shift, name: runs.select(F.col(key).alias("_key"), (F.col("_k") + shift).alias("_at"), F.col("_sum").alias(name))
+    high = runs.withColumn("_high", F.least(F.col("_k") + F.col("_half"), F.col("_n"))).withColumn("_low", F.greatest(F.col("_k") - F.col("_half") - 1, F.lit(0)))
+    upper, lower = at(0, "_s2"), at(0, "_s1").withColumnsRenamed({"_key": "_key1", "_at": "_at1"})
+    joined = high.join(ends, key).join(upper, (F.col(key) == F.col("_key")) & (F.col("_high") == F.col("_at"))).join(lower, (F.col(key) == F.col("_key1")) & (F.col("_low") == F.col("_at1")), "left")
+    padded = F.greatest(F.col("_half") + 1 - F.col("_k"), F.lit(0)) * F.col("_a") + F.greatest(F.col("_k") + F.col("_half") - F.col("_n"), F.lit(0)) * F.col("_z")
+    smooth = (F.col("_s2") - F.coalesce("_s1", F.lit(0.0)) + padded) / (2 * F.col("_half") + 1)
+    return joined.withColumn("smooth", smooth).groupBy(key).agg(F.min_by(order, F.struct(-F.round("smooth", 9), F.col("_k"))).alias("best"), F.max(F.round("smooth", 9)).alias("smooth"))
+
+
+def low_pass(series: DataFrame, cutoff: float, key: str, order: str, value: str) -> DataFrame:
+    """First-order low-pass filter run forward, then backward, so it shifts nothing; ``cutoff`` in cycles for each step.
+
+    Each pass is ``y += a * (x - y)`` from the first value, with a = d / (1 + d), d = 2 pi ``cutoff``.
+    """
+    import numpy as np
+
+    d = 2 * np.pi * cutoff
+    a = d / (1 + d)
+
+    def one_way(x: Column) -> Column:
+        start = F.struct(F.element_at(x, 1).alias("y"), F.slice(x, 1, 0).alias("out"))
+        step = lambda acc, v: F.struct((acc["y"] + a * (v - acc["y"])).alias("y"), F.concat(acc["out"], F.array(acc["y"] + a * (v - acc["y"]))).alias("out"))
+        return F.aggregate(x, start, step, lambda acc: acc["out"])
+
+    rows = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("h"))
+    both = F.reverse(one_way(F.reverse(one_way(F.transform("h", lambda x: x["v"])))))
+    return rows.select(key, F.explode(F.arrays_zip(F.transform("h", lambda x: x["o"]).alias("o"), both.alias("s"))).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.s").alias("smooth"))
+
+
 def gaussian_smooth(series: DataFrame, sigma: float, key: str, order: str, value: str) -> DataFrame:
     """Gaussian smoothing of each series, mirrored at its ends."""
     import numpy as np

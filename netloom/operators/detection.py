@@ -59,14 +59,21 @@ def merged_boxes(boxes: DataFrame, survivors: DataFrame, overlap: float = 0.45)
     return pairs.groupBy(F.col("a.image_id").alias("image_id"), F.col("a.det_id").alias("det_id")).agg(*means)
 
 
-def padded_top(boxes: DataFrame, per_class: int = 100, per_image: int = 100) -> DataFrame:
-    """Top ``per_class`` boxes of each class, then top ``per_image``, padded to that many with -1."""
+def padded_suppression(boxes: DataFrame, per_class: int = 100, per_image: int = 100, by_class: bool = True, confidence: float = 0.25, overlap: float = 0.45) -> DataFrame:
+    """Suppression with outputs of one length: ``per_image`` slots for each image, unused ones -1.
+
+    With ``by_class``, each class keeps at most ``per_class`` survivors before
+    the best of the image are taken; else classes suppress each other.  Images
+    without any survivor have empty slots only.
+    """
+    survivors = non_maximum_suppression(boxes, by_class, confidence, overlap, kept=2**31 - 1)
     in_class = Window.partitionBy("image_id", "cls").orderBy(F.desc("conf"), "det_id")
     in_image = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
-    top = boxes.withColumn("k", F.row_number().over(in_class)).where(F.col("k") <= per_class).withColumn("slot", F.row_number().over(in_image)).where(F.col("slot") <= per_image)
+    top = survivors.withColumn("nth", F.row_number().over(in_class)).where((F.col("nth") <= per_class) if by_class else F.lit(True))
+    top = top.withColumn("slot", F.row_number().over(in_image)).where(F.col("slot") <= per_image).drop("nth")
     slots = boxes.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(1), F.lit(per_image))).alias("slot"))
     joined = slots.join(top, ["image_id", "slot"], "left")
-    return joined.select("image_id", "slot", F.coalesce("det_id", F.lit(-1)).alias("det_id"), F.coalesce("conf", F.lit(-1.0)).alias("conf"))
+    return joined.select("image_id", "slot", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("det_id", "cls")], F.coalesce("conf", F.lit(-1.0)).alias("conf"))
 
 
 def match_labels(detections: DataFrame, labels: DataFrame, least: float = 0.45, confidence: float = 0.25) -> DataFrame:

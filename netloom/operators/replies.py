@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.text import component_count, netlist_nodes, spice_fallback, syntax_score
+
+# Names of power nodes.
+POWER_NODES = ("vdd", "vcc", "vss", "vee", "avdd", "dvdd", "v+", "v-")
 # Closing lines of a generated netlist.
 TAIL = ["*", "* Power supply", "VDD vdd 0 1.8", "*", "* Models", ".model NMOS NMOS (VTH0=0.4)", ".model PMOS PMOS (VTH0=-0.4)", "*", ".OP", ".END"]
 HEAD = ["* Auto-generated minimal netlist", "*", "* Components"]
@@ -54,3 +58,31 @@ def component_prompts(components: DataFrame) -> DataFrame:
 def first_answers(attempts: DataFrame) -> DataFrame:
     """First non-empty answer by attempt (retry loop as a table)."""
     return attempts.where(F.trim("response") != "").groupBy("request_id").agg(F.min_by("response", "attempt").alias("response"), F.min("attempt").alias("attempt"))
+
+
+def netlists_of_replies(replies: DataFrame, components: DataFrame) -> DataFrame:
+    """``image_id, spice_code`` of ``image_id, reply``: what the reply holds of a netlist, else one generated from the image's components."""
+    generated = minimal_netlists(components).withColumnRenamed("spice_code", "generated")
+    found = replies.select("image_id", spice_fallback(F.col("reply")).alias("spice_code"))
+    return found.join(generated, "image_id", "left").select("image_id", F.coalesce("spice_code", "generated", F.lit("\n".join([*HEAD, *TAIL]))).alias("spice_code"))
+
+
+def netlist_metrics(netlists: DataFrame, components: DataFrame, simulations: DataFrame) -> DataFrame:
+    """Syntax, simulation, topology and node scores of each image's netlist.
+
+    Topology is the share of components other than ground that the netlist has,
+    0.5 where there are none; ground and a power node score 1 for both, 0.7 for
+    one, 0.3 for none.  ``simulations`` has ``image_id, success``; without a row
+    the run did not succeed.
+    """
+    expected = components.where("ctype <> 'Ground'").groupBy("image_id").agg(F.count("*").alias("expected"))
+    code = F.col("spice_code")
+    nodes = F.transform(netlist_nodes(code), F.lower)
+    ground = F.array_contains(netlist_nodes(code), "0").cast("int")
+    power = F.exists(nodes, lambda n: n.isin(*POWER_NODES)).cast("int")
+    share = F.least(component_count(code), F.col("expected")) / F.col("expected")
+    joined = netlists.join(expected, "image_id", "left").join(simulations.select("image_id", "success"), "image_id", "left")
+    return joined.select(
+        "image_id", syntax_score(code).alias("syntax_valid"), F.when(F.coalesce("success", F.lit(False)), 1.0).otherwise(0.0).alias("simulation_runs"),
+        F.coalesce(share, F.lit(0.5)).alias("topology_preserved"), F.element_at(F.array(F.lit(0.3), F.lit(0.7), F.lit(1.0)), ground + power + 1).alias("node_match"),
+    )

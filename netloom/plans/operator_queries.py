@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import anchors, circuits, curriculum, detection, replies
+from netloom.operators import anchors, circuits, curriculum, detection, ordering, replies
 from netloom.plans.fixtures import tables, view, with_views
 from netloom.plans.portable import DIFFICULTY
 from netloom.sources import files, sinks
@@ -79,9 +79,28 @@ _merged = ORACLES["nms_merged"].split(" from p where")[0].split("p as (")[1] + "
 ORACLES["nms_merged"] = ORACLES["nms"].rsplit("select u.image_id, u.det_id", 1)[0].rstrip() + ", n as (select u.image_id, u.det_id" + ORACLES["nms"].rsplit("select u.image_id, u.det_id", 1)[1] + "), p as (" + _merged
 
 
-@query("with t as (select *, row_number() over (partition by image_id, cls order by conf desc, det_id) as k from detections), u as (select *, row_number() over (partition by image_id order by conf desc, det_id) as slot from t where k <= 2), g as (select image_id, slot from (select distinct image_id from detections) i cross join (select unnest([1, 2, 3, 4]) as slot) q) select g.image_id, cast(g.slot as int) as slot, coalesce(u.det_id, -1) as det_id, coalesce(u.conf, -1e0) as conf from g left join u on g.image_id = u.image_id and g.slot = u.slot", "detections")
+def _padded(spark: SparkSession, sf_dir: str, by_class: bool) -> DataFrame:
+    return detection.padded_suppression(view(spark, sf_dir, "detections"), 2, 4, by_class)
+
+
+def _padded_sql(name: str, by_class: bool) -> str:
+    head, tail = ORACLES[name].rsplit("select u.image_id, u.det_id", 1)
+    limit = "where k <= 2" if by_class else ""
+    return f"""{head.rstrip()}, sv as (select u.image_id, u.det_id{tail}), t as (select *, row_number() over (partition by image_id, cls order by conf desc, det_id) as k from sv), u2 as (select *, row_number() over (partition by image_id order by conf desc, det_id) as slot from t {limit}),
+ g as (select image_id, slot from (select distinct image_id from detections) i cross join (select unnest([1, 2, 3, 4]) as slot) q) select g.image_id, cast(g.slot as int) as slot, coalesce(u2.det_id, -1) as det_id, coalesce(u2.cls, -1) as cls, coalesce(u2.conf, -1e0) as conf from g left join u2 on g.image_id = u2.image_id and g.slot = u2.slot"""
+
+
+@query()
 def nms_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.padded_top(view(spark, sf_dir, "detections"), 2, 4)
+    return _padded(spark, sf_dir, True)
+
+
+@query()
+def nms_agnostic_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(spark, sf_dir, False)
+
+
+ORACLES["nms_padded"], ORACLES["nms_agnostic_padded"] = _padded_sql("nms", True), _padded_sql("nms_agnostic", False)
 
 
 _MATCH = f"""p as (select g.image_id, g.gt_id, d.det_id, g.cls as gt_cls, d.cls as det_cls, {_IOU.format('g', 'd')} as iou from ground_truth g join detections d on g.image_id = d.image_id and d.conf > 0.25e0),
@@ -205,8 +224,8 @@ def box_mask_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir)[1].withColumn("map", F.round("map", 5))
 
 
-# Circuits: components are all boxes of an image (the SQL still takes boxes 1-3), terminals corners of all boxes, nodes middles of segments.
-_PARTS = """comp as (select image_id, det_id as comp_id, (x1 + x2) / 2e0 as mx, (y1 + y2) / 2e0 as my from detections where det_id <= 3), term as (select image_id, det_id as term_id, cast(x1 as double) as tx, cast(y1 as double) as ty from detections),
+# Circuits: components are all boxes of an image, terminals corners of all boxes, nodes middles of segments.
+_PARTS = """comp as (select image_id, det_id as comp_id, (x1 + x2) / 2e0 as mx, (y1 + y2) / 2e0 as my from detections), term as (select image_id, det_id as term_id, cast(x1 as double) as tx, cast(y1 as double) as ty from detections),
  node as (select image_id, seg_id as node_id, (x1 + x2) / 2e0 as nx, (y1 + y2) / 2e0 as ny from segments)"""
 _NEAR = f"""{_PARTS}, nt0 as (select c.image_id, comp_id, term_id, tx, ty, row_number() over (partition by c.image_id, comp_id order by sqrt(power(mx - tx, 2) + power(my - ty, 2)), term_id) as rank from comp c join term t on c.image_id = t.image_id), nt as (select * from nt0 where rank <= 2)"""
 _MAPPED = f"""{_NEAR}, nd as (select t.image_id, comp_id, rank, node_id, sqrt(power(nx - tx, 2) + power(ny - ty, 2)) as dist, row_number() over (partition by t.image_id, comp_id, rank order by sqrt(power(nx - tx, 2) + power(ny - ty, 2)), node_id) as r from nt t join node n on t.image_id = n.image_id),
@@ -265,7 +284,7 @@ def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circuits.cluster_centroids(segments.join(circuits.greedy_groups(segments), ["image_id", "seg_id"]))
 
 
-@query("with n as (select image_id, count(*) as n from detections group by image_id), p as (select d.image_id, det_id as i, cast(x1 as double) as x, cast(y1 as double) as y, n from detections d join n on d.image_id = n.image_id union all select d.image_id, n + 1, cast(x1 as double), cast(y1 as double), n from detections d join n on d.image_id = n.image_id where det_id = 1), k as (select image_id, n, k, k * n / 7e0 as t from n cross join (select unnest([0, 1, 2, 3, 4, 5, 6, 7]) as k) s), l as (select *, least(cast(floor(t) as bigint), n - 1) as low from k) select l.image_id, cast(l.k as int) as k, round(a.x + (b.x - a.x) * (t - low), 4) as x, round(a.y + (b.y - a.y) * (t - low), 4) as y from l join p a on a.image_id = l.image_id and a.i = low + 1 join p b on b.image_id = l.image_id and b.i = low + 2", "detections")
+@query("with c as (select image_id, list(cast(x1 as double) order by det_id) as xs, list(cast(y1 as double) order by det_id) as ys, count(*) as n from detections group by image_id), r as (select image_id, n, list_append(xs, xs[1]) as xs, list_append(ys, ys[1]) as ys, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as k from c), l as (select *, k * n / 7e0 as t, least(cast(floor(k * n / 7e0) as bigint), n - 1) as low from r) select image_id, cast(k as int) as k, round(xs[low + 1] + (xs[low + 2] - xs[low + 1]) * (t - low), 4) as x, round(ys[low + 1] + (ys[low + 2] - ys[low + 1]) * (t - low), 4) as y from l", "detections")
 def polygon_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = view(spark, sf_dir, "detections").select("image_id", F.col("det_id").alias("idx"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y"))
     return circuits.resample_polygon(points, 8).select("image_id", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
@@ -279,12 +298,13 @@ def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with b as (select image_id, det_id, (x1 + x2) / 2e0 / 8 as gx, (y1 + y2) / 2e0 / 8 as gy, x2 - x1 as w, y2 - y1 as h from detections), a as (select * from (values (1, 60e0, 50e0), (2, 120e0, 90e0), (3, 200e0, 160e0)) as t(anchor_id, aw, ah)), m as (select * from b cross join a where greatest(w / aw, aw / w, h / ah, ah / h) < 4),
- o as (select image_id, det_id, anchor_id, gx, gy, 0 as dx, 0 as dy from m union all select image_id, det_id, anchor_id, gx, gy, -1, 0 from m where gx - floor(gx) < 0.5e0 and gx > 1 union all select image_id, det_id, anchor_id, gx, gy, 0, -1 from m where gy - floor(gy) < 0.5e0 and gy > 1 union all select image_id, det_id, anchor_id, gx, gy, 1, 0 from m where gx - floor(gx) > 0.5e0 union all select image_id, det_id, anchor_id, gx, gy, 0, 1 from m where gy - floor(gy) > 0.5e0)
- select image_id, det_id, anchor_id, cast(floor(gx) + dx as bigint) as gi, cast(floor(gy) + dy as bigint) as gj from o""", "detections")
+ o as (select *, 0e0 as dx, 0e0 as dy from m union all select *, -0.5e0, 0e0 from m where gx % 1 < 0.5e0 and gx > 1 union all select *, 0e0, -0.5e0 from m where gy % 1 < 0.5e0 and gy > 1 union all select *, 0.5e0, 0e0 from m where (64 - gx) - floor(64 - gx) < 0.5e0 and 64 - gx > 1 union all select *, 0e0, 0.5e0 from m where (48 - gy) - floor(48 - gy) < 0.5e0 and 48 - gy > 1)
+ select image_id, det_id, anchor_id, cast(least(greatest(trunc(gx + dx), 0), 63) as bigint) as gi, cast(least(greatest(trunc(gy + dy), 0), 47) as bigint) as gj from o""", "detections")
 def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "detections").select("image_id", "det_id", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
     a = spark.createDataFrame([(1, 60.0, 50.0), (2, 120.0, 90.0), (3, 200.0, 160.0)], "anchor_id int, aw double, ah double")
-    return circuits.build_targets(d, a)
+    # An image of 512 by 384 pixels, so that some boxes reach beyond the grid.
+    return circuits.build_targets(d, a, 64, 48)
 
 
 _EMA = "with recursive r(sample_id, step, ema) as (select sample_id, step, loss from losses where step = 1 union all select l.sample_id, l.step, 0.9e0 * r.ema + 0.1e0 * l.loss from r join losses l on l.sample_id = r.sample_id and l.step = r.step + 1), s as (select sample_id, max(step) as times, max_by(ema, step) as ema from r group by sample_id)"
@@ -326,6 +346,71 @@ def ramped_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sample_id", F.round(curriculum.ramped_ema(F.col("history")), 8).alias("ema"))
 
 
+@query()
+def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = curriculum.normalized_weights(curriculum.loss_state(view(spark, sf_dir, "losses")))
+    return found.withColumn("weight", F.round("weight", 8))
+
+
+ORACLES["sample_weights"] = "with recursive " + with_views(_EMA.replace("with recursive ", "with ") + ", w as (select sample_id, 1 / (ema + 0.1e0) as w from s) select sample_id, round(w / (select sum(w) from w), 8) as weight from w", ["losses"], "duckdb")[5:]
+
+
+@query(
+    """with n as (select sample_id, count(*) as n from losses group by sample_id), h as (select *, cast(floor(floor(round_even(n * 0.1e0 * 2, 0) / 2) / 2) as bigint) as half from n),
+ s as (select l.sample_id, l.step, sum(m.loss * (case when m.step = 1 then 1 + greatest(half + 1 - l.step, 0) else 1 end + case when m.step = n then greatest(l.step + half - n, 0) else 0 end)) / (2 * half + 1) as s from losses l join h on l.sample_id = h.sample_id join losses m on m.sample_id = l.sample_id and m.step between l.step - half and l.step + half group by l.sample_id, l.step, half),
+ r as (select sample_id, step, round(s, 9) as s, row_number() over (partition by sample_id order by round(s, 9) desc, step) as nth from s) select sample_id, step as best, round(s, 6) as smooth from r where nth = 1""",
+    "losses",
+)
+def smoothed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.smoothed_best(view(spark, sf_dir, "losses"), 0.1, "sample_id", "step", "loss").select("sample_id", "best", F.round("smooth", 6).alias("smooth"))
+
+
+@query()
+def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.low_pass(view(spark, sf_dir, "losses"), 0.05, "sample_id", "step", "loss")
+
+
+# Orders over all rows
+@query("with s as (select image_id, cast(max(y2) as double) / max(x2) as ar from detections group by image_id), b as (select image_id, ar, cast(floor((row_number() over (order by ar, image_id) - 1) / 16e0) as bigint) as batch from s) select batch, round(case when max(ar) < 1 then max(ar) else 1e0 end, 6) as shape_h, round(case when min(ar) > 1 then 1 / min(ar) else 1e0 end, 6) as shape_w, count(*) as images from b group by batch", "detections")
+def rect_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = view(spark, sf_dir, "detections").groupBy("image_id").agg((F.max("y2").cast("double") / F.max("x2")).alias("ar"))
+    return ordering.aspect_batches(images, 16).select("batch", F.round("shape_h", 6).alias("shape_h"), F.round("shape_w", 6).alias("shape_w"), "images")
+
+
+@query("select distinct image_id from detections order by image_id limit 101", "detections")
+def calibration_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "detections").select("image_id").distinct().orderBy("image_id").limit(101)
+
+
+_SHUFFLED = "doc_id * 2654435761 % 4294967296"
+
+
+@query(f"with r as (select doc_id, row_number() over (order by {_SHUFFLED}, doc_id) as k, count(*) over () as n from documents) select doc_id, case when k <= floor(n * 0.8e0) then 'train' when k <= floor(n * 0.8e0) + floor(n * 0.1e0) then 'val' else 'test' end as split from r")
+def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    return ordering.split_by_order(spark.table("documents").select("doc_id"), [F.expr(_SHUFFLED), "doc_id"])
+
+
+@query(f"with r as (select doc_id, row_number() over (order by {_SHUFFLED}, doc_id) - 1 as k, count(*) over () as n from documents), p as (select doc_id, k from r union all select doc_id, k + n as k from r where k < (4 - n % 4) % 4) select doc_id, cast(k % 4 as bigint) as shard from p")
+def rank_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    return ordering.rank_shards(spark.table("documents").select("doc_id"), [F.expr(_SHUFFLED), "doc_id"], 4)
+
+
+@query("select cast(row_number() over (order by image_id, det_id) - 1 as bigint) as id, image_id, cls as category_id, x1 as bbox_x, y1 as bbox_y, x2 - x1 as bbox_w, y2 - y1 as bbox_h, (x2 - x1) * (y2 - y1) as area, 0 as iscrowd from detections", "detections")
+def coco_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordering.numbered(view(spark, sf_dir, "detections"), ["image_id", "det_id"], "id")
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return rows.select("id", "image_id", F.col("cls").alias("category_id"), F.col("x1").alias("bbox_x"), F.col("y1").alias("bbox_y"), w.alias("bbox_w"), h.alias("bbox_h"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))
+
+
+@query("select image_id, det_id, cast(dense_rank() over (order by image_id) - 1 as bigint) as batch_index from detections", "detections")
+def collate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, "detections")
+    images = ordering.numbered(boxes.select("image_id").distinct(), ["image_id"], "batch_index")
+    return boxes.select("image_id", "det_id").join(images, "image_id")
+
+
 @query()
 def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = curriculum.loss_state(view(spark, sf_dir, "losses"))
@@ -354,7 +439,7 @@ def curve_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = view(spark, sf_dir, "detections").select((F.col("x2") - F.col("x1")).cast("double").alias("w"), (F.col("y2") - F.col("y1")).cast("double").alias("h"))
-    found = anchors.evolve_anchors(boxes, anchors.kmeans_anchors(boxes, 6), 3)
+    found = anchors.evolve_anchors(boxes, anchors.kmeans_anchors(boxes, 6))
     return spark.createDataFrame([(i, float(w), float(h)) for i, (w, h) in enumerate(found)], "anchor_id int, w double, h double")
 
 
@@ -381,11 +466,6 @@ def netlist_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "netlists").select("image_id", F.explode(T.netlist_nodes(F.col("spice_code"))).alias("node"))
 
 
-@query()
-def spice_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "netlists").select("image_id", T.spice_fallback(F.col("spice_code")).alias("code"))
-
-
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "detections").join(view(spark, sf_dir, "classes").withColumnRenamed("name", "ctype"), "cls")
 
@@ -403,7 +483,72 @@ def minimal_netlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.minimal_netlists(_typed(spark, sf_dir))
 
 
-@query("select conv_id, count(*) + 1 as n_messages from conversations group by conv_id")
+_REPLY = "case image_id % 3 when 0 then concat('Sure:', chr(10), '```spice', chr(10), spice_code, chr(10), '```') when 1 then concat('The netlist is', chr(10), spice_code) else '42 nothing here' end"
+
+
+@query()
+def spice_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replied = view(spark, sf_dir, "netlists").select("image_id", F.expr(_REPLY).alias("reply"))
+    return replies.netlists_of_replies(replied, _typed(spark, sf_dir))
+
+
+ORACLES["spice_fallback"] = with_views(
+    f"with mn as ({ORACLES['minimal_netlist']}), rp as (select image_id, spice_code, {_REPLY} as reply from netlists), ln as (select image_id, trim(unnest(string_split(reply, chr(10)))) as line, unnest(range(len(string_split(reply, chr(10))))) as i from rp where image_id % 3 <> 0),"
+    " lk as (select image_id, string_agg(line, chr(10) order by i) as code from ln where regexp_matches(line, '^[RCLMQVIDrclmqvid*.]') group by image_id)"
+    " select rp.image_id, case when rp.image_id % 3 = 0 then trim(rp.spice_code, ' ' || chr(10)) else coalesce(lk.code, mn.spice_code) end as spice_code from rp left join lk on rp.image_id = lk.image_id left join mn on rp.image_id = mn.image_id",
+    ["netlists"],
+    "duckdb",
+)
+
+
+@query(f"""with {_TYPES}, e as (select image_id, count(*) as expected from t where ctype <> 'Ground' group by image_id), l as (select image_id, trim(unnest(string_split(spice_code, chr(10)))) as line from netlists), c as (select image_id, count(case when line <> '' and substr(line, 1, 1) not in ('*', '.') and upper(substr(line, 1, 1)) in ('R', 'C', 'L', 'M', 'Q', 'V', 'I', 'D') then 1 end) as n, count(case when line <> '' and substr(line, 1, 1) not in ('*', '.') then 1 end) as k, max(case when substr(line, 1, 1) not in ('*', '.') and list_has_any(string_split(lower(line), ' ')[2:5], ['vdd', 'vcc', 'vss', 'vee', 'avdd', 'dvdd', 'v+', 'v-']) and len(string_split(line, ' ')) >= 3 then 1 else 0 end) as pw from l group by image_id)
+ select n.image_id, round(case when lower(spice_code) like '%.end%' then 0.3e0 else 0e0 end + case when spice_code like '% 0 %' then 0.3e0 else 0e0 end + case when k > 0 then 0.4e0 else 0e0 end, 6) as syntax_valid, case when n.image_id % 5 = 0 then 1e0 else 0e0 end as simulation_runs, round(coalesce(least(c.n, expected) * 1e0 / expected, 0.5e0), 6) as topology_preserved, case when pw = 1 then 0.7e0 else 0.3e0 end as node_match from netlists n join c on n.image_id = c.image_id left join e on e.image_id = n.image_id""", "netlists classes")
+def agent3_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    netlists = view(spark, sf_dir, "netlists")
+    runs = netlists.where("image_id % 5 < 2").select("image_id", (F.col("image_id") % 5 == 0).alias("success"))
+    found = replies.netlist_metrics(netlists, _typed(spark, sf_dir), runs)
+    return found.select("image_id", F.round("syntax_valid", 6).alias("syntax_valid"), "simulation_runs", F.round("topology_preserved", 6).alias("topology_preserved"), "node_match")
+
+
+_ISSUES = "case doc_id % 6 when 0 then concat('[\"', source, '\", \"\", 7, null, 0, \"x y\"]') when 1 then '\"one issue\"' when 2 then '\"\"' when 3 then 'null' when 4 then '{\"a\": 1}' else '[]' end"
+
+
+@query(f"with r as (select doc_id, source, {_ISSUES} as raw from documents), j as (select doc_id, case json_type(raw::json) when 'ARRAY' then list_filter(list_transform(json_extract(raw::json, '$[*]'), lambda x: case when json_type(x) = 'VARCHAR' then x ->> '$' else cast(x as varchar) end), lambda x: x not in ('', '0', 'null')) when 'VARCHAR' then list_filter([raw::json ->> '$'], lambda x: x <> '') else []::varchar[] end as issues from r where raw is not null) select doc_id, cast(len(issues) as bigint) as n, array_to_string(issues, '|') as issues from j")
+def normalized_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    rows = spark.table("documents").select("doc_id", F.expr(_ISSUES).alias("raw")).where("raw is not null").withColumn("issues", T.issue_list(F.col("raw")))
+    return rows.select("doc_id", F.size("issues").cast("long").alias("n"), F.array_join("issues", "|").alias("issues"))
+
+
+@query("with s as (select image_id, det_id, concat('from (', x1, ', ', y1, ') to (', x2, ',', y2, ') not (a, 1)') as line from detections), e as (select image_id, det_id, regexp_extract_all(line, '[(]([0-9]+),[ ]*([0-9]+)[)]', 1) as xs, regexp_extract_all(line, '[(]([0-9]+),[ ]*([0-9]+)[)]', 2) as ys from s) select image_id, det_id, cast(unnest([0, 1]) as int) as nth, cast(unnest(xs) as bigint) as x, cast(unnest(ys) as bigint) as y from e", "detections")
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.format_string("from (%d, %d) to (%d,%d) not (a, 1)", "x1", "y1", "x2", "y2")
+    rows = view(spark, sf_dir, "detections").select("image_id", "det_id", F.posexplode(T.coordinates(line)).alias("nth", "c"))
+    return rows.select("image_id", "det_id", "nth", "c.x", "c.y")
+
+
+@query("select event_id, concat(event_type, '_', strftime(ts, '%Y%m%d_%H%M%S')) as run_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, concat(year(ts), '-', month(ts), '-', day(ts)) as day from events")
+def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    ts = F.col("ts")
+    return spark.table("events").select("event_id", F.concat("event_type", F.lit("_"), T.run_stamp(ts)).alias("run_id"), T.iso_second(ts).alias("iso"), T.plain_date(ts).alias("day"))
+
+
+@query("select user_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 2) as elapsed_s from events group by user_id")
+def elapsed_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return spark.table("events").groupBy("user_id").agg(F.round((F.max(micros) - F.min(micros)) / 1e6, 2).alias("elapsed_s"))
+
+
+@query("with t as (select conv_id, turn, role, text from conversations), m as (select conv_id, list({'role': role, 'text': text} order by turn) as t, count(*) + 1 as n_messages from t group by conv_id) select conv_id, n_messages, md5(array_to_string(list_transform(list_prepend({'role': 'system', 'text': 'You read schematics.'}, t), lambda x: concat(x.role, chr(9), x.text)), chr(10))) as messages from m")
+def message_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = message_list(spark, sf_dir).withColumn("m", F.from_json("messages", "array<struct<role: string, text: string>>"))
+    text = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("\t"), x["text"])), "\n")
+    return found.select("conv_id", "n_messages", F.md5(text.cast("binary")).alias("messages"))
+
+
+@query()
 def message_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir)
     return replies.message_lists(spark.table("conversations"), "You read schematics.")
@@ -421,7 +566,7 @@ def retry_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.first_answers(rows)
 
 
-@query("select doc_id, concat('data:image/png;base64,', base64(encode(substr(text, 1, 20)))) as url from documents")
+@query("select doc_id, concat('data:image/png;base64,', base64(encode(text))) as url from documents")
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir)
     return spark.table("documents").select("doc_id", T.data_url(F.col("text").cast("binary")).alias("url"))
@@ -450,13 +595,14 @@ def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.image_files(spark, sf_dir.rstrip("/"), ("parquet",), True).select("path", "length").orderBy("path")
 
 
-@query("with l as (select image_id, det_id, concat(cast(cls as varchar), ' ', printf('%.6f %.6f %.6f %.6f', (x1 + x2) / 2e0 / 512, (y1 + y2) / 2e0 / 512, (x2 - x1) / 512e0, (y2 - y1) / 512e0)) as line from detections) select image_id, length(string_agg(line, chr(10) order by det_id)) as n_chars, count(*) as n_lines from l group by image_id", "detections")
+@query("with l as (select image_id, det_id, concat(cast(cls as varchar), ' ', printf('%.6f %.6f %.6f %.6f', (x1 + x2) / 2e0 / 512, (y1 + y2) / 2e0 / 512, (x2 - x1) / 512e0, (y2 - y1) / 512e0)) as line from detections) select image_id, string_agg(line, chr(10) order by det_id) as labels from l group by image_id", "detections")
 def yolo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sinks.label_files(view(spark, sf_dir, "detections"), 512, 512)
-    return out.select("image_id", F.length("labels").cast("long").alias("n_chars"), F.size(F.split("labels", "\n")).cast("long").alias("n_lines"))
+    return sinks.label_files(view(spark, sf_dir, "detections"), 512, 512)
 
 
-@query("select head, count(*) as n from (select 'components' as head from detections union all select 'wires' from segments union all select 'nodes' from segments) s group by head", "detections segments")
+@query("""with f as (select sample_id from samples where quality_tier = 'FAILED'), d as (select *, x1 / 512e0 as a, y1 / 512e0 as b, x2 / 512e0 as c, y2 / 512e0 as e from detections), s as (select image_id, x1 / 512e0 as a, y1 / 512e0 as b, x2 / 512e0 as c, y2 / 512e0 as e from segments),
+ l as (select 'components' as head, image_id, printf('%d %.6f %.6f %.6f %.6f', cls, (a + c) / 2, (b + e) / 2, c - a, e - b) as line from d union all select 'wires', image_id, printf('%d %.6f %.6f %.6f %.6f', 0, a, b, c, e) from s union all select 'nodes', image_id, printf('%d %.6f %.6f 2', 0, a, b) from s union all select 'terminals', image_id, printf('%d %.6f %.6f 2 %d t1', cls, a, b, det_id) from d)
+ select head, image_id, line from l where not exists (select 1 from f where f.sample_id = l.image_id)""", "detections segments samples")
 def multihead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = view(spark, sf_dir, "segments").select("image_id", F.col("x1").alias("nx"), F.col("y1").alias("ny"))
     boxes = view(spark, sf_dir, "detections")
@@ -475,7 +621,7 @@ def dataset_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.dataset_yaml(view(spark, sf_dir, "classes"), "out")
 
 
-@query()
+@query(f"with {_ADJACENT}, v as (select image_id, string_agg(concat('{{\"id\":', seg_id, '}}'), ',' order by seg_id) as v from segments group by image_id), k as (select image_id, string_agg(concat('{{\"source\":', a, ',\"target\":', b, '}}'), ',' order by a, b) as k from j group by image_id) select v.image_id, concat('{{\"nodes\":[', v, '],\"links\":[', coalesce(k, ''), ']}}') as graph from v left join k on v.image_id = k.image_id", "segments")
 def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = view(spark, sf_dir, "segments")
     edges = circuits.near_segments(segments, 40.0).select("image_id", F.col("a").alias("source"), F.col("b").alias("target"))
@@ -487,6 +633,27 @@ def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.detection_json(view(spark, sf_dir, "detections"))
 
 
+@query("select image_id, cast(count(*) as bigint) as total, md5(string_agg(concat_ws(',', det_id, cls, x1, y1, x2, y2, cast(round(conf * 1000) as bigint)), ';' order by det_id)) as boxes from detections group by image_id", "detections")
+def detection_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "struct<detections: array<struct<det_id: bigint, cls: int, conf: double, x1: bigint, y1: bigint, x2: bigint, y2: bigint>>, total: bigint>"
+    row = lambda d: F.concat_ws(",", *[d[c].cast("string") for c in ("det_id", "cls", "x1", "y1", "x2", "y2")], F.round(d["conf"] * 1000).cast("long").cast("string"))
+    read = detection_json(spark, sf_dir).withColumn("j", F.from_json("json", kind))
+    return read.select("image_id", "j.total", F.md5(F.array_join(F.transform("j.detections", row), ";").cast("binary")).alias("boxes"))
+
+
+_SCAN = "case when image_id % 11 = 0 then null when image_id % 13 = 0 then '' when cls = 5 then concat(cls, ' 1.5 0.5 0.1 0.1') else concat(cls, ' ', x1 % 10 / 10e0, ' 0.5 0.1 0.1') end"
+
+
+@query(f"with l as (select image_id, {_SCAN} as value from detections), u as (select distinct image_id, value from l where value <> ''), b as (select image_id, count(*) as n, max(case when value like '% 1.5 %' then 1 else 0 end) as bad from u group by image_id), i as (select distinct image_id from detections) select i.image_id, case when i.image_id % 11 = 0 then 'missing' when n is null then 'empty' when bad = 1 then 'corrupt' else 'found' end as status, case when bad = 0 then n else 0 end as boxes from i left join b on i.image_id = b.image_id", "detections")
+def dataset_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, "detections")
+    name = lambda folder, ending: F.concat(F.lit(f"data/{folder}/"), F.col("image_id").cast("string"), F.lit(ending))
+    images = boxes.select("image_id").distinct().select(name("images", ".png").alias("path"))
+    lines = boxes.select(name("labels", ".txt").alias("path"), F.expr(_SCAN).alias("value")).where("value is not null")
+    found = files.dataset_scan(images, lines)
+    return found.select(F.regexp_extract("path", "([0-9]+)[.]png", 1).cast("long").alias("image_id"), "status", "boxes")
+
+
 @query("select image_id, string_agg(concat(comp_id, ': ', node1, ' - ', coalesce(cast(node2 as varchar), 'null')), chr(10) order by comp_id) as report from (with {0} select * from mp) s group by image_id".replace("{0}", _MAPPED), "detections segments")
 def component_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = component_terminal_map(spark, sf_dir)

@@ -103,16 +103,13 @@ PORTABLE: dict[str, tuple[str, list[str], str]] = {
     "batch_stats": ("A06 A07 D24", ["stage_results"], "with i as (select image_id, avg(score) as conf, sum(tokens) as tokens, count(*) as calls from stage_results group by image_id), s as (select *, case when conf >= 0.8e0 then 'SUCCESS' when conf >= 0.5e0 then 'PARTIAL' when conf >= 0.1e0 then 'FAILED' else 'ERROR' end as status from i) select count(*) as total, cast(sum(case when status = 'SUCCESS' then 1 else 0 end) as bigint) as success, cast(sum(case when status = 'PARTIAL' then 1 else 0 end) as bigint) as partial_, cast(sum(case when status = 'FAILED' then 1 else 0 end) as bigint) as failed, cast(sum(case when status = 'ERROR' then 1 else 0 end) as bigint) as errors, cast(sum(tokens) as bigint) as tokens, cast(sum(calls) as bigint) as calls, round(sum(conf) / greatest(count(*), 1), 6) as mean_confidence from s"),
     "export_stats": ("A09", ["samples"], f"with d as ({DIFFICULTY}) select stage, count(*) as samples, cast(sum(case when needs_review then 1 else 0 end) as bigint) as needing_review, cast(sum(case when quality_tier <> 'FAILED' then 1 else 0 end) as bigint) as exported from d group by stage"),
     "refinement_counts": ("A10", [], "with c as (select user_id, case event_type when 'click' then 'component' when 'view' then 'wire' when 'purchase' then 'node' else 'terminal' end as target, case event_id % 3 when 0 then 'add' when 1 then 'remove' else 'modify' end as action from events) select user_id, cast(sum(case when target = 'component' and action = 'add' then 1 else 0 end) as bigint) as components_added, cast(sum(case when target = 'component' and action = 'remove' then 1 else 0 end) as bigint) as components_removed, cast(sum(case when target = 'wire' and action = 'add' then 1 else 0 end) as bigint) as wires_added, cast(sum(case when target = 'wire' and action = 'modify' then 1 else 0 end) as bigint) as wires_modified from c group by user_id"),
-    "weighted_score": ("A18", ["stage_results"], "with m as (select image_id, stage, max(score) as value from stage_results group by image_id, stage), w as (select * from (values ('click', 0.25e0), ('view', 0.3e0), ('purchase', 0.25e0)) as t(stage, weight)) select image_id, round(sum(value * coalesce(weight, 1e0)) / sum(coalesce(weight, 1e0)), 6) as score from m left join w on m.stage = w.stage group by image_id"),
+    "weighted_score": ("A18", ["stage_results"], "with m as (select image_id, stage, max(score) as value from stage_results group by image_id, stage), w as (select * from (values ('click', 25), ('view', 30), ('purchase', 25)) as t(stage, weight)) select image_id, cast(sum(cast(round(value * 1000000) as bigint) * coalesce(weight, 100)) as double) / (cast(sum(coalesce(weight, 100)) as double) * 1000000) as score from m left join w on m.stage = w.stage group by image_id"),
     "status_rollup": ("A19 A20 A21", ["stage_results"], "with b as (select image_id, stage, max(score) as best from stage_results group by image_id, stage), r as (select image_id, min(case when best >= 0.5e0 then 1 else 0 end) as all_passed, max(case when best >= 0.5e0 then 1 else 0 end) as any_passed, avg(best) as confidence, cast(sum(case when best < 0.5e0 then 1 else 0 end) as bigint) as reasons from b group by image_id) select image_id, case when all_passed = 1 then 'SUCCESS' when any_passed = 1 then 'PARTIAL' else 'FAILED' end as status, case when all_passed = 1 and confidence >= 0.9e0 then 'VERIFIED' when all_passed = 1 and confidence >= 0.8e0 then 'CONFIDENT' when any_passed = 1 then 'LOW_CONFIDENCE' else 'FAILED' end as tier, all_passed = 0 or reasons > 0 as needs_review, reasons from r"),
     "fitness": ("A17 L06 L13", [], "with e as (select event_type, event_id % 30 as epoch, avg(cast(value as double)) / 100 as map50, avg(cast(value as double)) / 150 as map from events group by event_type, event_id % 30), f as (select *, 0.1e0 * map50 + 0.9e0 * map as fitness from e), r as (select *, row_number() over (partition by event_type order by fitness desc, epoch) as nth from f) select event_type, epoch, round(fitness, 6) as fitness from r where nth = 1"),
     "label_moments": ("A25 A24", ["detections"], "select cls, round(avg(cast(x2 - x1 as double)), 6) as mean_w, round(stddev_pop(cast(x2 - x1 as double)), 6) as std_w, count(case when x1 < 160 then 1 end) as left_bin, round(ln(count(*) + 1e0), 6) as log_n from detections group by cls"),
     "type_presence": ("A27", ["detections", "classes"], f"with t as ({TYPED}) select image_id, max(case when ctype in ('NMOS', 'PMOS', 'MOSFET', 'NPN', 'PNP', 'OpAmp') then 1 else 0 end) = 1 as has_active, max(case when ctype in ('Resistor', 'Capacitor', 'Inductor') then 1 else 0 end) = 1 as has_passive, max(case when ctype in ('Ground', 'VDD', 'Voltage_Source', 'Current_Source') then 1 else 0 end) = 1 as has_reference, case when max(case when ctype in ('Ground', 'VDD', 'Voltage_Source', 'Current_Source') then 1 else 0 end) = 1 then 1e0 else 0.5e0 end as completeness from t group by image_id"),
     "memory_fit": ("A29", ["detections"], "with b as (select cls + 1 as batch, avg(cast(x2 - x1 as double)) / 100 as gb from detections group by cls) select round(regr_slope(gb, batch), 9) as slope, round(regr_intercept(gb, batch), 6) as intercept from b"),
-    "rect_batches": ("A30 L12", ["detections"], "with s as (select image_id, cast(max(y2) as double) / max(x2) as ar from detections group by image_id), b as (select image_id, ar, cast(floor((row_number() over (order by ar, image_id) - 1) / 16e0) as bigint) as batch from s) select batch, round(case when max(ar) < 1 then max(ar) else 1e0 end, 6) as shape_h, round(case when min(ar) > 1 then 1 / min(ar) else 1e0 end, 6) as shape_w, count(*) as images from b group by batch"),
     # Windows and top-k
-    "pr_curve": ("W01", ["detections", "ground_truth"], """with m as (select d.cls, d.image_id, d.det_id, d.conf, max(case when g.gt_id is not null then 1 else 0 end) as tp from detections d left join ground_truth g on d.image_id = g.image_id and d.cls = g.cls and d.det_id = g.gt_id group by d.cls, d.image_id, d.det_id, d.conf), n as (select cls, count(*) as labels from ground_truth group by cls),
- r as (select cls, image_id, det_id, sum(tp) over (partition by cls order by conf desc, image_id, det_id rows between unbounded preceding and current row) as tpc, row_number() over (partition by cls order by conf desc, image_id, det_id) as k from m) select r.cls, image_id, det_id, cast(tpc as bigint) as tpc, round(tpc / (labels + 1e-16), 6) as recall, round(tpc * 1e0 / k, 6) as prec from r join n on r.cls = n.cls"""),
     "best_iteration": ("W05", ["stage_results"], "with r as (select *, row_number() over (partition by image_id, stage order by score desc, iteration) as nth from stage_results where score > 0) select image_id, stage, iteration, score from r where nth = 1"),
     "first_pass": ("W06 I01", ["stage_results"], "with p as (select *, coalesce(max(case when score >= 0.8e0 then 1 else 0 end) over (partition by image_id, stage order by iteration rows between unbounded preceding and 1 preceding), 0) as done from stage_results) select image_id, stage, iteration, score from p where done = 0 and iteration <= 3"),
     "early_stop": ("W09", ["losses"], "with b as (select sample_id, step, loss, max(loss) over (partition by sample_id order by step rows between unbounded preceding and current row) as best from losses), l as (select sample_id, step, max(case when loss >= best then step end) over (partition by sample_id order by step rows between unbounded preceding and current row) as best_step from b) select sample_id, min(case when step - best_step >= 10 then step end) as stops_at from l group by sample_id"),
@@ -125,47 +122,42 @@ PORTABLE: dict[str, tuple[str, list[str], str]] = {
     "smallest_half": ("L08 L09", ["detections"], "with r as (select image_id, det_id, (x2 - x1) * (y2 - y1) as area, row_number() over (partition by image_id order by (x2 - x1) * (y2 - y1), det_id) as nth, count(*) over (partition by image_id) as n from detections) select image_id, det_id, area from r where nth <= case when n % 4 = 3 then (n + 1) / 2e0 when n % 4 = 1 then (n - 1) / 2e0 else n / 2e0 end"),
     "largest_contour": ("L10", ["detections"], "with r as (select image_id, det_id, row_number() over (partition by image_id order by (x2 - x1) * (y2 - y1) desc, det_id) as nth from detections) select image_id, det_id from r where nth = 1"),
     "text_limits": ("L11", [], "select doc_id, substr(text, 1, 800) as head, length(substr(text, 1, 2000)) as logged from documents"),
-    "calibration_items": ("L16", ["detections"], "with r as (select image_id, row_number() over (order by image_id) as nth from (select distinct image_id from detections) s) select image_id from r where nth <= 101"),
     # Set operations
     "engagement": ("U01", ["detections"], "with f as (select image_id, det_id, conf < 0.7e0 as low, det_id % 3 = 0 as corrected, det_id % 5 = 0 as rejected from detections), a as (select image_id, sum(case when low then 1 else 0 end) as n_low, sum(case when low and (corrected or rejected) then 1 else 0 end) as acted, max(case when corrected or rejected then 1 else 0 end) as any_change from f group by image_id) select image_id, case when n_low = 0 then 1e0 when acted > 0 then round(acted * 1e0 / n_low, 6) when any_change = 1 then 0.5e0 else 0e0 end as smart_corrections from a"),
     "label_dedup": ("U02", ["detections"], "select distinct image_id, cls, x1 - x1 % 40 as gx, y1 - y1 % 40 as gy from detections"),
     "edge_dedup": ("U03", ["detections"], "with e as (select image_id, det_id, cls as a, (cls * 5 + det_id) % 12 as b from detections), k as (select *, row_number() over (partition by image_id, least(a, b), greatest(a, b) order by det_id) as nth from e) select image_id, a, b from k where nth = 1"),
     "union_splits": ("U04 U06", ["detections"], "select image_id, det_id, 'image' as kind from detections where image_id % 3 = 0 union all select image_id, det_id, 'video' as kind from detections where image_id % 3 = 1"),
-    "shape_intersection": ("U05", ["detections"], "select a.image_id, a.det_id from detections a join ground_truth_like b on a.image_id = b.image_id and a.det_id = b.gt_id and a.cls = b.cls"),
+    "shape_intersection": ("U05", ["detections", "ground_truth"], "select a.image_id, a.det_id from detections a join ground_truth b on a.image_id = b.image_id and a.det_id = b.gt_id and a.cls = b.cls and a.x2 - a.x1 = b.x2 - b.x1 and a.y2 - a.y1 = b.y2 - b.y1 where a.cls not in (3, 7)"),
     "power_nodes": ("U07 M05", ["netlist_lines"], "with n as (select image_id, lower(split_part(line, ' ', 3)) as node from netlist_lines where substr(line, 1, 1) <> '*') select image_id, max(case when node in ('vdd', 'vcc', 'vss', 'vee', 'avdd', 'dvdd', 'v+', 'v-') then 1 else 0 end) = 1 as has_power, max(case when node = '0' then 1 else 0 end) = 1 as has_ground, case when max(case when node in ('vdd', 'vcc', 'vss', 'vee', 'avdd', 'dvdd', 'v+', 'v-') then 1 else 0 end) = 1 then 0.7e0 else 0.3e0 end as literal_match, case max(case when node in ('vdd', 'vcc', 'vss', 'vee', 'avdd', 'dvdd', 'v+', 'v-') then 1 else 0 end) + max(case when node = '0' then 1 else 0 end) when 2 then 1e0 when 1 then 0.7e0 else 0.3e0 end as intended_match from n group by image_id"),
-    "component_diff": ("U08 U10", ["detections", "ground_truth"], "with e as (select distinct image_id, cls from ground_truth), f as (select image_id, cls, count(*) as n from detections group by image_id, cls) select coalesce(e.image_id, f.image_id) as image_id, coalesce(e.cls, f.cls) as cls, case when f.cls is null then 'missing' when e.cls is null then 'extra' when f.n > 1 then 'duplicate' else 'match' end as status from e full outer join f on e.image_id = f.image_id and e.cls = f.cls"),
+    "component_diff": ("U08", ["detections", "ground_truth"], "with e as (select distinct image_id, cls from ground_truth), f as (select image_id, cls, count(*) as n from detections group by image_id, cls) select coalesce(e.image_id, f.image_id) as image_id, coalesce(e.cls, f.cls) as cls, case when f.cls is null then 'missing' when e.cls is null then 'extra' when f.n > 1 then 'duplicate' else 'match' end as status from e full outer join f on e.image_id = f.image_id and e.cls = f.cls"),
+    "required_keys": ("U10", ["detections"], "with k as (select distinct image_id, case cls % 7 when 0 then 'train' when 1 then 'test' when 2 then 'val' when 3 then 'nc' when 4 then 'names' else 'path' end as name from detections), r as (select name from (values ('train'), ('test'), ('val'), ('nc'), ('names')) as t(name)) select k.image_id, cast(count(r.name) as bigint) as found, count(r.name) = (select count(*) from r) as complete from k left join r on k.name = r.name group by k.image_id"),
     "connected_nodes": ("U09", ["detections"], "select image_id, cls, count(distinct case when det_id % 4 <> 0 then x1 % 5 end) as nodes from detections group by image_id, cls"),
     # Text
     "clean_str": ("T15", [], "select page_id, regexp_replace(url, '[|@#!¡·$€%&()=?¿^*;:,¨´><+/]', '_', 'g') as clean from pages"),
     "log_diagnosis": ("T11 T12", ["detections"], "with l as (select image_id, det_id, case cls % 6 when 0 then 'Error: unknown parameter' when 1 then 'Fatal: singular matrix' when 2 then 'warning: node is floating' when 3 then 'Error: undefined node n1' when 4 then 'no DC path to ground' else 'ok' end as log from detections) select image_id, det_id, lower(log) like '%unknown parameter%' or lower(log) like '%unknown device%' as bad_model, lower(log) like '%node is floating%' or lower(log) like '%floating node%' as floating, lower(log) like '%singular matrix%' as singular, lower(log) like '%undefined node%' as undefined, lower(log) like '%no dc path%' as no_path, case when lower(log) like '%error%' or lower(log) like '%fatal%' then concat('ngspice: ', log) end as error_line from l"),
-    "coordinates": ("T13 T14", ["detections"], "with s as (select image_id, det_id, concat('Node at (', cast(x1 as varchar(9)), ', ', cast(y1 as varchar(9)), ') x=\"', cast(x2 as varchar(9)), '.5\"') as line from detections) select image_id, det_id, cast(regexp_replace(line, '^.*[(]([0-9]+), .*$', '{1}') as bigint) as x, cast(regexp_replace(line, '^.*, ([0-9]+)[)].*$', '{1}') as bigint) as y, cast(regexp_replace(line, '^.*x=\"([0-9.]+)\".*$', '{1}') as double) as px from s"),
     "caption": ("T19 K20", ["detections", "classes"], f"with t as (select image_id, ctype, count(*) as n from ({TYPED}) s group by image_id, ctype) select image_id, ctype, concat(cast(n as varchar(9)), ' ', ctype, case when n > 1 then 's' else '' end) as phrase from t"),
-    "issue_list": ("T20 T21 T22", ["detections"], "with s as (select image_id, det_id, concat('train/', cast(cls as varchar(3)), '_batch', cast(det_id as varchar(9)), '.jpg') as k from detections) select image_id, det_id, split_part(k, '/', 1) as title, split_part(k, '/', 2) as series, cast(split_part(split_part(k, 'batch', 2), '.', 1) as bigint) as batch from s"),
+    "issue_list": ("T21 T22", ["detections"], "with s as (select image_id, det_id, concat('train/', cast(cls as varchar(3)), '_batch', cast(det_id as varchar(9)), '.jpg') as k from detections) select image_id, det_id, split_part(k, '/', 1) as title, split_part(k, '/', 2) as series, cast(split_part(split_part(k, 'batch', 2), '.', 1) as bigint) as batch from s"),
     "project_name": ("T25", [], "select doc_id, case when source is null then source when substr(source, 1, 4) = 'src1' then concat(source, '-Classify') when source like '%9' then concat(source, '-Segment') else source end as project from documents"),
     # Scoring
     "difficulty": ("M01", ["samples"], f"with d as ({DIFFICULTY}) select sample_id, round(component_difficulty, 6) as component_difficulty, round(wire_difficulty, 6) as wire_difficulty, round(node_difficulty, 6) as node_difficulty, round(topology_difficulty, 6) as topology_difficulty, round(overall, 6) as overall, stage from d"),
-    "agent1_metrics": ("M03", ["detections"], "with c as (select image_id, count(*) as n, sum(case when det_id % 4 = 0 then 1 else 0 end) as rejected from detections group by image_id) select image_id, 1e0 * n / greatest(n, 1) as coverage, case when 1e0 * rejected / greatest(n, 1) <= 0.5e0 then 1e0 else round(greatest(0e0, 1 - (1e0 * rejected / n - 0.5e0) * 2), 6) end as rejection_sanity from c"),
-    "agent2_metrics": ("M04", ["segments"], "with c as (select image_id, count(*) as lines, sum(case when seg_id % 3 <> 0 then 1 else 0 end) as wires, sum(case when seg_id % 2 = 0 then 1 else 0 end) as parts from segments group by image_id), r as (select *, lines - wires as rejected, case when parts > 0 then 1e0 * wires / parts end as ratio from c) select image_id, round((wires + rejected) * 1e0 / greatest(lines, 1), 6) as coverage, round(case when ratio is null then 0.5e0 when ratio between 0.5e0 and 5 then 1e0 when ratio < 0.5e0 then ratio * 2 else greatest(0.5e0, 1 - (ratio - 5) / 10) end, 6) as wire_ratio, case when lines = 0 then 0.5e0 when 1e0 * rejected / lines between 0.05e0 and 0.8e0 then 1e0 when 1e0 * rejected / lines < 0.05e0 then 0.8e0 else greatest(0.3e0, 1 - 1e0 * rejected / lines) end as filter_sanity from r"),
+    "agent1_metrics": ("M03", ["detections", "classes"], f"with t as ({TYPED}), f as (select image_id, ctype, conf < 0.7e0 as low, det_id % 3 = 0 as corrected, det_id % 4 = 0 as rejected, det_id % 4 <> 0 and det_id % 7 <> 0 as kept from t), a as (select image_id, count(*) as n, sum(case when rejected then 1 else 0 end) as n_rejected, sum(case when kept then 1 else 0 end) as n_kept, sum(case when low then 1 else 0 end) as n_low, sum(case when low and (corrected or rejected) then 1 else 0 end) as acted, max(case when corrected or rejected then 1 else 0 end) as any_change, max(case when kept and ctype in ('Ground', 'VDD', 'Voltage_Source', 'Current_Source') then 1 else 0 end) as has_reference from f group by image_id) select image_id, round((n_kept + n_rejected) * 1e0 / greatest(n, 1), 6) as coverage, case when n_low = 0 then 1e0 when acted > 0 then round(acted * 1e0 / n_low, 6) when any_change = 1 then 0.5e0 else 0e0 end as smart_corrections, case when 1e0 * n_rejected / greatest(n, 1) <= 0.5e0 then 1e0 else round(greatest(0e0, 1 - (1e0 * n_rejected / n - 0.5e0) * 2), 6) end as rejection_sanity, case when has_reference = 1 then 1e0 else 0.5e0 end as type_completeness from a"),
+    "agent2_metrics": ("M04", ["segments"], "with c as (select image_id, count(*) as lines, sum(case when seg_id % 3 <> 0 then 1 else 0 end) as wires, sum(case when seg_id % 5 = 0 then 1 else 0 end) as rejected, sum(case when seg_id % 2 = 0 then 1 else 0 end) as parts, max(case when x1 % 8 = 0 then 1 else 0 end) as has_ground, max(case when y1 % 8 in (1, 2) then 1 else 0 end) as has_power from segments group by image_id), r as (select *, case when parts > 0 then 1e0 * wires / parts end as ratio from c) select image_id, round((wires + rejected) * 1e0 / greatest(lines, 1), 6) as coverage, round(case when ratio is null then 0.5e0 when ratio between 0.5e0 and 5 then 1e0 when ratio < 0.5e0 then ratio * 2 else greatest(0.5e0, 1 - (ratio - 5) / 10) end, 6) as wire_ratio, round(0.6e0 * has_ground + 0.4e0 * has_power, 6) as essential_nodes, case when lines = 0 then 0.5e0 when 1e0 * rejected / lines between 0.05e0 and 0.8e0 then 1e0 when 1e0 * rejected / lines < 0.05e0 then 0.8e0 else greatest(0.3e0, 1 - 1e0 * rejected / lines) end as filter_sanity from r"),
     "judge_verdict": ("M06 M07", ["detections"], "with c as (select image_id, max(case when cls = 7 then 1 else 0 end) as c1, min(case when conf < 0.01e0 then 0 else 1 end) as c2, max(case when cls = 3 then 1 else 0 end) as c3, max(case when cls = 9 then 1 else 0 end) as c4, max(case when cls = 10 then 1 else 0 end) as c5 from detections group by image_id), s as (select *, case c3 + c4 + c5 when 3 then 1e0 when 2 then 0.8e0 when 1 then 0.5e0 else 0.2e0 end as confidence from c) select image_id, confidence, case when c1 = 0 or c2 = 0 then 'FAIL' when confidence >= 0.8e0 then 'PASS' else 'FAIL' end as verdict, c1 = 1 and c2 = 1 and confidence >= 0.96e0 as passes_gate from s"),
     "review_reasons": ("M08 M09", ["stage_results"], "with b as (select image_id, stage, max(score) as best from stage_results group by image_id, stage) select image_id, stage, case when best < 0.5e0 then 'below minimum viable' when best < 0.9e0 then 'below pass threshold' end as reason, best >= 0.7e0 as on_target from b"),
     "divisible": ("M10", ["detections"], "select image_id, det_id, cast(ceil((x2 - x1) / 32e0) * 32 as bigint) as w32, greatest(cast(ceil((y2 - y1) / 32e0) * 32 as bigint), 64) as h32 from detections"),
-    "sample_weights": ("M11", ["losses"], "with m as (select sample_id, avg(loss) as ema, count(*) as n from losses group by sample_id), w as (select sample_id, case when n > 0 then 1 / (ema + 0.1e0) else 1e0 end as w from m) select sample_id, round(w / sum(w) over (), 8) as weight from w"),
     "losses_on_logits": ("M12", ["detections"], "with z as (select image_id, det_id, conf * 4 - 2 as x, case when cls % 2 = 0 then 0.95e0 else 0.05e0 end as t from detections), p as (select *, 1 / (1 + exp(-x)) as p, greatest(x, 0e0) - x * t + ln(1 + exp(-abs(x))) as bce from z) select image_id, det_id, round(bce, 6) as bce, round(bce * (t * 0.25e0 + (1 - t) * 0.75e0) * power(1 - (t * p + (1 - t) * (1 - p)), 1.5e0), 6) as focal, round(bce * power(abs(t - p), 1.5e0), 6) as q_focal from p"),
     "image_hash": ("M15", [], "select doc_id, substr(md5(text), 1, 16) as image_hash from documents"),
-    "dataset_rank": ("D24 A16", ["samples"], f"select quality_tier, cast({TIER} as bigint) as rank, count(*) as n from samples group by quality_tier"),
+    "dataset_rank": ("D24", ["samples"], f"select quality_tier, cast({TIER} as bigint) as rank, count(*) as n from samples group by quality_tier"),
     # Time
-    "run_times": ("Y01 Y02 Y03", [], "select user_id, count(*) as n, cast(max(floor(epoch(ts))) - min(floor(epoch(ts))) as bigint) as elapsed_s, cast(floor((max(floor(epoch(ts))) - min(floor(epoch(ts)))) / 86400) as bigint) as age_days from events group by user_id"),
+    "run_times": ("Y03", [], "select user_id, count(*) as n, cast(max(floor(epoch(ts))) - min(floor(epoch(ts))) as bigint) as elapsed_s, cast(floor((max(floor(epoch(ts))) - min(floor(epoch(ts)))) / 86400) as bigint) as age_days from events group by user_id"),
     # Splits
     "autosplit": ("R02 K17", [], "with h as (select doc_id, cast(doc_id * 2654435761 % 4294967296 as double) / 4294967296 as u from documents) select doc_id, case when u < 0.9e0 then 'train' when u < 1.0e0 then 'val' else 'test' end as split from h"),
-    "ordered_split": ("R01", [], "with r as (select doc_id, row_number() over (order by doc_id * 2654435761 % 4294967296, doc_id) as k, count(*) over () as n from documents) select doc_id, case when k <= floor(n * 0.8e0) then 'train' when k <= floor(n * 0.8e0) + floor(n * 0.1e0) then 'val' else 'test' end as split from r"),
-    "rank_shards": ("R03", [], "with r as (select doc_id, row_number() over (order by doc_id * 2654435761 % 4294967296, doc_id) - 1 as k, count(*) over () as n from documents), p as (select doc_id, k from r union all select doc_id, k + n as k from r where k < (4 - n % 4) % 4) select doc_id, cast(k % 4 as bigint) as shard from p"),
     "repeat_epochs": ("R04", ["samples"], "select sample_id, e.epoch from samples cross join (values (0), (1), (2)) as e(epoch)"),
     # Graph
     "degrees": ("G02", ["segments"], "with e as (select image_id, x1 % 8 as a, y1 % 8 as b from segments), v as (select image_id, a as n from e union all select image_id, b as n from e), d as (select image_id, n, count(*) as degree from v group by image_id, n) select image_id, max(degree) as max_degree, round(avg(cast(degree as double)), 6) as avg_degree, cast(sum(case when degree < 2 then 1 else 0 end) as bigint) as hanging from d group by image_id"),
     "adjacency": ("G03", ["segments"], "with e as (select distinct image_id, x1 % 8 as a, y1 % 8 as b from segments), v as (select image_id, a, b from e union select image_id, b as a, a as b from e) select image_id, a, count(*) as neighbours, min(b) as first_neighbour, max(b) as last_neighbour from v group by image_id, a"),
     # Sinks as rows
     "yolo_values": ("K08 K12", ["detections"], "select image_id, det_id, cls, round((x1 + x2) / 2e0 / 640, 9) as x, round((y1 + y2) / 2e0 / 480, 9) as y, round((x2 - x1) / 640e0, 9) as w, round((y2 - y1) / 480e0, 9) as h from detections"),
-    "coco_annotations": ("K11", ["detections"], "select cast(row_number() over (order by image_id, det_id) - 1 as bigint) as id, image_id, cls as category_id, x1 as bbox_x, y1 as bbox_y, x2 - x1 as bbox_w, y2 - y1 as bbox_h, (x2 - x1) * (y2 - y1) as area, 0 as iscrowd from detections"),
     "difficulty_manifest": ("K10", ["samples"], f"with d as ({DIFFICULTY}), s as (select * from (values (1, 'easiest', 0.2e0), (2, 'easy', 0.4e0), (3, 'medium', 0.6e0), (4, 'hard', 0.8e0), (5, 'hardest', 1e0)) as t(stage, name, threshold)) select s.stage, s.name, s.threshold, count(d.sample_id) as samples, min(d.sample_id) as first_sample from s left join d on s.stage = d.stage group by s.stage, s.name, s.threshold"),
     "detection_views": ("K19", ["detections"], "select image_id, det_id, x1 as xmin, y1 as ymin, (x1 + x2) / 2e0 as xcenter, (y1 + y2) / 2e0 as ycenter, round(x1 / 640e0, 9) as xminn, round((x1 + x2) / 2e0 / 640, 9) as xcentern, conf as confidence, cls as class_ from detections"),
     "crop_boxes": ("K21", ["detections"], f"select image_id, det_id, {TRUNC.format('(x1 + x2) / 2e0 - ((x2 - x1) * 1.2e0 + 3) / 2')} as cx1, {TRUNC.format('(y1 + y2) / 2e0 + ((y2 - y1) * 1.2e0 + 3) / 2')} as cy2, concat(cast(cls as varchar(3)), '/', cast(image_id as varchar(12)), '_', cast(det_id as varchar(9)), '.jpg') as path from detections"),
@@ -178,12 +170,10 @@ PORTABLE: dict[str, tuple[str, list[str], str]] = {
     "dataset_stats": ("K16", ["detections"], "select case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split, cls, count(*) as instances, count(distinct image_id) as images from detections group by case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end, cls"),
     "label_histogram": ("K25 A24", ["detections"], "select cast(floor(x1 / 40e0) as bigint) as bx, cast(floor(y1 / 40e0) as bigint) as by_, count(*) as n from detections group by cast(floor(x1 / 40e0) as bigint), cast(floor(y1 / 40e0) as bigint)"),
     "judge_retry": ("I02", ["stage_results"], "with a as (select *, score >= 0.96e0 as passes from stage_results where iteration <= 3), r as (select *, row_number() over (partition by image_id, stage order by case when passes then 0 else 1 end, case when passes then iteration end, score desc, iteration) as nth from a) select image_id, stage, iteration, score, passes from r where nth = 1"),
-    "collate_index": ("N01", ["detections"], "select image_id, det_id, cast(dense_rank() over (order by image_id) - 1 as bigint) as batch_index from detections"),
     "class_ids": ("N02", ["classes"], "select name, min(cls) as cls from classes group by name"),
     "netlist_sections": ("T06", ["netlist_lines"], "select image_id, det_id, case when substr(line, 1, 1) = '*' then 'comment' when substr(line, 1, 1) in ('V', 'I') then 'sources' when substr(line, 1, 1) in ('M', 'Q', 'D') then 'devices' else 'passives' end as section, line from netlist_lines"),
     "class_statistics": ("K02", ["detections", "classes"], f"with t as ({TYPED}) select image_id, ctype, count(*) as n, count(distinct x1 % 5) as nets from t group by image_id, ctype"),
 }
-PORTABLE["shape_intersection"] = ("U05", ["detections", "ground_truth"], PORTABLE["shape_intersection"][2].replace("ground_truth_like", "ground_truth"))
 
 
 def sql_for(name: str, engine: str) -> tuple[list[str], str]:

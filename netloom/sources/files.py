@@ -65,6 +65,20 @@ def parse_labels(lines: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.coalesce(good, F.lit(False)), "found").otherwise("corrupt")).drop("shaped", "broken")
 
 
+def dataset_scan(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """``path, status, boxes`` of each image: its label file is missing, empty, corrupt or found.
+
+    ``lines`` has ``path, value`` of the label files, an empty file as one null
+    or empty line.  A file with a corrupt row is corrupt as a whole; equal rows
+    of a file count once.
+    """
+    files = lines.groupBy("path").agg(F.count("*").alias("rows")).withColumnRenamed("path", "label")
+    parsed = parse_labels(lines).distinct().groupBy(F.col("path").alias("label")).agg(F.count("*").alias("n"), F.max(F.col("status") == "corrupt").alias("bad"))
+    joined = images.select("path", label_path(F.col("path")).alias("label")).join(files, "label", "left").join(parsed, "label", "left")
+    status = F.when(F.col("rows").isNull(), "missing").when(F.col("n").isNull(), "empty").when(F.col("bad"), "corrupt").otherwise("found")
+    return joined.select("path", status.alias("status"), F.when(status == "found", F.col("n")).otherwise(0).alias("boxes"))
+
+
 def trimmed_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with padded headers and values, as training logs write them."""
     table = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ def yolo_line(cls: Column, x: Column, y: Column, w: Column, h: Column) -> Column
 
 
 def label_files(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """One label text for each image, lines in id order; ``x1 y1 x2 y2`` are pixels."""
+    """One label text for each image, lines in id order; ``x1 y1 x2 y2`` are pixels.
+
+    Halves of the sixth decimal go to the even digit.
+    """
     cx, cy = (F.col("x1") + F.col("x2")) / 2 / width, (F.col("y1") + F.col("y2")) / 2 / height
-    line = yolo_line(F.col("cls"), cx, cy, (F.col("x2") - F.col("x1")) / width, (F.col("y2") - F.col("y1")) / height)
+    line = yolo_line(F.col("cls"), *[F.bround(v, 6) for v in (cx, cy, (F.col("x2") - F.col("x1")) / width, (F.col("y2") - F.col("y1")) / height)])
     grouped = boxes.withColumn("line", line).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("det_id", "line"))).alias("r"))
     return grouped.select("image_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("labels"))
 
@@ -89,14 +94,28 @@ def split_manifests(rows: DataFrame, path: str) -> None:
     rows.select("split", F.col("path").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
-def next_name(existing: DataFrame, base: str) -> str:
-    """First free ``base``, ``base2`` … ``base9998`` after the largest number in use."""
-    number = F.regexp_extract("name", f"^{base}([0-9]*)$", 1)
-    used = existing.where(F.col("name").rlike(f"^{base}[0-9]*$")).select(F.max(F.when(number == "", 1).otherwise(number.try_cast("int"))).alias("n")).first()["n"]
-    return base if used is None else f"{base}{used + 1}"
+def next_name(existing: DataFrame, base: str, most: int = 9998) -> str:
+    """``base`` if it is free, else the first free of ``base2`` ... ``base9998``; an error if all are used."""
+    number = F.substring("name", len(base) + 1, 10)
+    taken = existing.where(F.col("name").startswith(F.lit(base)) & (number.rlike("^[1-9][0-9]{0,3}$") | (F.col("name") == base))).select(F.coalesce(number.try_cast("int"), F.lit(1)).alias("n"))
+    # At most as many rows as there are names.
+    used = {r["n"] for r in taken.distinct().collect()}
+    if 1 not in used:
+        return base
+    for n in range(2, most + 1):
+        if n not in used:
+            return f"{base}{n}"
+    raise FileExistsError(f"all names from {base} to {base}{most} are in use")
 
 
 def fileset_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 of total size and paths in path order; one row over a file list of a dataset."""
-    paths = F.array_join(F.transform(F.array_sort(F.collect_list("path")), lambda p: p), "")
-    return files.agg(F.sha2(F.concat(F.sum("size").cast("string"), paths), 256).alias("hash"))
+    """SHA-256 of the total size and all paths in path order, as ``hash``.
+
+    The digest is sequential by definition; paths come to the driver one
+    partition after the other and are not held.
+    """
+    spark = files.sparkSession
+    digest = hashlib.sha256(str(files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]).encode())
+    for row in files.select("path").where("path is not null").orderBy("path").toLocalIterator():
+        digest.update(row["path"].encode())
+    return spark.createDataFrame([(digest.hexdigest(),)], "hash string")
