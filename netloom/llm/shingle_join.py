@@ -48,7 +48,7 @@ LEAST = 80
 #: Bits of a shingle's hash.
 HASH_BITS = 56
 #: Shingles and documents of a chunk; text bytes that are cut at a time.
-CHUNK, CHUNK_DOCS, SLICE_BYTES = 1 << 21, 60_000, 4 << 20
+CHUNK, CHUNK_DOCS, SLICE_BYTES = 1 << 20, 60_000, 2 << 20
 #: Plan bytes for each partition of shards; shards for each, so that partitions are much of a size.
 PART_BYTES, PART_SHARDS = 4 << 20, 8
 #: Bits of the fixed-size filter of documents that pairs ask for (8 MB).
@@ -81,10 +81,12 @@ def pack(values: np.ndarray) -> bytes:
     return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes | pa.Buffer) -> np.ndarray:
     """The numbers of :func:`pack`."""
-    steps = np.zeros(((len(blob) - 1) // blob[0], 8), np.uint8)
-    steps[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    raw = np.frombuffer(blob, np.uint8)
+    width = int(raw[0])
+    steps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    steps[:, :width] = raw[1:].reshape(-1, width)
     return np.cumsum(steps.view("<u8").ravel(), dtype=U)
 
 
@@ -93,13 +95,15 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]]:
-    """Rows of each key of batches in key order."""
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Rows of each key of batches in key order; their blobs are views of the batch."""
     held: list[dict] = []
     for batch in batches:
-        name = batch.schema.names[key]
-        for row in batch.to_pylist():
-            if held and row[name] != held[-1][name]:
+        numbers = {c: batch.column(c).to_pylist() for c in ("shard", "chunk", "kind")}
+        blobs = [(c, batch.column(c)) for c in ("tokens", "owners", "more")]
+        for i in range(batch.num_rows):
+            row = {c: v[i] for c, v in numbers.items()} | {c: v[i].as_buffer() for c, v in blobs}
+            if held and row[key] != held[-1][key]:
                 yield held
                 held = []
             held.append(row)
@@ -118,7 +122,8 @@ class _Chunk:
         ends = np.cumsum(size)
 
         def folded(salt: int) -> np.ndarray:
-            run = np.concatenate((np.zeros(1, U), np.cumsum(mix(flat + U(salt)), dtype=U)))
+            run = np.zeros(len(flat) + 1, U)
+            np.cumsum(mix(flat + U(salt)), out=run[1:])
             return mix(run[ends] - run[ends - size] + U(salt)).view(np.int64)
 
         self.keys = np.stack([size, folded(11), folded(29)])
@@ -184,8 +189,8 @@ def _cut(width: int, shards: int) -> Callable:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Return to each chunk its shingles that other sets have too, with a code of how many."""
-    for group in _by_key(batches, 0):
-        out = [tuple(r.values()) for r in group if r["kind"] != _SHINGLES]
+    for group in _by_key(batches, "shard"):
+        out = [tuple(x.to_pybytes() if isinstance(x, pa.Buffer) else x for x in r.values()) for r in group if r["kind"] != _SHINGLES]
         rows = [r for r in group if r["kind"] == _SHINGLES]
         if rows:
             tokens = [unpack(r["tokens"]) for r in rows]
@@ -278,7 +283,7 @@ def _gather(least: int) -> Callable:
         return _batch(out, ["doc_id", "n", "h1", "h2", "prefix", "shingles", "sketch"], [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.binary()])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(batches, 1):
+        for rows in _by_key(batches, "chunk"):
             yield sets(rows)
 
     return gather
@@ -311,9 +316,13 @@ def _meets(n: Column, pos: Column, other_n: Column, other_pos: Column, least: in
 
 
 def _stars(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of a leader and another group for each list and band; lists of much the same groups have the same leader."""
+    """Pairs of a leader and another group for each list and band; lists of much the same groups have the same leader.
+
+    Leaders are written first: a join of two exchanges can split a long list.
+    """
     banded = lists.withColumn("band", _band(F.col("n"), least))
     leaders = banded.groupBy("token", "band").agg(F.min_by(F.struct("gid", "n", "pos"), F.xxhash64("gid")).alias("l"))
+    leaders = materialize(leaders, "leaders")
     met = banded.join(leaders, ["token", "band"]).where(F.col("gid") != F.col("l.gid"))
     fits = 100 * F.least("n", "l.n") >= least * F.greatest("n", "l.n")
     return met.where(fits & _meets(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), least)).select(F.col("l.gid").alias("a"), F.col("gid").alias("b")).distinct()
@@ -445,6 +454,7 @@ def _across(lists: DataFrame, least: int, nearest: bool) -> DataFrame:
 
     sizes = lists.groupBy("token", "c").count()
     facts = sizes.groupBy("token").agg(F.ceil(F.sum("count") / LIST_BLOCK).cast("int").alias("blocks"), F.max_by("c", F.struct("count", "c")).alias("largest"))
+    facts = materialize(facts, "facts")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     to = F.when(F.col("c") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = lists.join(facts, "token").withColumn("own", own).withColumn("block", F.explode(to)).withColumn("home", F.col("own") == F.col("block"))
@@ -498,10 +508,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         known = parts.select(F.col("vertex").alias("rep"), "component")
         labelled = materialize(expanded.join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "labelled")
         mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(early).alias("early")).where("low <> high and early").select("token")
+        mixed = materialize(mixed, "mixed")
         wanted = labelled.join(mixed, "token", "left_semi").groupBy("rep", "n", "alone", "c").agg(F.collect_set("token").alias("wanted"))
         both = wanted.join(own, ["rep", "n", "alone"]).withColumn("wanted", F.array_intersect("wanted", "prefix"))
         left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(_later, "token long, rep long, n long, c long, pos long, sketch binary")
-        pairs = _across(left_over, least, step == "stars")
+        pairs = _across(materialize(left_over, "left-over"), least, step == "stars")
     for table in (lists, grouped, members):
         discard(table)
     roots = classes.join(parts.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
