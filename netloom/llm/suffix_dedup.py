@@ -9,6 +9,11 @@ never sent.  A shard sorts the suffixes of its runs by induced sorting; windows
 whose neighbours share ``length`` bytes are one class, all but its earliest
 window are removed.
 
+A gram of very many parts would make one shard hot, for at the edges of a
+passage every document sends a run of its own.  The windows of such grams are
+counted by their hash first, and runs are cut to the windows that occur again;
+what is left ends where the passage ends, so equal runs combine in their parts.
+
 Text is shuffled once and its exchange is reused: texts are grouped into parts
 of bounded size, and each step returns to the parts only what concerns them.
 Before anything is sent, a part keeps the earliest of its own equal runs, and
@@ -32,6 +37,8 @@ from netloom.plans.shared import materialize, plan_bytes, quoted, steady
 LENGTH, GRAM = 100, 24
 #: Plan bytes for each part, parts for each shard, text bytes looked at together.
 PART_BYTES, PARTS_A_SHARD, SLICE_BYTES = 3 << 20, 2, 1 << 20
+#: Parts that hold a gram before its windows are counted one by one.
+HOT_PARTS = 16
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 21
 #: Key of a null document id: it counts as the smallest.
@@ -114,6 +121,44 @@ def anchor_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def window_hashes(data: bytes, origin: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each window of runs that begin at ``origin`` in ``data``, run after run."""
+    if not len(origin):
+        return np.zeros(0, U)
+    sizes = windows + length - 1
+    flat = b"".join([data[o : o + n] for o, n in zip(origin.tolist(), sizes.tolist())])
+    begin = np.cumsum(sizes) - sizes
+    inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    return gram_hashes(np.frombuffer(flat, np.uint8), length)[np.repeat(begin, windows) + inside]
+
+
+def _bucketed(hashes: np.ndarray, shards: int, part: int) -> pa.Table:
+    """Distinct hashes by bucket; only buckets that get something, so never more of them than hashes."""
+    hashes = np.unique(hashes)
+    bucket = (hashes % U(shards)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    mine, edge = np.unique(bucket[order], return_index=True)
+    blobs = [hashes[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
+    return pa.table({"bucket": pa.array(mine, pa.int32()), "part": pa.array([part] * len(mine), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _again(kind: int, hot: int | None = None):
+    """Return to the parts their hashes that other parts have too, as notes ``kind``, and those of very many as ``hot``."""
+
+    def again(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(b, U) for b in table.column("blob").to_pylist()]
+        every, count = np.unique(np.concatenate(blobs), return_counts=True)
+        parts, kinds, out = [], [], []
+        for k, least in ((kind, 2), (hot, HOT_PARTS + 1)):
+            known = every[count >= least]
+            for part, blob in zip(table.column("part").to_pylist(), blobs) if k is not None else ():
+                if len(own := blob[np.isin(blob, known, assume_unique=True)]):
+                    parts.append(part), kinds.append(k), out.append(own.tobytes())
+        return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array(kinds, pa.int32()), "row": pa.nulls(len(out), pa.int64()), "blob": pa.array(out, pa.binary())})
+
+    return again
+
+
 class _Part:
     """Texts of one part without the copies, in order of (document id, row)."""
 
@@ -127,6 +172,16 @@ class _Part:
         copies = {r["row"] for r in self.notes if r["kind"] == 0}
         self.copy = np.array([r in copies for r in self.row.tolist()], bool)
 
+    def noted(self, kind: int) -> np.ndarray:
+        """Sorted hashes of the notes of a kind."""
+        blobs = [np.frombuffer(r["blob"], U) for r in self.notes if r["kind"] == kind and r["blob"]]
+        return np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, U)
+
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All texts in one, and where each begins."""
+        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        return b"".join(self.texts) + b"\0" * 8, np.cumsum(sizes) - sizes
+
     def runs(self, length: int, gram: int):
         return anchor_runs([b"" if c else t for t, c in zip(self.texts, self.copy.tolist())], length, gram)
 
@@ -165,30 +220,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     base = base.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL))).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     digest = base.select("part", "row", "doc", F.octet_length("body").alias("n"), F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(3), "body", F.lit(5)).alias("h2")).where(F.col("n") >= length)
     first = digest.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    copies = digest.join(first, ["n", "h1", "h2"]).where("first.row <> row")
+    # Written first: a join of two exchanges can split a group of very many copies.
+    copies = digest.join(materialize(first, "firsts"), ["n", "h1", "h2"]).where("first.row <> row")
     copies = materialize(copies.select("part", F.lit(0).alias("kind"), "row", F.lit(None).cast("binary").alias("blob")), "copies")
     texts = base.groupBy("part")
 
     def keys(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = np.unique(_Part(left, right).runs(length, gram)[3]) if left.num_rows else np.zeros(0, U)
-        bucket = (hashes % U(shards)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        # Only shards that get something; there are never more of them than grams.
-        mine, edge = np.unique(bucket[order], return_index=True)
-        blobs = [hashes[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
         part = left.column("part")[0].as_py() if left.num_rows else -1
-        return pa.table({"bucket": pa.array(mine, pa.int32()), "part": pa.array([part] * len(mine), pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    def shared(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, U) for b in table.column("blob").to_pylist()]
-        every = np.sort(np.concatenate(blobs))
-        again = every[1:][every[1:] == every[:-1]]
-        again = again[np.concatenate(([True], again[1:] != again[:-1]))] if len(again) else again
-        out = [b[np.isin(b, again, assume_unique=True)].tobytes() for b in blobs]
-        n = len(out)
-        return pa.table({"part": table.column("part"), "kind": pa.array([1] * n, pa.int32()), "row": pa.array([None] * n, pa.int64()), "blob": pa.array(out, pa.binary())})
-
-    common = texts.cogroup(copies.groupBy("part")).applyInArrow(keys, "bucket int, part int, blob binary").groupBy("bucket").applyInArrow(shared, _NOTE)
+        return _bucketed(_Part(left, right).runs(length, gram)[3] if left.num_rows else np.zeros(0, U), shards, part)
+
+    bucketed = "bucket int, part int, blob binary"
+    grams = texts.cogroup(copies.groupBy("part")).applyInArrow(keys, bucketed).groupBy("bucket").applyInArrow(_again(1, 3), _NOTE)
+    grams = materialize(grams, "grams")
+
+    def hot_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, me = np.zeros(0, U), left.column("part")[0].as_py() if left.num_rows else -1
+        if left.num_rows:
+            part = _Part(left, right)
+            if len(hot := part.noted(3)):
+                number, start, windows, gram_of = part.runs(length, gram)
+                at = np.flatnonzero(np.isin(gram_of, hot))
+                data, begin = part.joined()
+                hashes = window_hashes(data, begin[number[at]] + start[at], windows[at], length)
+        return _bucketed(hashes, shards, me)
+
+    notes = copies.unionAll(grams)
+    hot = texts.cogroup(notes.where("kind in (0, 3)").groupBy("part")).applyInArrow(hot_windows, bucketed).groupBy("bucket").applyInArrow(_again(4), _NOTE)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("heads", pa.binary()), ("bytes", pa.binary()), ("marks", pa.binary())])
@@ -196,19 +253,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             return schema.empty_table()
         part = _Part(left, right)
         number, start, windows, hashes = part.runs(length, gram)
-        blobs = [np.frombuffer(r["blob"], U) for r in part.notes if r["kind"] == 1 and r["blob"]]
-        elsewhere = np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, U)
+        elsewhere = part.noted(1)
         own, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
         wanted = np.isin(own, elsewhere, assume_unique=True) | (count > 1)
         at = np.flatnonzero(wanted[back])
         number, start, windows, hashes = number[at], start[at], windows[at], hashes[at]
-        data = b"".join(part.texts) + b"\0" * 8
-        sizes = np.fromiter(map(len, part.texts), np.int64, len(part.texts))
-        origin = (np.cumsum(sizes) - sizes)[number] + start
+        data, begin = part.joined()
+        if len(hot_grams := part.noted(3)):
+            is_hot = np.isin(hashes, hot_grams)
+            n, s, w, h = (x[is_hot] for x in (number, start, windows, hashes))
+            each = window_hashes(data, begin[n] + s, w, length)
+            _, place, times = np.unique(each, return_inverse=True, return_counts=True)
+            stays = (times[place] > 1) | np.isin(each, part.noted(4))
+            run = np.repeat(np.arange(len(n)), w)
+            first = np.flatnonzero(stays & np.concatenate(([True], ~stays[:-1] | (run[1:] != run[:-1])))) if len(stays) else np.zeros(0, np.int64)
+            last = np.flatnonzero(stays & np.concatenate((~stays[1:] | (run[1:] != run[:-1]), [True]))) if len(stays) else first
+            offset = first - (np.cumsum(w) - w)[run[first]]
+            cut = (n[run[first]], s[run[first]] + offset, last - first + 1, h[run[first]])
+            number, start, windows, hashes = (np.concatenate((x[~is_hot], y)) for x, y in zip((number, start, windows, hashes), cut))
+            order = np.lexsort((start, number))
+            number, start, windows, hashes = number[order], start[order], windows[order], hashes[order]
+        origin = begin[number] + start
         content = hash_spans(data, origin, origin + windows + length - 1)
         # Runs come in document order, so the first of equal runs is the earliest.
-        order = np.lexsort((np.arange(len(at)), content, hashes))
-        same = np.concatenate(([False], (hashes[order][1:] == hashes[order][:-1]) & (content[order][1:] == content[order][:-1]))) if len(at) else np.zeros(0, bool)
+        order = np.lexsort((np.arange(len(hashes)), content, hashes))
+        same = np.concatenate(([False], (hashes[order][1:] == hashes[order][:-1]) & (content[order][1:] == content[order][:-1]))) if len(hashes) else np.zeros(0, bool)
         covered, sent = order[same], np.sort(order[~same])
         marks = np.stack([part.row[number[covered]], start[covered], start[covered] + windows[covered] + length - 1], 1).astype("<i8").tobytes() if len(covered) else b""
         # Grams that occur in this part alone, once after combining, cannot repeat elsewhere.
@@ -226,8 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             rows.append({"shard": s, "part": me, "heads": heads, "bytes": body, "marks": b""})
         return pa.Table.from_pylist(rows, schema=schema)
 
-    notes = copies.unionAll(common)
-    runs = texts.cogroup(notes.groupBy("part")).applyInArrow(send, "shard int, part int, heads binary, bytes binary, marks binary")
+    runs = texts.cogroup(notes.unionAll(hot).groupBy("part")).applyInArrow(send, "shard int, part int, heads binary, bytes binary, marks binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
         part_of = table.column("part").to_pylist()
