@@ -26,6 +26,9 @@ from collections.abc import Generator, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from netloom.plans.shared import quoted
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 # A quote opens a value only behind an equals sign; nothing here goes back over what it has read.
@@ -355,7 +358,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py()) for h in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], plain)
 
-    schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(extract, f"{schema}text string, n_chars long")
+    # Plain names on the way through, whatever the columns are called.
+    plain = [f"c{i}" for i in range(len(keep) + 2)]
+    schema = StructType([StructField(n, k) for n, k in zip(plain, [*(pages.schema[c].dataType for c in keep), StringType(), LongType()])])
+    rows = pages.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, plain)], F.col(quoted(html_col)).alias("html"))
+    return rows.mapInArrow(extract, schema).toDF(*keep, "text", "n_chars")

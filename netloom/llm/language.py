@@ -169,11 +169,13 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_c
                 lang = [known_as[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())]
                 top = cosine.max(1) if known_as else np.zeros(len(norms))
                 score = np.where(known, np.clip(top, 0, 1), 0.0).astype(float)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], plain)
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    rows = docs.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("_text_to_identify"))
-    return rows.mapInArrow(predict, schema)
+    # Plain names on the way through, whatever the columns are called.
+    plain = [f"c{i}" for i in range(len(keep) + 2)]
+    schema = StructType([StructField(n, k) for n, k in zip(plain, [*(docs.schema[c].dataType for c in keep), StringType(), DoubleType()])])
+    rows = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, plain)], F.col(quoted(text_col)).alias("text"))
+    return rows.mapInArrow(predict, schema).toDF(*keep, *names)
 
 
 def held_out(id_col: str = "doc_id"):
