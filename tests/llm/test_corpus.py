@@ -178,9 +178,9 @@ def test_html_reads_broken_pages_in_linear_time(junk):
 
 
 def test_html_columns_of_the_same_names(spark):
-    pages = spark.createDataFrame([(1, "old", "<p>new</p>", 7)], "page_id long, text string, html string, n_chars int")
+    pages = spark.createDataFrame([(1, "old", "<p>new</p>", 7, 2)], "page_id long, text string, html string, n_chars int, `a.b` int")
     got = extract_main_text(pages)
-    assert got.columns == ["page_id", "text", "n_chars"] and [tuple(r) for r in got.collect()] == [(1, "new", 3)]
+    assert got.columns == ["page_id", "a.b", "text", "n_chars"] and [tuple(r) for r in got.collect()] == [(1, 2, "new", 3)]
 
 
 def test_html_words_that_also_name_parts_of_an_article():
@@ -569,7 +569,7 @@ def repeats(docs, length=100):
     return out
 
 
-def test_repeats(spark, texts):
+def test_repeats(spark, texts, monkeypatch):
     more = [*texts, "ab" * 400, "é" * 120 + "x" + "é" * 130, texts[20] + texts[21], texts[20][:99], texts[20][1:101]]
     docs = table(spark, more)
     got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
@@ -577,6 +577,8 @@ def test_repeats(spark, texts):
     kept = suffix_dedup.remove_repeats(docs, keep=docs.columns)
     assert kept.columns[: len(docs.columns)] == docs.columns and kept.count() == len(more)
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", 1)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs.repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == got
     twice = suffix_dedup.remove_repeats(table(spark, [texts[20], texts[20]], [3, 3])).collect()
     assert sorted(r.n_removed for r in twice) == [0, len(texts[20])]
 
@@ -596,6 +598,15 @@ def test_induced_sorting(parts, cap, memory, block):
         assert x <= y and (common[k] == same or same == min(len(x), len(y)) and common[k] >= same - 1)
 
 
+def test_window_hashes():
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 99, 500).astype(np.uint8).tobytes()
+    origin, windows = np.array([3, 40, 200]), np.array([5, 1, 80])
+    got = suffix_dedup.window_hashes(data, origin, windows, 10)
+    want = [data[o + k : o + k + 10] for o, w in zip(origin, windows) for k in range(w)]
+    assert len(got) == 86 and all((got[i] == got[j]) == (want[i] == want[j]) for i in range(86) for j in range(i))
+
+
 def test_spans():
     data, begins = spans.join_texts([b"aa bb", b"", b"cc"])
     starts, ends = spans.word_spans(data)
@@ -619,8 +630,66 @@ def test_pipeline(spark, texts, tmp_path):
     assert all(len((r.text or "").encode()) == lengths[r.doc_id] for r in cut.collect())
     spoken = stages["language_id"](spark, source, str(tmp_path)).collect()
     assert {r.doc_id for r in spoken} >= {i for i, t in enumerate(texts) if t and t.strip()} and all(r.text.strip() for r in spoken)
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def without_repeats(docs, length=100):
+    seen, out = set(), []
+    for i, text in docs:
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - length + 1):
+            if raw[k : k + length] in seen:
+                gone[k : k + length] = True
+            seen.add(raw[k : k + length])
+        out.append((i, np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+    return out
+
+
+def test_pipeline_from_end_to_end(spark, texts, tmp_path):
+    """Every stage by brute force on what the one before kept; the last one's pieces are the mix's tokens."""
+    import corpus_pipeline
+
+    docs = table(spark, texts).drop("component", "_size")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    spoken = [(i, t) for i, t in enumerate(texts) if t and re.search("[^\\W\\d_]", t)]
+    own = jaccard([t for _, t in spoken])
+    kept = without_repeats([spoken[k] for k, _, c in own if k == c])
+    source = {r.doc_id: r.source for r in docs.collect()}
+    base = duckdb.connect()
+    base.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    base.executemany("insert into documents values (?, ?, ?)", [(i, t, source[i]) for i, t in kept])
+    taken = base.execute(f"select doc_id, copies from ({mixing.mixing_sql('documents')}) where size > 0").fetchall()
+    coder, text_of = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), dict(kept)
+    want = []
+    for i, copies in taken:
+        ids = [*coder.encode(text_of[i], add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        want += [(i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] * copies
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(want)
+    placed = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    for (s, a, n), (t, b, m) in zip([(None, 0, 0), *placed], placed):
+        assert b == (a + n if s == t else 0) and b + m <= 1024
+
+
+def test_stages_with_odd_ids_and_names(spark):
+    """Null and repeated ids, no ``n_chars``, names that the operators use themselves."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(7, a), (7, b), (None, a + " x"), (8, b), (9, None), (9, ""), (10, "12 3"), (7, b)]
+    names = ["lang_pred", "score", "row", "_id", "repeats_kept_text", "size", "place", "whole", "copies", "component_id", "order", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", "s", *range(len(names))) for i, t in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns, name
+        assert {tuple(r)[4:] for r in found.collect()} <= {tuple(range(len(names)))}
+        assert stage(spark, docs.limit(0), "").count() == 0
+    kept = sorted(((r.doc_id or -1), r.text or "") for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert kept == sorted([(7, a), (7, b), (9, ""), (9, ""), (10, "12 3")])
+    assert sorted((r.text or "") for r in corpus_pipeline.language_stage(spark, docs, "").collect()) == sorted([a, b, b, b, a + " x"])
 
 
 def test_queries_are_registered():
