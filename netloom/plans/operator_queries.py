@@ -1,11 +1,12 @@
 """Queries of the operators that are functions, with their DuckDB SQL.
 
-Inventory numbers: S01-S03 S06 S07 S09-S12 S14 S20 ``netloom.sources.files``;
+Inventory numbers: S01-S03 S06-S12 S14 S20 A08 ``netloom.sources.files``;
 K01 K05 K08-K14 K17-K20 K22 A23 ``netloom.sources.sinks``; L01-L04 L15 J06 A11-A16
 W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 J22 G04-G06 A26 P11
-``operators.circuits``; W03 W04 W07 W08 W11 W14 M02 R05 R07 ``operators.curriculum``;
-I04 A22 ``operators.anchors``; T01-T04 T07 T08 T10 T24 ``functions.text``; T05 T17
-T18 I03 ``operators.replies``; S04 ST01-ST03 ST05 ``streaming.frames``.
+``operators.circuits``; W03 W04 W07 W08 W11 W14 M02 M11 R05 R07 ``operators.curriculum``;
+A30 K11 N01 R01 R03 ``operators.ordering``; I04 A22 ``operators.anchors``; T01-T04 T07
+T08 T10 T13 T20 T24 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
+K01 T06 T17 T19 U09 ``operators.reports``; S04 ST01-ST03 ST05 ``streaming.frames``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import anchors, circuits, curriculum, detection, ordering, replies
+from netloom.operators import anchors, circuits, curriculum, detection, ordering, replies, reports
 from netloom.plans.fixtures import tables, view, with_views
 from netloom.plans.portable import DIFFICULTY
 from netloom.sources import files, sinks
@@ -510,6 +511,75 @@ def agent3_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", F.round("syntax_valid", 6).alias("syntax_valid"), "simulation_runs", F.round("topology_preserved", 6).alias("topology_preserved"), "node_match")
 
 
+@query(f"with {_TYPES}, n as (select image_id, ctype, count(*) as n, min(det_id) as o from t group by image_id, ctype) select image_id, concat('Analog circuit with ', string_agg(concat(n, ' ', ctype, case when n > 1 then 's' else '' end), ', ' order by o)) as caption from n group by image_id", "detections classes")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.captions(_typed(spark, sf_dir))
+
+
+_SECTION = "case when cls in (0, 2, 4) then 'sources' when cls = 5 then 'simulation' when cls = 7 then 'models' else 'components' end"
+
+
+@query(
+    f"""with e as (select image_id, det_id as pos, {_SECTION} as section, line from netlist_lines), h as (select * from (values (1, 'components', '* Components'), (2, 'sources', '* Sources'), (3, 'models', '* Models'), (4, 'simulation', '* Simulation')) as t(k, section, heading)), i as (select distinct image_id from e),
+ l as (select image_id, 0 as k, 0 as pos, case when image_id % 4 = 0 then '* Circuit Netlist' else concat('* Circuit ', image_id) end as line from i union all select image_id, k, -2, '*' from i cross join h union all select image_id, k, -1, heading from i cross join h union all select image_id, k, pos, line from e join h on e.section = h.section) select image_id, string_agg(line, chr(10) order by k, pos) as spice_code from l group by image_id""",
+    "netlist_lines",
+)
+def netlist_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "netlist_lines").select("image_id", F.col("det_id").alias("pos"), F.expr(_SECTION).alias("section"), "line")
+    titles = rows.select("image_id").distinct().withColumn("title", F.when(F.col("image_id") % 4 != 0, F.concat(F.lit("Circuit "), F.col("image_id").cast("string"))))
+    return reports.netlist_text(rows, titles)
+
+
+def _mapped_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    components, terminals, nodes = _parts(spark, sf_dir)
+    mapped = circuits.terminal_nodes(circuits.nearest_terminals(components, terminals), nodes)
+    return _typed(spark, sf_dir).withColumnRenamed("det_id", "comp_id"), mapped, nodes
+
+
+@query(
+    f"""with {_MAPPED}, {_TYPES}, us as (select image_id, node_id, count(*) as uses from (select image_id, node1 as node_id from mp union all select image_id, node2 as node_id from mp) s group by image_id, node_id), hg as (select n.*, coalesce(uses, 0) as uses from node n left join us on n.image_id = us.image_id and n.node_id = us.node_id where coalesce(uses, 0) < 2),
+ pr as (select a.image_id, a.node_id, b.node_id as to_node, a.uses, row_number() over (partition by a.image_id, a.node_id order by sqrt(power(a.nx - b.nx, 2) + power(a.ny - b.ny, 2)), b.node_id) as r from hg a join hg b on a.image_id = b.image_id), ln as (select image_id, node_id, to_node from pr where r > 1 and r <= 3 - uses),
+ nm as (select image_id, det_id, ctype, concat(cls, row_number() over (partition by image_id, cls order by det_id)) as mark from t), nn as (select image_id, node_id, row_number() over (partition by image_id order by node_id) - 1 as i0 from node),
+ fl as (select *, row_number() over (partition by image_id, least(node_id, to_node), greatest(node_id, to_node) order by node_id, to_node) as nth from ln),
+ l as (select distinct image_id, 0 as k, 0 as a, 0 as b, 'Components in the circuit are: ' as line from nm union all select image_id, 1, det_id, 0, concat(ctype, ' ', mark) from nm union all select distinct image_id, 2, 0, 0, 'Junctions in the circuit are: ' from nm union all select image_id, 3, i0, 0, concat('Node N', i0 + 1) from nn union all select distinct image_id, 4, 0, 0, 'Connections in the circuit are: ' from nm
+  union all select m.image_id, 5, m.comp_id, 0, concat(mark, ' is between Node', x.i0, ' and Node', y.i0) from mp m join nm on nm.image_id = m.image_id and nm.det_id = m.comp_id join nn x on x.image_id = m.image_id and x.node_id = m.node1 join nn y on y.image_id = m.image_id and y.node_id = m.node2
+  union all select f.image_id, 6, f.node_id, f.to_node, concat('Node', x.i0, ' and Node', y.i0, ' are connected') from fl f join nn x on x.image_id = f.image_id and x.node_id = f.node_id join nn y on y.image_id = f.image_id and y.node_id = f.to_node where nth = 1)
+ select image_id, string_agg(line, chr(10) order by k, a, b) as report from l group by image_id""",
+    "detections segments classes",
+)
+def circuit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    components, mapped, nodes = _mapped_parts(spark, sf_dir)
+    return reports.circuit_report(components, nodes, mapped, circuits.hanging_links(mapped, nodes))
+
+
+@query(f"with {_MAPPED} select image_id, comp_id, concat_ws(',', least(node1, node2), case when node1 <> node2 then greatest(node1, node2) end) as nodes from mp", "detections segments")
+def component_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.connected_nodes(_mapped_parts(spark, sf_dir)[1])
+    return found.withColumn("nodes", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ","))
+
+
+@query(f"with {_TYPES}, c as (select image_id, string_agg(concat('  ', det_id, ': ', ctype), chr(10) order by det_id) as c, count(*) as n from t group by image_id), s as (select image_id, string_agg(concat('[', k, '] (', x1, ',', y1, ') → (', x2, ',', y2, ')'), chr(10) order by k) as s, count(*) as m from (select *, row_number() over (partition by image_id order by seg_id) - 1 as k from segments) q group by image_id) select s.image_id, concat('Validate ', m, ' Hough lines.', chr(10), chr(10), 'Components: ', n, chr(10), c, chr(10), chr(10), 'Hough lines:', chr(10), s, chr(10)) as prompt from s join c on s.image_id = c.image_id", "detections classes segments")
+def connectivity_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.connectivity_prompts(_typed(spark, sf_dir), view(spark, sf_dir, "segments"))
+
+
+_KIND = "case when nx < 120 then 'GROUND' when nx > 300 then 'POWER' else 'internal' end"
+
+
+@query(
+    f"""with {_MAPPED}, {_TYPES}, c as (select t.image_id, string_agg(concat('  ', det_id, ' (', ctype, '): t1→', coalesce(cast(node1 as varchar), 'unknown'), ', t2→', coalesce(cast(node2 as varchar), 'unknown')), chr(10) order by det_id) as c from t left join mp on mp.image_id = t.image_id and mp.comp_id = t.det_id group by t.image_id), n as (select image_id, string_agg(concat('  ', node_id, ' (', {_KIND}, ')'), chr(10) order by node_id) as n from node group by image_id),
+ p as (select c.image_id, concat('Generate a SPICE netlist from this circuit topology.', chr(10), chr(10), 'COMPONENTS:', chr(10), c, chr(10), chr(10), 'ELECTRICAL NODES:', chr(10), n, chr(10), chr(10), 'Generate a complete, valid SPICE netlist that will simulate successfully.') as prompt from c join n on c.image_id = n.image_id)
+ select p.image_id, case when p.image_id % 3 = 0 then concat(prompt, chr(10), chr(10), 'ERRORS FOUND:', chr(10), '  • first', chr(10), '  • second', chr(10), chr(10), 'FEEDBACK:', chr(10), 'again', chr(10), chr(10), 'PREVIOUS NETLIST (FAILED):', chr(10), substr(spice_code, 1, 1000)) else prompt end as prompt from p left join netlists on netlists.image_id = p.image_id""",
+    "detections segments classes netlists",
+)
+def netlist_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    components, mapped, nodes = _mapped_parts(spark, sf_dir)
+    prompts = reports.netlist_prompts(components, mapped, nodes.withColumn("kind", F.expr(_KIND)))
+    errors = F.array(*map(F.lit, ("first", " ", "second")))
+    issues = view(spark, sf_dir, "netlists").where("image_id % 3 = 0").select("image_id", errors.alias("errors"), F.lit("again").alias("feedback"), F.col("spice_code").alias("previous"))
+    return reports.retry_prompts(prompts, issues)
+
+
 _ISSUES = "case doc_id % 6 when 0 then concat('[\"', source, '\", \"\", 7, null, 0, \"x y\"]') when 1 then '\"one issue\"' when 2 then '\"\"' when 3 then 'null' when 4 then '{\"a\": 1}' else '[]' end"
 
 

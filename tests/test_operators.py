@@ -26,7 +26,7 @@ COMPARED = (
     "nms nms_agnostic nms_padded nms_agnostic_padded match_labels confusion_matrix running_precision_recall pr_envelope average_precision continuous_precision class_prf map_summary box_mask_means box_mask_maps "
     "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample anchor_targets rect_batches calibration_items ordered_split rank_shards coco_annotations collate_index "
     "ema_state self_paced sample_weights smoothed_best fenced_code reply_json netlist_nodes minimal_netlist spice_fallback normalized_issues coordinates run_stamps elapsed_seconds message_digests data_urls "
-    "multihead_lines yolo_lines graph_json detection_json_values dataset_scan fileset_hash latest_per_source stateful_ema curve_grid"
+    "captions netlist_text circuit_report component_nodes connectivity_prompt netlist_prompt multihead_lines yolo_lines graph_json detection_json_values dataset_scan fileset_hash latest_per_source stateful_ema curve_grid"
 ).split()
 
 
