@@ -132,7 +132,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest = materialize(_digest(docs, id_col, text_col, source_col), "mix")
     rules = materialize(mixing_rules(digest, weights, most), "mix-rules")
     whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
-    placed = docs.select(whole, F.col(quoted(source_col)).alias("source"), place(F.col(quoted(id_col))).alias("place"), word_count(F.col(quoted(text_col))).alias("size")).where("size > 0")
+    has_words = F.col(quoted(text_col)).rlike(f"[^{_WHITE}]")
+    placed = docs.where(has_words).select(whole, F.col(quoted(source_col)).alias("source"), place(F.col(quoted(id_col))).alias("place"))
     joined = placed.join(rules, placed["source"].eqNullSafe(rules["s"]))
     taken = joined.select("row", copies_of().cast("int").alias("copies")).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
