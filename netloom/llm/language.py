@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from netloom.llm.spans import lean
 from netloom.plans.shared import quoted
 
 #: Symbols (0 is every run of non-letters), dimensions, seed of the letter vectors.
@@ -138,7 +139,7 @@ def train_prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str
         return pa.table({"lang": [table.column("lang")[0].as_py()], "vector": [out.tobytes()]})
 
     source = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sums = source.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = source.mapInArrow(lean(count), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     vectors = {r["lang"]: np.frombuffer(bytes(r["vector"])) for r in sums.groupBy("lang").applyInArrow(bundle, "lang string, vector binary").collect()}
     return {k: v / n for k, v in sorted(vectors.items()) if (n := np.linalg.norm(v))}
 
@@ -175,7 +176,7 @@ def identify_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text_c
     plain = [f"c{i}" for i in range(len(keep) + 2)]
     schema = StructType([StructField(n, k) for n, k in zip(plain, [*(docs.schema[c].dataType for c in keep), StringType(), DoubleType()])])
     rows = docs.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, plain)], F.col(quoted(text_col)).alias("text"))
-    return rows.mapInArrow(predict, schema).toDF(*keep, *names)
+    return rows.mapInArrow(lean(predict), schema).toDF(*keep, *names)
 
 
 def held_out(id_col: str = "doc_id"):

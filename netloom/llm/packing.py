@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.encoding import encoder
+from netloom.llm.spans import lean, lean_group
 from netloom.plans.shared import materialize
 
 #: Pieces packed together; the loss is a few open sequences for each group.
@@ -55,7 +56,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
-    return grouped.groupBy("pack_group").applyInArrow(place, f"{schema}, sequence_id long, offset long")
+    return grouped.groupBy("pack_group").applyInArrow(lean_group(place), f"{schema}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

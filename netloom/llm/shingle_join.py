@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.spans import U, mix, shingle_sets
+from netloom.llm.spans import U, lean, lean_group, mix, shingle_sets
 from netloom.operators.components import connected_components
 from netloom.plans.shared import discard, materialize, plan_bytes, steady
 
@@ -299,10 +299,10 @@ def shared_shingles(docs: DataFrame, width: int, least: int) -> DataFrame:
     """
     docs = steady(docs, "texts")
     parts = max(8, -(-plan_bytes(docs, "text") // PART_BYTES))
-    cut = docs.mapInArrow(_cut(width, parts * PART_SHARDS), _ROW)
-    counted = cut.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_count, _ROW)
+    cut = docs.mapInArrow(lean(_cut(width, parts * PART_SHARDS)), _ROW)
+    counted = cut.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(lean(_count), _ROW)
     back = counted.repartition(parts, "chunk").sortWithinPartitions("chunk")
-    return back.mapInArrow(_gather(least), "doc_id long, n long, h1 long, h2 long, prefix array<long>, shingles binary, sketch binary")
+    return back.mapInArrow(lean(_gather(least)), "doc_id long, n long, h1 long, h2 long, prefix array<long>, shingles binary, sketch binary")
 
 
 def _band(n: Column, least: int) -> Column:
@@ -357,7 +357,7 @@ def verify_pairs(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
             yield batch.filter(pa.array((table[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)))
 
     known = sets.where("shingles is not null").select(F.col("doc_id").alias("id"), "n", "shingles", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("spot"))
-    found = known.mapInArrow(asked_for, "id long, n long, shingles binary, spot long").drop("spot")
+    found = known.mapInArrow(lean(asked_for), "id long, n long, shingles binary, spot long").drop("spot")
     # Both joins read one exchange of the sets.
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
     one = blocks.join(found, blocks["a"] == found["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "n", "shingles")
@@ -384,7 +384,7 @@ def verify_pairs(sets: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
             yield batch.select([0, 2]).filter(pa.array(linked, pa.bool_()))
 
     met = one.unionAll(two).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return met.mapInArrow(check, "a long, b long")
+    return met.mapInArrow(lean(check), "a long, b long")
 
 
 def _folded(sketches: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -458,7 +458,7 @@ def _across(lists: DataFrame, least: int, nearest: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     to = F.when(F.col("c") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = lists.join(facts, "token").withColumn("own", own).withColumn("block", F.explode(to)).withColumn("home", F.col("own") == F.col("block"))
-    return spread.groupBy("token", "block").applyInArrow(cross, "a long, b long").distinct()
+    return spread.groupBy("token", "block").applyInArrow(lean_group(cross), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
@@ -511,7 +511,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = materialize(mixed, "mixed")
         wanted = labelled.join(mixed, "token", "left_semi").groupBy("rep", "n", "alone", "c").agg(F.collect_set("token").alias("wanted"))
         both = wanted.join(own, ["rep", "n", "alone"]).withColumn("wanted", F.array_intersect("wanted", "prefix"))
-        left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(_later, "token long, rep long, n long, c long, pos long, sketch binary")
+        left_over = both.select("rep", "n", "alone", "c", "wanted", "prefix", "sketch").mapInArrow(lean(_later), "token long, rep long, n long, c long, pos long, sketch binary")
         pairs = _across(materialize(left_over, "left-over"), least, step == "stars")
     for table in (lists, grouped, members):
         discard(table)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _A, _B, _C = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
@@ -12,6 +17,53 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a Python worker otherwise keeps the most that any task of it took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(function: Callable) -> Callable:
+    """A function over batches that gives freed memory back after each batch that it takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def taken() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from function(taken())
+        give_back()
+
+    return run
+
+
+def lean_group(function: Callable) -> Callable:
+    """The same for a function over the table of a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        give_back()
+        return function(table)
+
+    return run
+
+
+def lean_pair(function: Callable) -> Callable:
+    """The same for a function over the two tables of a group."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
+        return function(left, right)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; works in place on a fresh array."""
     x = x ^ (x >> U(30))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.spans import U, hash_spans, mix
+from netloom.llm.spans import U, hash_spans, lean_group, lean_pair, mix
 from netloom.llm.suffix_sort import InducedSorter
 from netloom.plans.shared import materialize, plan_bytes, quoted, steady
 
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         return _bucketed(_Part(left, right).runs(length, gram)[3] if left.num_rows else np.zeros(0, U), shards, part)
 
     bucketed = "bucket int, part int, blob binary"
-    grams = texts.cogroup(copies.groupBy("part")).applyInArrow(keys, bucketed).groupBy("bucket").applyInArrow(_again(1, 3), _NOTE)
+    grams = texts.cogroup(copies.groupBy("part")).applyInArrow(lean_pair(keys), bucketed).groupBy("bucket").applyInArrow(lean_group(_again(1, 3)), _NOTE)
     grams = materialize(grams, "grams")
 
     def hot_windows(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         return _bucketed(hashes, shards, me)
 
     notes = copies.unionAll(grams)
-    hot = texts.cogroup(notes.where("kind in (0, 3)").groupBy("part")).applyInArrow(hot_windows, bucketed).groupBy("bucket").applyInArrow(_again(4), _NOTE)
+    hot = texts.cogroup(notes.where("kind in (0, 3)").groupBy("part")).applyInArrow(lean_pair(hot_windows), bucketed).groupBy("bucket").applyInArrow(lean_group(_again(4)), _NOTE)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("heads", pa.binary()), ("bytes", pa.binary()), ("marks", pa.binary())])
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             rows.append({"shard": s, "part": me, "heads": heads, "bytes": body, "marks": b""})
         return pa.Table.from_pylist(rows, schema=schema)
 
-    runs = texts.cogroup(notes.unionAll(hot).groupBy("part")).applyInArrow(send, "shard int, part int, heads binary, bytes binary, marks binary")
+    runs = texts.cogroup(notes.unionAll(hot).groupBy("part")).applyInArrow(lean_pair(send), "shard int, part int, heads binary, bytes binary, marks binary")
 
     def sort_shard(table: pa.Table) -> pa.Table:
         part_of = table.column("part").to_pylist()
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         n = len(out)
         return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "kind": pa.array([2] * n, pa.int32()), "row": pa.array([None] * n, pa.int64()), "blob": pa.array([o[1] for o in out], pa.binary())})
 
-    marks = runs.groupBy("shard").applyInArrow(sort_shard, _NOTE)
+    marks = runs.groupBy("shard").applyInArrow(lean_group(sort_shard), _NOTE)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     final = texts.cogroup(copies.unionAll(marks).groupBy("part"))
     kinds = "".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
-    found = final.applyInArrow(cut, f"{kinds}row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    found = final.applyInArrow(lean_pair(cut), f"{kinds}row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     own = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     if not keep:
         return found.select(*own)

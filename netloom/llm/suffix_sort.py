@@ -19,7 +19,7 @@ import numpy as np
 from netloom.llm.spans import hash_spans
 
 #: Bytes of tuples that the queues of one sort hold in memory; tuples scanned at a time.
-MEMORY_BYTES, BLOCK = 192 << 20, 1 << 20
+MEMORY_BYTES, BLOCK = 96 << 20, 1 << 18
 
 
 class Budget:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.encoding import encoder
-from netloom.llm.spans import U, mix
+from netloom.llm.spans import U, lean, mix
 from netloom.plans.shared import materialize, new_path, plan_bytes
 
 MAGIC = b"NLTOK001"
@@ -248,7 +248,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), *[(c, pa.int64()) for c in ("n_docs", "n_ids", "first_key", "last_key")]])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    written = materialize(ordered.mapInArrow(write, "part int, seq int, file string, n_docs long, n_ids long, first_key long, last_key long"), "shards")
+    written = materialize(ordered.mapInArrow(lean(write), "part int, seq int, file string, n_docs long, n_ids long, first_key long, last_key long"), "shards")
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 
@@ -278,7 +278,7 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 )
 
     files = manifest.select("file", "base").repartition(max(8, math.ceil(manifest.count() ** RANGE_POWER * 2)))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
