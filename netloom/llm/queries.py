@@ -66,4 +66,44 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan, op10_suffix_array_dedup)}
-ORACLE_SQL = {"op6_source_mixing": mixing_sql("documents")}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Links to every row that is reached from a row, ``edge (a, b)`` in both directions.
+_REACH = "reach(id, other) as (select id, id from vertex union select r.id, e.b from reach r join edge e on r.other = e.a)"
+
+SHINGLE_SQL = rf"""with recursive words as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+ sets as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+ vertex as (select doc_id as id, coalesce(len(s), 0) as n from sets), single as (select doc_id, unnest(s) as x from sets),
+ pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from single a join single b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+ linked as (select a, b from pairs join vertex v on v.id = a join vertex u on u.id = b where 100 * both_n >= 80 * (v.n + u.n - both_n)),
+ edge as (select a, b from linked union all select b as a, a as b from linked), {_REACH}
+ select id as doc_id, cast(max(n) as bigint) as n_shingles, min(other) as component_id from reach join vertex using (id) group by id"""
+
+_USABLE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+TOP_SQL = f"""with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings where {_USABLE}),
+ s as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.x, v.x) as bigint) as score from v q join v on v.vec_id <> q.vec_id and len(q.x) = len(v.x) where q.vec_id % 50 = 0),
+ r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s) select * from r where rank <= 5"""
+
+NEAR_SQL = f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings where label is not null and {_USABLE}),
+ linked as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_dot_product(a.x, a.x) > 0 and list_dot_product(b.x, b.x) > 0 and list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98e0),
+ vertex as (select vec_id as id from embeddings), edge as (select a, b from linked), {_REACH}, parts as (select id, min(other) as component_id from reach group by id), counts as (select a, count(*) as n from edge group by a)
+ select id as vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, id = component_id as kept from parts left join counts on a = id"""
+
+REPEATS_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), b as (select doc_id, h, cast(length(h) / 2 as bigint) as n from d),
+ c as (select doc_id, n, c, substr(h, 4000 * c + 1, 4198) as h from (select doc_id, n, h, unnest(range(0, (n + 1999) // 2000)) as c from b) q),
+ w as (select doc_id, 2000 * c + t as s, md5(substr(h, 2 * t + 1, 200)) as k from (select doc_id, c, h, unnest(range(0, least(2000, n - 99 - 2000 * c))) as t from c where n - 99 > 2000 * c) q),
+ f as (select k, min({'doc': doc_id, 's': s}) as first from w group by k having count(*) > 1), r as (select w.doc_id, w.s from w join f using (k) where w.doc_id <> f.first.doc or w.s <> f.first.s),
+ g as (select *, sum(case when s <= before + 100 then 0 else 1 end) over (partition by doc_id order by s) as run from (select *, lag(s) over (partition by doc_id order by s) as before from r) q),
+ i as (select doc_id, min(s) as a, max(s) + 100 as b from g group by doc_id, run), j as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as start, row_number() over (partition by doc_id order by a desc) as from_end from i),
+ p as (select j.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' order by a) || max(case when from_end = 1 then substr(h, 2 * j.b + 1) end) as kept, sum(j.b - a) as removed, count(*) as spans from j join b on b.doc_id = j.doc_id group by j.doc_id)
+ select b.doc_id, b.n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from b left join p on p.doc_id = b.doc_id"""
+
+#: Tokenizers, profiles, densities and expressions are beyond SQL; tests hold those queries against plain Python.
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": SHINGLE_SQL,
+    "op4_voronoi_top_k": TOP_SQL,
+    "op5_embedding_near_dedup": NEAR_SQL,
+    "op6_source_mixing": mixing_sql("documents"),
+    "op10_suffix_array_dedup": REPEATS_SQL,
+}
