@@ -231,6 +231,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     bucketed = "bucket int, part int, blob binary"
     grams = texts.cogroup(copies.groupBy("part")).applyInArrow(lean_pair(keys), bucketed).groupBy("bucket").applyInArrow(lean_group(_again(1, 3)), _NOTE)
+    # Written, so that the passes over the texts are not all held by one job.
+    grams = materialize(grams, "grams")
 
     def hot_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes, me = np.zeros(0, U), left.column("part")[0].as_py() if left.num_rows else -1
