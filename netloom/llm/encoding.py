@@ -19,11 +19,11 @@ from tokenizers import Tokenizer
 from netloom.llm.spans import hash_spans
 
 #: Pre-tokens in each of the cache's two generations.
-CACHE_UNITS = 100_000
+CACHE_UNITS = 300_000
 #: Units in one text for the library.
 JOINED = 500
 #: Bytes of text that are cut at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 _END, _BLANK, _WHITE, _LETTER, _DIGIT, _MARK, _OTHER = range(7)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[0x21:0x7F] = _MARK
