@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.curriculum import box_smooth
+from netloom.plans.shared import materialize
 
 #: Boxes of an image that enter suppression, and that leave it.
 MOST_BOXES, MOST_KEPT = 30_000, 300
@@ -90,9 +91,10 @@ def confusion_matrix(detections: DataFrame, labels: DataFrame, classes: int, lea
     """Counts by predicted and true class; class number ``classes`` is background.
 
     Missed labels count under the background row.  Spurious detections count
-    under the background column only in images that have a match.
+    under the background column only in images that have a match.  Matches are
+    read four times, so they are written once.
     """
-    matches = match_labels(detections, labels, least, confidence)
+    matches = materialize(match_labels(detections, labels, least, confidence).select("image_id", "gt_id", "det_id", "gt_cls", "det_cls"), "matches")
     hit = matches.select(F.col("det_cls").alias("pred"), F.col("gt_cls").alias("true"))
     missed = labels.join(matches.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").select(F.lit(classes).alias("pred"), F.col("cls").alias("true"))
     able = detections.where(F.col("conf") > confidence).join(matches.select("image_id").distinct(), "image_id", "left_semi")

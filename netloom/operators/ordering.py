@@ -25,6 +25,16 @@ def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth") -> D
     return joined.withColumn(name, F.col("_first") + F.col("_k") - 1).drop("_range", "_k", "_first")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A fixed shuffle of keys: the order of the MD5 of seed and key, the same on every engine and in every run."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
+def worker_seed(seed: int, worker: Column) -> Column:
+    """Seed of one worker, under 2 ** 32, from the common one."""
+    return F.pmod(F.lit(seed) + worker, F.lit(1 << 32))
+
+
 def split_by_order(rows: DataFrame, order: list[str | Column], train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Cut rows in order at floor(train * n), then floor(val * n) more, the rest is ``test``."""
     found = numbered(rows, order)

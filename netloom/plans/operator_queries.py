@@ -392,6 +392,13 @@ def ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.split_by_order(spark.table("documents").select("doc_id"), [F.expr(_SHUFFLED), "doc_id"])
 
 
+@query("select doc_id, row_number() over (order by md5(concat('7:', doc_id)), doc_id) - 1 as nth, (7 + doc_id) % 4294967296 as seed from documents")
+def seeded_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    rows = ordering.numbered(spark.table("documents").select("doc_id"), [ordering.seeded("doc_id", 7), "doc_id"])
+    return rows.withColumn("seed", ordering.worker_seed(7, F.col("doc_id")))
+
+
 @query(f"with r as (select doc_id, row_number() over (order by {_SHUFFLED}, doc_id) - 1 as k, count(*) over () as n from documents), p as (select doc_id, k from r union all select doc_id, k + n as k from r where k < (4 - n % 4) % 4) select doc_id, cast(k % 4 as bigint) as shard from p")
 def rank_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir)
@@ -700,15 +707,34 @@ def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def detection_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.detection_json(view(spark, sf_dir, "detections"))
+    boxes, segments = view(spark, sf_dir, "detections"), view(spark, sf_dir, "segments")
+    nodes = _parts(spark, sf_dir)[2]
+    sizes = boxes.select("image_id").distinct().select("image_id", F.lit(640).alias("width"), F.lit(480).alias("height"))
+    line = lambda rows, pos, *text: rows.select("image_id", F.col(pos).alias("pos"), F.concat(*text).alias("line"))
+    named = line(_typed(spark, sf_dir), "det_id", "ctype", F.lit(" "), F.col("det_id").cast("string"))
+    places = line(nodes, "node_id", F.lit("Junction N"), F.col("node_id").cast("string"))
+    linked = line(boxes.where("det_id % 2 = 0"), "det_id", F.col("det_id").cast("string"), F.lit(" is between Node0 and Node1"))
+    return sinks.detection_json(boxes, segments, nodes, sizes, named, places, linked)
 
 
-@query("select image_id, cast(count(*) as bigint) as total, md5(string_agg(concat_ws(',', det_id, cls, x1, y1, x2, y2, cast(round(conf * 1000) as bigint)), ';' order by det_id)) as boxes from detections group by image_id", "detections")
+@query(
+    f"""with {_PARTS}, {_TYPES}, d as (select image_id, count(*) as n, string_agg(concat_ws(',', det_id, cls, cast(round(conf * 1000) as bigint), x1, y1, x2, y2), ';' order by det_id) as boxes from detections group by image_id), s as (select image_id, string_agg(concat_ws(',', x1, y1, x2, y2), ';' order by seg_id) as lines from segments group by image_id),
+ j as (select image_id, string_agg(concat_ws(',', cast(2 * nx as bigint), cast(2 * ny as bigint)), ';' order by node_id) as junctions, string_agg(concat('Junction N', node_id), ';' order by node_id) as nodes from node group by image_id), c as (select image_id, string_agg(concat(ctype, ' ', det_id), ';' order by det_id) as components, coalesce(string_agg(case when det_id % 2 = 0 then concat(det_id, ' is between Node0 and Node1') end, ';' order by det_id), '') as connections from t group by image_id)
+ select d.image_id, 640 as width, md5(boxes) as boxes, lines, junctions, components, nodes, connections from d join s on s.image_id = d.image_id join j on j.image_id = d.image_id join c on c.image_id = d.image_id""",
+    "detections segments classes",
+)
 def detection_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = "struct<detections: array<struct<det_id: bigint, cls: int, conf: double, x1: bigint, y1: bigint, x2: bigint, y2: bigint>>, total: bigint>"
-    row = lambda d: F.concat_ws(",", *[d[c].cast("string") for c in ("det_id", "cls", "x1", "y1", "x2", "y2")], F.round(d["conf"] * 1000).cast("long").cast("string"))
+    point = "struct<x: double, y: double>"
+    kind = f"struct<yolo_detections: array<struct<det_id: bigint, cls: int, conf: double, x1: bigint, y1: bigint, x2: bigint, y2: bigint>>, hough_lines: array<struct<start: {point}, end: {point}>>, junction_candidates: array<{point}>, image_size: struct<width: int, height: int>, components: array<string>, nodes: array<string>, connections: array<string>>"
+    whole = lambda c: c.cast("long").cast("string")
+    box = lambda d: F.concat_ws(",", *[d[c].cast("string") for c in ("det_id", "cls")], whole(F.round(d["conf"] * 1000)), *[d[c].cast("string") for c in ("x1", "y1", "x2", "y2")])
+    line = lambda s: F.concat_ws(",", *[whole(s[e][c]) for e in ("start", "end") for c in "xy"])
     read = detection_json(spark, sf_dir).withColumn("j", F.from_json("json", kind))
-    return read.select("image_id", "j.total", F.md5(F.array_join(F.transform("j.detections", row), ";").cast("binary")).alias("boxes"))
+    of = lambda name, f: F.array_join(F.transform(F.col(f"j.{name}"), f), ";")
+    return read.select(
+        "image_id", "j.image_size.width", F.md5(of("yolo_detections", box).cast("binary")).alias("boxes"), of("hough_lines", line).alias("lines"),
+        of("junction_candidates", lambda p: F.concat_ws(",", whole(p["x"] * 2), whole(p["y"] * 2))).alias("junctions"), *[F.array_join(f"j.{c}", ";").alias(c) for c in ("components", "nodes", "connections")],
+    )
 
 
 _SCAN = "case when image_id % 11 = 0 then null when image_id % 13 = 0 then '' when cls = 5 then concat(cls, ' 1.5 0.5 0.1 0.1') else concat(cls, ' ', x1 % 10 / 10e0, ' 0.5 0.1 0.1') end"

@@ -62,10 +62,35 @@ def graph_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.join(e, "image_id", "left").select("image_id", F.to_json(F.struct("nodes", F.coalesce("links", F.array()).alias("links"))).alias("graph"))
 
 
-def detection_json(boxes: DataFrame) -> DataFrame:
-    """One JSON document for each image with its detections in id order."""
-    row = F.struct("det_id", "cls", "conf", "x1", "y1", "x2", "y2")
-    return boxes.groupBy("image_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("detections"), F.count("*").alias("total"))).alias("json"))
+def detection_json(boxes: DataFrame, segments: DataFrame, junctions: DataFrame, sizes: DataFrame, components: DataFrame, nodes: DataFrame, connections: DataFrame) -> DataFrame:
+    """One JSON document with seven keys for each image of ``sizes`` (``image_id, width, height``).
+
+    Boxes are in id order, segments with both ends, junctions as points; the
+    others have ``image_id, pos, line``.  What an image lacks is an empty list.
+    """
+
+    def part(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+        found = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("_v")))).alias("r"))
+        return found.select("image_id", F.transform("r", lambda x: x["_v"]).alias(name))
+
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    parts = [
+        part(boxes, "det_id", F.struct("det_id", "cls", "conf", "x1", "y1", "x2", "y2"), "yolo_detections"),
+        part(segments, "seg_id", F.struct(point("x1", "y1").alias("start"), point("x2", "y2").alias("end")), "hough_lines"),
+        part(junctions, "node_id", point("nx", "ny"), "junction_candidates"),
+        *(part(rows, "pos", F.col("line"), name) for rows, name in ((components, "components"), (nodes, "nodes"), (connections, "connections"))),
+    ]
+    joined = sizes.select("image_id", F.struct("width", "height").alias("image_size"))
+    for p in parts:
+        joined = joined.join(p, "image_id", "left")
+    names = ["yolo_detections", "hough_lines", "junction_candidates", "image_size", "components", "nodes", "connections"]
+    filled = [F.col(n) if n == "image_size" else F.coalesce(n, F.array()).alias(n) for n in names]
+    return joined.select("image_id", F.to_json(F.struct(*filled)).alias("json"))
+
+
+def write_products(products: DataFrame, folder: str) -> None:
+    """Write ``product, image_id, text`` rows, each product into a folder of its own."""
+    products.select("product", "image_id", "text").repartition("product", F.pmod(F.xxhash64("image_id"), F.lit(64))).write.mode("append").partitionBy("product").json(folder)
 
 
 def summary_strings(boxes: DataFrame) -> DataFrame:
@@ -89,6 +114,21 @@ def append_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 
+def evolution_record(results: DataFrame, keys: list[str], path: str, fitness: Column) -> str:
+    """Append ``generation`` and ``keys`` to the CSV log at ``path``; the best generation so far as YAML text.
+
+    Of equal fitness the first generation is the best; an empty log gives an empty text.
+    """
+    columns = ["generation", *keys]
+    results.select(*columns).write.mode("append").option("header", True).csv(path)
+    log = results.sparkSession.read.csv(path, header=True, inferSchema=True).withColumn("_f", fitness)
+    found = log.agg(F.min_by(F.struct(*columns), F.struct(-F.col("_f"), "generation")).alias("best"), F.max("generation").alias("last")).first()
+    if found["best"] is None:
+        return ""
+    head = [f"# Best generation: {found['best']['generation']}", f"# Last generation: {found['last']}"]
+    return "\n".join([*head, *(f"{k}: {found['best'][k]}" for k in keys)]) + "\n"
+
+
 def split_manifests(rows: DataFrame, path: str) -> None:
     """One text manifest for each split."""
     rows.select("split", F.col("path").alias("value")).write.mode("overwrite").partitionBy("split").text(path)

@@ -24,7 +24,7 @@ SF = "/root/testdata/sf0.001"
 COMPARED = (
     "box_xywh terminals iou_pairs capacitor_rule seg_intersections anchor_fit status_rollup best_iteration difficulty image_weights weighted_score agent1_metrics agent2_metrics agent3_metrics required_keys shape_intersection "
     "nms nms_agnostic nms_padded nms_agnostic_padded match_labels confusion_matrix running_precision_recall pr_envelope average_precision continuous_precision class_prf map_summary box_mask_means box_mask_maps "
-    "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample anchor_targets rect_batches calibration_items ordered_split rank_shards coco_annotations collate_index "
+    "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample anchor_targets rect_batches calibration_items ordered_split rank_shards seeded_order coco_annotations collate_index "
     "ema_state self_paced sample_weights smoothed_best fenced_code reply_json netlist_nodes minimal_netlist spice_fallback normalized_issues coordinates run_stamps elapsed_seconds message_digests data_urls "
     "captions netlist_text circuit_report component_nodes connectivity_prompt netlist_prompt multihead_lines yolo_lines graph_json detection_json_values dataset_scan fileset_hash latest_per_source stateful_ema curve_grid"
 ).split()
@@ -337,3 +337,16 @@ def test_file_sources_and_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("d/labels/a.txt", "0 0.5 0.5 0.1 0.1"), ("d/labels/a.txt", "0 0.5 0.5 0.1 0.1"), ("d/labels/b.txt", ""), ("d/labels/c.txt", "0 2 0.5 0.1 0.1")], "path string, value string")
     scan = sorted(tuple(r) for r in files.dataset_scan(images, lines).collect())
     assert scan == [("d/images/a.png", "found", 1), ("d/images/b.png", "empty", 0), ("d/images/c.png", "corrupt", 0), ("d/images/d.png", "missing", 0)]
+
+
+def test_records_products_and_caches(spark, tmp_path):
+    fitness = 0.1 * F.col("map50") + 0.9 * F.col("map")
+    log = lambda *rows: sinks.evolution_record(spark.createDataFrame(rows, "generation int, map50 double, map double"), ["map50", "map"], f"{tmp_path}/evolve", fitness)
+    assert log((0, 0.5, 0.2)) == "# Best generation: 0\n# Last generation: 0\nmap50: 0.5\nmap: 0.2\n"
+    assert log((1, 0.5, 0.4), (2, 0.5, 0.4)).startswith("# Best generation: 1\n# Last generation: 2\n")
+    sinks.write_products(spark.createDataFrame([("spice", 1, "x"), ("captions", 1, "y"), ("spice", 2, "z")], "product string, image_id long, text string"), f"{tmp_path}/out")
+    assert sorted(r.text for r in spark.read.json(f"{tmp_path}/out/product=spice").collect()) == ["x", "z"]
+    calls = []
+    for _ in range(2):
+        assert files.cached(spark, f"{tmp_path}/cache", lambda: calls.append(1) or spark.range(3)).count() == 3
+    assert len(calls) == 1
