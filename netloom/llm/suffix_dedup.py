@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 24
 #: Plan bytes for each part, parts for each shard, text bytes looked at together.
 PART_BYTES, PARTS_A_SHARD, SLICE_BYTES = 3 << 20, 2, 1 << 20
 #: Parts that hold a gram before its windows are counted one by one.
-HOT_PARTS = 16
+HOT_PARTS = 256
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 21
 #: Key of a null document id: it counts as the smallest.
@@ -126,10 +126,17 @@ def window_hashes(data: bytes, origin: np.ndarray, windows: np.ndarray, length:
     if not len(origin):
         return np.zeros(0, U)
     sizes = windows + length - 1
-    flat = b"".join([data[o : o + n] for o, n in zip(origin.tolist(), sizes.tolist())])
-    begin = np.cumsum(sizes) - sizes
-    inside = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    return gram_hashes(np.frombuffer(flat, np.uint8), length)[np.repeat(begin, windows) + inside]
+    out, low = [], 0
+    until = np.cumsum(sizes)
+    while low < len(origin):
+        high = max(low + 1, int(np.searchsorted(until, until[low] - sizes[low] + SLICE_BYTES, side="right")))
+        own, count = sizes[low:high], windows[low:high]
+        flat = b"".join([data[o : o + n] for o, n in zip(origin[low:high].tolist(), own.tolist())])
+        begin = np.cumsum(own) - own
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out.append(gram_hashes(np.frombuffer(flat, np.uint8), length)[np.repeat(begin, count) + inside])
+        low = high
+    return np.concatenate(out)
 
 
 def _bucketed(hashes: np.ndarray, shards: int, part: int) -> pa.Table:

@@ -598,7 +598,9 @@ def test_induced_sorting(parts, cap, memory, block):
         assert x <= y and (common[k] == same or same == min(len(x), len(y)) and common[k] >= same - 1)
 
 
-def test_window_hashes():
+@pytest.mark.parametrize("block", [30, 1 << 20])
+def test_window_hashes(monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", block)
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 500).astype(np.uint8).tobytes()
     origin, windows = np.array([3, 40, 200]), np.array([5, 1, 80])
