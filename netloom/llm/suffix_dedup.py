@@ -36,7 +36,7 @@ from netloom.plans.shared import materialize, plan_bytes, quoted, steady
 #: Bytes of a repeat, of an anchor's gram.
 LENGTH, GRAM = 100, 24
 #: Plan bytes for each part, parts for each shard, text bytes looked at together.
-PART_BYTES, PARTS_A_SHARD, SLICE_BYTES = 3 << 20, 2, 1 << 20
+PART_BYTES, PARTS_A_SHARD, SLICE_BYTES = 3 << 20, 1, 1 << 20
 #: Parts that hold a gram before its windows are counted one by one.
 HOT_PARTS = 256
 _BASE = 0x9E3779B97F4A7C15
