@@ -14,8 +14,9 @@ passage every document sends a run of its own.  The windows of such grams are
 counted by their hash first, and runs are cut to the windows that occur again;
 what is left ends where the passage ends, so equal runs combine in their parts.
 
-Text is shuffled once and its exchange is reused: texts are grouped into parts
-of bounded size, and each step returns to the parts only what concerns them.
+Text is shuffled once to count grams and once for all later passes, which share
+an exchange: texts are grouped into parts of bounded size, and each step returns
+to the parts only what concerns them.
 Before anything is sent, a part keeps the earliest of its own equal runs, and
 equal documents other than the first take no part at all.
 """
