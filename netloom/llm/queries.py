@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from netloom.llm.html_text import extract_main_text
 from netloom.llm.language import held_out, identify_language, train_prototypes
 from netloom.llm.licenses import license_scan
+from netloom.llm.merkle import folded, merkle_manifest, proof_digest
 from netloom.llm.mixing import mix_sources, mixing_sql
 from netloom.llm.packing import best_fit_packing
+from netloom.llm.prefix_bpe import encode_and_decode
 from netloom.llm.shingle_join import jaccard_components
 from netloom.llm.suffix_dedup import remove_repeats
 from netloom.llm.token_shards import token_id_output
 from netloom.llm.vectors import exact_top_k, near_duplicate_vectors
+from netloom.llm.whitening import whitened_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +69,27 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan, op10_suffix_array_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # Decimal, so that one more than the largest number is no overflow.
+    changes = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", changes, changed)
+    rows = rows.withColumn("folded_root", folded(F.col("presented"), F.col("proof")))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(_table(spark, sf_dir, "embeddings"), 64, 1_000_000, 32)
+
+
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_language_id, op4_voronoi_top_k, op5_embedding_near_dedup, op6_source_mixing, op7_token_ids, op8_best_fit_packing, op9_license_scan, op10_suffix_array_dedup, op11_merkle_manifest, op12_embedding_whitening, op13_bpe_encoding)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Links to every row that is reached from a row, ``edge (a, b)`` in both directions.
@@ -99,11 +123,41 @@ REPEATS_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h
  p as (select j.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' order by a) || max(case when from_end = 1 then substr(h, 2 * j.b + 1) end) as kept, sum(j.b - a) as removed, count(*) as spans from j join b on b.doc_id = j.doc_id group by j.doc_id)
  select b.doc_id, b.n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from b left join p on p.doc_id = b.doc_id"""
 
-#: Tokenizers, profiles, densities and expressions are beyond SQL; tests hold those queries against plain Python.
+
+def _levels_sql(name: str, key: str, start: str) -> str:
+    """A tree as one list of digests for each level, the leaves at level 0."""
+    rise = "list_transform(range(1, len(l) + 1, 2), lambda i: sha256(l[i] || coalesce(l[i + 1], '')))"
+    return f"{name}({key}, level, l) as ({start} union all select {key}, level + 1, {rise} from {name} where len(l) > 1)"
+
+
+def _siblings_sql(place: str) -> str:
+    return f"list(coalesce(case when ({place} >> level) & 1 = 1 then 'l' else 'r' end || l[xor({place} >> level, 1) + 1], '') order by level)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["cast(doc_id as varchar)", "source", "lang", f"cast({n_chars} as varchar)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+MERKLE_SQL = f"""with recursive t as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+ c as (select d.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1]))) as crc from documents d, t),
+ h as (select doc_id, lang, {_leaf_sql("n_chars")} as leaf, case when crc % 7 = 0 then {_leaf_sql("(cast(n_chars as hugeint) + 1)")} end as other from c),
+ p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place from h),
+ {_levels_sql("tree", "lang", "select lang, 0, list(leaf order by place) from p group by lang")},
+ subroots as (select lang, l[1] as subroot, row_number() over (order by lang nulls first) - 1 as place from tree where len(l) = 1),
+ {_levels_sql("top", "one", "select 1, 0, list(subroot order by place) from subroots")},
+ above as (select s.lang, s.subroot, (select l[1] from top where len(l) = 1) as root, {_siblings_sql("s.place")} filter (len(l) > 1) as path from subroots s, top group by s.lang, s.subroot, s.place),
+ below as (select p.doc_id, p.leaf, p.other, p.lang, p.place, {_siblings_sql("p.place")} filter (len(l) > 1) as path from p join tree on p.lang is not distinct from tree.lang group by all),
+ w as (select doc_id, leaf, coalesce(other, leaf) as shown, subroot, root, coalesce(below.path, []) || coalesce(above.path, []) as path from below join above on below.lang is not distinct from above.lang),
+ f as (select *, list_reduce(list_prepend(shown, path), lambda h, s: sha256(case when s[1] = 'l' then s[2:] || h when s[1] = 'r' then h || s[2:] else h end)) as folded_root from w)
+ select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from f"""
+
+#: Tokenizers, eigenvectors, profiles, densities and expressions are beyond SQL; tests hold those queries against plain Python.
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": SHINGLE_SQL,
     "op4_voronoi_top_k": TOP_SQL,
     "op5_embedding_near_dedup": NEAR_SQL,
     "op6_source_mixing": mixing_sql("documents"),
     "op10_suffix_array_dedup": REPEATS_SQL,
+    "op11_merkle_manifest": MERKLE_SQL,
 }
