@@ -147,15 +147,6 @@ def resample_polygon(points: DataFrame, n: int) -> DataFrame:
     return ring.where(F.size("p") > 1).select("image_id", "k", value("x").alias("x"), value("y").alias("y"))
 
 
-def mask_iou(masks: DataFrame) -> DataFrame:
-    """IoU of every pair of an image's bit masks of equal length."""
-    a, b = masks.alias("a"), masks.alias("b")
-    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.mask_id") < F.col("b.mask_id")))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
-    inter = total(F.zip_with("a.bits", "b.bits", lambda x, y: x * y))
-    return pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.mask_id").alias("a_id"), F.col("b.mask_id").alias("b_id"), (inter / (total("a.bits") + total("b.bits") - inter + F.lit(1e-7))).alias("iou"))
-
-
 def build_targets(boxes: DataFrame, anchors: DataFrame, cells_x: int, cells_y: int, cell: int = 8, ratio: float = 4.0) -> DataFrame:
     """Anchor matches on a grid of ``cells_x`` by ``cells_y``, with at most two neighbour cells each.
 

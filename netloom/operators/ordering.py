@@ -5,24 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.plans.shared import materialize
+from netloom.plans.shared import materialize, quoted
 
 
-def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth") -> DataFrame:
-    """``rows`` with their number from 0 in ``order``, which should have no ties.
+def _free(rows: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores before them as keep them apart from the columns of ``rows``."""
+    held = {c.lower() for c in rows.columns}
+    while held & set(names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
+def placed(rows: DataFrame, groups: list[str], order: list[str | Column], name: str = "nth", size: str | None = None) -> DataFrame:
+    """``rows`` with their number from 0 in ``order`` inside their group, and with the group's rows as ``size`` if asked for.
 
-    Rows are cut into ranges of the order and written once; counts of the ranges
-    give each its first number, and rows are numbered inside their range.
+    Rows are cut into ranges of groups and order and written once; counts of the
+    groups in each range give a range's first number in its group, so neither a
+    large group nor many equal keys meet in one task.  Rows of equal order
+    are numbered in the order in which they were written; null groups are one group.
     """
-    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    by = [F.col(quoted(c)).asc_nulls_first() for c in groups] + [F.col(quoted(c)) if isinstance(c, str) else c for c in order]
+    tie, part, row, total, first, at = _free(rows, "tie_", "range_", "row_", "total_", "first_", "at_")
+    keys = _free(rows, *[f"group_{i}" for i in range(len(groups))])
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = materialize(rows.repartitionByRange(int(parts), *by).withColumn("_range", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each range.
-    first = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_range").orderBy(*by)
-    joined = ranged.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(first), "_range")
-    return joined.withColumn(name, F.col("_first") + F.col("_k") - 1).drop("_range", "_k", "_first")
+    told = rows.withColumn(tie, F.monotonically_increasing_id())
+    ranged = materialize(told.repartitionByRange(int(parts), *by, F.col(tie)).withColumn(part, F.spark_partition_id()), "ranges")
+    # One row for each range and for each further group in it.
+    counts = ranged.groupBy(F.col(part).alias(at), *[F.col(quoted(c)).alias(k) for c, k in zip(groups, keys)]).agg(F.count("*").alias(total))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(at, *keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(first), F.sum(total).over(whole).alias(total))
+    inside = Window.partitionBy(part, *[F.col(quoted(c)) for c in groups]).orderBy(*by[len(groups) :], F.col(tie))
+    on = F.col(part) == F.col(at)
+    for c, k in zip(groups, keys):
+        on = on & F.col(quoted(c)).eqNullSafe(F.col(k))
+    joined = ranged.withColumn(row, F.row_number().over(inside)).join(firsts, on)
+    more = [(F.col(first) + F.col(row) - 1).alias(name)] + ([F.col(total).alias(size)] if size else [])
+    return joined.select(*[F.col(quoted(c)) for c in rows.columns if c not in (name, size)], *more)
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth") -> DataFrame:
+    """``rows`` with their number from 0 in ``order``; a column of that name gives way to it."""
+    return placed(rows, [], order, name)
 
 
 def seeded(key: str, seed: int) -> Column:

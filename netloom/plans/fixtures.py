@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
+#: Corners of a polygon with a notch, in a box of cells of 8 pixels.
+_CORNERS = ["gx", "gy + 1", "gx + w", "gy + id % 3", "gx + w - cls % 4", "gy + h", "gx + cast(floor(w / 2e0) as bigint)", "gy + cast(floor(h / 2e0) as bigint)", "gx + cls % 3", "gy + h"]
+_POLYGON = """
+select {kept}, {list}{point}, {point}, {point}, {point}, {point}{end} as points
+from (select {kept}, {id} as id, cast(floor(x1 / 8e0) as bigint) as gx, cast(floor(y1 / 8e0) as bigint) as gy, cast(floor((x2 - x1) / 8e0) as bigint) as w, cast(floor((y2 - y1) / 8e0) as bigint) as h from {boxes}) b"""
 VIEWS: dict[str, tuple[list[str], str | dict[str, str]]] = {
     "detections": ([], f"""
 select image_id, cast(row_number() over (partition by image_id order by {_ORDER}) as bigint) as det_id, cls, conf, x1, y1, x1 + w as x2, y1 + h as y2
@@ -32,6 +37,14 @@ select d.doc_id as sample_id, concat('data/images/', d.source, '/', cast(d.doc_i
  d.doc_id % 11 as multi_terminal_components, cast(d.n_chars % 101 as double) / 100 as yolo_avg_confidence, cast(d.doc_id % 13 as double) / 50 as yolo_miss_rate, cast(d.doc_id % 17 as double) / 60 as yolo_fp_rate,
  cast(d.n_chars % 41 as double) / 100 as line_noise_ratio, d.n_chars % 9 as wires_filtered, d.doc_id % 5 as floating_terminals_before, cast(d.n_chars % 37 as double) / 10 as avg_node_degree, d.n_chars % 8 as max_node_degree,
  1 + d.doc_id % 3 as agent1_iterations, 1 + d.n_chars % 3 as agent2_iterations, 1 + (d.doc_id + d.n_chars) % 3 as agent3_iterations from documents d left join labels l on d.doc_id = l.doc_id"""),
+    "polygons": (["detections"], {
+        "spark": _POLYGON.format(kept="image_id, det_id, cls", boxes="detections", id="det_id", list="array(", end=")", point="named_struct('x', {}, 'y', {})").format(*_CORNERS),
+        "duckdb": _POLYGON.format(kept="image_id, det_id, cls", boxes="detections", id="det_id", list="[", end="]", point="{{'x': {}, 'y': {}}}").format(*_CORNERS),
+    }),
+    "true_polygons": (["ground_truth"], {
+        "spark": _POLYGON.format(kept="image_id, gt_id, cls", boxes="ground_truth", id="gt_id", list="array(", end=")", point="named_struct('x', {}, 'y', {})").format(*_CORNERS),
+        "duckdb": _POLYGON.format(kept="image_id, gt_id, cls", boxes="ground_truth", id="gt_id", list="[", end="]", point="{{'x': {}, 'y': {}}}").format(*_CORNERS),
+    }),
     "netlist_lines": (["detections"], """
 select image_id, det_id, cls, concat(case cls when 0 then 'V' when 1 then 'Q' when 2 then 'V' when 3 then 'C' when 4 then 'I' when 5 then 'VSUP_' when 6 then 'D' when 7 then '* GND' when 8 then 'L' when 9 then 'M' when 10 then 'R' else 'V' end, cast(det_id as varchar(9)), ' n', cast(x1 % 5 as varchar(9)), case when y1 % 3 = 0 then ' 0' when y1 % 3 = 1 then ' vdd' else concat(' n', cast(y1 % 4 as varchar(9))) end, case when cls = 9 then ' out 0 NMOS W=1u L=180n' else ' 10k' end) as line from detections"""),
     "netlists": (["netlist_lines"], {

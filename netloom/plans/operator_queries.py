@@ -2,8 +2,8 @@
 
 Inventory numbers: S01-S03 S06-S12 S14 S20 A08 ``netloom.sources.files``;
 K01 K05 K08-K14 K17-K20 K22 A23 ``netloom.sources.sinks``; L01-L04 L15 J06 A11-A16
-W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 J22 G04-G06 A26 P11
-``operators.circuits``; W03 W04 W07 W08 W11 W14 M02 M11 R05 R07 ``operators.curriculum``;
+W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 G04-G06 A26 P11
+``operators.circuits``; J22 L10 ``operators.masks``; W03 W04 W07 W08 W11 W14 M02 M11 R05 R07 ``operators.curriculum``;
 A30 K11 N01 R01 R03 ``operators.ordering``; I04 A22 ``operators.anchors``; T01-T04 T07
 T08 T10 T13 T20 T24 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
 K01 T06 T17 T19 U09 ``operators.reports``; S04 ST01-ST03 ST05 ``streaming.frames``.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import anchors, circuits, curriculum, detection, ordering, replies, reports
+from netloom.operators import anchors, circuits, curriculum, detection, masks, ordering, replies, reports
 from netloom.plans.fixtures import tables, view, with_views
 from netloom.plans.portable import DIFFICULTY
 from netloom.sources import files, sinks
@@ -291,11 +291,56 @@ def polygon_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circuits.resample_polygon(points, 8).select("image_id", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("with m as (select image_id, det_id as mask_id, [cls % 2, cls // 2 % 2, cls // 4 % 2, 1] as bits from detections), p as (select a.image_id, a.mask_id as a_id, b.mask_id as b_id, a.bits[1] * b.bits[1] + a.bits[2] * b.bits[2] + a.bits[3] * b.bits[3] + 1 as i, a.bits[1] + a.bits[2] + a.bits[3] + 1 as x, b.bits[1] + b.bits[2] + b.bits[3] + 1 as y from m a join m b on a.image_id = b.image_id and a.mask_id < b.mask_id) select image_id, a_id, b_id, round(i / (x + y - i + 1e-7), 6) as iou from p", "detections")
+#: Cells across and down of the images that hold the polygons; some reach beyond.
+_WIDE, _HIGH = 64, 48
+
+
+def _pixels_sql(polygons: str, ident: str, name: str) -> str:
+    """Pixels of filled polygons, each tested on its own: between edges, or on one."""
+    on_edge = """case when yb = ya then y = ya and x between xa and xb when abs(xb - xa) <= yb - ya then y between ya and yb and x = xa + floor((2 * (y - ya) * (xb - xa) + yb - ya) / (2e0 * (yb - ya)))
+  else x between least(xa, xb) and greatest(xa, xb) and y = ya + floor((2 * (x - xa) * (yb - ya) / (1e0 * (xb - xa)) + 1) / 2) end"""
+    cut = "xa + (y - ya) * (xb - xa) / (1e0 * (yb - ya))"
+    return f"""{name}_c as (select image_id, {ident}, points, unnest([1, 2, 3, 4, 5]) as i from {polygons}), {name}_p as (select image_id, {ident}, points[i] as p, points[i % 5 + 1] as q from {name}_c),
+ {name}_e as (select image_id, {ident}, case when (p.y, p.x) <= (q.y, q.x) then p else q end as a, case when (p.y, p.x) <= (q.y, q.x) then q else p end as b from {name}_p), {name}_f as (select image_id, {ident}, a.x as xa, a.y as ya, b.x as xb, b.y as yb from {name}_e),
+ {name}_s as (select image_id, {ident}, unnest(range(greatest(min(ya), 0), least(max(yb), {_HIGH - 1}) + 1)) as y, greatest(min(least(xa, xb)), 0) as low, least(max(greatest(xa, xb)), {_WIDE - 1}) as high from {name}_f group by image_id, {ident}),
+ {name}_g as (select image_id, {ident}, y, unnest(range(low, high + 1)) as x from {name}_s),
+ {name} as (select g.image_id, g.{ident}, g.y, g.x from {name}_g g join {name}_f f on f.image_id = g.image_id and f.{ident} = g.{ident} group by g.image_id, g.{ident}, g.y, g.x
+  having bool_or({on_edge}) or sum(case when ya <= y and y < yb and {cut} <= x then 1 else 0 end) % 2 = 1 or bool_or(ya <= y and y < yb and {cut} = x))"""
+
+
+_MASK_PIXELS = f"""{_pixels_sql("polygons", "det_id", "m")}, {_pixels_sql("true_polygons", "gt_id", "t")}, ma as (select image_id, det_id, count(*) as n from m group by image_id, det_id), ta as (select image_id, gt_id, count(*) as n from t group by image_id, gt_id),
+ both_ as (select m.image_id, m.det_id, t.gt_id, count(*) as n from m join t on m.image_id = t.image_id and m.y = t.y and m.x = t.x group by m.image_id, m.det_id, t.gt_id),
+ pairs as (select p.image_id, p.det_id, q.gt_id, coalesce(b.n, 0) as shared, coalesce(ma.n, 0) + coalesce(ta.n, 0) - coalesce(b.n, 0) as whole from polygons p join true_polygons q on p.image_id = q.image_id
+  left join both_ b on b.image_id = p.image_id and b.det_id = p.det_id and b.gt_id = q.gt_id left join ma on ma.image_id = p.image_id and ma.det_id = p.det_id left join ta on ta.image_id = q.image_id and ta.gt_id = q.gt_id)"""
+
+
+def _masks(spark: SparkSession, sf_dir: str, name: str, ident: str) -> DataFrame:
+    return masks.polygon_masks(view(spark, sf_dir, name).select("image_id", ident, "points"), _WIDE, _HIGH)
+
+
+@query(f"with {_MASK_PIXELS} select image_id, det_id, gt_id, cast(shared as bigint) as shared, round(shared / (whole + 1e-7), 6) as iou from pairs", "polygons true_polygons")
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bit = lambda k: F.expr(f"cast(shiftright(cls, {k}) & 1 as bigint)")
-    masks = view(spark, sf_dir, "detections").select("image_id", F.col("det_id").alias("mask_id"), F.array(bit(0), bit(1), bit(2), F.lit(1).cast("long")).alias("bits"))
-    return circuits.mask_iou(masks).withColumn("iou", F.round("iou", 6))
+    found = masks.mask_iou(_masks(spark, sf_dir, "polygons", "det_id"), _masks(spark, sf_dir, "true_polygons", "gt_id"))
+    return found.withColumn("iou", F.round("iou", 6))
+
+
+@query(f"with {_MASK_PIXELS} select image_id, det_id as id, cast(shared as bigint) as shared, round(shared / (whole + 1e-7), 6) as iou from pairs where det_id = gt_id", "polygons true_polygons")
+def mask_iou_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, other = (_masks(spark, sf_dir, n, i).withColumnRenamed(i, "id") for n, i in (("polygons", "det_id"), ("true_polygons", "gt_id")))
+    return masks.paired_mask_iou(one, other, ["image_id", "id"]).withColumn("iou", F.round("iou", 6))
+
+
+@query(f"""with {_pixels_sql("polygons", "det_id", "m")}, a as (select p.image_id, p.det_id, count(m.x) as area from polygons p left join m on m.image_id = p.image_id and m.det_id = p.det_id group by p.image_id, p.det_id),
+ r as (select *, row_number() over (partition by image_id order by area desc, det_id) as "rank" from a), top as (select m.image_id, m.y, m.x, max(r."rank") as "rank" from m join r on r.image_id = m.image_id and r.det_id = m.det_id group by m.image_id, m.y, m.x),
+ l as (select *, lag(y * {_WIDE} + x) over w as before, lag("rank") over w as old from top window w as (partition by image_id order by y, x)),
+ s as (select image_id, "rank", count(*) as seen, sum(y * {_WIDE} + x) as places, sum(case when before = y * {_WIDE} + x - 1 and old = "rank" then 0 else 1 end) as runs from l group by image_id, "rank")
+ select r.image_id, r.det_id, r.area, r."rank", coalesce(s.seen, 0) as seen, cast(coalesce(s.places, 0) as bigint) as places, cast(coalesce(s.runs, 0) as bigint) as runs from r left join s on s.image_id = r.image_id and s."rank" = r."rank" """, "polygons")
+def mask_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, layer = masks.layered_masks(_masks(spark, sf_dir, "polygons", "det_id"))
+    n = F.col("high") - F.col("low")
+    places = F.sum((F.col("low") + F.col("high") - 1) * n / 2).cast("long")
+    seen = layer.groupBy("image_id", "rank").agg(F.sum(n).alias("seen"), places.alias("places"), F.count("*").alias("runs"))
+    return ranks.join(seen, ["image_id", "rank"], "left").na.fill(0, ["seen", "places", "runs"])
 
 
 @query("""with b as (select image_id, det_id, (x1 + x2) / 2e0 / 8 as gx, (y1 + y2) / 2e0 / 8 as gy, x2 - x1 as w, y2 - y1 as h from detections), a as (select * from (values (1, 60e0, 50e0), (2, 120e0, 90e0), (3, 200e0, 160e0)) as t(anchor_id, aw, ah)), m as (select * from b cross join a where greatest(w / aw, aw / w, h / ah, ah / h) < 4),
