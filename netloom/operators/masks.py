@@ -28,6 +28,8 @@ RUNS = ArrayType(StructType([StructField("low", LongType()), StructField("high",
 
 def _fill(owner: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of many polygons as owner, low and high, in order; corners come polygon by polygon."""
+    if not len(owner):
+        return owner, owner, owner
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     following = np.arange(1, len(owner) + 1)
     following[np.append(first[1:], len(owner)) - 1] = first
@@ -61,9 +63,11 @@ def _fill(owner: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, height: i
     apart = of * (width * height + 1)
     order = np.argsort(low + apart, kind="stable")
     of, low, high, apart = of[order], low[order], high[order], apart[order]
-    reach = np.maximum.accumulate(high + apart) if len(of) else high
-    fresh = np.flatnonzero(np.concatenate(([True] * bool(len(of)), (low + apart)[1:] > reach[:-1])))
-    last = np.append(fresh[1:], len(of)) - 1 if len(of) else fresh
+    if not len(of):
+        return of, of, of
+    reach = np.maximum.accumulate(high + apart)
+    fresh = np.flatnonzero(np.concatenate(([True], (low + apart)[1:] > reach[:-1])))
+    last = np.append(fresh[1:], len(of)) - 1
     return of[fresh], low[fresh], reach[last] - apart[last]
 
 
