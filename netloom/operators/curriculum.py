@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells of a sample's share of the draws that one array holds.
+CELLS = 65_536
+
+
 def ema(values: Column, decay: float = 0.9) -> Column:
     """Exponential mean of an ordered array; the first value initialises it."""
     rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
@@ -69,7 +73,9 @@ def weighted_draws(weights: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     until = (F.col("before") + F.sum("weight").over(inside)) / F.col("all")
     spans = b.join(F.broadcast(sums), "bucket").select("sample_id", until.alias("until"), (F.col("weight") / F.col("all")).alias("share"))
     low, high = F.greatest(F.floor((F.col("until") - F.col("share")) * draws - 1e-6), F.lit(0)), F.least(F.floor(F.col("until") * draws + 1e-6), F.lit(draws - 1))
-    cells = spans.withColumn("cell", F.explode(F.sequence(low, F.greatest(low, high))))
+    # By blocks first: one array of all the cells of a heavy sample could be as long as all draws.
+    block = spans.withColumns({"low": low, "high": F.greatest(low, high)}).withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / CELLS), F.floor(F.col("high") / CELLS))))
+    cells = block.withColumn("cell", F.explode(F.sequence(F.greatest("low", F.col("block") * CELLS), F.least("high", (F.col("block") + 1) * CELLS - 1))))
     uniform = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     asked = weights.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform.alias("u"))
     placed = asked.withColumn("cell", F.least(F.floor(F.col("u") * draws), F.lit(draws - 1))).join(cells, "cell")
@@ -125,26 +131,6 @@ def smoothed_best(series: DataFrame, fraction: float, key: str, order: str, valu
     return joined.withColumn("smooth", smooth).groupBy(key).agg(F.min_by(order, F.struct(-F.round("smooth", 9), F.col("_k"))).alias("best"), F.max(F.round("smooth", 9)).alias("smooth"))
 
 
-def low_pass(series: DataFrame, cutoff: float, key: str, order: str, value: str) -> DataFrame:
-    """First-order low-pass filter run forward, then backward, so it shifts nothing; ``cutoff`` in cycles for each step.
-
-    Each pass is ``y += a * (x - y)`` from the first value, with a = d / (1 + d), d = 2 pi ``cutoff``.
-    """
-    import numpy as np
-
-    d = 2 * np.pi * cutoff
-    a = d / (1 + d)
-
-    def one_way(x: Column) -> Column:
-        start = F.struct(F.element_at(x, 1).alias("y"), F.slice(x, 1, 0).alias("out"))
-        step = lambda acc, v: F.struct((acc["y"] + a * (v - acc["y"])).alias("y"), F.concat(acc["out"], F.array(acc["y"] + a * (v - acc["y"]))).alias("out"))
-        return F.aggregate(x, start, step, lambda acc: acc["out"])
-
-    rows = series.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("h"))
-    both = F.reverse(one_way(F.reverse(one_way(F.transform("h", lambda x: x["v"])))))
-    return rows.select(key, F.explode(F.arrays_zip(F.transform("h", lambda x: x["o"]).alias("o"), both.alias("s"))).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.s").alias("smooth"))
-
-
 def gaussian_smooth(series: DataFrame, sigma: float, key: str, order: str, value: str) -> DataFrame:
     """Gaussian smoothing of each series, mirrored at its ends."""
     import numpy as np

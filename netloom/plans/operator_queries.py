@@ -3,8 +3,8 @@
 Inventory numbers: S01-S03 S06-S12 S14 S20 A08 ``netloom.sources.files``;
 K01 K05 K08-K14 K17-K20 K22 A23 ``netloom.sources.sinks``; L01-L04 L15 J06 A11-A16
 W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 G04-G06 A26 P11
-``operators.circuits``; J22 L10 ``operators.masks``; W03 W04 W07 W08 W11 W14 M02 M11 R05 R07 ``operators.curriculum``;
-A30 K11 N01 R01 R03 ``operators.ordering``; I01 I02 ``operators.agents``; I04 A22 ``operators.anchors``; T01-T04 T07
+``operators.circuits``; J22 L10 ``operators.masks``; W03 W04 W07 W08 W11 M02 M11 R05 R07 ``operators.curriculum``;
+A30 K11 N01 R01 R03 ``operators.ordering``; I01 I02 ``operators.agents``; W14 ``operators.filters``; I04 A22 ``operators.anchors``; T01-T04 T07
 T08 T10 T13 T20 T24 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
 K01 T06 T17 T19 U09 ``operators.reports``; S04 ST01-ST03 ST05 ``streaming.frames``.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import agents, anchors, circuits, curriculum, detection, masks, ordering, replies, reports
+from netloom.operators import agents, anchors, circuits, curriculum, detection, filters, masks, ordering, replies, reports
 from netloom.plans.fixtures import tables, view, with_views
 from netloom.plans import stand_ins
 from netloom.plans.portable import DIFFICULTY
@@ -412,9 +412,32 @@ def smoothed_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.smoothed_best(view(spark, sf_dir, "losses"), 0.1, "sample_id", "step", "loss").select("sample_id", "best", F.round("smooth", 6).alias("smooth"))
 
 
+_B, _A = filters.butterworth(5, 2 * 0.05)
+_REST, _B, _A = (c.tolist() for c in (filters.steady_state(_B, _A), _B, _A))
+
+
+def _filter_sql(name: str, source: str) -> str:
+    """One run of the filter over ``key, k, x, n`` from k = 0, step by step."""
+    y = f"({_B[0]!r}::double * s.x + f.z0)"
+    states = ", ".join(f"{_B[i + 1]!r}::double * s.x + {f'f.z{i + 1}' if i < 4 else '0e0'} - {_A[i + 1]!r}::double * {y}" for i in range(5))
+    first = f"({_B[0]!r}::double * x + {_REST[0]!r}::double * x)"
+    start = ", ".join(f"{_B[i + 1]!r}::double * x + {f'{_REST[i + 1]!r}::double * x' if i < 4 else '0e0'} - {_A[i + 1]!r}::double * {first} as z{i}" for i in range(5))
+    return f"{name}(key, k, n, y, z0, z1, z2, z3, z4) as (select key, k, n, {first}, {start} from {source} where k = 0 union all select s.key, s.k, s.n, {y}, {states} from {name} f join {source} s on s.key = f.key and s.k = f.k + 1)"
+
+
 @query()
 def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.low_pass(view(spark, sf_dir, "losses"), 0.05, "sample_id", "step", "loss")
+    found = filters.low_pass(view(spark, sf_dir, "losses"), 0.05, "sample_id", "step", "loss")
+    return found.withColumn("smooth", F.round("smooth", 6))
+
+
+ORACLES["low_pass"] = "with recursive " + with_views(
+    f"""with r as (select sample_id as key, step, step - 1 as k, loss as x, count(*) over (partition by sample_id) as n, first_value(loss) over w as head, last_value(loss) over w as tail from losses window w as (partition by sample_id order by step rows between unbounded preceding and unbounded following)),
+ p as (select *, least(18, n - 1) as pad from r), w as (select key, k + pad as k, x, n + 2 * pad as n from p union all select key, pad - k, 2 * head - x, n + 2 * pad from p where k > 0 and k <= pad union all select key, 2 * (n - 1) - k + pad, 2 * tail - x, n + 2 * pad from p where k < n - 1 and k >= n - 1 - pad),
+ {_filter_sql("f1", "w")}, v as (select key, n - 1 - k as k, n, y as x from f1), {_filter_sql("f2", "v")} select p.key as sample_id, p.step, round(f2.y, 6) as smooth from p join f2 on f2.key = p.key and f2.k = p.n + 2 * p.pad - 1 - (p.k + p.pad)""",
+    ["losses"],
+    "duckdb",
+).removeprefix("with ")
 
 
 # Rounds of a model
