@@ -49,10 +49,11 @@ def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[set[str
 
     ``or`` lets the user choose and takes the larger score, ``and`` binds to
     both and takes the smaller, ``with`` keeps that of the licence.  Reading
-    stops where no expression can go on; None if there is none.
+    stops where no expression can go on; None if there is none.  Time is linear in the
+    text: operands are joined as ranges, and a name's parts when all is read.
     """
     # Operands in order; a value is a range of them, its score, and whether it is one licence, so joining two is cheap.
-    names: list[str | None] = []
+    names: list[list[str] | None] = []
     output: list[tuple[int, int, float, bool]] = []
     stack: list[str] = []
     open_brackets = 0
@@ -60,7 +61,7 @@ def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[set[str
     def reduce_top() -> None:
         kind, (middle, high, r, _), (low, _, x, one) = stack.pop(), output.pop(), output.pop()
         if kind == "with" and one:
-            names[low] = f"{names[low]}-with-{min(n for n in names[middle:high] if n is not None)}"
+            names[low].append(min("-with-".join(n) for n in names[middle:high] if n is not None))
             names[middle:high] = [None] * (high - middle)
             output.append((low, high, x, True))
         else:
@@ -75,7 +76,7 @@ def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[set[str
             stack.append(token)
             open_brackets += 1
         elif operand and token not in _RANK and token != ")":
-            names.append(token.rstrip("."))
+            names.append([token.rstrip(".")])
             output.append((len(names) - 1, len(names), freedom(token.rstrip("+.")), True))
             operand = False
         elif not operand and token in _RANK:
@@ -96,7 +97,7 @@ def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[set[str
         while stack:
             reduce_top()
         complete = output[-1]
-    return ({n for n in names[complete[0] : complete[1]] if n is not None}, complete[2]) if complete else None
+    return ({"-with-".join(n) for n in names[complete[0] : complete[1]] if n is not None}, complete[2]) if complete else None
 
 
 @lru_cache(maxsize=1)
@@ -133,11 +134,13 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
             scores.append(RESERVED if label.endswith("reserved") else freedom(label.removeprefix("notice:")) * NOTICED)
     if b":" in raw:
         plain, line = raw.lower().decode("latin-1"), -1
-        for end, _ in tags.iter(plain):
+        ends = [end for end, _ in tags.iter(plain)]
+        # An expression goes up to the next tag at most, so no part of a line is read twice.
+        for end, following in zip(ends, [*(e + 1 - len(TAG) for e in ends[1:]), len(plain)]):
             if line <= end:
                 line = plain.find("\n", end)
                 line = len(plain) if line < 0 else line
-            if found := evaluate(plain, end + 1, line):
+            if found := evaluate(plain, end + 1, min(line, following)):
                 more.update(f"spdx:{name}" for name in found[0])
                 scores.append(found[1])
     return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), min(scores, default=0.0)
