@@ -20,7 +20,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Generator, Iterator
 
 import pyarrow as pa
@@ -44,6 +43,9 @@ _BLOCK = frozenset("address article blockquote body br caption center dd details
 _ENDS_P = _BLOCK - {"br"} | {"form", "nav", "footer", "aside", "fieldset", "menu"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table select body div article section main".split())
+# Elements that hold in what is open, and names whose end tags go through them.
+_BARS = frozenset({"body", "td", "th"})
+_THROUGH = frozenset("html body table tr tbody div section article main".split())
 # Words in class, id or role names of what is not an article.
 _BOILER = frozenset(
     "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer colophon copyright contentinfo complementary "
@@ -52,6 +54,9 @@ _BOILER = frozenset(
 )
 # Those of them that also name parts of an article.
 _WEAK = frozenset("header banner social share sharing form notice notices menu search related recommended reply replies respond copyright aside skip promotion overlay".split())
+# Words for remarks of readers, and headings above them.
+_REMARK = frozenset("comment comments reply replies respond disqus".split())
+_COMMENTS_TITLE = re.compile(r"(?:\d+ )?(?:reader |user |latest |all )?comments?(?: ?[(:]? ?\d*\)?)?|(?:leave|post|write|add) a (?:comment|reply)|join the (?:discussion|conversation)|\d+ (?:replies|responses|thoughts) ?(?:to .*|on .*)?")
 _PARTS = re.compile(r"[^a-z]+")
 _LEADS = re.compile(r"([a-z])([A-Z])")
 _ARTICLE = frozenset({"article", "main"})
@@ -59,33 +64,51 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "boiler", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "loose", "peak", "kept")
+    __slots__ = ("tag", "parent", "children", "boiler", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "loose", "peak", "kept", "depth", "lift")
 
     def __init__(self, tag: str, parent: Node | None, boiler: bool = False, named: int = 0):
         self.tag, self.parent, self.boiler, self.named = tag, parent, boiler, named
         self.children: list[Node | str] = []
         self.kept = False
+        # The innermost node from here up, this one included, that may be a core; None inside of the topmost line.
+        alone = tag == "p" or tag in _HEADING or tag not in _BLOCK
+        self.depth = parent.depth + 1 if parent else 0
+        self.lift: Node | None = (parent.lift if parent else None) if alone else self
 
 
-def _is_boiler(tag: str, attributes: str, path: Counter[str]) -> bool:
+def _is_boiler(tag: str, attributes: str, path: _Open) -> bool:
     if tag in _DROP:
         return True
     if tag == "header":
-        return not any(path[t] for t in _ARTICLE)
+        return path.depth(*_ARTICLE) < 0
     if not attributes or tag in ("html", "body"):
         return False
     return bool(_HIDDEN.search(attributes))
 
 
 def _is_named(tag: str, attributes: str) -> int:
-    """2 where words of class, id or role tell of boilerplate alone, 1 or, for weak words, 3 where there are others too."""
-    found = set()
+    """Whether words of class, id and role tell of boilerplate.
+
+    2 where they tell of nothing else, 4 where besides one of them names no part
+    of an article; 1 where there are other words too, 3 if those that tell are weak.
+    Article and main elements only have 4, also for a class of words for reader comments.
+    """
+    found, comment = set(), False
     for m in _NAMES.finditer(attributes):
-        words = set(_PARTS.split(_LEADS.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower())) - {""}
-        if m[1].lower() != "itemprop" and not (tag in _ARTICLE or "article" in words):
+        value = _LEADS.sub(r"\1-\2", m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() == "itemprop":
+            comment |= value.strip() == "comment"
+            continue
+        words = set(_PARTS.split(value)) - {""}
+        if tag in _ARTICLE:
+            comment |= any((parts := set(_PARTS.split(c)) - {""}) and parts <= _REMARK for c in value.split())
+        if tag in _ARTICLE or "article" not in words:
             found |= words
     told = found & _BOILER
-    return 0 if not told else 2 if found == told else 3 if told <= _WEAK else 1
+    alone = bool(told) and found == told and not told <= _WEAK
+    if comment or alone:
+        return 4
+    return 0 if not told or tag in _ARTICLE else 2 if found == told else 3 if told <= _WEAK else 1
 
 
 def _decoded(text: str) -> str:
@@ -129,23 +152,58 @@ def _tags(page: str) -> Generator[tuple[str, str, str, str, int], int | None, No
     yield page[begin:], "", "", "", -1
 
 
-def parse(page: str) -> Node:
-    """Node tree of a page; unclosed and stray tags are repaired as browsers do in simple cases."""
-    root = current = Node("html", None)
-    # Names of the nodes from the root to the current one, so that no search starts in vain.
-    path: Counter[str] = Counter({"html": 1})
+class _Open:
+    """The open elements, with the depths at which each name, a scope and a table cell or the body are open.
 
-    def close(until: Node) -> Node:
-        node = current
-        while node is not until:
-            path[node.tag] -= 1
-            node = node.parent
-        return until
+    What an end tag or an implied end refers to is looked up, never searched for, so
+    that a page with many open elements is read in time proportional to its length.
+    """
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {root.tag: [0]}
+        self.scopes: list[int] = []
+        self.bars: list[int] = []
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag in _SCOPE:
+            self.scopes.append(depth)
+        if node.tag in _BARS:
+            self.bars.append(depth)
+
+    def close(self, depth: int) -> None:
+        """Close what is open from ``depth`` on."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+            if tag in _BARS:
+                self.bars.pop()
+
+    def depth(self, *names: str) -> int:
+        """Depth of the innermost open element of these names, -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
+
+    def bar(self) -> int:
+        return self.bars[-1] if self.bars else -1
 
+
+def parse(page: str) -> Node:
+    """Node tree of a page; unclosed and stray tags are repaired as browsers do in simple cases."""
+    root = Node("html", None)
+    path = _Open(root)
     tags = _tags(page)
     text, slash, name, attributes, at = next(tags)
     while True:
         skip = None
+        current = path.nodes[-1]
         if text:
             current.children.append(_decoded(text))
         if at < 0:
@@ -153,32 +211,25 @@ def parse(page: str) -> Node:
         if not name:
             pass
         elif slash:
-            node: Node | None = current if path[name] else None
-            while node is not None and node.tag != name:
-                node = None if node.tag in ("body", "td", "th") and name not in ("html", "body", "table", "tr", "tbody", "div", "section", "article", "main") else node.parent
-            if name == "p" and node is None:
+            depth = path.depth(name)
+            # Cells and the body hold in what is not closed inside of them.
+            if path.bar() > depth and name not in _THROUGH:
+                depth = -1
+            if name == "p" and depth < 0:
                 current.children.append(Node("p", current))
-            if node is not None and node.parent is not None:
-                current = close(node.parent)
+            if depth > 0:
+                path.close(depth)
         elif name in ("html", "body"):
-            if name == "body" and not path["body"]:
-                current = close(root)
-                current.children.append(body := Node("body", current))
-                current = body
-                path["body"] += 1
+            if name == "body" and path.depth("body") < 0:
+                path.close(1)
+                root.children.append(body := Node("body", root))
+                path.push(body)
         else:
-            if name in _ENDS_P and path["p"]:
-                node = current
-                while node is not None and node.tag not in _SCOPE and node.tag != "p":
-                    node = node.parent
-                if node is not None and node.tag == "p":
-                    current = close(node.parent)
-            if name in _CLOSES and any(path[t] for t in _CLOSES[name]):
-                node = current
-                while node is not None and node.tag not in _SCOPE and node.tag not in _CLOSES[name]:
-                    node = node.parent
-                if node is not None and node.tag in _CLOSES[name]:
-                    current = close(node.parent)
+            if name in _ENDS_P and path.depth("p") > path.scope():
+                path.close(path.depth("p"))
+            if name in _CLOSES and (depth := path.depth(*_CLOSES[name])) > path.scope():
+                path.close(depth)
+            current = path.nodes[-1]
             node = Node(name, current, _is_boiler(name, attributes, path), 0 if name in ("header", "body") else _is_named(name, attributes))
             current.children.append(node)
             if name in _RAW:
@@ -186,35 +237,69 @@ def parse(page: str) -> Node:
                 end = page.find(">", found.end()) + 1 if found else 0
                 skip = end or len(page)
             elif name not in _VOID and not (attributes.endswith("/") and name not in _BLOCK):
-                current = node
-                path[name] += 1
+                path.push(node)
         text, slash, name, attributes, at = tags.send(skip)
 
 
-def _cut_named(root: Node) -> None:
-    """Boilerplate by name: nodes with neither an article or main element nor most of the body's text outside links.
+def _says_comments(node: Node) -> bool:
+    """Whether the first thing in a node is a heading such as 3 Comments."""
+    first = next((c for c in node.children if not isinstance(c, str) or c.strip()), None)
+    if not isinstance(first, Node) or first.tag not in _HEADING:
+        return False
+    words = " ".join("".join(c if isinstance(c, str) else "".join(x for x in c.children if isinstance(x, str)) for c in first.children[:8])[:80].split())
+    return bool(_COMMENTS_TITLE.fullmatch(words.lower()))
+
 
-    Where all words say so, as in a bare advert, only text in blocks inside counts.
-    Nodes of weak words need a density below the body's too, and no main headline.
+def _cut_named(root: Node) -> None:
+    """Boilerplate by name.
+
+    Anchors tell where the article is: article and main elements that neither
+    have a name of boilerplate themselves nor lie in a node that has nothing
+    else, or, where there are none, main headlines.  A node whose words all name
+    boilerplate, at least one of them of a kind that no part of an article has,
+    goes whatever its size if an anchor lies elsewhere: comments beside or in
+    an article, also if each is an article element of its own, and adverts.
+
+    Other nodes go if they hold no anchor (without anchors: no article or main
+    element) nor most of the body's text outside links.  Where all words name boilerplate,
+    only text in blocks inside counts.  Nodes of weak words need a density below
+    the body's too, and no main headline.
     """
     order, stack, body = [], [root], root
+    inside: dict[Node, bool] = {root: False}
+    within: dict[Node, bool] = {root: False}
     while stack:
         node = stack.pop()
         order.append(node)
         if node.tag == "body":
             body = node
-        stack.extend(c for c in node.children if isinstance(c, Node) and not c.boiler)
-    plain, wrapped, article, headline = {}, {}, {}, {}
+        # Only an article element in it, or its place outside of articles, makes a region by its heading alone.
+        if node.tag in ("section", "div") and _says_comments(node) and (not within[node] or any(isinstance(c, Node) and c.tag == "article" for c in node.children)):
+            node.named = 4
+        for c in node.children:
+            if isinstance(c, Node) and not c.boiler:
+                inside[c] = inside[node] or node.named == 4
+                within[c] = within[node] or node.tag in _ARTICLE
+                stack.append(c)
+    free = [n for n in order if n.named != 4 and not inside[n] and n.chars]
+    articles = {n for n in free if n.tag in _ARTICLE}
+    anchors = articles or {n for n in free if n.tag == "h1"}
+    plain, wrapped, article, headline, holds = {}, {}, {}, {}, {}
     for node in reversed(order):
         inner = [c for c in node.children if isinstance(c, Node) and not c.boiler]
         plain[node] = 0 if node.tag == "a" else sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(plain[c] for c in inner)
         wrapped[node] = sum(plain[c] if c.tag in _BLOCK else wrapped[c] for c in inner)
         article[node] = any(article[c] or c.tag in _ARTICLE for c in inner)
         headline[node] = node.tag == "h1" or any(headline[c] for c in inner)
+        holds[node] = node in anchors or any(holds[c] for c in inner)
     for node in order:
-        held = wrapped[node] if node.named == 2 else plain[node]
-        named = bool(node.named) and not (node.named == 3 and (headline[node] or node.density >= body.density))
-        node.boiler = named and not article[node] and 2 * held <= plain[body]
+        if node.named == 4 and anchors and not holds[node] and (articles or node.tag not in _ARTICLE):
+            node.boiler = True
+            continue
+        held = wrapped[node] if node.named in (2, 4) else plain[node]
+        named = bool(node.named) and node.tag not in _ARTICLE and not (node.named == 3 and (headline[node] or node.density >= body.density))
+        kept = holds[node] if articles else article[node]
+        node.boiler = named and not kept and 2 * held <= plain[body]
 
 
 def _measure(root: Node) -> tuple[Node, int]:
@@ -263,10 +348,8 @@ def _keep(body: Node) -> None:
     """Mark what belongs to the article."""
 
     def raised(top: Node) -> Node:
-        node = top.peak
-        while node is not top and (node.tag == "p" or node.tag in _HEADING or node.tag not in _BLOCK):
-            node = node.parent
-        return node
+        lift = top.peak.lift
+        return lift if lift is not None and lift.depth >= top.depth else top
 
     node = raised(body)
     node.kept, threshold = True, node.density
