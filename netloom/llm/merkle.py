@@ -13,15 +13,14 @@ from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.ordering import placed
 from netloom.plans.shared import materialize, quoted
 
 #: Levels of the tree that one block holds (2 ** LEVELS places), and of each stacked subtree.
 LEVELS, SUBTREE = 9, 3
-#: Rows of a range of places; ranges of one task each.
-RANGE_ROWS = 200_000
 
 Node = bytes | None
 
@@ -105,10 +104,10 @@ def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
         row: list[Node] = _digests(table.column("digest"))
         for _ in range(_levels(n, levels)):
             row = [joined(row[i], row[i + 1] if i + 1 < len(row) else None) for i in range(0, len(row), 2)]
-        return pa.table({"g": [g], "n": [-(-n >> levels)], "place": [place >> levels], "digest": pa.array([bytes.fromhex(row[0].decode())], pa.binary())})
+        return pa.table({"g": pa.array([g], pa.string()), "n": [-(-n >> levels)], "place": [place >> levels], "digest": pa.array([bytes.fromhex(row[0].decode())], pa.binary())})
 
     # n rounded up: -(-n >> levels) is the number of blocks.
-    return nodes.select("g", "n", "place", "digest", _block(levels)).groupBy("g", "block").applyInArrow(solve, "g long, n long, place long, digest binary")
+    return nodes.select("g", "n", "place", "digest", _block(levels)).groupBy("g", "block").applyInArrow(solve, "g string, n long, place long, digest binary")
 
 
 def _block(levels: int) -> Column:
@@ -148,31 +147,6 @@ def prove(nodes: DataFrame, most: int, beyond: Callable[[DataFrame], DataFrame],
     return left.cogroup(above.groupBy("g", "block")).applyInArrow(solve, f"{kinds}, proof array<string>, subroot string, root string")
 
 
-def placed(rows: DataFrame, group: str, order: list[str], count: int) -> DataFrame:
-    """``rows`` with ``g`` (a number for each group, by order of ``group``, null first), ``n`` (its rows) and ``place`` in it by ``order``.
-
-    Rows are cut into ranges and written; the rows of a group in each range
-    are counted, and the counts before a range give its first place.  ``group`` and
-    ``order`` together must tell all rows apart.
-    """
-    by = [F.col(c).asc_nulls_first() for c in (group, *order)]
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
-    ranged = materialize(rows.repartitionByRange(parts, *by).withColumn("range", F.spark_partition_id()), "merkle-ranges")
-    # One row for each range and one for each further group in it.
-    counts = materialize(ranged.groupBy("range", group).agg(F.count("*").alias("k")), "merkle-counts")
-    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(F.col("range").alias("at"), F.col(group).alias("of"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), F.sum("k").over(Window.partitionBy(group)).alias("n"))
-    # A group's number is where it begins among all rows: its first range tells, and its order inside of that.
-    start = Window.partitionBy("range").orderBy(F.col(group).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = counts.groupBy("range").agg(F.sum("k").alias("k")).withColumn("rows", F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = counts.withColumn("inside", F.coalesce(F.sum("k").over(start), F.lit(0))).join(ahead.select("range", "rows"), "range")
-    number = inside.groupBy(F.col(group).alias("name")).agg(F.min(F.col("rows") + F.col("inside")).alias("g"))
-    firsts = firsts.join(number, F.col("of").eqNullSafe(F.col("name"))).select("at", "of", "first", "n", "g")
-    row = F.row_number().over(Window.partitionBy("range", group).orderBy(*by[1:]))
-    numbered = ranged.withColumn("row", row).join(firsts, (F.col("range") == F.col("at")) & F.col(group).eqNullSafe(F.col("of")))
-    return numbered.select(*[F.col(quoted(c)) for c in rows.columns], "g", "n", (F.col("first") + F.col("row") - 1).alias("place"))
-
-
 def field_digest(values: dict[str, Column]) -> Column:
     """Digest of a row's fields in order, each ``-`` if null, else its UTF-8 bytes' count, a colon and the value."""
     texts = [v.cast("string") for v in values.values()]
@@ -219,28 +193,26 @@ def merkle_manifest(
     leaf = field_digest(value)
     other = leaf if changes is None else F.when(changed, field_digest(value | changes)).otherwise(leaf)
     presented = F.when(F.coalesce(changed, F.lit(False)), F.unhex(other)) if changes is not None else F.lit(None).cast("binary")
-    # Digests are written before anything orders them, so sampling for ranges reads no text; the number tells equal rows apart.
-    leaves = rows.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(group_col)).cast("string").alias("group"), F.unhex(leaf).alias("digest"), presented.alias("presented"), F.monotonically_increasing_id().alias("number"))
-    leaves = materialize(leaves, "merkle-leaves")
-    count = leaves.count()
-    places = materialize(placed(leaves, "group", ["id", "digest", "number"], count).drop("group", "number"), "merkle-places")
+    # Digests are written before anything orders them, so sampling for ranges reads no text.
+    leaves = rows.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(group_col)).cast("string").alias("g"), F.unhex(leaf).alias("digest"), presented.alias("presented"))
+    places = materialize(placed(materialize(leaves, "merkle-leaves"), ["g"], ["id", "digest"], "place", "n"), "merkle-places")
 
     def over_groups(tops: DataFrame) -> DataFrame:
-        """The last tree: its leaves are the groups' own nodes, in the order of their numbers."""
-        subroots = tops.select(F.lit(0).alias("all"), F.col("g").alias("group_g"), F.col("place").alias("group_place"), "digest")
-        found = placed(subroots, "all", ["group_g"], groups).select("g", "n", "place", "digest", "group_g", "group_place")
+        """The last tree: its leaves are the groups' own nodes, in the order of the groups."""
+        subroots = tops.select(F.lit("all").alias("g"), F.col("g").alias("group"), F.col("place").alias("group_place"), "digest")
 
         def last(roots: DataFrame) -> DataFrame:
             text = F.lower(F.hex("digest"))
             return roots.withColumns({"proof": F.array().cast("array<string>"), "subroot": text, "root": text})
 
-        proven = prove(materialize(found, "merkle-tops"), groups, last, levels, height)
-        return proven.select(F.col("group_g").alias("g"), F.col("group_place").alias("place"), "proof", F.lower(F.hex("digest")).alias("subroot"), "root")
+        proven = prove(materialize(placed(subroots, ["g"], ["group"], "place", "n"), "merkle-tops"), groups, last, levels, height)
+        return proven.select(F.col("group").alias("g"), F.col("group_place").alias("place"), "proof", F.lower(F.hex("digest")).alias("subroot"), "root")
 
     sizes = places.agg(F.max("n").alias("most"), F.count(F.when(F.col("place") == 0, 1)).alias("groups")).first()
     most, groups = sizes["most"] or 0, sizes["groups"]
     if most <= 1:
-        below = places.join(over_groups(places).select("g", "proof", "subroot", "root"), "g")
+        above = over_groups(places).select(F.col("g").alias("group"), "proof", "subroot", "root")
+        below = places.join(above, F.col("g").eqNullSafe(F.col("group")))
     else:
         below = prove(places, most, over_groups, levels, height)
     leaf_text = F.lower(F.hex("digest"))

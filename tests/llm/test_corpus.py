@@ -699,3 +699,56 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and names >= set(queries.QUERIES) | {"pipeline"}
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<b><table><tr><td>" + "<span>" * n + "</b>" * n,
+        lambda n: "<ul><li><div>" + "<span>" * n + "<li></li>" * n,
+        lambda n: "<div>" * n + "<span>" * n + "text " * 50 + "</span>" * n,
+        lambda n: "<p>" + "<b>" * n + "<div>x</div>" * n,
+        lambda n: "<table>" + "<tr><td>x" * n,
+    ],
+)
+def test_pages_of_many_open_elements_take_linear_time(page):
+    start = time.process_time()
+    main_text(page(60_000))
+    assert time.process_time() - start < 15
+
+
+REMARK = "<p>" + "I think that this is a long remark about it. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><h1>T</h1><p>Tiny story here.</p></article><section><h2>Comments</h2><article class="comment">{REMARK}</article><article class="comment"><p>More</p></article></section>', "T Tiny story here."),
+        (f"<main><h1>T</h1><p>Tiny story.</p><section><h2>3 Comments</h2><article>{REMARK}</article></section></main>", "T Tiny story."),
+        (f'<article><h1>T</h1><p>Story.</p><article class="comment even depth-1">{REMARK}</article></article>', "T Story."),
+        (f'<article><h1>T</h1><p>Story.</p><div itemprop="comment">{REMARK}</div></article>', "T Story."),
+        (f'<article><h1>T</h1><p>Short story.</p><div class="newsletter">{REMARK}</div><p>End of it.</p></article>', "T Short story. End of it."),
+        (f'<article><h1>T</h1><p>Short story.</p><div class="ad-banner">{REMARK}</div></article>', "T Short story."),
+        (f'<div class="post"><h1>T</h1><p>Short story.</p></div><div id="comments"><div class="comment">{REMARK}</div></div>', "T Short story."),
+        # What may be the article itself stays: a lone article with such a name, wrappers of all text, weak words, headings inside of an article.
+        ('<article class="comment"><h1>T</h1><p>Only article here.</p></article>', "T Only article here."),
+        ('<div class="newsletter"><h1>T</h1><p>Whole page here.</p></div>', "T Whole page here."),
+        ('<article class="post comments-open"><h1>T</h1><p>Story of the day.</p></article>', "T Story of the day."),
+        ('<article><h1>T</h1><p>Story of the day.</p><section><h2>Comments</h2><p>On the law.</p></section></article>', "T Story of the day. Comments On the law."),
+    ],
+)
+def test_comments_and_adverts_of_any_length(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
+def test_licence_lines_of_many_tags_take_linear_time():
+    tag = "SPDX-License-Identifier:"
+    for text in (f"{tag}x or " * 60_000, f"{tag} x" + " with y" * 60_000, tag * 60_000, f"{tag} " + "(" * 60_000 + "x" + ")" * 60_000 + " or y", f"{tag} " + "x with (a or b) and " * 30_000 + "z"):
+        start = time.process_time()
+        licenses.scan_text(text)
+        assert time.process_time() - start < 8
+
+
+def test_licence_expressions_end_at_the_next_tag():
+    found = licenses.scan_text("SPDX-License-Identifier: MIT or SPDX-License-Identifier: GPL-2.0 with Bison with Font\nSPDX-License-Identifier: (ISC and Zlib)")
+    assert found[6] == 0.3 and found[5] == "spdx:gpl-2.0-with-bison-with-font,spdx:isc,spdx:mit,spdx:zlib"
