@@ -106,3 +106,51 @@ def plain_date(ts: Column) -> Column:
 def data_url(binary: Column, kind: str = "image/png") -> Column:
     """Binary content as a data URL; the line breaks that Spark puts after 76 characters are taken out."""
     return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(binary), F.lit("\r\n"), F.lit("")))
+
+
+# Spellings of pre-releases, in their order.
+PRE_RELEASES = {"a": 0, "alpha": 0, "b": 1, "beta": 1, "c": 2, "rc": 2, "pre": 2, "preview": 2}
+_VERSION = r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]*))?(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]*))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
+
+
+def version_key(version: Column) -> Column:
+    """A struct that sorts version texts: epoch, release, pre-, post- and development release, local label.
+
+    Zeros at a release's end count for nothing, a development release comes before
+    its pre-releases, these before the release, post-releases behind it; numbers
+    in local labels come behind words.  Null for what is no version.
+    """
+    part = lambda i: F.regexp_extract(version, _VERSION, i)
+    number = lambda text, absent: F.when(text == "", F.lit(absent)).otherwise(text.try_cast("bigint"))
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("bigint"))
+    kinds = F.create_map(*[F.lit(x) for item in PRE_RELEASES.items() for x in item])
+    has_post, has_dev = (part(5) != "") | (part(6) != ""), part(8) != ""
+    pre = F.when(part(3) != "", F.try_element_at(kinds, F.lower(part(3)))).when(~has_post & has_dev, -1).otherwise(len(PRE_RELEASES))
+    post = F.when(part(5) != "", part(5).try_cast("bigint")).when(part(6) != "", number(part(7), 0)).otherwise(-1)
+    dev = F.when(has_dev, number(part(9), 0)).otherwise((1 << 63) - 1)
+    labels = F.when(part(10) == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(part(10)), "[-_.]"))
+    local = F.transform(labels, lambda x: F.struct(F.coalesce(x.try_cast("bigint"), F.lit(-1)).alias("n"), F.when(x.rlike("^[0-9]+$"), "").otherwise(x).alias("word")))
+    key = F.struct(number(part(1), 0).alias("epoch"), release.alias("release"), pre.alias("pre"), number(part(4), 0).alias("pre_n"), post.alias("post"), dev.alias("dev"), local.alias("local"))
+    return F.when(version.rlike(_VERSION), key)
+
+
+def meets_version(current: Column, minimum: Column, pinned: bool = False) -> Column:
+    """Whether a version is at least the minimum, or with ``pinned`` the same; null where one is no version."""
+    a, b = version_key(current), version_key(minimum)
+    return a == b if pinned else a >= b
+
+
+def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether a path ends in one of the suffixes, with their dot and in lower case, or in none at all."""
+    found = F.lower(F.regexp_extract(path, r"[^./][^/]*?(\.[^./]+)$", 1))
+    return (found == "") | found.isin(*suffixes)
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether all characters are ASCII."""
+    return F.octet_length(text) == F.length(text)
+
+
+def has_chinese(text: Column) -> Column:
+    """Whether a text holds a character from U+4E00 to U+9FFF."""
+    return text.rlike("[一-鿿]")

@@ -1,12 +1,12 @@
 """Queries of the operators that are functions, with their DuckDB SQL.
 
 Inventory numbers: S01-S03 S06-S12 S14 S20 A08 ``netloom.sources.files``;
-K01 K05 K08-K14 K17-K20 K22 A23 ``netloom.sources.sinks``; L01-L04 L15 J06 A11-A16
+K01 K05 K08-K13 K15 K17-K20 K22 A23 ``netloom.sources.sinks``; S03 S06 S19 ``netloom.sources.media``; K04 K07 K14 ``netloom.sources.products``; L01-L04 L15 J06 A11-A16
 W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 G04-G06 A26 P11
 ``operators.circuits``; J22 L10 ``operators.masks``; W03 W04 W07 W08 W11 M02 M11 R05 R07 ``operators.curriculum``;
 A30 K11 N01 R01 R03 ``operators.ordering``; I01 I02 ``operators.agents``; W14 ``operators.filters``; I04 A22 ``operators.anchors``; T01-T04 T07
-T08 T10 T13 T20 T24 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
-K01 T06 T17 T19 U09 ``operators.reports``; S04 ST01-ST03 ST05 ``streaming.frames``.
+T08 T10 T13 T20 T24 F20 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
+K01 T06 T17 T19 U09 ``operators.reports``; ST01-ST03 ST05 ``streaming.frames``; S04 ``streaming.live``.
 """
 
 from __future__ import annotations
@@ -440,6 +440,28 @@ ORACLES["low_pass"] = "with recursive " + with_views(
 ).removeprefix("with ")
 
 
+_SUFFIXED = "case o_orderkey % 7 when 0 then '.dev1' when 1 then 'a2' when 2 then 'b1' when 3 then 'rc1' when 4 then '' when 5 then '.post1' else '+local.2' end"
+
+
+@query(f"""with p as (select o_orderkey, concat(o_orderkey % 3, '.', o_custkey % 5, case when o_orderkey % 2 = 0 then '.0' else concat('.', o_custkey % 12) end, {_SUFFIXED}) as version, [o_orderkey % 3, o_custkey % 5, case when o_orderkey % 2 = 0 then 0 else o_custkey % 12 end, case o_orderkey % 7 when 6 then 4.5 else o_orderkey % 7 end] as k from orders)
+ select o_orderkey, version, k >= [1, 2, 0, 4] as enough, k = [1, 2, 0, 4] as same, dense_rank() over (order by k) as place from p""")
+def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir)
+    digit = lambda c, n: (F.col(c) % n).cast("string")
+    version = F.concat(digit("o_orderkey", 3), F.lit("."), digit("o_custkey", 5), F.when(F.col("o_orderkey") % 2 == 0, ".0").otherwise(F.concat(F.lit("."), digit("o_custkey", 12))), F.expr(_SUFFIXED))
+    found = spark.table("orders").select("o_orderkey", version.alias("version")).withColumn("key", T.version_key(F.col("version")))
+    # A list of releases is short; it is numbered as a whole, rows look their version up.
+    places = ordering.numbered(found.select("key").distinct(), ["key"], "place").select("key", (F.col("place") + 1).alias("place"))
+    least = F.lit("1.2")
+    return found.join(places, "key").select("o_orderkey", "version", T.meets_version(F.col("version"), least).alias("enough"), T.meets_version(F.col("version"), least, True).alias("same"), "place")
+
+
+@query("select doc_id, strlen(text) = length(text) as ascii, regexp_matches(text, '[一-鿿]') as chinese, lower(regexp_extract(image_path, '\\.[^./]+$')) in ('.jpg', '.png') as image, lower(regexp_extract(image_path, '\\.[^./]+$')) in ('.txt', '') as plain from documents join samples on doc_id = sample_id", "samples")
+def text_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "samples").select("sample_id", "image_path").join(spark.table("documents").select(F.col("doc_id"), "text"), F.col("doc_id") == F.col("sample_id"))
+    return docs.select("doc_id", T.is_ascii(F.col("text")).alias("ascii"), T.has_chinese(F.col("text")).alias("chinese"), T.has_suffix(F.col("image_path"), (".jpg", ".png")).alias("image"), T.has_suffix(F.col("image_path"), (".txt",)).alias("plain"))
+
+
 # Rounds of a model
 def _hex(text: str, start: int, length: int) -> str:
     return f"cast(('0x' || substr(md5({text}), {start}, {length})) as bigint)"

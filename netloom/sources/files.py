@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,14 +105,6 @@ def page_annotations(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", schema)).alias("page", "v")).select(F.col("page").cast("long").alias("page"), "v.*")
 
 
-def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, made and written there first where no finished one is."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def dataset_descriptor(lines: list[str], required: tuple[str, ...] = ("train", "val", "names")) -> dict:
     """Flat YAML descriptor (keys, block list or map of names); a missing required key is an error."""
     found: dict = {}

@@ -108,12 +108,6 @@ def component_report(connections: DataFrame) -> DataFrame:
     return grouped.select("image_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("report"))
 
 
-def append_metrics(metrics: DataFrame, path: str, kind: str = "csv") -> None:
-    """Append metric rows as CSV with a header or as JSON lines."""
-    writer = metrics.write.mode("append")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
-
-
 def evolution_record(results: DataFrame, keys: list[str], path: str, fitness: Column) -> str:
     """Append ``generation`` and ``keys`` to the CSV log at ``path``; the best generation so far as YAML text.
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from threading import Thread
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netloom.plans.shared import new_path
@@ -68,7 +69,7 @@ def keyed_ema(losses: DataFrame, decay: float = 0.9) -> DataFrame:
 
 
 class Hooks:
-    """Named hooks that a stream's micro-batches run in order of registration."""
+    """Named hooks that a stream's micro-batches, or Spark's own reports of streams, run in order of registration."""
 
     # Names of the hooks.
     NAMES = (
@@ -85,10 +86,49 @@ class Hooks:
             raise ValueError(f"no hook {hook} for {action}")
         self.actions[hook].append((name, action))
 
-    def run(self, hook: str, *args, **kwargs) -> None:
+    def registered(self, hook: str | None = None) -> dict[str, list[str]] | list[str]:
+        """Names of the actions of one hook, or of all."""
+        names = {h: [n for n, _ in found] for h, found in self.actions.items()}
+        return names if hook is None else names[hook]
+
+    def run(self, hook: str, *args, thread: bool = False, **kwargs) -> list[Thread]:
+        """Run a hook's actions, each in a thread of its own if asked for; the threads."""
+        if hook not in self.actions:
+            raise ValueError(f"no hook {hook}")
+        threads = []
         for _, action in self.actions[hook]:
-            action(*args, **kwargs)
+            if thread:
+                threads.append(Thread(target=action, args=args, kwargs=kwargs, daemon=True))
+                threads[-1].start()
+            else:
+                action(*args, **kwargs)
+        return threads
 
     def sink(self, hook: str = "on_train_batch_end") -> Callable[[DataFrame, int], None]:
         """A ``foreachBatch`` function that runs a hook with each micro-batch."""
         return lambda batch, number: self.run(hook, batch, number)
+
+    def listener(self, thread: bool = False) -> StreamingQueryListener:
+        """A listener for ``spark.streams.addListener``: start, each batch and end of every stream run their hooks.
+
+        ``on_train_start`` gets the query's id, ``on_train_batch_end`` the number of the
+        batch and its count of rows, ``on_train_end`` the query's id and its error if it
+        has one, then ``teardown`` nothing.  Batches without rows are reported too.
+        """
+        hooks = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event) -> None:
+                hooks.run("on_train_start", str(event.id), thread=thread)
+
+            def onQueryProgress(self, event) -> None:
+                hooks.run("on_train_batch_end", event.progress.batchId, event.progress.numInputRows, thread=thread)
+
+            def onQueryIdle(self, event) -> None:
+                pass
+
+            def onQueryTerminated(self, event) -> None:
+                hooks.run("on_train_end", str(event.id), event.exception, thread=thread)
+                hooks.run("teardown", thread=thread)
+
+        return Listener()

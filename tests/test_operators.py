@@ -25,7 +25,7 @@ COMPARED = (
     "box_xywh terminals iou_pairs capacitor_rule seg_intersections anchor_fit status_rollup best_iteration difficulty image_weights weighted_score agent1_metrics agent2_metrics agent3_metrics required_keys shape_intersection "
     "nms nms_agnostic nms_padded nms_agnostic_padded match_labels confusion_matrix running_precision_recall pr_envelope average_precision continuous_precision class_prf map_summary box_mask_means box_mask_maps "
     "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample agent_rounds agent_records judge_rounds anchor_targets mask_iou mask_iou_paired mask_layers rect_batches calibration_items ordered_split rank_shards seeded_order coco_annotations collate_index "
-    "ema_state self_paced sample_weights smoothed_best low_pass fenced_code reply_json netlist_nodes minimal_netlist spice_fallback normalized_issues coordinates run_stamps elapsed_seconds message_digests data_urls "
+    "ema_state self_paced sample_weights smoothed_best low_pass version_order text_checks fenced_code reply_json netlist_nodes minimal_netlist spice_fallback normalized_issues coordinates run_stamps elapsed_seconds message_digests data_urls "
     "captions netlist_text circuit_report component_nodes connectivity_prompt netlist_prompt multihead_lines yolo_lines graph_json detection_json_values dataset_scan fileset_hash latest_per_source stateful_ema curve_grid"
 ).split()
 
@@ -547,11 +547,6 @@ def test_file_sources_and_sinks(spark, tmp_path):
     for name in ("a.PNG", "b.jpeg", "c.txt"):
         write(name, "x")
     assert sorted(os.path.basename(r.path) for r in files.image_files(spark, str(tmp_path)).select("path").collect()) == ["a.PNG", "b.jpeg"]
-    metrics = spark.createDataFrame([(1, 0.5)], "epoch int, map double")
-    for kind in ("csv", "json"):
-        for _ in range(2):
-            sinks.append_metrics(metrics, f"{tmp_path}/m_{kind}", kind)
-    assert files.trimmed_csv(spark, f"{tmp_path}/m_csv").count() == 2 and spark.read.json(f"{tmp_path}/m_json").count() == 2
     sinks.split_manifests(spark.createDataFrame([("train", "a"), ("val", "b"), ("train", "c")], "split string, path string"), f"{tmp_path}/splits")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/splits/split=train").collect()) == ["a", "c"]
     one = spark.createDataFrame([(1, "r")], "id int, name string")
@@ -571,7 +566,3 @@ def test_records_products_and_caches(spark, tmp_path):
     assert log((1, 0.5, 0.4), (2, 0.5, 0.4)).startswith("# Best generation: 1\n# Last generation: 2\n")
     sinks.write_products(spark.createDataFrame([("spice", 1, "x"), ("captions", 1, "y"), ("spice", 2, "z")], "product string, image_id long, text string"), f"{tmp_path}/out")
     assert sorted(r.text for r in spark.read.json(f"{tmp_path}/out/product=spice").collect()) == ["x", "z"]
-    calls = []
-    for _ in range(2):
-        assert files.cached(spark, f"{tmp_path}/cache", lambda: calls.append(1) or spark.range(3)).count() == 3
-    assert len(calls) == 1
