@@ -23,7 +23,7 @@ CACHE_UNITS = 300_000
 #: Units in one text for the library.
 JOINED = 500
 #: Bytes of text that are cut at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _END, _BLANK, _WHITE, _LETTER, _DIGIT, _MARK, _OTHER = range(7)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[0x21:0x7F] = _MARK
@@ -75,12 +75,13 @@ class PieceEncoder:
             start |= white & was_white & held
             start &= ~((before == _BLANK) & ~white & (kind != _END))
         if b"'" in data:
-            chunk = np.cumsum(was_white & ~white | (kind == _END))
+            chunk = np.cumsum(was_white & ~white | (kind == _END), dtype=np.int32)
             torn = np.zeros(chunk[-1] + 1, bool)
             torn[chunk[np.frombuffer(data, np.uint8) == 0x27]] = True
             inner = ~white & ~was_white & (kind != _END) & (before != _END)
             start &= ~(torn[chunk] & inner)
-        return np.flatnonzero(start)
+        # Slices are far below 2 ** 31 bytes, single texts are too: half the memory of 64-bit places.
+        return np.flatnonzero(start).astype(np.int32)
 
     def _learn(self, units: list[bytes]) -> None:
         """Let the library encode what the old generation does not hold.
@@ -122,7 +123,7 @@ class PieceEncoder:
                 raw[after & (raw >= 0x80) & (raw < 0x9F)] += 0x20
                 data = raw.tobytes()
         starts = self._starts(data)
-        ends = np.append(starts[1:], len(data))
+        ends = np.append(starts[1:], np.int32(len(data)))
         kind = _CLASS[np.frombuffer(data, np.uint8)[starts]]
         keep = kind != _END
         if self.lower:
@@ -142,8 +143,10 @@ class PieceEncoder:
         origin = np.cumsum(size) - size
         lengths = size[codes]
         until = np.cumsum(lengths)
-        shift = np.repeat(origin[codes] - (until - lengths), lengths)
-        ids = flat[shift + np.arange(len(shift))]
+        shift = np.repeat((origin[codes] - (until - lengths)).astype(np.int32), lengths)
+        shift += np.arange(len(shift), dtype=np.int32)
+        ids = flat[shift]
+        del shift
         edge = np.concatenate(([0], until))[np.searchsorted(starts, stops)].tolist()
         if len(self.young) > self.cache_units:
             self.young, self.old = {}, {u: f for u, f in self.young.items() if len(u) <= 48}
