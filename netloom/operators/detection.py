@@ -108,9 +108,8 @@ def normalized_matrix(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("share", F.when(share >= 0.005, share)).drop("n")
 
 
-#: IoU levels at which a hit counts, and cells of confidence that running counts are cut into.
+#: IoU levels at which a hit counts.
 LEVELS = tuple(round(0.5 + 0.05 * j, 2) for j in range(10))
-CONF_CELLS = 1000
 
 
 def mark_hits(detections: DataFrame, labels: DataFrame) -> DataFrame:
@@ -132,36 +131,39 @@ def mark_hits(detections: DataFrame, labels: DataFrame) -> DataFrame:
 def running_hits(marked: DataFrame, labels: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """Rank ``k`` and hits so far at each level, by class in order of falling confidence; ties by image and detection.
 
-    Rows are counted in cells of confidence, so that no class is one task's
-    work: a prefix sum over the cells of each class, then one inside each cell.
+    Rows are cut into ranges of class, confidence and number and written once, so neither
+    a large class nor many equal confidences are one task's work: a prefix sum over
+    the ranges of each class, then one inside each range, whose number ``part`` stays.
     ``labels`` of the class come with each row; classes without labels drop out.
     """
-    cell = F.floor(F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0)) * CONF_CELLS)
     ones = [(F.col("iou") >= t).cast("long").alias(f"hit{j}") for j, t in enumerate(levels)]
-    rows = marked.select("cls", "image_id", "det_id", "conf", cell.alias("cell"), *ones)
     names = [f"hit{j}" for j in range(len(levels))]
-    above = Window.partitionBy("cls").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("cls", "cell").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in names])
-    sums = sums.select("cls", "cell", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", *names)])
+    by = [F.desc("conf"), F.col("image_id"), F.col("det_id")]
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))
-    order = Window.partitionBy("cls", "cell").orderBy(F.desc("conf"), "image_id", "det_id")
+    rows = marked.select("cls", "image_id", "det_id", "conf", *ones).join(counts, "cls")
+    rows = materialize(rows.repartitionByRange(parts, F.col("cls"), *by).withColumn("part", F.spark_partition_id()), "running")
+    # One row for each range and each further class in it.
+    above = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("cls", "part").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in names])
+    sums = sums.select("cls", "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", *names)])
+    order = Window.partitionBy("cls", "part").orderBy(*by)
     inside = order.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(sums, ["cls", "cell"]).join(counts, "cls")
+    joined = rows.join(sums, ["cls", "part"])
     total = F.array(*[F.col(f"before_{h}") + F.sum(h).over(inside) for h in names])
-    return joined.select("cls", "image_id", "det_id", "conf", "labels", (F.col("before_n") + F.row_number().over(order)).alias("k"), total.alias("hits"))
+    return joined.select("cls", "image_id", "det_id", "conf", "labels", "part", (F.col("before_n") + F.row_number().over(order)).alias("k"), total.alias("hits"))
 
 
 def precision_envelope(running: DataFrame, level: int = 0) -> DataFrame:
     """The largest precision at each row's rank or a later one, by class, at one level.
 
-    As in :func:`running_hits`, first over cells of confidence, then inside each.
+    As in :func:`running_hits`, first over ranges, then inside each.
     """
-    cell = F.floor(F.least(F.greatest(F.col("conf"), F.lit(0.0)), F.lit(1.0)) * CONF_CELLS)
-    rows = running.select("cls", "image_id", "det_id", "k", cell.alias("cell"), (F.col("hits")[level] / F.col("k")).alias("precision"))
-    later = Window.partitionBy("cls").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    best = rows.groupBy("cls", "cell").agg(F.max("precision").alias("best")).withColumn("after", F.coalesce(F.max("best").over(later), F.lit(0.0)))
-    inside = Window.partitionBy("cls", "cell").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(best.drop("best"), ["cls", "cell"])
+    rows = running.select("cls", "image_id", "det_id", "k", "part", (F.col("hits")[level] / F.col("k")).alias("precision"))
+    later = Window.partitionBy("cls").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    best = rows.groupBy("cls", "part").agg(F.max("precision").alias("best")).withColumn("after", F.coalesce(F.max("best").over(later), F.lit(0.0)))
+    inside = Window.partitionBy("cls", "part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(best.drop("best"), ["cls", "part"])
     return joined.select("cls", "image_id", "det_id", F.greatest("after", F.max("precision").over(inside)).alias("envelope"))
 
 
@@ -179,7 +181,9 @@ def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int
     recall = F.col("hit") / (F.col("labels") + 1e-16)
     knot = F.struct(recall.alias("r"), (F.col("hit") / F.col("k")).alias("p"))
     cells = rows.withColumn("cell", F.ceil(recall * last - 1e-9)).groupBy("cls", "level", "cell").agg(F.min_by(knot, "k").alias("first"), F.max_by(knot, "k").alias("last"), F.max(F.col("hit") / F.col("k")).alias("best"))
-    grid = rows.select("cls", "level").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    cells = materialize(cells, "recall-cells")
+    # From the reduced rows: a class has a cell at every level.
+    grid = cells.select("cls", "level").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
     on = ["cls", "level", "cell"]
     by = Window.partitionBy("cls", "level").orderBy("cell")
     to_here, behind = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
@@ -194,6 +198,7 @@ def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int
 
 def continuous_precision(running: DataFrame, level: int = 0) -> DataFrame:
     """``cls, ap``: exact area under the envelope at one level, the sum over each step of recall."""
+    running = materialize(running, "running-hits")
     envelope = running.join(precision_envelope(running, level), ["cls", "image_id", "det_id"])
     steps = envelope.groupBy("cls", "labels", F.col("hits")[level].alias("hit")).agg(F.max("envelope").alias("env")).where("hit > 0")
     return steps.groupBy("cls").agg((F.sum("env") / (F.first("labels") + 1e-16)).alias("ap"))
@@ -238,8 +243,13 @@ def best_f1(curves: DataFrame, points: int = 1000, fraction: float = 0.1, eps: f
 
 
 def class_quality(running: DataFrame, labels: DataFrame) -> DataFrame:
-    """``cls, labels, tp, fp, p, r, f1, ap50, ap`` of each class with labels and detections."""
-    at = best_f1(confidence_curves(running))
+    """``cls, labels, tp, fp, p, r, f1, ap50, ap`` of each class with labels and detections.
+
+    Running hits are read by both curves, so they are written once; each curve
+    is small behind its aggregation and written too, as the plans that follow read it again.
+    """
+    running = materialize(running, "running-hits")
+    at = best_f1(materialize(confidence_curves(running), "curves"))
     ap = average_precision(running).groupBy("cls").agg(F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
     counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))
     tp = F.bround(F.col("r") * F.col("labels"))
