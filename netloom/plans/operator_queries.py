@@ -852,9 +852,13 @@ def summary_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.summary_strings(_typed(spark, sf_dir))
 
 
-@query("select concat('path: out', chr(10), 'train: train/images', chr(10), 'val: val/images', chr(10), 'test: test/images', chr(10), 'names:', chr(10), string_agg(concat('  ', cls, ': ', name), chr(10) order by cls)) as yaml from classes", "classes")
+_PART_CLASSES = "select p_type as name, cast(dense_rank() over (order by p_type) - 1 as int) as cls from (select distinct p_type from part) t"
+
+
+@query(f"select concat('path: out', chr(10), 'train: train/images', chr(10), 'val: val/images', chr(10), 'test: test/images', chr(10), 'names:', chr(10), string_agg(concat('  ', cls, ': ', name), chr(10) order by cls)) as yaml from ({_PART_CLASSES}) c")
 def dataset_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.dataset_yaml(view(spark, sf_dir, "classes"), "out")
+    tables(spark, sf_dir)
+    return sinks.dataset_yaml(spark.sql(_PART_CLASSES), "out")
 
 
 @query(f"with {_ADJACENT}, v as (select image_id, string_agg(concat('{{\"id\":', seg_id, '}}'), ',' order by seg_id) as v from segments group by image_id), k as (select image_id, string_agg(concat('{{\"source\":', a, ',\"target\":', b, '}}'), ',' order by a, b) as k from j group by image_id) select v.image_id, concat('{{\"nodes\":[', v, '],\"links\":[', coalesce(k, ''), ']}}') as graph from v left join k on v.image_id = k.image_id", "segments")

@@ -170,7 +170,7 @@ PORTABLE: dict[str, tuple[str, list[str], str]] = {
     "dataset_stats": ("K16", ["detections"], "select case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split, cls, count(*) as instances, count(distinct image_id) as images from detections group by case image_id % 3 when 0 then 'train' when 1 then 'val' else 'test' end, cls"),
     "label_histogram": ("K25 A24", ["detections"], "select cast(floor(x1 / 40e0) as bigint) as bx, cast(floor(y1 / 40e0) as bigint) as by_, count(*) as n from detections group by cast(floor(x1 / 40e0) as bigint), cast(floor(y1 / 40e0) as bigint)"),
     "judge_retry": ("I02", ["stage_results"], "with a as (select *, score >= 0.96e0 as passes from stage_results where iteration <= 3), r as (select *, row_number() over (partition by image_id, stage order by case when passes then 0 else 1 end, case when passes then iteration end, score desc, iteration) as nth from a) select image_id, stage, iteration, score, passes from r where nth = 1"),
-    "class_ids": ("N02", ["classes"], "select name, min(cls) as cls from classes group by name"),
+    "class_ids": ("N02", [], "select p_type as name, cast(dense_rank() over (order by p_type) - 1 as int) as cls from (select distinct p_type from part) t"),
     "netlist_sections": ("T06", ["netlist_lines"], "select image_id, det_id, case when substr(line, 1, 1) = '*' then 'comment' when substr(line, 1, 1) in ('V', 'I') then 'sources' when substr(line, 1, 1) in ('M', 'Q', 'D') then 'devices' else 'passives' end as section, line from netlist_lines"),
     "class_statistics": ("K02", ["detections", "classes"], f"with t as ({TYPED}) select image_id, ctype, count(*) as n, count(distinct x1 % 5) as nets from t group by image_id, ctype"),
 }

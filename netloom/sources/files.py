@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +136,35 @@ def one_match(paths: DataFrame, ending: str) -> str:
     if len(found) != 1:
         raise FileNotFoundError(f"{len(found) or 'no'} match for {ending}")
     return found[0]
+
+
+def _found(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:
+    """Files below folders whose name fits a pattern; folders that are not there hold none."""
+    conf = spark._jsc.hadoopConfiguration()
+    there = [f for f in folders if (p := spark._jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(conf).exists(p)]
+    if not there:
+        return spark.createDataFrame([], "path string, modified timestamp")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(there)
+    return listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"))
+
+
+def find_config(spark: SparkSession, name: str, roots: list[str]) -> str:
+    """Where a configuration is: ``name`` itself if it is empty, an address or a path that exists, else the one file of that name below the roots.
+
+    No such file and several are errors.
+    """
+    if not name or re.match(r"(?i)https?://", name):
+        return name
+    place = spark._jvm.org.apache.hadoop.fs.Path(name)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return name
+    ending = "/" + name.lstrip("/")
+    # Characters that a pattern reads otherwise stand for themselves.
+    plain = "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in name.rsplit("/", 1)[-1])
+    return one_match(_found(spark, roots, plain).where(F.col("path").endswith(ending)).distinct(), ending)
+
+
+def newest_file(spark: SparkSession, folder: str, pattern: str = "last*.pt") -> str:
+    """The file below a folder that changed last, of equal times that with the largest path; empty if none fits."""
+    newest = _found(spark, [folder], pattern).agg(F.max(F.struct("modified", "path")).alias("f")).first()["f"]
+    return newest["path"] if newest else ""

@@ -163,6 +163,18 @@ def test_label_files(spark, tmp_path):
     with pytest.raises(FileExistsError):
         sinks.next_name(spark.createDataFrame([("r",), ("r2",), ("r3",)], "name string"), "r", 3)
     assert files.one_match(spark.createDataFrame([("a/b.yaml",)], "path string"), "b.yaml") == "a/b.yaml"
+    (tmp_path / "data/deep").mkdir(parents=True)
+    (tmp_path / "models").mkdir()
+    for n, name in enumerate(("data/deep/coco.yaml", "models/x.yaml", "models/last-10.pt", "models/last-2.pt", "data/x.yaml")):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1_000_000 + n, 1_000_000 + n))
+    roots = [f"{tmp_path}/models", f"{tmp_path}/data", f"{tmp_path}/none"]
+    assert files.find_config(spark, "coco.yaml", roots) == f"{tmp_path}/data/deep/coco.yaml" == files.find_config(spark, f"{tmp_path}/data/deep/coco.yaml", roots)
+    assert files.find_config(spark, "", roots) == "" and files.find_config(spark, "https://x.org/a.yaml", roots) == "https://x.org/a.yaml"
+    for wrong in ("x.yaml", "y.yaml", "oco.yaml"):
+        with pytest.raises(FileNotFoundError):
+            files.find_config(spark, wrong, roots)
+    assert files.newest_file(spark, str(tmp_path), "last*.pt") == f"{tmp_path}/models/last-2.pt" and files.newest_file(spark, str(tmp_path), "best*.pt") == ""
 
 
 def test_hooks():
@@ -289,179 +301,6 @@ def test_more_series(spark):
         d = 0.9999 * (1 - np.exp(-n / 2000))
         value = d * value + (1 - d) * v
     assert curriculum.loss_state(losses).select(curriculum.ramped_ema(F.col("history")).alias("e")).first().e == pytest.approx(value)
-    drawn = curriculum.weighted_draws(spark.createDataFrame([(1, 9.0), (2, 1.0)], "sample_id long, weight double"), 2000)
-    counts = {r["sample_id"]: r["count"] for r in drawn.groupBy("sample_id").count().collect()}
-    assert sum(counts.values()) == 2000 and 1700 < counts[1] < 1900
-    smooth = curriculum.gaussian_smooth(losses, 1.0, "sample_id", "step", "loss").where("sample_id = 2").first()
-    assert smooth.smooth == pytest.approx(3.0)
-
-
-def test_netlist_text(spark):
-    code = "* t\nR1 n1 0 10k\nM1 vdd n2 out 0 NMOS\n.END"
-    row = spark.createDataFrame([(code,), ("",)], "c string").select(T.component_count(F.col("c")).alias("n"), T.netlist_nodes(F.col("c")).alias("nodes"), T.syntax_score(F.col("c")).alias("s")).collect()
-    assert row[0].n == 2 and row[0].nodes == ["10k", "n1", "n2", "out", "vdd"] and row[0].s == pytest.approx(1.0)
-    assert row[1].n == 0 and row[1].nodes == [] and row[1].s == 0
-
-
-def test_golden_report(spark):
-    found = spark.createDataFrame([(516, 1, "91", 0, 1), (516, 2, "101", 0, 1), (516, 3, "102", 1, 2)], "image_id long, comp_id long, label string, node1 long, node2 long")
-    assert sinks.component_report(found).first().report == "91: 0 - 1\n101: 0 - 1\n102: 1 - 2"
-
-
-def test_label_files(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("0 0.5 0.5 0.2 0.2\n1 0.1 0.1 0.3 0.1 0.3 0.4\n2 1.5 0.5 0.1 0.1\nx y\n")
-    lines = spark.read.text(str(tmp_path / "a.txt")).withColumn("path", F.lit("a"))
-    got = {r.cls: r for r in files.parse_labels(lines).collect()}
-    assert got[0].status == "found" and got[1].status == "found" and got[1].w == pytest.approx(0.2) and got[2].status == "corrupt"
-    (tmp_path / "m.csv").write_text("  epoch,  mAP \n 1, 0.5\n")
-    assert files.trimmed_csv(spark, str(tmp_path / "m.csv")).columns == ["epoch", "mAP"]
-    found = files.dataset_descriptor(["path: x", "train: a", "val: b", "names:", "  0: R", "  1: C"])
-    assert found["names"] == {0: "R", 1: "C"}
-    with pytest.raises(ValueError):
-        files.dataset_descriptor(["train: a"])
-    names = spark.createDataFrame([("exp",), ("exp2",), ("exp7",), ("a.b",), ("axb2",), ("exp02",)], "name string")
-    assert sinks.next_name(names, "exp") == "exp3" and sinks.next_name(names, "new") == "new" and sinks.next_name(names, "a.b") == "a.b2"
-    with pytest.raises(FileExistsError):
-        sinks.next_name(spark.createDataFrame([("r",), ("r2",), ("r3",)], "name string"), "r", 3)
-    assert files.one_match(spark.createDataFrame([("a/b.yaml",)], "path string"), "b.yaml") == "a/b.yaml"
-
-
-def test_hooks():
-    hooks, seen = Hooks(), []
-    hooks.register("on_val_end", lambda x: seen.append(x))
-    hooks.run("on_val_end", 3)
-    assert seen == [3] and len(hooks.actions) == 19
-    with pytest.raises(ValueError):
-        hooks.register("nothing", print)
-
-
-def test_prompts(spark):
-    parts = spark.createDataFrame([(1, 1, "Resistor", 0.9), (1, 2, "Diode", 0.2)], "image_id long, det_id long, ctype string, conf double")
-    assert replies.component_prompts(parts).first().prompt == "DETECTIONS:\n[1] Resistor (HIGH)\n[2] Diode (LOW)"
-
-
-def test_entry_imports_alone():
-    import __spark_entry__
-
-    assert set(registry.queries()) <= set(__spark_entry__.queries())
-    assert os.path.isfile(os.path.join(__spark_entry__.ROOT, "__spark_entry__.py"))
-
-
-def naive_quality(detections, labels, levels):
-    """Matching, running counts, AP and best F1 in plain loops and array interpolation."""
-    iou = lambda a, b: (w := max(0, min(a[2], b[2]) - max(a[0], b[0]))) * (h := max(0, min(a[3], b[3]) - max(a[1], b[1]))) / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h + 1e-7)
-    hit = {}
-    wanted: dict = {}
-    for image, det, cls, _, *box in detections:
-        pairs = [(iou(g, box), gt) for i, gt, c, *g in labels if i == image and c == cls]
-        if pairs and max(pairs)[0] >= levels[0]:
-            best = max(pairs)
-            wanted.setdefault((image, best[1]), []).append((best[0], det))
-    for (image, _), found in wanted.items():
-        hit[image, max(found)[1]] = max(found)[0]
-    out = {}
-    for cls in {d[2] for d in detections} & {g[2] for g in labels}:
-        own = sorted((d for d in detections if d[2] == cls), key=lambda d: (-d[3], d[0], d[1]))
-        n = sum(g[2] == cls for g in labels)
-        conf, aps, curves = np.array([d[3] for d in own]), [], None
-        for t in levels:
-            tpc = np.cumsum([hit.get((d[0], d[1]), 0) >= t for d in own])
-            recall, precision = tpc / (n + 1e-16), tpc / np.arange(1, len(own) + 1)
-            if curves is None:
-                grid = np.linspace(0, 1, 1000)
-                curves = np.interp(-grid, -conf, precision, left=1), np.interp(-grid, -conf, recall, left=0)
-            r, p = np.concatenate(([0.0], recall, [1.0])), np.concatenate(([1.0], precision, [0.0]))
-            p = np.maximum.accumulate(p[::-1])[::-1]
-            x = np.linspace(0, 1, 101)
-            y = np.interp(x, r, p)
-            aps.append(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
-        out[cls] = (n, aps, *curves)
-    f1 = np.mean([2 * p * r / (p + r + 1e-16) for _, _, p, r in out.values()], axis=0)
-    half = (round(len(f1) * 0.1 * 2) // 2 + 1) // 2
-    smooth = np.convolve(np.concatenate((np.full(half, f1[0]), f1, np.full(half, f1[-1]))), np.ones(2 * half + 1) / (2 * half + 1), "valid")
-    best = int(np.round(smooth, 12).argmax())
-    return {c: (n, p[best], r[best], aps[0], np.mean(aps)) for c, (n, aps, p, r) in out.items()}
-
-
-def test_quality_is_that_of_loops(spark):
-    rng = np.random.default_rng(3)
-    labels, found = [], []
-    for image in range(30):
-        for k in range(rng.integers(0, 6)):
-            x, y, w, h = (int(v) for v in (rng.integers(0, 200), rng.integers(0, 200), rng.integers(20, 60), rng.integers(20, 60)))
-            labels.append((image, k, int(rng.integers(0, 3)), x, y, x + w, y + h))
-            for j in range(rng.integers(0, 3)):
-                d = [int(v) for v in rng.integers(-8, 9, 4)]
-                found.append((image, 10 * k + j, labels[-1][2] if rng.random() < 0.8 else 1, float(np.round(rng.random(), 4)), x + d[0], y + d[1], x + w + d[2], y + h + d[3]))
-    d = spark.createDataFrame(found, "image_id long, det_id long, cls int, conf double, x1 long, y1 long, x2 long, y2 long")
-    g = spark.createDataFrame(labels, "image_id long, gt_id long, cls int, x1 long, y1 long, x2 long, y2 long")
-    got = {r.cls: (r.labels, r.p, r.r, r.ap50, r.ap) for r in detection.class_quality(detection.running_hits(detection.mark_hits(d, g), g), g).collect()}
-    want = naive_quality(found, labels, detection.LEVELS)
-    assert set(got) == set(want)
-    for cls, row in want.items():
-        assert got[cls] == pytest.approx(row, abs=1e-6)
-    assert detection.mean_quality(detection.class_quality(detection.running_hits(detection.mark_hits(d.limit(0), g), g), g)).first().map == 0.0
-
-
-def test_numbers_in_order(spark):
-    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(None).cast("int").alias("x"))
-    assert [(r.nth, r.v) for r in sorted(ordering.numbered(rows, ["v"]).collect(), key=lambda r: r.nth)] == [(k, k) for k in range(1000)]
-    assert ordering.numbered(rows.limit(0), ["v"]).count() == 0
-    assert sorted(r.shard for r in ordering.rank_shards(rows.where("v < 5"), ["v"], 4).collect()) == [0, 0, 1, 1, 2, 2, 3, 3]
-
-
-def test_groups_of_large_images(spark):
-    """Against plain loops, with images that go over several batches."""
-    rng = np.random.default_rng(1)
-    lines = [(image, k, *(int(v) for v in rng.integers(0, 900, 4))) for image, n in ((1, 60), (2, 1), (3, 25)) for k in range(n)]
-    want = {}
-    for image in (1, 2, 3):
-        own = [r for r in lines if r[0] == image]
-        near = lambda a, b: any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 1600 for p in (a[2:4], a[4:6]) for q in (b[2:4], b[4:6]))
-        count = 0
-        for i, a in enumerate(own):
-            if (image, a[1]) in want:
-                continue
-            count += 1
-            want[image, a[1]], members = count, [a]
-            for b in own[i + 1 :]:
-                if (image, b[1]) not in want and any(near(m, b) for m in members):
-                    want[image, b[1]] = count
-                    members.append(b)
-    frame = spark.createDataFrame(lines, "image_id long, seg_id long, x1 long, y1 long, x2 long, y2 long")
-    assert {(r.image_id, r.seg_id): r.label for r in circuits.greedy_groups(frame).collect()} == want
-    assert circuits.greedy_groups(frame.limit(0)).count() == 0
-
-
-def test_anchor_search(spark):
-    boxes = spark.createDataFrame([(float(10 + k % 7), float(40 + k % 5)) for k in range(300)] + [(100.0, 20.0)] * 50, "w double, h double")
-    start = anchors.kmeans_anchors(boxes, 2)
-    found = anchors.evolve_anchors(boxes, start, 300)
-    sizes = anchors.size_histogram(boxes)
-    assert sizes[:, 2].sum() == 350 and anchors.histogram_fitness(sizes, start) == pytest.approx(anchors.anchor_fitness(boxes, start))
-    assert anchors.anchor_fitness(boxes, found) >= anchors.anchor_fitness(boxes, start)
-    assert anchors.histogram_fitness(anchors.size_histogram(boxes.limit(0)), start) == 0.0
-
-
-def test_more_series(spark):
-    losses = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate([5, 3, 8, 1, 1, 9, 2])], "sample_id long, step long, loss double")
-    value = 0.0
-    for n, v in enumerate([5, 3, 8, 1, 1, 9, 2], 1):
-        d = 0.9999 * (1 - np.exp(-n / 2000))
-        value = d * value + (1 - d) * v
-    assert curriculum.loss_state(losses).select(curriculum.ramped_ema(F.col("history")).alias("e")).first().e == pytest.approx(value)
-    a = 2 * np.pi * 0.1 / (1 + 2 * np.pi * 0.1)
-
-    def one_way(x):
-        out, y = [], x[0]
-        for v in x:
-            y += a * (v - y)
-            out.append(y)
-        return out
-
-    want = one_way(one_way([5.0, 3, 8, 1, 1, 9, 2])[::-1])[::-1]
-    got = sorted((r.step, r.smooth) for r in curriculum.low_pass(losses, 0.1, "sample_id", "step", "loss").collect())
-    assert [v for _, v in got] == pytest.approx(want)
     drawn = curriculum.weighted_draws(spark.createDataFrame([(k, float(k % 5 + 1)) for k in range(50)], "sample_id long, weight double"), 20_000)
     counts = {r["sample_id"]: r["count"] for r in drawn.groupBy("sample_id").count().collect()}
     assert sum(counts.values()) == 20_000 and all(abs(counts[k] / 20_000 - (k % 5 + 1) / 150) < 0.004 for k in range(50))
