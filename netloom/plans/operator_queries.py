@@ -4,7 +4,7 @@ Inventory numbers: S01-S03 S06-S12 S14 S20 A08 ``netloom.sources.files``;
 K01 K05 K08-K13 K15 K17-K20 K22 A23 ``netloom.sources.sinks``; S03 S06 S19 ``netloom.sources.media``; K04 K07 K14 ``netloom.sources.products``; L01-L04 L15 J06 A11-A16
 W01 W02 ``operators.detection``; J07 J08 J11 J14 J16 G04-G06 A26 P11
 ``operators.circuits``; J22 L10 ``operators.masks``; W03 W04 W07 W08 W11 M02 M11 R05 R07 ``operators.curriculum``;
-A30 K11 N01 R01 R03 ``operators.ordering``; I01 I02 ``operators.agents``; W14 ``operators.filters``; I04 A22 ``operators.anchors``; T01-T04 T07
+A30 K11 N01 R01 R03 ``operators.ordering``; I01 I02 ``operators.agents``; W14 ``operators.filters``; I04 A22 ``operators.anchors``; R09 (labels) ``operators.augment``; T01-T04 T07
 T08 T10 T13 T20 T24 F20 Y01 Y02 ``functions.text``; M05 T05 T17 T18 I03 ``operators.replies``;
 K01 T06 T17 T19 U09 ``operators.reports``; ST01-ST03 ST05 ``streaming.frames``; S04 ``streaming.live``.
 """
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import text as T
-from netloom.operators import agents, anchors, circuits, curriculum, detection, filters, masks, ordering, replies, reports
+from netloom.operators import agents, anchors, augment, circuits, curriculum, detection, filters, masks, ordering, replies, reports
 from netloom.plans.fixtures import tables, view, with_views
 from netloom.plans import stand_ins
 from netloom.plans.portable import DIFFICULTY
+from netloom.plans.shared import materialize
 from netloom.sources import files, sinks
 from netloom.streaming import frames
 
@@ -440,6 +441,62 @@ ORACLES["low_pass"] = "with recursive " + with_views(
 ).removeprefix("with ")
 
 
+# Composed images: their labels
+_SIZE, _SEED = 320, 7
+
+
+def _uniform_sql(*parts: str) -> str:
+    return f"(cast(('0x' || substr(md5(concat_ws(':', '{_SEED}', {', '.join(parts)})), 1, 8)) as bigint) / 4294967296e0)"
+
+
+_MOSAIC = f"""im as (select image_id, ceil(max(x2) * {_SIZE}e0 / greatest(max(x2), max(y2))) as width, ceil(max(y2) * {_SIZE}e0 / greatest(max(x2), max(y2))) as height, max(x2) as w0, max(y2) as h0, row_number() over (order by image_id) - 1 as nth, count(*) over () as all_n from detections group by image_id),
+ la as (select d.image_id, det_id, cls, x1 / cast(w0 as double) as x1, y1 / cast(h0 as double) as y1, x2 / cast(w0 as double) as x2, y2 / cast(h0 as double) as y2 from detections d join im on d.image_id = im.image_id),
+ mo as (select image_id as mosaic_id, floor({_SIZE / 2}e0 + {_uniform_sql("image_id", "'x'")} * {_SIZE}) as xc, floor({_SIZE / 2}e0 + {_uniform_sql("image_id", "'y'")} * {_SIZE}) as yc, unnest([0, 1, 2, 3]) as k, image_id, nth, all_n from im),
+ ti as (select mosaic_id, xc, yc, case when k = 0 then nth else cast(floor({_uniform_sql("image_id", "'p' || (k - 1)")} * all_n) as bigint) end as nth, row_number() over (partition by mosaic_id order by {_uniform_sql("image_id", "'t' || k")}, k) - 1 as tile from mo),
+ pt as (select mosaic_id, tile, im.image_id, case when tile % 2 = 0 then xc - width else xc end as px, case when tile < 2 then yc - height else yc end as py, width, height from ti join im on ti.nth = im.nth),
+ ml0 as (select mosaic_id, tile, pt.image_id, det_id, cls, x1 * width + px as ax, y1 * height + py as ay, x2 * width + px as bx, y2 * height + py as by_ from pt join la on pt.image_id = la.image_id),
+ ml1 as (select mosaic_id, tile, image_id, det_id, cls, (bx - ax) * (by_ - ay) as area, least(greatest(ax, 0), {2 * _SIZE}) as x1, least(greatest(ay, 0), {2 * _SIZE}) as y1, least(greatest(bx, 0), {2 * _SIZE}) as x2, least(greatest(by_, 0), {2 * _SIZE}) as y2 from ml0),
+ ml as (select * from ml1 where x2 - x1 > 2 and y2 - y1 > 2 and (x2 - x1) * (y2 - y1) > 0.1e0 * area)"""
+# Halves go up on both engines alike.
+_PLACES = {c: f"floor({{0}}{c} * 1e4 + 0.5e0) / 1e4" for c in ("x1", "y1", "x2", "y2")}
+_CORNERS = ", ".join(f"{e.format('')} as {c}" for c, e in _PLACES.items())
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, "detections")
+    images = boxes.groupBy("image_id").agg(F.max("x2").alias("w0"), F.max("y2").alias("h0"))
+    side = lambda c: F.ceil(F.col(c) * float(_SIZE) / F.greatest("w0", "h0"))
+    images = images.select("image_id", "w0", "h0", side("w0").alias("width"), side("h0").alias("height"))
+    share = [(F.col(c).cast("double") / F.col("w0" if c[0] == "x" else "h0").cast("double")).alias(c) for c in ("x1", "y1", "x2", "y2")]
+    labels = boxes.join(images, "image_id").select("image_id", "det_id", "cls", *share)
+    return augment.mosaic_labels(augment.mosaic_tiles(images, _SIZE, _SEED), labels, _SIZE)
+
+
+@query(f"with {_MOSAIC} select mosaic_id, cast(tile as int) as tile, image_id, det_id, cls, {_CORNERS} from ml", "detections")
+def mosaic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mosaic(spark, sf_dir).select("mosaic_id", "tile", "image_id", "det_id", "cls", *[F.expr(e.format("")).cast("double").alias(c) for c, e in _PLACES.items()])
+
+
+_HIDES = "greatest(least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1), 0) * greatest(least({0}.y2, {1}.y2) - greatest({0}.y1, {1}.y1), 0) / (({1}.x2 - {1}.x1) * ({1}.y2 - {1}.y1) + 1e-7) >= 0.3e0"
+
+
+@query()
+def pasted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = augment.pasted_copies(materialize(_mosaic(spark, sf_dir), "mosaic-labels"), _SIZE, _SEED)
+    return found.select("mosaic_id", "tile", "image_id", "det_id", "cls", *[F.expr(e.format("")).cast("double").alias(c) for c, e in _PLACES.items()])
+
+
+ORACLES["pasted_copies"] = "with recursive " + with_views(
+    f"""with {_MOSAIC}, tu as (select mosaic_id, tile, image_id, det_id, cls, {2 * _SIZE} - x2 as x1, y1, {2 * _SIZE} - x1 as x2, y2, row_number() over (partition by mosaic_id order by {_uniform_sql("mosaic_id", "tile", "image_id", "det_id")}, tile, det_id) as k, count(*) over (partition by mosaic_id) as n from ml),
+ tr as (select * from tu where k <= round_even(n * 0.5e0, 0)), fo as (select tr.*, exists (select 1 from ml where ml.mosaic_id = tr.mosaic_id and {_HIDES.format("tr", "ml")}) as hidden from tr),
+ st(mosaic_id, k, kept) as (select mosaic_id, cast(0 as bigint), [{{'tile': tile, 'image_id': image_id, 'det_id': det_id, 'cls': cls, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}][1:0] from fo where k = 1
+  union all select st.mosaic_id, fo.k, case when fo.hidden or len(list_filter(st.kept, lambda q: {_HIDES.format("fo", "q")})) > 0 then st.kept else list_append(st.kept, {{'tile': fo.tile, 'image_id': fo.image_id, 'det_id': fo.det_id, 'cls': fo.cls, 'x1': fo.x1, 'y1': fo.y1, 'x2': fo.x2, 'y2': fo.y2}}) end from st join fo on fo.mosaic_id = st.mosaic_id and fo.k = st.k + 1),
+ la2 as (select mosaic_id, unnest(max_by(kept, k)) as r from st group by mosaic_id) select mosaic_id, cast(r.tile as int) as tile, r.image_id, r.det_id, r.cls, {", ".join(f"{e.format('r.')} as {c}" for c, e in _PLACES.items())} from la2""",
+    ["detections"],
+    "duckdb",
+).removeprefix("with ")
+
+
 _SUFFIXED = "case o_orderkey % 7 when 0 then '.dev1' when 1 then 'a2' when 2 then 'b1' when 3 then 'rc1' when 4 then '' when 5 then '.post1' else '+local.2' end"
 
 

@@ -24,7 +24,7 @@ SF = "/root/testdata/sf0.001"
 COMPARED = (
     "box_xywh terminals iou_pairs capacitor_rule seg_intersections anchor_fit status_rollup best_iteration difficulty image_weights weighted_score agent1_metrics agent2_metrics agent3_metrics required_keys shape_intersection "
     "nms nms_agnostic nms_padded nms_agnostic_padded match_labels confusion_matrix running_precision_recall pr_envelope average_precision continuous_precision class_prf map_summary box_mask_means box_mask_maps "
-    "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample agent_rounds agent_records judge_rounds anchor_targets mask_iou mask_iou_paired mask_layers rect_batches calibration_items ordered_split rank_shards seeded_order coco_annotations collate_index "
+    "component_terminal_map hanging_nodes component_report components seg_adjacency polygon_resample agent_rounds agent_records judge_rounds anchor_targets mosaic_labels pasted_copies mask_iou mask_iou_paired mask_layers rect_batches calibration_items ordered_split rank_shards seeded_order coco_annotations collate_index "
     "ema_state self_paced sample_weights smoothed_best low_pass version_order text_checks fenced_code reply_json netlist_nodes minimal_netlist spice_fallback normalized_issues coordinates run_stamps elapsed_seconds message_digests data_urls "
     "captions netlist_text circuit_report component_nodes connectivity_prompt netlist_prompt multihead_lines yolo_lines graph_json detection_json_values dataset_scan fileset_hash latest_per_source stateful_ema curve_grid"
 ).split()
