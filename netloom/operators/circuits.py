@@ -54,12 +54,13 @@ def near_segments(segments: DataFrame, radius: float) -> DataFrame:
     ends = segments.select("image_id", "seg_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("image_id", "seg_id", "p.x", "p.y")
     cell = lambda c: F.floor(F.col(c) / radius)
     left = ends.select("image_id", F.col("seg_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    step = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-    right = ends.select("image_id", F.col("seg_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("ox"), cell("y").alias("oy"))
-    right = right.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("cx", F.col("ox") + F.col("dx")).withColumn("cy", F.col("oy") + F.col("dy"))
-    pairs = left.join(right, ["image_id", "cx", "cy"]).where(F.col("a") < F.col("b"))
+    # Half of the cells around a cell: each two cells meet once, whichever of them is on the left.
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    right = ends.select("image_id", F.col("seg_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("ox"), cell("y").alias("oy")).withColumn("d", F.explode(steps))
+    right = right.select("image_id", "b", "bx", "by", (F.col("ox") + F.col("d.dx")).alias("cx"), (F.col("oy") + F.col("d.dy")).alias("cy"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("same"))
+    pairs = left.join(right, ["image_id", "cx", "cy"]).where(F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     close = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= radius * radius
-    return pairs.where(close).select("image_id", "a", "b").distinct()
+    return pairs.where(close).select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def greedy_groups(segments: DataFrame, radius: float = 40.0) -> DataFrame:
