@@ -698,7 +698,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 11)} and names >= set(queries.QUERIES) | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)} and names >= set(queries.QUERIES) | {"pipeline"}
 
 
 @pytest.mark.parametrize(
