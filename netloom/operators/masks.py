@@ -12,15 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from netloom.operators.ordering import placed
 from netloom.plans.shared import quoted
 
-#: Pixels of a layer that one row of an aggregation holds.
-TILE = 32
+#: Pieces of a layer that one row holds on its way, and rows of a layer that leave a task together.
+PIECES = 1 << 16
 #: Polygons filled together.
 FILLED = 2000
 RUNS = ArrayType(StructType([StructField("low", LongType()), StructField("high", LongType())]))
@@ -153,33 +153,105 @@ def paired_mask_iou(one: DataFrame, other: DataFrame, keys: list[str], eps: floa
     return _with_iou(a.join(b, keys), [F.col(k) for k in keys], eps)
 
 
+def _topmost(of: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of pixels with the same largest rank, from ranges of any overlap, as owner, low, high and rank.
+
+    Each range is two overlapping blocks of a power of two of the places between ends;
+    ranks go down from longer blocks to their halves, so ranges are never expanded.
+    """
+    if not len(of):
+        return of, low, high, rank
+    apart = int(high.max()) + 1
+    ends, at = np.unique(np.concatenate((of * apart + low, of * apart + high)), return_inverse=True)
+    first, last = at[: len(of)], at[len(of) :]
+    level = np.frexp(last - first)[1] - 1
+    top = np.zeros(len(ends), np.int64)
+    for k in range(int(level.max()), -1, -1):
+        mine, size = level == k, 1 << k
+        np.maximum.at(top, first[mine], rank[mine])
+        np.maximum.at(top, last[mine] - size, rank[mine])
+        if k:
+            longer, half = top, size >> 1
+            top = longer.copy()
+            top[half:] = np.maximum(top[half:], longer[:-half])
+    fresh = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    until = ends[np.append(fresh[1:], len(ends) - 1)]
+    kept = top[fresh] > 0
+    owner = ends[fresh] // apart
+    return owner[kept], (ends[fresh] - owner * apart)[kept], (until - owner * apart)[kept], top[fresh][kept]
+
+
+_LAID = ("low", "high", "rank")
+
+
+def _laid_out(column: pa.Array, of: np.ndarray, parts: tuple[np.ndarray, ...], places: np.ndarray) -> pa.RecordBatch:
+    """Rows of an image and at most ``PIECES`` of its pieces; ``places`` has a row of each owner."""
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    cuts = np.concatenate([np.arange(a, b, PIECES) for a, b in zip(cuts, np.append(cuts[1:], len(of)))] or [cuts]).astype(np.int64)
+    offsets = pa.array(np.append(cuts, len(of)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(p)) for p in parts]
+    return pa.RecordBatch.from_arrays([column.take(pa.array(places[of[cuts]])), *lists], ["image_id", *_LAID])
+
+
+def _owners(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each row's image in its batch, and one row of each image."""
+    coded = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return coded, np.unique(coded, return_index=True)[1]
+
+
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The layer of each image's masks of one batch."""
+    for batch in batches:
+        coded, places = _owners(batch.column(0))
+        low, high = (batch.column(i).fill_null([]) for i in (2, 3))
+        sizes = np.diff(low.offsets.to_numpy())
+        found = _topmost(np.repeat(coded, sizes).astype(np.int64), low.flatten().to_numpy(), high.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), sizes))
+        yield _laid_out(batch.column(0), found[0], found[1:], places)
+
+
+def _overlay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One layer of the layers of each image, from rows in order of images; an image may go on in the next batch."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+    whose: pa.Array | None = None
+
+    def pieces(column: pa.Array, of: np.ndarray, places: np.ndarray, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(of), PIECES):
+            part = slice(start, start + PIECES)
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(places[of[part]])), *(pa.array(p[part]) for p in parts)], ["image_id", *_LAID])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(0) if whose is None else pa.concat_arrays([whose, batch.column(0)])
+        coded, places = _owners(column)
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        own = coded if whose is None else coded[1:]
+        of = np.concatenate((np.full(len(held[0]), coded[0]), np.repeat(own, sizes))).astype(np.int64)
+        found = _topmost(of, *(np.concatenate((h, batch.column(i + 1).flatten().to_numpy())) for i, h in enumerate(held)))
+        done = found[0] != coded[-1]
+        yield from pieces(column, found[0][done], places, [p[done] for p in found[1:]])
+        whose, held = column.slice(len(column) - 1), [p[~done] for p in found[1:]]
+    if whose is not None:
+        yield from pieces(whose, np.zeros(len(held[0]), np.int64), np.zeros(1, np.int64), held)
+
+
 def layered_masks(masks: DataFrame, id_col: str = "det_id") -> tuple[DataFrame, DataFrame]:
     """One layer for each image in which the smaller mask lies on top of the larger.
 
     Returns the rank of each mask in its image (1 for the largest, equal areas
     by id) as ``image_id, id, area, rank``, and the layer as maximal runs
     ``image_id, low, high, rank`` of pixels with the same topmost mask.  Ranks come
-    by ranges, so an image may hold any number of masks.  Pixels are summed up
-    in tiles of ``TILE``: each task holds one largest rank for each pixel
-    of a tile before anything is shuffled, however many masks lie there.
+    by ranges, so an image may hold any number of masks.  Each task first lays
+    the masks of a batch, so at most the visible pieces are shuffled, then
+    the layers of an image one after the other; it holds no more than one image's layer.
     """
     area = mask_area(F.col("runs"))
-    sized = masks.select("image_id", F.col(id_col), area.alias("area"), "runs")
+    # Two plain arrays: an array of structs takes more than twice the bytes in an exchange.
+    sides = [F.transform("runs", _part(c)).alias(c) for c in ("low", "high")]
+    sized = masks.select("image_id", F.col(id_col), area.alias("area"), *sides)
     ranked = placed(sized, ["image_id"], [F.desc("area"), F.col(id_col).asc()], "rank").withColumn("rank", F.col("rank") + 1)
-    runs = ranked.select("image_id", "rank", F.explode("runs").alias("r")).select("image_id", "rank", "r.low", "r.high")
-    tiled = runs.withColumn("tile", F.explode(F.sequence(F.floor(F.col("low") / TILE), F.floor((F.col("high") - 1) / TILE))))
-    first = F.col("tile") * TILE
-    top = [F.max(F.when((F.col("low") <= first + k) & (first + k < F.col("high")), F.col("rank"))).alias(f"p{k}") for k in range(TILE)]
-    tiles = tiled.groupBy("image_id", "tile").agg(*top)
-    ranks = tiles.select("image_id", "tile", F.array(*[f"p{k}" for k in range(TILE)]).alias("ranks"))
-    # Where the topmost mask changes inside of a tile; what goes on in the next tile is joined below.
-    changes = F.filter(F.sequence(F.lit(0), F.lit(TILE - 1)), lambda k: (k == 0) | ~F.element_at("ranks", k + 1).eqNullSafe(F.element_at("ranks", F.greatest(k, F.lit(1)))))
-    begun = ranks.select("*", changes.alias("begins")).select("*", F.posexplode("begins").alias("nth", "k"))
-    until = F.coalesce(F.try_element_at("begins", F.col("nth") + 2), F.lit(TILE))
-    pieces = begun.select("image_id", (first + F.col("k")).alias("low"), (first + until).alias("high"), F.element_at("ranks", F.col("k") + 1).alias("rank")).where("rank is not null")
-    # An image has no more pieces than pixels.
-    order = Window.partitionBy("image_id").orderBy("low")
-    goes_on = (F.lag("high").over(order) == F.col("low")) & (F.lag("rank").over(order) == F.col("rank"))
-    numbered = pieces.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    layer = numbered.groupBy("image_id", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("rank").alias("rank")).drop("run")
+    image = masks.schema["image_id"]
+    laid = StructType([image, *(StructField(c, ArrayType(LongType())) for c in _LAID)])
+    layers = ranked.select("image_id", "rank", "low", "high").mapInArrow(_lay, laid)
+    layer = layers.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(_overlay, StructType([image, *(StructField(c, LongType()) for c in _LAID)]))
     return ranked.select("image_id", id_col, "area", "rank"), layer

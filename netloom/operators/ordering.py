@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
 from netloom.plans.shared import materialize, quoted
 
@@ -16,32 +21,72 @@ def _free(rows: DataFrame, *names: str) -> list[str]:
     return list(names)
 
 
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for neighbours that are equal; nulls are equal to each other."""
+    try:
+        return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    except pa.ArrowNotImplementedError:
+        values = column.to_pylist()
+        return np.cumsum([0, *(a != b for a, b in zip(values, values[1:]))])[: len(values)]
+
+
+def _inside(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Add each row's number in its group and in its task; rows are sorted and begin with ``keys`` group columns."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, begun, last = 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, columns = batch.num_rows, batch.columns
+            fresh = np.zeros(n, bool)
+            for k in range(keys):
+                fresh |= np.diff(_codes(columns[k] if last is None else pa.concat_arrays([last[k], columns[k]])), prepend=0)[-n:] != 0
+            places = seen + np.arange(n)
+            starts = np.maximum.accumulate(np.where(fresh, places, begun))
+            yield pa.RecordBatch.from_arrays([*columns[keys:], pa.array(places - starts), pa.array(places)], [*batch.schema.names[keys:], "row", "place"])
+            seen, begun, last = seen + n, int(starts[-1]), [c.slice(n - 1) for c in columns[:keys]]
+
+    return number
+
+
 def placed(rows: DataFrame, groups: list[str], order: list[str | Column], name: str = "nth", size: str | None = None) -> DataFrame:
     """``rows`` with their number from 0 in ``order`` inside their group, and with the group's rows as ``size`` if asked for.
 
-    Rows are cut into ranges of groups and order and written once; counts of the
-    groups in each range give a range's first number in its group, so neither a
-    large group nor many equal keys meet in one task.  Rows of equal order
-    are numbered in the order in which they were written; null groups are one group.
+    Rows are cut into ranges of groups and order, sorted, numbered and written once.  A group
+    goes on in the next range only as its first group, so one number for each range
+    is added, and neither a large group nor many equal keys meet in one task.  Rows of equal order
+    are numbered in the order in which they came; null groups are one group.
     """
     by = [F.col(quoted(c)).asc_nulls_first() for c in groups] + [F.col(quoted(c)) if isinstance(c, str) else c for c in order]
-    tie, part, row, total, first, at = _free(rows, "tie_", "range_", "row_", "total_", "first_", "at_")
-    keys = _free(rows, *[f"group_{i}" for i in range(len(groups))])
+    tie, part, row, place, total, at = _free(rows, "tie_", "range_", "row_", "place_", "total_", "at_")
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     told = rows.withColumn(tie, F.monotonically_increasing_id())
-    ranged = materialize(told.repartitionByRange(int(parts), *by, F.col(tie)).withColumn(part, F.spark_partition_id()), "ranges")
-    # One row for each range and for each further group in it.
-    counts = ranged.groupBy(F.col(part).alias(at), *[F.col(quoted(c)).alias(k) for c, k in zip(groups, keys)]).agg(F.count("*").alias(total))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(at, *keys, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(first), F.sum(total).over(whole).alias(total))
-    inside = Window.partitionBy(part, *[F.col(quoted(c)) for c in groups]).orderBy(*by[len(groups) :], F.col(tie))
-    on = F.col(part) == F.col(at)
+    cut = told.repartitionByRange(int(parts), *by, F.col(tie)).sortWithinPartitions(*by, F.col(tie)).withColumn(part, F.spark_partition_id())
+    kept = [c for c in cut.columns if c != tie]
+    # Negative zero is zero in groups.
+    key = lambda c: F.col(quoted(c)) + F.lit(0.0).cast(rows.schema[c].dataType) if isinstance(rows.schema[c].dataType, (FloatType, DoubleType)) else F.col(quoted(c))
+    sent = cut.select(*[key(c).alias(f"k{i}") for i, c in enumerate(groups)], *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)])
+    told_apart = StructType([*sent.schema.fields[len(groups) :], StructField("row", LongType()), StructField("place", LongType())])
+    ranged = materialize(sent.mapInArrow(_inside(len(groups)), told_apart).toDF(*kept, row, place), "ranges")
+    # The first and the last group of each range, and the rows of the last one there.
+    group = F.struct(*[F.col(quoted(c)).alias(f"g{i}") for i, c in enumerate(groups)], F.lit(0).alias("g"))
+    ends = ranged.groupBy(F.col(part).alias(at)).agg(F.min_by(group, place).alias("first"), F.max_by(group, place).alias("last"), F.max_by(F.col(row), place).alias("rows"))
+    asked = ends.select(at, F.col("first").alias("g"), F.lit(0).cast("long").alias("rows"), F.lit(True).alias("asks"))
+    both = asked.union(ends.select(at, F.col("last").alias("g"), F.col("rows") + 1, F.lit(False)))
+    before = Window.partitionBy("g").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    firsts = both.withColumn("rows", F.coalesce(F.sum("rows").over(before), F.lit(0))).where("asks").select(at, F.col("rows").alias(total))
+    joined = ranged.join(F.broadcast(firsts), F.col(part) == F.col(at))
+    nth = F.col(row) + F.when(F.col(row) == F.col(place), F.col(total)).otherwise(0)
+    found = joined.select(*[F.col(quoted(c)) for c in rows.columns if c not in (name, size)], nth.alias(name))
+    if not size:
+        return found
+    keys = _free(found, *[f"group_{i}" for i in range(len(groups))])
+    counts = ranged.groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(groups, keys)]).agg(F.count("*").alias(size))
+    on = F.lit(True)
     for c, k in zip(groups, keys):
         on = on & F.col(quoted(c)).eqNullSafe(F.col(k))
-    joined = ranged.withColumn(row, F.row_number().over(inside)).join(firsts, on)
-    more = [(F.col(first) + F.col(row) - 1).alias(name)] + ([F.col(total).alias(size)] if size else [])
-    return joined.select(*[F.col(quoted(c)) for c in rows.columns if c not in (name, size)], *more)
+    return found.join(counts, on).drop(*keys)
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth") -> DataFrame:

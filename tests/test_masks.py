@@ -124,3 +124,36 @@ def test_places(spark):
     again = ordering.numbered(df, ["v", "range_"]).collect()
     assert [r.range_ for r in sorted(again, key=lambda r: r.nth)] == [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
     assert ordering.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_layers_of_long_runs(spark):
+    """Layers cost their pieces, not their pixels, and images that go on in the next batches meet whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        wide = [(None if i == 3 else i, k, [(10 * k, 10**10 - 10 * k)] if k % 5 else []) for i in range(4) for k in range(9)]
+        ranks, layer = masks.layered_masks(spark.createDataFrame(wide, "image_id int, det_id int, runs array<struct<low: bigint, high: bigint>>"))
+        found, rank = layer.collect(), {(r.image_id, r.det_id): r["rank"] for r in ranks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shown = [1, 2, 3, 4, 6, 7, 8]
+    ends = [10 * k for k in shown] + [10**10 - 10 * k for k in reversed(shown)]
+    for i in (0, 1, 2, None):
+        own = sorted((r.low, r.high, r["rank"]) for r in found if r.image_id == i)
+        assert [r[:2] for r in own] == list(zip(ends, ends[1:]))
+        assert [r[2] for r in own] == [rank[i, k] for k in shown + shown[-2::-1]]
+
+
+def test_places_move_rows_once(spark):
+    """Ranges of a hot group go on with their numbers; rows are exchanged once, and only ranges are counted."""
+    hot = spark.range(5000).select((F.col("id") % 7 == 0).alias("g"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0).alias("z"), (-F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = ordering.placed(hot, ["g", "z"], ["v"])
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in (True, False):
+        own = sorted((r.nth, r.v) for r in rows if r.g == g)
+        assert [n for n, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Join Inner" in plan and "rightHint=(strategy=broadcast)" in plan
