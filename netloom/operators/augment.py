@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.ordering import numbered, placed
-from netloom.plans.shared import materialize
+from netloom.plans.shared import discard, materialize
 
 #: Corners of a box.
 _BOX = ("x1", "y1", "x2", "y2")
@@ -77,6 +77,7 @@ def pasted_copies(labels: DataFrame, size: int, seed: int, share: float = 0.5, m
     turned = labels.select(*keys, "cls", (2.0 * size - F.col("x2")).alias("x1"), "y1", (2.0 * size - F.col("x1")).alias("x2"), "y2", uniform(seed, *keys).alias("u"))
     ranked = placed(turned, ["mosaic_id"], ["u", "tile", "det_id"])
     tried = materialize(ranked.join(sizes, "mosaic_id").where(F.col("nth") < F.bround(F.col("n") * share)), "pasted")
+    discard(ranked)
     a, b = tried.alias("a"), labels.alias("b")
     box = lambda s: {c: F.col(f"{s}.{c}") for c in _BOX}
     hides = (F.col("a.mosaic_id") == F.col("b.mosaic_id")) & (_obscured(box("a"), box("b")) >= most)

@@ -57,6 +57,7 @@ def placed(rows: DataFrame, groups: list[str], order: list[str | Column], name:
     goes on in the next range only as its first group, so one number for each range
     is added, and neither a large group nor many equal keys meet in one task.  Rows of equal order
     are numbered in the order in which they came; null groups are one group.
+    A caller that has written what it needs may ``discard`` the result.
     """
     by = [F.col(quoted(c)).asc_nulls_first() for c in groups] + [F.col(quoted(c)) if isinstance(c, str) else c for c in order]
     tie, part, row, place, total, at = _free(rows, "tie_", "range_", "row_", "place_", "total_", "at_")
@@ -80,13 +81,16 @@ def placed(rows: DataFrame, groups: list[str], order: list[str | Column], name:
     nth = F.col(row) + F.when(F.col(row) == F.col(place), F.col(total)).otherwise(0)
     found = joined.select(*[F.col(quoted(c)) for c in rows.columns if c not in (name, size)], nth.alias(name))
     if not size:
+        found.netloom_path = ranged.netloom_path
         return found
     keys = _free(found, *[f"group_{i}" for i in range(len(groups))])
     counts = ranged.groupBy(*[F.col(quoted(c)).alias(k) for c, k in zip(groups, keys)]).agg(F.count("*").alias(size))
     on = F.lit(True)
     for c, k in zip(groups, keys):
         on = on & F.col(quoted(c)).eqNullSafe(F.col(k))
-    return found.join(counts, on).drop(*keys)
+    sized = found.join(counts, on).drop(*keys)
+    sized.netloom_path = ranged.netloom_path
+    return sized
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "nth") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 
 import pytest
@@ -80,3 +81,14 @@ def test_mosaics_and_copies(spark, drawn):
     again = augment.mosaic_labels(augment.mosaic_tiles(table.orderBy(F.desc("width")), SIZE, SEED), boxes.repartition(4), SIZE)
     assert flat(again.collect()) == flat(found.collect())
     assert augment.mosaic_tiles(table.limit(0), SIZE, SEED).count() == 0 and augment.pasted_copies(found.limit(0), SIZE, SEED).count() == 0
+
+
+def test_pasted_copies_leave_no_ranges(spark):
+    """The ranges that told which labels are tried are gone from the shared folder once those labels are written."""
+    from netloom.plans.shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/netloom"
+    held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    labels = spark.range(40).select((F.col("id") % 4).alias("mosaic_id"), F.lit(0).alias("tile"), F.col("id").alias("image_id"), F.col("id").alias("det_id"), F.lit(1).alias("cls"), *[(F.col("id") * 10.0 + k).alias(c) for c, k in (("x1", 0), ("y1", 0), ("x2", 5), ("y2", 5))])
+    assert augment.pasted_copies(labels, 400, 3).count() > 0
+    assert {n.split("-")[0] for n in set(os.listdir(folder)) - held} == {"pasted"}
