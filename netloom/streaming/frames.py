@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from threading import Thread
 
@@ -53,19 +54,41 @@ def running_stats(frames: DataFrame) -> DataFrame:
     return frames.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.when(F.col("value") >= 50, 1).otherwise(0)).cast("long").alias("passed"), F.round(F.sum("value"), 4).alias("total"))
 
 
+#: Newest losses of a sample that its state holds one by one; what comes before the last of them weighs less than 1e-46.
+NEWEST = 1024
+
+
 def keyed_ema(losses: DataFrame, decay: float = 0.9) -> DataFrame:
-    """Loss state of each sample as a stream: EMA, times and epoch survive restarts in the state store."""
+    """Loss state of each sample as a stream: EMA, times and epoch survive restarts in the state store.
+
+    Losses count in order of time and event, whatever order files and batches bring them
+    in, nulls last: the state holds the newest ``keep`` in order, and those before them as one value.
+    ``keep`` is ``NEWEST``, or more where ``decay`` is slower.  A loss that comes
+    after newer ones were folded into that value counts as the newest of the folded; its place
+    among them changes the EMA by at most its difference from them times ``decay ** keep``, under 1e-46.
+    """
+    keep = max(NEWEST, math.ceil(NEWEST * math.log(0.9) / math.log(decay))) if 0 < decay < 1 else NEWEST
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, times = state.get if state.exists else (0.0, 0)
-        for frame in frames:
-            for loss in frame.sort_values(["ts", "event_id"])["loss"]:
-                value = loss if not times else decay * value + (1 - decay) * loss
-                times += 1
-        state.update((value, times))
-        yield pd.DataFrame({"sample_id": [key[0]], "ema": [value], "times": [times]})
+        value, folded, *held = state.get if state.exists else (0.0, 0, [], [], [])
+        rows = sorted([*zip(*held), *(r for frame in frames for r in zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["loss"].tolist()))], key=lambda r: r[:2])
 
-    return losses.groupBy("sample_id").applyInPandasWithState(update, "sample_id long, ema double, times long", "ema double, times long", "append", GroupStateTimeout.NoTimeout)
+        def on(value: float, times: int, part: list[tuple]) -> tuple[float, int]:
+            for _, _, loss in part:
+                value = decay * value + (1 - decay) * loss if times else loss
+                times += 1
+            return value, times
+
+        old, rows = rows[: max(len(rows) - keep, 0)], rows[max(len(rows) - keep, 0) :]
+        value, folded = on(value, folded, old)
+        ema, times = on(value, folded, rows)
+        state.update((value, folded, *([r[i] for r in rows] for i in range(3))))
+        yield pd.DataFrame({"sample_id": [key[0]], "ema": [ema], "times": [times]})
+
+    last = F.lit((1 << 63) - 1)
+    told = losses.select("sample_id", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), last).alias("at"), F.coalesce("event_id", last).alias("event_id"), "loss")
+    held = "value double, folded long, at array<long>, event_id array<long>, loss array<double>"
+    return told.groupBy("sample_id").applyInPandasWithState(update, "sample_id long, ema double, times long", held, "append", GroupStateTimeout.NoTimeout)
 
 
 class Hooks:

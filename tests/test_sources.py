@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netloom.functions import text as T
 from netloom.sources import media, products
 from netloom.sources.files import trimmed_csv
+from netloom.streaming import frames
 from netloom.streaming.frames import Hooks
 from netloom.streaming.live import LiveReader, live_source
 
@@ -266,3 +267,22 @@ def test_text_checks(spark):
     rows = spark.createDataFrame([("plain",), ("naïve",), ("人",), ("",), ("a/b.PT",), ("a.x/b",), ("w.zip",), (".pt",)], "t string")
     got = rows.select(T.is_ascii(F.col("t")), T.has_chinese(F.col("t")), T.has_suffix(F.col("t"), (".pt",))).collect()
     assert [tuple(r) for r in got] == [(True, False, True), (False, False, True), (False, True, True), (True, False, True), (True, False, True), (True, False, True), (True, False, False), (True, False, True)]
+
+
+def test_keyed_ema_in_order_of_time(spark, tmp_path):
+    """Files that bring a sample's losses out of order, in several Arrow batches, and beyond what a state holds one by one."""
+    many = [(k * 7919 % 1500, k % 3) for k in range(1500)]
+    for n in range(3):
+        rows = [(e, 1_000_000 * (e // 2), 5, float(e % 97)) for e, part in many if part == n]
+        df = spark.createDataFrame(rows, "event_id long, at long, sample_id long, loss double")
+        df.select("event_id", F.timestamp_micros("at").alias("ts"), "sample_id", "loss").coalesce(1).write.mode("append").parquet(str(tmp_path / "losses"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        done = frames.run_to_end(frames.keyed_ema(frames.frame_stream(spark, str(tmp_path / "losses"))), "append")
+        got = done.orderBy(F.desc("times")).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = 0.0
+    for e in range(1500):
+        want = 0.9 * want + 0.1 * (e % 97) if e else float(e % 97)
+    assert got.times == 1500 and got.ema == pytest.approx(want, rel=1e-12)
