@@ -12,17 +12,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from netloom.operators.ordering import placed
 from netloom.plans.shared import quoted
 
 #: Pieces of a layer that one row holds on its way, and rows of a layer that leave a task together.
 PIECES = 1 << 16
-#: Polygons filled together.
-FILLED = 2000
+#: Polygons filled together, and pairs compared together.
+FILLED, COMPARED = 2000, 2000
 RUNS = ArrayType(StructType([StructField("low", LongType()), StructField("high", LongType())]))
 
 
@@ -38,23 +39,45 @@ def _fill(owner: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, height: i
     a, b = np.where(turned, following, np.arange(len(owner))), np.where(turned, np.arange(len(owner)), following)
     top, bottom = np.maximum(y[a], 0), np.minimum(y[b], height - 1)
     tall = np.maximum(bottom - top + 1, 0)
+    # Level edges, steep ones, and those that are wider than high.
+    dx, dy = x[b] - x[a], y[b] - y[a]
     edge = np.repeat(np.arange(len(owner)), tall)
     row = top[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(tall) - tall, tall)
-    xa, ya, xb, yb, of = x[a][edge], y[a][edge], x[b][edge], y[b][edge], owner[edge]
-    dx, dy, down = xb - xa, yb - ya, row - ya
+    shape = np.where(dy == 0, 0, np.where(np.abs(dx) <= dy, 1, 2))[edge]
+    low, high = np.empty(len(edge), np.int64), np.empty(len(edge), np.int64)
     # Crossings of a row's middle line: every other range between two of them is inside, ends included.
-    cut = (ya <= row) & (row < yb)
-    at = xa[cut] + down[cut] * dx[cut] / dy[cut]
-    order = np.lexsort((at, row[cut], of[cut]))
-    at, inner_row, inner_of = at[order], row[cut][order][::2], of[cut][order][::2]
-    inner_low, inner_high = np.ceil(at[::2]).astype(np.int64), np.floor(at[1::2]).astype(np.int64) + 1
+    cut = np.flatnonzero(row < y[b][edge])
+    e, r = edge[cut], row[cut]
+    at, line = x[a][e] + (r - y[a][e]) * dx[e] / dy[e], owner[e] * height + r
+    order = np.argsort(line, kind="stable")
+    at, line = at[order], line[order]
+    more = np.flatnonzero(line[2::2] == line[:-2:2])
+    if len(more):
+        # Lines of four crossings and more; the two of all others need no sort.
+        mixed = np.zeros(len(line) // 2, bool)
+        mixed[more] = mixed[more + 1] = True
+        several = np.flatnonzero(np.repeat(mixed, 2))
+        at[several] = at[several][np.lexsort((at[several], line[several]))]
+    inner_of, inner_row = np.divmod(line[::2], height)
+    inner_low, inner_high = np.ceil(np.minimum(at[::2], at[1::2])).astype(np.int64), np.floor(np.maximum(at[::2], at[1::2])).astype(np.int64) + 1
     # Pixels on edges: along the longer side the nearest one, halves towards larger numbers.
-    level, twice = dy == 0, np.maximum(2 * dy, 1)
-    near = np.floor_divide(2 * xa * dy + 2 * down * dx + dy, twice)
-    over, under = 2 * xa * dy + (2 * down - 1) * dx, 2 * xa * dy + (2 * down + 1) * dx
-    steep = np.abs(dx) <= dy
-    low = np.select([level, steep, dx > 0], [xa, near, np.maximum(xa, -(-over // twice))], np.maximum(xb, under // twice + 1))
-    high = np.select([level, steep, dx > 0], [xb + 1, near + 1, np.minimum(xb + 1, -(-under // twice))], np.minimum(xa, over // twice) + 1)
+    on = np.flatnonzero(shape == 0)
+    e = edge[on]
+    low[on], high[on] = x[a][e], x[b][e] + 1
+    on = np.flatnonzero(shape == 1)
+    e = edge[on]
+    d = dy[e]
+    low[on] = np.floor_divide(2 * x[a][e] * d + 2 * (row[on] - y[a][e]) * dx[e] + d, 2 * d)
+    high[on] = low[on] + 1
+    on = np.flatnonzero(shape == 2)
+    e = edge[on]
+    d, wide, right = 2 * dy[e], dx[e], dx[e] > 0
+    middle = x[a][e] * d + 2 * (row[on] - y[a][e]) * wide
+    # The lines half a row up and down, in the order of their crossings.
+    left_end, right_end = middle - np.abs(wide), middle + np.abs(wide)
+    low[on] = np.maximum(np.where(right, x[a][e], x[b][e]), np.where(right, -(-left_end // d), left_end // d + 1))
+    high[on] = np.minimum(np.where(right, x[b][e], x[a][e]) + 1, np.where(right, -(-right_end // d), right_end // d + 1))
+    of = owner[edge]
     of, row = np.concatenate((inner_of, of)), np.concatenate((inner_row, row))
     low, high = np.clip(np.concatenate((inner_low, low)), 0, width), np.clip(np.concatenate((inner_high, high)), 0, width)
     kept = low < high
@@ -75,7 +98,24 @@ def _part(name: str) -> Callable[[Column], Column]:
     return lambda point: point[name].cast("long")
 
 
-def polygon_masks(polygons: DataFrame, width: int, height: int, points: str = "points") -> DataFrame:
+def _packed_runs(sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """One value of bytes for each mask of as many runs as ``sizes`` tells."""
+    offsets = np.concatenate(([0], np.cumsum(16 * sizes)))
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError(f"{len(sizes)} masks of {len(low)} runs do not fit one batch")
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.stack((low, high), 1).astype("<i8").tobytes())])
+
+
+def _unpacked_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of each mask, their lows and their highs, from bytes; null has none."""
+    column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    runs = np.frombuffer(data, "<i8", (offsets[-1] - offsets[0]) // 8, offsets[0]).reshape(-1, 2) if len(column) and data else np.zeros((0, 2), np.int64)
+    return np.diff(offsets) // 16, runs[:, 0], runs[:, 1]
+
+
+def polygon_masks(polygons: DataFrame, width: int, height: int, points: str = "points", packed: bool = False) -> DataFrame:
     """Replace each polygon ``array<struct<x, y>>`` of whole-numbered corners by ``runs``, in images of ``width`` by ``height``.
 
     Filled is what lies between every other pair of edges on a pixel row,
@@ -83,6 +123,8 @@ def polygon_masks(polygons: DataFrame, width: int, height: int, points: str = "p
     outside of the image goes; null and no corners give no runs, a corner
     with a null counts for nothing.  All polygons of a batch are filled
     together by array operations; nested array functions took 30 times as long.
+    ``packed`` runs are bytes, low and high of each run as 64-bit numbers in little-endian
+    order, which :func:`mask_iou` and :func:`paired_mask_iou` read too.
     """
     kept = [c for c in polygons.columns if c not in (points, "runs")]
     whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
@@ -98,11 +140,14 @@ def polygon_masks(polygons: DataFrame, width: int, height: int, points: str = "p
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
                 of, low, high = _fill(owner, xs.flatten().to_numpy(), ys.flatten().to_numpy(), width, height)
                 offsets = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
-                struct = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(offsets), struct)], names)
+                if packed:
+                    runs = _packed_runs(np.diff(offsets).astype(np.int64), low, high)
+                else:
+                    runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], runs], names)
 
     names = [*(f"c{i}" for i in range(len(kept))), "runs"]
-    schema = StructType([*(StructField(f"c{i}", polygons.schema[c].dataType) for i, c in enumerate(kept)), StructField("runs", RUNS)])
+    schema = StructType([*(StructField(f"c{i}", polygons.schema[c].dataType) for i, c in enumerate(kept)), StructField("runs", BinaryType() if packed else RUNS)])
     return rows.mapInArrow(run, schema).toDF(*kept, "runs")
 
 
@@ -111,29 +156,69 @@ def mask_area(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("long"), lambda total, r: total + r["high"] - r["low"])
 
 
-def union_area(one: Column, other: Column) -> Column:
-    """Pixels that at least one of two masks covers, by merging their runs."""
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("reach"))
+def _shared(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Pixels that the masks of each pair share; a side is the runs of each mask, their lows and their highs.
+
+    Pairs lie apart in one line of numbers.  Of a run of ``b``, those pixels are shared that ``a`` covers
+    below its end but not below its beginning.
+    """
+    (sizes, low, high), (other, from_, until) = a, b
+    found = np.zeros(len(sizes) + 1, np.int64)
+    if not len(low) or not len(from_):
+        return found[1:]
+    apart = int(max(high.max(), until.max())) + 1
+    own, theirs = (np.repeat(np.arange(len(n)) * apart, n) for n in (sizes, other))
+    first, length = low + own, high - low
+    below = np.concatenate(([0], np.cumsum(length)))
+
+    def covered(places: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(first, places, "right") - 1
+        return np.where(run < 0, 0, below[run] + np.minimum(places - first[run], length[run]))
+
+    both = np.concatenate(([0], np.cumsum(covered(until + theirs) - covered(from_ + theirs))))
+    return np.diff(both[np.concatenate(([0], np.cumsum(other)))])
+
+
+def _compared(kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kept`` columns as they are, then shared pixels and union of two sides of packed runs; null without a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, COMPARED):
+                batch = whole.slice(start, COMPARED)
+                a, b = (_unpacked_runs(batch.column(i)) for i in (kept, kept + 1))
+                areas = sum(np.diff(np.concatenate(([0], np.cumsum(high - low)))[np.concatenate(([0], np.cumsum(n)))]) for n, low, high in (a, b))
+                shared = _shared(a, b)
+                missing = np.logical_or(*(np.asarray(batch.column(i).is_null()) for i in (kept, kept + 1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(shared, mask=missing), pa.array(areas - shared, mask=missing)], [*batch.schema.names[:kept], "shared", "union"])
+
+    return run
 
-    def add(acc: Column, r: Column) -> Column:
-        fresh = F.greatest(r["high"] - F.greatest(r["low"], acc["reach"]), F.lit(0))
-        return F.struct((acc["total"] + fresh).alias("total"), F.greatest(acc["reach"], r["high"]).alias("reach"))
 
-    return F.aggregate(F.array_sort(F.concat(one, other)), start, add, lambda acc: acc["total"])
+def _with_iou(pairs: DataFrame, kept: dict[str, str], eps: float) -> DataFrame:
+    """Shared pixels and IoU of the packed runs ``a`` and ``b``; pairs of a batch are compared together by array operations."""
+    sent = pairs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], "a", "b")
+    schema = StructType([*sent.schema.fields[: len(kept)], StructField("shared", LongType()), StructField("union", LongType())])
+    found = sent.mapInArrow(_compared(len(kept)), schema)
+    return found.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(kept.values())], "shared", (F.col("shared") / (F.col("union") + F.lit(eps))).alias("iou"))
 
 
-def _with_iou(pairs: DataFrame, kept: list[Column], eps: float) -> DataFrame:
-    """Shared pixels and IoU of the structs ``a`` and ``b`` of ``runs`` and ``area``; masks whose runs lie apart are not merged."""
-    a, b = F.col("a"), F.col("b")
-    apart = (F.size(a["runs"]) == 0) | (F.size(b["runs"]) == 0) | (F.element_at(a["runs"], -1)["high"] <= F.element_at(b["runs"], 1)["low"]) | (F.element_at(b["runs"], -1)["high"] <= F.element_at(a["runs"], 1)["low"])
-    both = a["area"] + b["area"]
-    merged = pairs.select(*kept, both.alias("_both"), F.when(apart, both).otherwise(union_area(a["runs"], b["runs"])).alias("_union"))
-    shared = F.col("_both") - F.col("_union")
-    return merged.withColumns({"shared": shared, "iou": shared / (F.col("_union") + F.lit(eps))}).drop("_both", "_union")
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, FILLED):
+            batch = whole.slice(start, FILLED)
+            runs = batch.column(batch.num_columns - 1)
+            sizes, flat = np.diff(runs.fill_null([]).offsets.to_numpy()).astype(np.int64), runs.flatten()
+            packed = _packed_runs(sizes, flat.field("low").to_numpy(), flat.field("high").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.if_else(runs.is_null(), None, packed)], batch.schema.names)
 
 
-def _sided(masks: DataFrame, keys: list[str], name: str, id_col: str) -> DataFrame:
-    return masks.select(*keys, F.col(id_col).alias(f"{name}_id"), F.struct("runs", mask_area(F.col("runs")).alias("area")).alias(name))
+def _sided(masks: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``keys`` and the packed runs as ``name``: bytes are copied through a join as they are, arrays element by element."""
+    rows = masks.select(*keys, F.col("runs").alias(name))
+    if isinstance(rows.schema[name].dataType, BinaryType):
+        return rows
+    return rows.mapInArrow(_pack, StructType([*rows.schema.fields[:-1], StructField(name, BinaryType())]))
 
 
 def mask_iou(one: DataFrame, other: DataFrame, id_col: str = "det_id", other_id: str = "gt_id", eps: float = 1e-7) -> DataFrame:
@@ -143,14 +228,14 @@ def mask_iou(one: DataFrame, other: DataFrame, id_col: str = "det_id", other_id:
     result itself; they come by an equi-join on the image that adaptive execution can
     split where one image holds many masks.  Without pixels on either side the IoU is 0.
     """
-    pairs = _sided(one, ["image_id"], "a", id_col).join(_sided(other, ["image_id"], "b", other_id), "image_id")
-    return _with_iou(pairs, [F.col("image_id"), F.col("a_id").alias(id_col), F.col("b_id").alias(other_id)], eps)
+    a, b = _sided(one, ["image_id", id_col], "a").withColumnRenamed(id_col, "a_id"), _sided(other, ["image_id", other_id], "b").withColumnRenamed(other_id, "b_id")
+    return _with_iou(a.join(b, "image_id"), {"image_id": "image_id", "a_id": id_col, "b_id": other_id}, eps)
 
 
 def paired_mask_iou(one: DataFrame, other: DataFrame, keys: list[str], eps: float = 1e-7) -> DataFrame:
     """IoU of the masks of ``one`` and ``other`` with equal ``keys``, pair by pair."""
-    a, b = (t.select(*keys, F.struct("runs", mask_area(F.col("runs")).alias("area")).alias(n)) for t, n in ((one, "a"), (other, "b")))
-    return _with_iou(a.join(b, keys), [F.col(k) for k in keys], eps)
+    a, b = (_sided(t, keys, n) for t, n in ((one, "a"), (other, "b")))
+    return _with_iou(a.join(b, keys), {k: k for k in keys}, eps)
 
 
 def _topmost(of: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -91,6 +91,18 @@ def test_overlaps(found, polygons):
         assert r.shared == (want[r.det_id] & want[r.det_id - 1]).sum()
 
 
+def test_packed_overlaps(spark, found, polygons):
+    # Runs as bytes give what runs as arrays give; a null mask has no overlap, one without runs an empty one.
+    corners = [(i, d, None if p is None else [{"x": x, "y": y} for x, y in p]) for i, d, p in polygons[0]]
+    packed = masks.polygon_masks(spark.createDataFrame(corners, "image_id int, det_id int, points array<struct<x:int,y:int>>"), WIDTH, HEIGHT, packed=True)
+    told = lambda t: sorted(map(str, masks.mask_iou(t, t.withColumnRenamed("det_id", "gt_id")).collect()))
+    assert told(packed) == told(found)
+    runs = "image_id int, det_id int, runs array<struct<low: bigint, high: bigint>>"
+    few = spark.createDataFrame([(1, 1, [(0, 4), (9, 12)]), (1, 2, []), (1, 3, None)], runs)
+    got = {(r.det_id, r.gt_id): (r.shared, r.iou) for r in masks.mask_iou(few, few.withColumnRenamed("det_id", "gt_id")).collect()}
+    assert got[1, 1] == (7, pytest.approx(1)) and got[1, 2] == got[2, 2] == (0, 0) and all(got[k, 3] == got[3, k] == (None, None) for k in (1, 2, 3))
+
+
 def test_layers(found, polygons):
     rows, want = polygons
     ranks, layer = masks.layered_masks(found)
