@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from netloom.operators.curriculum import box_smooth
-from netloom.plans.shared import materialize
+from netloom.operators.ordering import codes
+from netloom.plans.shared import discard, materialize, partitions
 
 #: Boxes of an image that enter suppression, and that leave it.
 MOST_BOXES, MOST_KEPT = 30_000, 300
+#: Rows of a range of running hits.
+RANGE = 1 << 20
 
 
 def _overlap(a, b) -> Column:
@@ -117,54 +125,88 @@ def mark_hits(detections: DataFrame, labels: DataFrame) -> DataFrame:
 
     The best label of a detection and the best detection of a label do not
     depend on the level, so one matching at the lowest level serves all: a
-    detection is a hit at each level that its IoU reaches.
+    detection is a hit at each level that its IoU reaches.  Ids are unique in their image.
+    One exchange serves both choices, as the two of a pair have one class; it lets adaptive
+    execution split the join before it.
     """
-    pairs = iou_pairs(labels, detections, ["image_id", "cls"], 0.0).where(F.col("iou") >= LEVELS[0])
-    pairs = pairs.select(F.col("a.image_id").alias("image_id"), F.col("a.gt_id").alias("gt_id"), F.col("b.det_id").alias("det_id"), "iou")
-    by_detection = Window.partitionBy("image_id", "det_id").orderBy(F.desc("iou"), F.desc("gt_id"))
-    by_label = Window.partitionBy("image_id", "gt_id").orderBy(F.desc("iou"), F.desc("det_id"))
-    one = pairs.withColumn("nth", F.row_number().over(by_detection)).where("nth = 1")
-    best = one.withColumn("nth", F.row_number().over(by_label)).where("nth = 1").select("image_id", "det_id", "iou")
-    return detections.join(best, ["image_id", "det_id"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
+    a, b = labels.select("image_id", "cls", F.col("gt_id").alias("gt_"), "x1", "y1", "x2", "y2").alias("a"), detections.alias("b")
+    value = iou(*[{c: F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")} for s in "ab"])
+    # Only rows that lack a label come unmatched, so no second join brings them back.
+    pairs = b.join(a, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.cls") == F.col("b.cls")) & (value >= LEVELS[0]), "left")
+    pairs = pairs.select("b.*", "gt_", value.alias("iou")).repartition(partitions(detections), "image_id", "cls")
+    by_detection = Window.partitionBy("image_id", "cls", "det_id").orderBy(F.desc("iou"), F.desc("gt_"))
+    by_label = Window.partitionBy("image_id", "cls", "gt_").orderBy(F.desc("iou"), F.desc("det_id"))
+    one = pairs.withColumn("nth", F.row_number().over(by_detection)).where("nth = 1").withColumn("nth", F.row_number().over(by_label))
+    return one.withColumn("iou", F.when((F.col("nth") == 1) & F.col("gt_").isNotNull(), F.col("iou")).otherwise(0.0)).drop("nth", "gt_")
+
+
+def _counted(levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Add each row's number and the hits so far at each level, in its class and task; rows are sorted, the class is first, the levels reached are last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, last = np.zeros(levels + 1, np.int64), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, cls = batch.num_rows, batch.column(0)
+            fresh = np.diff(codes(cls if last is None else pa.concat_arrays([last, cls])), prepend=0)[-n:] != 0
+            reached = batch.column(batch.num_columns - 1).to_numpy()
+            ones = np.concatenate([np.ones((n, 1), np.int64), reached[:, None] > np.arange(levels)], 1)
+            sums = np.cumsum(ones, 0) + held
+            # What rows of classes before have added.
+            starts = np.flatnonzero(fresh)
+            gone = np.concatenate([np.zeros((1, levels + 1), np.int64), (sums - ones)[starts]])
+            sums -= gone[np.cumsum(fresh)]
+            held, last = sums[-1], cls.slice(n - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(sums[:, j].astype(np.int32)) for j in range(levels + 1))], [*batch.schema.names, "row", *(f"hit{j}" for j in range(levels))])
+
+    return count
 
 
 def running_hits(marked: DataFrame, labels: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """Rank ``k`` and hits so far at each level, by class in order of falling confidence; ties by image and detection.
+    """Rank ``k`` and hits so far at each rising level, by class in order of falling confidence; ties by image and detection.
 
-    Rows are cut into ranges of class, confidence and number and written once, so neither
-    a large class nor many equal confidences are one task's work: a prefix sum over
-    the ranges of each class, then one inside each range, whose number ``part`` stays.
+    Rows are cut into ranges of class, confidence and number, as many as their number asks for, counted
+    in each range and written once, so neither a large class nor many equal confidences are one task's work.
+    What the ranges of a class before add comes by range, whose number ``part`` stays; ``reached`` is the number of levels that a row is a hit at.
     ``labels`` of the class come with each row; classes without labels drop out.
     """
-    ones = [(F.col("iou") >= t).cast("long").alias(f"hit{j}") for j, t in enumerate(levels)]
     names = [f"hit{j}" for j in range(len(levels))]
     by = [F.desc("conf"), F.col("image_id"), F.col("det_id")]
-    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))
-    rows = marked.select("cls", "image_id", "det_id", "conf", *ones).join(counts, "cls")
-    rows = materialize(rows.repartitionByRange(parts, F.col("cls"), *by).withColumn("part", F.spark_partition_id()), "running")
+    reached = sum(((F.col("iou") >= t).cast("int") for t in levels), F.lit(0)).alias("reached")
+    rows = materialize(marked.select("cls", "image_id", "det_id", "conf", reached).join(F.broadcast(counts.select("cls")), "cls"), "marked")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE))
+    cut = rows.repartitionByRange(parts, F.col("cls"), *by).sortWithinPartitions("cls", *by)
+    cut = cut.select("cls", "image_id", "det_id", "conf", F.spark_partition_id().alias("part"), "reached")
+    counted = StructType([*cut.schema.fields, *(StructField(c, IntegerType()) for c in ("row", *names))])
+    ranged = materialize(cut.mapInArrow(_counted(len(levels)), counted), "running")
+    discard(rows)
     # One row for each range and each further class in it.
     above = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("cls", "part").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in names])
-    sums = sums.select("cls", "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("n", *names)])
-    order = Window.partitionBy("cls", "part").orderBy(*by)
-    inside = order.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(sums, ["cls", "part"])
-    total = F.array(*[F.col(f"before_{h}") + F.sum(h).over(inside) for h in names])
-    return joined.select("cls", "image_id", "det_id", "conf", "labels", "part", (F.col("before_n") + F.row_number().over(order)).alias("k"), total.alias("hits"))
-
-
-def precision_envelope(running: DataFrame, level: int = 0) -> DataFrame:
-    """The largest precision at each row's rank or a later one, by class, at one level.
-
-    As in :func:`running_hits`, first over ranges, then inside each.
-    """
-    rows = running.select("cls", "image_id", "det_id", "k", "part", (F.col("hits")[level] / F.col("k")).alias("precision"))
+    sums = ranged.groupBy("cls", "part").agg(*[F.max(c).alias(c) for c in ("row", *names)]).join(F.broadcast(counts), "cls")
+    sums = sums.select("cls", "part", "labels", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"before_{c}") for c in ("row", *names)])
+    joined = ranged.join(F.broadcast(materialize(sums, "range-sums")), ["cls", "part"])
+    total = F.array(*[F.col(f"before_{h}") + F.col(h) for h in names])
+    found = joined.select("cls", "image_id", "det_id", "conf", "labels", "part", (F.col("before_row") + F.col("row")).alias("k"), total.alias("hits"), "reached")
+    found.netloom_parts = parts
+    return found
+
+
+def _enveloped(running: DataFrame, level: int) -> DataFrame:
+    """``running`` with the ``envelope`` at one level; first over ranges, then inside each."""
+    parts = getattr(running, "netloom_parts", partitions(running))
+    rows = running.select("cls", "image_id", "det_id", "labels", "k", "part", (F.col("hits")[level] / F.col("k")).alias("precision"), (F.col("reached") > level).alias("is_hit"))
     later = Window.partitionBy("cls").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     best = rows.groupBy("cls", "part").agg(F.max("precision").alias("best")).withColumn("after", F.coalesce(F.max("best").over(later), F.lit(0.0)))
     inside = Window.partitionBy("cls", "part").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(best.drop("best"), ["cls", "part"])
-    return joined.select("cls", "image_id", "det_id", F.greatest("after", F.max("precision").over(inside)).alias("envelope"))
+    joined = rows.repartition(parts, "cls", "part").join(F.broadcast(best.drop("best")), ["cls", "part"])
+    return joined.withColumn("envelope", F.greatest("after", F.max("precision").over(inside)))
+
+
+def precision_envelope(running: DataFrame, level: int = 0) -> DataFrame:
+    """The largest precision at each row's rank or a later one, by class, at one level."""
+    return _enveloped(running, level).select("cls", "image_id", "det_id", "envelope")
 
 
 def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int = 101) -> DataFrame:
@@ -172,16 +214,18 @@ def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int
 
     Between grid points the curve matters only through the first and the last
     row of each cell of recall and the cell's largest precision, so rows are
-    reduced to these by one aggregation; all else runs on at most ``points``
+    reduced to these by one aggregation of plain numbers, which is hashed and so needs
+    no sort (ranks and hits rise together); all else runs on at most ``points``
     rows for each class and level.  The curve starts in (0, 1) and ends in
     (1, 0); rows of equal recall count by the last to their right.
     """
     last = points - 1
     rows = running.select("cls", "k", "labels", F.posexplode("hits").alias("level", "hit")).where(F.col("level") < levels)
     recall = F.col("hit") / (F.col("labels") + 1e-16)
-    knot = F.struct(recall.alias("r"), (F.col("hit") / F.col("k")).alias("p"))
-    cells = rows.withColumn("cell", F.ceil(recall * last - 1e-9)).groupBy("cls", "level", "cell").agg(F.min_by(knot, "k").alias("first"), F.max_by(knot, "k").alias("last"), F.max(F.col("hit") / F.col("k")).alias("best"))
-    cells = materialize(cells, "recall-cells")
+    numbers = [f(c).alias(f"{n}_{c}") for n, f in (("first", F.min), ("last", F.max)) for c in ("hit", "k", "labels")]
+    cells = rows.withColumn("cell", F.ceil(recall * last - 1e-9)).groupBy("cls", "level", "cell").agg(*numbers, F.max(F.col("hit") / F.col("k")).alias("best"))
+    knot = lambda n: F.struct((F.col(f"{n}_hit") / (F.col(f"{n}_labels") + 1e-16)).alias("r"), (F.col(f"{n}_hit") / F.col(f"{n}_k")).alias("p")).alias(n)
+    cells = materialize(cells.select("cls", "level", "cell", knot("first"), knot("last"), "best"), "recall-cells")
     # From the reduced rows: a class has a cell at every level.
     grid = cells.select("cls", "level").distinct().withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
     on = ["cls", "level", "cell"]
@@ -198,10 +242,9 @@ def average_precision(running: DataFrame, levels: int = len(LEVELS), points: int
 
 def continuous_precision(running: DataFrame, level: int = 0) -> DataFrame:
     """``cls, ap``: exact area under the envelope at one level, the sum over each step of recall."""
-    running = materialize(running, "running-hits")
-    envelope = running.join(precision_envelope(running, level), ["cls", "image_id", "det_id"])
-    steps = envelope.groupBy("cls", "labels", F.col("hits")[level].alias("hit")).agg(F.max("envelope").alias("env")).where("hit > 0")
-    return steps.groupBy("cls").agg((F.sum("env") / (F.first("labels") + 1e-16)).alias("ap"))
+    # The envelope falls, so it is largest for a count of hits in the row of the last of them.
+    steps = _enveloped(running, level).groupBy("cls").agg(F.sum(F.when(F.col("is_hit"), F.col("envelope"))).alias("area"), F.max("labels").alias("labels")).where("area is not null")
+    return steps.select("cls", (F.col("area") / (F.col("labels") + 1e-16)).alias("ap"))
 
 
 def confidence_curves(running: DataFrame, points: int = 1000) -> DataFrame:
@@ -212,9 +255,13 @@ def confidence_curves(running: DataFrame, points: int = 1000) -> DataFrame:
     both stay.  Rows are reduced to the first and last of each cell first.
     """
     last = points - 1
-    knot = F.struct("conf", (F.col("hits")[0] / (F.col("labels") + 1e-16)).alias("r"), (F.col("hits")[0] / F.col("k")).alias("p"))
     cell = F.floor(F.col("conf") * last + 1e-9)
-    cells = running.withColumn("g", cell).groupBy("cls", "g").agg(F.min_by(knot, "k").alias("first"), F.max_by(knot, "k").alias("last"))
+    # Ranks and hits rise while confidence falls.
+    ends = (("first", F.min, F.max), ("last", F.max, F.min))
+    numbers = [f(c).alias(f"{n}_{c}") for n, rising, falling in ends for f, c in ((falling, "conf"), (rising, "hit"), (rising, "k"), (rising, "labels"))]
+    cells = running.withColumn("g", cell).withColumn("hit", F.col("hits")[0]).groupBy("cls", "g").agg(*numbers)
+    knot = lambda n: F.struct(F.col(f"{n}_conf").alias("conf"), (F.col(f"{n}_hit") / (F.col(f"{n}_labels") + 1e-16)).alias("r"), (F.col(f"{n}_hit") / F.col(f"{n}_k")).alias("p")).alias(n)
+    cells = cells.select("cls", "g", knot("first"), knot("last"))
     grid = cells.select("cls").distinct().withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
     falling = Window.partitionBy("cls").orderBy(F.desc("g"))
     start = F.struct(F.lit(2.0).alias("conf"), F.lit(0.0).alias("r"), F.lit(1.0).alias("p"))
@@ -245,10 +292,9 @@ def best_f1(curves: DataFrame, points: int = 1000, fraction: float = 0.1, eps: f
 def class_quality(running: DataFrame, labels: DataFrame) -> DataFrame:
     """``cls, labels, tp, fp, p, r, f1, ap50, ap`` of each class with labels and detections.
 
-    Running hits are read by both curves, so they are written once; each curve
+    Both curves read the written ranges of running hits; each curve
     is small behind its aggregation and written too, as the plans that follow read it again.
     """
-    running = materialize(running, "running-hits")
     at = best_f1(materialize(confidence_curves(running), "curves"))
     ap = average_precision(running).groupBy("cls").agg(F.max(F.when(F.col("level") == 0, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap"))
     counts = labels.groupBy("cls").agg(F.count("*").alias("labels"))

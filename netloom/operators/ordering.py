@@ -21,7 +21,7 @@ def _free(rows: DataFrame, *names: str) -> list[str]:
     return list(names)
 
 
-def _codes(column: pa.Array) -> np.ndarray:
+def codes(column: pa.Array) -> np.ndarray:
     """Equal numbers for neighbours that are equal; nulls are equal to each other."""
     try:
         return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
@@ -41,7 +41,7 @@ def _inside(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             n, columns = batch.num_rows, batch.columns
             fresh = np.zeros(n, bool)
             for k in range(keys):
-                fresh |= np.diff(_codes(columns[k] if last is None else pa.concat_arrays([last[k], columns[k]])), prepend=0)[-n:] != 0
+                fresh |= np.diff(codes(columns[k] if last is None else pa.concat_arrays([last[k], columns[k]])), prepend=0)[-n:] != 0
             places = seen + np.arange(n)
             starts = np.maximum.accumulate(np.where(fresh, places, begun))
             yield pa.RecordBatch.from_arrays([*columns[keys:], pa.array(places - starts), pa.array(places)], [*batch.schema.names[keys:], "row", "place"])

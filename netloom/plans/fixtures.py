@@ -96,3 +96,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a lazy DataFrame."""
     tables(spark, sf_dir)
     return spark.sql(with_views(f"select * from {name}", [name], "spark"))
+
+
+def view_over(parent: DataFrame, parent_name: str, name: str) -> DataFrame:
+    """A derived view whose only parent is at hand, as when that one is written once for several readers."""
+    if VIEWS[name][0] != [parent_name]:
+        raise ValueError(f"{name} does not read {parent_name} alone")
+    return parent.sparkSession.sql(with_views(f"select * from {name}", [name], "spark").replace(f"with {with_views('', [parent_name], 'spark').strip().removeprefix('with ')}", f"with {parent_name} as (select * from {{parent}})"), parent=parent)

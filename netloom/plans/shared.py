@@ -65,6 +65,8 @@ def steady(df: DataFrame, name: str) -> DataFrame:
 
 #: Estimates from here on say that the size is unknown.
 UNKNOWN_BYTES = 1 << 53
+#: Bytes of files, by the optimizer's estimate, for each partition of an exchange.
+PART_BYTES = 32 << 20
 
 
 def plan_bytes(df: DataFrame, column: str) -> int:
@@ -77,3 +79,10 @@ def plan_bytes(df: DataFrame, column: str) -> int:
     if known < UNKNOWN_BYTES:
         return known
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def partitions(df: DataFrame) -> int:
+    """Number of partitions for an exchange of ``df``: the session's, or more where its estimated size asks for more, so that tasks do not grow with the input."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, known // PART_BYTES) if known < UNKNOWN_BYTES else least

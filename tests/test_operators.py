@@ -405,3 +405,26 @@ def test_records_products_and_caches(spark, tmp_path):
     assert log((1, 0.5, 0.4), (2, 0.5, 0.4)).startswith("# Best generation: 1\n# Last generation: 2\n")
     sinks.write_products(spark.createDataFrame([("spice", 1, "x"), ("captions", 1, "y"), ("spice", 2, "z")], "product string, image_id long, text string"), f"{tmp_path}/out")
     assert sorted(r.text for r in spark.read.json(f"{tmp_path}/out/product=spice").collect()) == ["x", "z"]
+
+
+def test_running_hits_over_many_ranges(spark, monkeypatch):
+    # More ranges than partitions, classes that end inside a range, equal confidences, a class without labels.
+    rows = [(i % 3, i // 7, i, (i * 37 % 11) / 10, (i * 13 % 10) / 9) for i in range(400)]
+    marked = spark.createDataFrame(rows, "cls int, image_id long, det_id long, conf double, iou double")
+    labels = spark.createDataFrame([(0,), (0,), (1,)], "cls int")
+    monkeypatch.setattr(detection, "RANGE", 23)
+    running = detection.running_hits(marked, labels)
+    assert running.select("part").distinct().count() > 4
+    got = {(r.cls, r.det_id): (r.k, r.labels, r.hits) for r in running.collect()}
+    for cls, n in ((0, 2), (1, 1)):
+        own = sorted((r for r in rows if r[0] == cls), key=lambda r: (-r[3], r[1], r[2]))
+        for k, r in enumerate(own, 1):
+            assert got.pop((cls, r[2])) == (k, n, [sum(o[4] >= t for o in own[:k]) for t in detection.LEVELS])
+        hits, envelope = [sum(o[4] >= 0.5 for o in own[: k + 1]) for k in range(len(own))], {r.det_id: r.envelope for r in detection.precision_envelope(running).where(f"cls = {cls}").collect()}
+        best = [max(h / k for k, h in enumerate(hits[j:], j + 1)) for j in range(len(own))]
+        assert [envelope[r[2]] for r in own] == best
+        area = detection.continuous_precision(running).where(f"cls = {cls}").first().ap
+        assert area == pytest.approx(sum(b for b, r in zip(best, own) if r[4] >= 0.5) / n)
+    assert not got
+    plan = detection.average_precision(running)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
