@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Side of the cells of near segments, in radii.
+SIDE = 4
+
 
 def nearest_terminals(components: DataFrame, terminals: DataFrame, k: int = 2) -> DataFrame:
     """The ``k`` terminals nearest to each component's middle, ties to the smaller index."""
@@ -48,16 +51,20 @@ def hanging_links(mapped: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_segments(segments: DataFrame, radius: float) -> DataFrame:
     """Pairs of segments of an image with two end points within ``radius``.
 
-    End points fall into square cells of that side; only equal and adjacent
-    cells are joined, so dense images do not pair everything.
+    End points fall into square cells of ``SIDE`` radii; a point also goes to those cells
+    around its own that lie within ``radius``, of each two cells to one only, so dense images do not
+    pair everything and few points are sent more than once.
     """
     ends = segments.select("image_id", "seg_id", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select("image_id", "seg_id", "p.x", "p.y")
-    cell = lambda c: F.floor(F.col(c) / radius)
-    left = ends.select("image_id", F.col("seg_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    cell = lambda c: F.floor(c / (SIDE * radius))
+    cx, cy = cell(F.col("x")), cell(F.col("y"))
+    left = ends.select("image_id", F.col("seg_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cx.alias("cx"), cy.alias("cy"))
     # Half of the cells around a cell: each two cells meet once, whichever of them is on the left.
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    right = ends.select("image_id", F.col("seg_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("ox"), cell("y").alias("oy")).withColumn("d", F.explode(steps))
-    right = right.select("image_id", "b", "bx", "by", (F.col("ox") + F.col("d.dx")).alias("cx"), (F.col("oy") + F.col("d.dy")).alias("cy"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("same"))
+    # A little more than the radius, so that no rounding of a quotient loses a cell.
+    reaches = lambda c, own, d: (d == 0) | ((d == 1) & (cell(c + radius * 1.001) > own)) | ((d == -1) & (cell(c - radius * 1.001) < own))
+    right = ends.withColumn("d", F.explode(steps)).where(reaches(F.col("x"), cx, F.col("d.dx")) & reaches(F.col("y"), cy, F.col("d.dy")))
+    right = right.select("image_id", F.col("seg_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), (cx + F.col("d.dx")).alias("cx"), (cy + F.col("d.dy")).alias("cy"), ((F.col("d.dx") == 0) & (F.col("d.dy") == 0)).alias("same"))
     pairs = left.join(right, ["image_id", "cx", "cy"]).where(F.when(F.col("same"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
     close = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= radius * radius
     return pairs.where(close).select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

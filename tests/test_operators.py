@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import random
 from decimal import Decimal
 
 import duckdb
@@ -428,3 +429,18 @@ def test_running_hits_over_many_ranges(spark, monkeypatch):
     assert not got
     plan = detection.average_precision(running)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_near_segments_over_cell_borders(spark, monkeypatch):
+    # End points on borders of cells, at exactly the radius, beyond zero and in fractions; cells of any side give the same pairs.
+    rng = random.Random(8)
+    place = lambda: rng.choice([rng.uniform(-90, 90), float(rng.randrange(-9, 10) * 10)])
+    rows = [(i % 2, i, place(), place(), place(), place()) for i in range(160)]
+    segments = spark.createDataFrame(rows, "image_id int, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    ends = lambda r: ((r[2], r[3]), (r[4], r[5]))
+    near = lambda a, b: any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 100 for p in ends(a) for q in ends(b))
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and near(a, b)}
+    for side in (1, circuits.SIDE, 9):
+        monkeypatch.setattr(circuits, "SIDE", side)
+        got = [tuple(r) for r in circuits.near_segments(segments, 10.0).collect()]
+        assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
