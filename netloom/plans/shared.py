@@ -66,7 +66,7 @@ def steady(df: DataFrame, name: str) -> DataFrame:
 #: Estimates from here on say that the size is unknown.
 UNKNOWN_BYTES = 1 << 53
 #: Bytes of files, by the optimizer's estimate, for each partition of an exchange.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 
 
 def plan_bytes(df: DataFrame, column: str) -> int:

@@ -444,3 +444,12 @@ def test_near_segments_over_cell_borders(spark, monkeypatch):
         monkeypatch.setattr(circuits, "SIDE", side)
         got = [tuple(r) for r in circuits.near_segments(segments, 10.0).collect()]
         assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_partitions_grow_with_the_input(spark, monkeypatch):
+    from netloom.plans import shared
+
+    table, least = spark.read.parquet(f"{SF}/lineitem.parquet"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shared.partitions(table) == least
+    monkeypatch.setattr(shared, "PART_BYTES", 1 << 10)
+    assert shared.partitions(table) > least and shared.partitions(table.crossJoin(table)) >= least
