@@ -453,3 +453,13 @@ def test_partitions_grow_with_the_input(spark, monkeypatch):
     assert shared.partitions(table) == least
     monkeypatch.setattr(shared, "PART_BYTES", 1 << 10)
     assert shared.partitions(table) > least and shared.partitions(table.crossJoin(table)) >= least
+
+
+def test_views_of_boxes_share_one_exchange_by_image_that_grows_with_the_files(spark, tmp_path, monkeypatch):
+    from netloom.plans import fixtures
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(fixtures, "BOX_BYTES", 4096)
+    assert fixtures.by_image(lines).rdd.getNumPartitions() == fixtures.plan_bytes(lines, "l_orderkey") // 4096 > 8
+    plan = registry.queries()["adjacency"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
