@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Side of the cells of near segments, in radii.
 SIDE = 4
+#: Pairs of points that a task looks at together.
+PAIRS = 1 << 19
+#: Distance of what has none, behind all others.
+FAR = np.finfo(float).max
 
 
 def nearest_terminals(components: DataFrame, terminals: DataFrame, k: int = 2) -> DataFrame:
@@ -38,6 +42,88 @@ def terminal_nodes(near: DataFrame, nodes: DataFrame) -> DataFrame:
     return wide.select("image_id", "comp_id", one.alias("node1"), two.alias("node2"))
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray, px: np.ndarray, py: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` points nearest to each ``x, y`` among ``size`` points from ``first`` on; -1 where there are fewer.
+
+    Ties go to the earlier point.  Points are paired in blocks of bounded size,
+    so a large image takes time but no more memory.
+    """
+    at, gap = np.full((k, len(x)), -1), np.full((k, len(x)), np.nan)
+    some = np.flatnonzero(size > 0)
+    ends, begin = np.cumsum(size[some]), 0
+    while begin < len(some):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+        mine, n = some[begin:stop], size[some[begin:stop]]
+        starts = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(mine)), n)
+        point = np.arange(len(of)) - np.repeat(starts - first[mine], n)
+        dist = np.sqrt((x[mine][of] - px[point]) ** 2 + (y[mine][of] - py[point]) ** 2)
+        # Distances that are unknown come last, points that are taken not at all.
+        order = np.where(dist < FAR, dist, FAR)
+        for rank in range(k):
+            least = np.minimum.reduceat(order, starts)
+            hits = np.flatnonzero(order == least[of])
+            hits = hits[np.diff(of[hits], prepend=-1) != 0]
+            left = n > rank
+            at[rank, mine[left]], gap[rank, mine[left]] = point[hits[left]], dist[hits[left]]
+            order[hits] = np.inf
+        begin = stop
+    return at, gap
+
+
+def terminal_map(components: DataFrame, terminals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node of both terminals of each component: :func:`terminal_nodes` of :func:`nearest_terminals`, for inputs that are dealt by image.
+
+    Points of an image come together once and are paired in the task, without a sort of all pairs.
+    Components of an image without terminals or nodes are left out; unknown distances come last.
+    """
+    point = lambda rows, side, name, x, y: rows.where("image_id is not null").select(F.col("image_id").alias("image"), F.lit(side).alias("side"), name, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    parts = [point(terminals, 0, "term_id", "tx", "ty"), point(nodes, 1, "node_id", "nx", "ny"), point(components, 2, "comp_id", "mx", "my")]
+    rows = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    order = ["side", "term_id", "node_id"]
+    # The window asks for rows by image, and for an exchange only where they are not.
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy(*order))).sortWithinPartitions("image", *order)
+    rows = rows.select("image", "side", "node_id", "comp_id", "x", "y", "place")
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        place, side = table.column("place").to_numpy(), table.column("side").to_numpy()
+        x, y = (table.column(c).to_numpy().astype(float) for c in "xy")
+        image = np.cumsum(place == 1) - 1
+        starts, counts = np.flatnonzero(place == 1), np.stack([np.bincount(image[side == s], minlength=image[-1] + 1) for s in range(3)])
+        mine = np.flatnonzero((side == 2) & (counts[0] > 0)[image] & (counts[1] > 0)[image])
+        of = image[mine]
+        near, _ = _nearest(x[mine], y[mine], starts[of], counts[0][of], x, y, 2)
+        # The second terminal is missing where an image has one only.
+        node, dist = zip(*[_nearest(x[t], y[t], (starts + counts[0])[of], np.where(t < 0, 0, counts[1][of]), x, y, 2) for t in near])
+        same = node[0][0] == node[1][0]
+        stays = dist[0][0] <= dist[1][0]
+        other = lambda n: np.where(n[1] < 0, n[0], n[1])
+        picked = np.where(same & ~stays, other(node[0]), node[0][0]), np.where(same & stays, other(node[1]), node[1][0])
+        ids = table.column("node_id")
+        taken = [ids.take(pa.array(p, mask=p < 0)) for p in picked]
+        out = pa.table([table.column("image").take(mine), table.column("comp_id").take(mine), *taken], names=["image_id", "comp_id", "node1", "node2"])
+        return out.combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            fresh = np.flatnonzero(batch.column(6).to_numpy() == 1)
+            # All images but the last one are complete.
+            if len(fresh):
+                table = pa.Table.from_batches(held)
+                cut = table.num_rows - batch.num_rows + int(fresh[-1])
+                if cut:
+                    yield from found(table.slice(0, cut)).to_batches()
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("image", "comp_id", "node_id")}
+    return rows.mapInArrow(run, f"image_id {kind['image']}, comp_id {kind['comp_id']}, node1 {kind['node_id']}, node2 {kind['node_id']}")
+
+
 def hanging_links(mapped: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes with fewer than two terminals, linked to as many of the nearest such nodes as they lack."""
     uses = mapped.select("image_id", F.explode(F.array("node1", "node2")).alias("node_id")).groupBy("image_id", "node_id").agg(F.count("*").alias("uses"))

@@ -463,3 +463,18 @@ def test_views_of_boxes_share_one_exchange_by_image_that_grows_with_the_files(sp
     assert fixtures.by_image(lines).rdd.getNumPartitions() == fixtures.plan_bytes(lines, "l_orderkey") // 4096 > 8
     plan = registry.queries()["adjacency"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_terminal_map_is_the_map_of_nearest_terminals(spark, monkeypatch):
+    monkeypatch.setattr(circuits, "PAIRS", 7)
+    draw = random.Random(5)
+    point = lambda: (draw.randrange(6) / 2, draw.randrange(6) / 2)
+    # Images of all sizes, some without components, terminals or nodes.
+    of = lambda most: [(i, k, *point()) for i in range(80) for k in range(draw.randrange(most))]
+    components = spark.createDataFrame(of(6), "image_id long, comp_id long, mx double, my double")
+    terminals = spark.createDataFrame(of(4), "image_id long, term_id long, tx double, ty double")
+    nodes = spark.createDataFrame(of(4), "image_id long, node_id long, nx double, ny double")
+    want = circuits.terminal_nodes(circuits.nearest_terminals(components, terminals), nodes)
+    got = circuits.terminal_map(components, terminals, nodes)
+    assert rows(got.collect()) == rows(want.collect()) and got.count() > 100
+    assert circuits.terminal_map(components.limit(0), terminals, nodes).count() == circuits.terminal_map(components, terminals, nodes.limit(0)).count() == 0
