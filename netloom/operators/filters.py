@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.ordering import placed
@@ -12,6 +15,8 @@ from netloom.plans.shared import materialize
 
 #: Steps of a series that one task runs through at a time.
 CHUNK = 4096
+#: Steps of all series that one task holds at a time, or a chunk if that is more.
+HELD = 1 << 17
 
 
 def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +53,25 @@ def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -
     return out, np.array(z[:-1])
 
 
+def run_filters(b: np.ndarray, a: np.ndarray, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Outputs of :func:`run_filter` over ``sizes`` values of ``x`` from each of ``starts`` on, a column of ``states`` each; all take a step at once."""
+    out = np.full(len(x), np.nan)
+    order = np.argsort(-sizes, kind="stable")
+    at, z = starts[order], states[:, order]
+    first, more, back = b[0], b[1:, None], a[1:, None]
+    # How many still run at each step; the longest come first.
+    running = len(sizes) - np.cumsum(np.bincount(sizes))[:-1]
+    for step, n in enumerate(running.tolist()):
+        now = at[:n] + step
+        v = x[now]
+        y = first * v + z[0, :n]
+        left = more * v
+        left[:-1] += z[1:, :n]
+        z = left - back * y
+        out[now] = y
+    return out
+
+
 def _one_way(rows: DataFrame, b: np.ndarray, a: np.ndarray, kind: str) -> DataFrame:
     """``key, k, y`` of ``key, k, x, n``: the filter run over k from 0 to n - 1, at rest under the first value before it.
 
@@ -81,15 +105,42 @@ def _one_way(rows: DataFrame, b: np.ndarray, a: np.ndarray, kind: str) -> DataFr
     before = long.groupBy("key", "chunk").applyInPandas(leaves, f"key {kind}, chunk long, first double, state array<double>")
     before = materialize(before.groupBy("key").applyInPandas(handed_on, f"key {kind}, chunk long, state array<double>"), "filter-states")
 
-    def runs(series: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("k")
-        x = series["x"].to_numpy()
-        if not len(x):
-            return pd.DataFrame({"key": [], "k": [], "y": []})
-        y, _ = run_filter(b, a, x, np.asarray(state["state"].iloc[0]) if len(state) else rest * x[0])
-        return pd.DataFrame({"key": series["key"], "k": series["k"], "y": y})
-
-    return rows.groupBy("key", "chunk").cogroup(before.groupBy("key", "chunk")).applyInPandas(runs, f"key {kind}, k long, y double")
+    # A chunk's state comes as its first row.
+    begun = before.select("key", "chunk", F.lit(-1).cast("long").alias("k"), F.lit(None).cast("double").alias("x"), "state")
+    whole = rows.select("key", "chunk", "k", "x", F.lit(None).cast("array<double>").alias("state")).unionAll(begun)
+    # The window asks for the rows of a chunk in one task, and tells where a chunk begins.
+    whole = whole.withColumn("place", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("k"))).sortWithinPartitions("key", "chunk", "k")
+
+    def smoothed(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        k, x = table.column("k").to_numpy(), table.column("x").to_numpy().astype(float)
+        starts = np.flatnonzero(table.column("place").to_numpy() == 1)
+        told = k[starts] < 0
+        first = starts + told
+        states = np.outer(rest, x[np.minimum(first, len(x) - 1)])
+        if told.any():
+            states[:, told] = np.array(table.column("state").take(starts[told]).to_pylist()).T
+        y = run_filters(b, a, x, first, np.diff(starts, append=len(x)) - told, states)
+        kept = np.flatnonzero(k >= 0)
+        return pa.table([table.column("key").take(kept), pa.array(k[kept]), pa.array(y[kept])], names=["key", "k", "y"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            fresh = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy() == 1)
+            # All chunks but the last one are complete.
+            if count >= HELD and len(fresh):
+                table = pa.Table.from_batches(held)
+                cut = count - batch.num_rows + int(fresh[-1])
+                if cut:
+                    yield from smoothed(table.slice(0, cut)).to_batches(CHUNK)
+                held, count = table.slice(cut).to_batches(), count - cut
+        if count:
+            yield from smoothed(pa.Table.from_batches(held)).to_batches(CHUNK)
+
+    return whole.mapInArrow(runs, f"key {kind}, k long, y double")
 
 
 def low_pass(series: DataFrame, cutoff: float, key: str, order: str, value: str, degree: int = 5) -> DataFrame:

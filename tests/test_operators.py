@@ -478,3 +478,19 @@ def test_terminal_map_is_the_map_of_nearest_terminals(spark, monkeypatch):
     got = circuits.terminal_map(components, terminals, nodes)
     assert rows(got.collect()) == rows(want.collect()) and got.count() > 100
     assert circuits.terminal_map(components.limit(0), terminals, nodes).count() == circuits.terminal_map(components, terminals, nodes.limit(0)).count() == 0
+
+
+def test_series_of_all_lengths_are_filtered_together(spark, monkeypatch):
+    b, a = filters.butterworth(5, 0.1)
+    draw = np.random.default_rng(3)
+    sizes = np.array([1, 40, 3, 17, 40, 2])
+    starts = np.cumsum(sizes) - sizes
+    x, states = draw.normal(size=sizes.sum()), draw.normal(size=(5, len(sizes)))
+    want = np.concatenate([filters.run_filter(b, a, x[s : s + n], states[:, i])[0] for i, (s, n) in enumerate(zip(starts, sizes))])
+    assert (filters.run_filters(b, a, x, starts, sizes, states) == want).all()
+    # Series that are cut into chunks and held apart, one of them without a key, are the same as uncut ones.
+    df = spark.createDataFrame([(None if k == 2 else k, t, float((t * t + k) % 17)) for k in range(5) for t in range(5 + 30 * k)], "name long, at long, v double")
+    whole = rows(filters.low_pass(df, 0.05, "name", "at", "v").collect())
+    monkeypatch.setattr(filters, "CHUNK", 16)
+    monkeypatch.setattr(filters, "HELD", 32)
+    assert rows(filters.low_pass(df, 0.05, "name", "at", "v").collect()) == whole and len(whole) == df.count()
