@@ -63,24 +63,25 @@ def one_by_one(answer: Callable[[dict[str, Any]], tuple[str, int]], attempts: in
 
 
 def ask(rows: DataFrame, prompt: Column, model: Model, nth: int, name: str) -> DataFrame:
-    """``rows``, which have a column ``request``, with ``prompt`` and ``reply``, written so that the model is asked once."""
-    sent = rows.withColumn("prompt", prompt)
-    kind = pa.struct([("text", pa.string()), ("tokens", pa.int64()), ("error", pa.string())])
-    schema = StructType([*sent.schema.fields, StructField("reply", _reply_type())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, ASKED):
-                batch = whole.slice(start, ASKED)
-                prompts, requests = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("prompt", "request"))
-                replies = list(model([{"prompt": p, "round": nth, "request": r} for p, r in zip(prompts, requests)]))
-                if len(replies) != batch.num_rows:
-                    raise ValueError(f"the model gave {len(replies)} replies for {batch.num_rows} rows")
-                found = pa.array([{"text": r.text, "tokens": r.tokens, "error": r.error} for r in replies], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
-
-    names = [f.name for f in schema.fields]
-    return materialize(sent.mapInArrow(run, schema), name)
+    """``rows``, which have a column ``request``, with the ``reply`` to ``prompt``, written so that the model is asked once.
+
+    The model gets ``ASKED`` rows at once.  Only prompts and requests go to Python and only replies come back;
+    prompts, which often repeat a text of the state, are not written.
+    """
+
+    def answers(prompts: pa.Array, requests: pa.Array) -> pa.Array:
+        replies: list[Reply] = []
+        for start in range(0, len(prompts), ASKED):
+            asked = [{"prompt": p, "round": nth, "request": r} for p, r in zip(prompts.slice(start, ASKED).to_pylist(), requests.slice(start, ASKED).to_pylist())]
+            replies += model(asked)
+            if len(replies) != start + len(asked):
+                raise ValueError(f"the model gave {len(replies) - start} replies for {len(asked)} rows")
+        fields = {"text": pa.string(), "tokens": pa.int64(), "error": pa.string()}
+        return pa.StructArray.from_arrays([pa.array([getattr(r, f) for r in replies], kind) for f, kind in fields.items()], list(fields))
+
+    # A model may answer otherwise each time.
+    reply = F.arrow_udf(answers, _reply_type()).asNondeterministic()
+    return materialize(rows.withColumn("reply", reply(prompt, F.col("request"))), name)
 
 
 def _reply_type() -> StructType:

@@ -161,3 +161,14 @@ def test_judge(spark):
 def test_feedback_that_asks_for_a_change(spark):
     said = spark.createDataFrame([("Net n1 is open",), ("",), (None,), ("Well identified, go on",), ("ALL GOOD",)], "t string")
     assert [r.x for r in said.select(agents.actionable(F.col("t")).alias("x")).collect()] == [True, False, False, False, False]
+
+
+def test_replies_are_written_without_prompts_and_rows_are_asked_in_small_lists(spark):
+    rows = spark.range(150).select(F.struct("id").alias("request"), F.lit("s").alias("state")).coalesce(1)
+    model = lambda asked: [agents.Reply(row["prompt"], len(asked), None if row["request"]["id"] else "none") for row in asked]
+    found = agents.ask(rows, F.concat(F.lit("p"), F.col("request.id").cast("string")), model, 1, "asked")
+    assert found.columns == ["request", "state", "reply"]
+    got = {r.request.id: tuple(r.reply) for r in found.collect()}
+    assert got == {k: (f"p{k}", 64 if k < 128 else 22, None if k else "none") for k in range(150)}
+    with pytest.raises(Exception, match="the model gave 1 replies for 64 rows"):
+        agents.ask(rows, F.lit("p"), lambda asked: [agents.Reply("x")], 1, "asked")
