@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 #: Side of the cells of near segments, in radii.
 SIDE = 4
@@ -71,66 +73,168 @@ def _nearest(x: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray,
     return at, gap
 
 
-def terminal_map(components: DataFrame, terminals: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node of both terminals of each component: :func:`terminal_nodes` of :func:`nearest_terminals`, for inputs that are dealt by image.
-
-    Points of an image come together once and are paired in the task, without a sort of all pairs.
-    Components of an image without terminals or nodes are left out; unknown distances come last.
+def point(ident: str, x: str, y: str, *others: str) -> Column:
+    """A part of a circuit as :func:`image_circuits` reads it: id, place and what else is kept of it."""
+    return F.struct(F.col(ident).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *others)
+
+
+def circuit_parts(components: DataFrame, terminals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows for :func:`image_circuits` from three tables, one part in each."""
+    parts = [components.select("image_id", point("comp_id", "mx", "my").alias("component")), terminals.select("image_id", point("term_id", "tx", "ty").alias("terminal")), nodes.select("image_id", point("node_id", "nx", "ny").alias("node"))]
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+
+
+class _Points:
+    """Parts of one kind in a run of images, by image and id."""
+
+    def __init__(self, parts: pa.StructArray, image: np.ndarray, images: int) -> None:
+        there = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False))
+        rows = pa.table([pa.array(image[there]), pc.struct_field(parts, "id").take(pa.array(there))], names=["image", "id"])
+        order = there[pc.sort_indices(rows, sort_keys=[("image", "ascending"), ("id", "ascending")]).to_numpy()]
+        self.parts = parts.take(pa.array(order))
+        self.image, self.ids = image[order], self.parts.field("id")
+        self.x, self.y = (self.parts.field(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+        self.count = np.bincount(self.image, minlength=images)
+        self.start = np.cumsum(self.count) - self.count
+
+    def taken(self, at: np.ndarray) -> pa.Array:
+        """Ids at places, null at -1."""
+        return self.ids.take(pa.array(at, mask=at < 0))
+
+    def placed(self, at: np.ndarray, image: np.ndarray) -> pa.Array:
+        """Places inside the image, null at -1."""
+        return pa.array((at - self.start[image]).astype(np.int32), mask=at < 0)
+
+    def kept(self) -> dict[str, pa.Array]:
+        return {f.name: self.parts.field(f.name) for f in self.parts.type if f.name not in ("x", "y")}
+
+
+def _differs(ids: pa.Array) -> np.ndarray:
+    """Where a value is not the one before it, from the second on; two nulls are one value."""
+    left, right = ids[:-1], ids[1:]
+    return pc.fill_null(pc.not_equal(left, right), pc.xor(left.is_null(), right.is_null())).to_numpy(zero_copy_only=False)
+
+
+def _mapped(components: _Points, terminals: _Points, nodes: _Points, known: np.ndarray) -> list[np.ndarray]:
+    """Nodes of both terminals of each component, by the rule of :func:`terminal_nodes`; -1 where there is none."""
+    mine = np.flatnonzero((known & (terminals.count > 0) & (nodes.count > 0))[components.image])
+    of = components.image[mine]
+    near, _ = _nearest(components.x[mine], components.y[mine], terminals.start[of], terminals.count[of], terminals.x, terminals.y, 2)
+    # The second terminal is missing where an image has one only.
+    node, dist = zip(*[_nearest(terminals.x[t], terminals.y[t], nodes.start[of], np.where(t < 0, 0, nodes.count[of]), nodes.x, nodes.y, 2) for t in near])
+    same = node[0][0] == node[1][0]
+    stays = dist[0][0] <= dist[1][0]
+    other = lambda n: np.where(n[1] < 0, n[0], n[1])
+    found = [np.full(len(components.image), -1) for _ in range(2)]
+    found[0][mine], found[1][mine] = np.where(same & ~stays, other(node[0]), node[0][0]), np.where(same & stays, other(node[1]), node[1][0])
+    return found
+
+
+def _links(nodes: _Points, used: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links by the rule of :func:`hanging_links`, by node, and which of them come first of their pair; ``used`` are the nodes of terminals."""
+    fresh = np.ones(len(nodes.image), bool)
+    fresh[1:] = (nodes.image[1:] != nodes.image[:-1]) | pc.fill_null(pc.not_equal(nodes.ids[1:], nodes.ids[:-1]), True).to_numpy(zero_copy_only=False)
+    run = np.cumsum(fresh) - 1
+    uses = np.bincount(run[used[used >= 0]], minlength=len(run))[run]
+    hanging = np.flatnonzero((uses < 2) & known[nodes.image])
+    of, x, y = nodes.image[hanging], nodes.x[hanging], nodes.y[hanging]
+    count = np.bincount(of, minlength=len(known))
+    near, _ = _nearest(x, y, (np.cumsum(count) - count)[of], count[of], x, y, 3)
+    wanted = [near[k] >= 0 for k in (1, 2)]
+    wanted[1] &= uses[hanging] == 0
+    start, end = np.concatenate([hanging[w] for w in wanted]), np.concatenate([hanging[near[k][w]] for k, w in zip((1, 2), wanted)])
+    order = np.lexsort((end, start))
+    start, end = start[order], end[order]
+    first = np.zeros(len(start), bool)
+    first[np.unique(np.minimum(start, end) * len(run) + np.maximum(start, end), return_index=True)[1]] = True
+    return start, end, first
+
+
+def image_circuits(rows: DataFrame) -> DataFrame:
+    """One row for each image: ``components`` with the nodes of their terminals, ``nodes`` and ``links`` of hanging nodes, arrays by id.
+
+    ``rows`` have ``image_id`` and structs ``component``, ``terminal`` and ``node`` (:func:`point`);
+    a row may hold all three, or one (:func:`circuit_parts`).  Components get ``node1, node2`` and the
+    places ``at1, at2`` of these nodes in their image, from 0; all are null in an image without terminals or
+    nodes.  Links have ``node_id, to_node``, the places ``at, to`` and ``first`` of its pair.  Unknown distances come last.
+    Points without an image are listed together, but neither mapped nor linked.
     """
-    point = lambda rows, side, name, x, y: rows.where("image_id is not null").select(F.col("image_id").alias("image"), F.lit(side).alias("side"), name, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    parts = [point(terminals, 0, "term_id", "tx", "ty"), point(nodes, 1, "node_id", "nx", "ny"), point(components, 2, "comp_id", "mx", "my")]
-    rows = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
-    order = ["side", "term_id", "node_id"]
-    # The window asks for rows by image, and for an exchange only where they are not.
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy(*order))).sortWithinPartitions("image", *order)
-    rows = rows.select("image", "side", "node_id", "comp_id", "x", "y", "place")
+    # The window asks for rows by image, and for an exchange or a sort only where they are not.
+    rows = rows.select("image_id", "component", "terminal", "node", F.count("*").over(Window.partitionBy("image_id")).alias("size"))
 
     def found(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        place, side = table.column("place").to_numpy(), table.column("side").to_numpy()
-        x, y = (table.column(c).to_numpy().astype(float) for c in "xy")
-        image = np.cumsum(place == 1) - 1
-        starts, counts = np.flatnonzero(place == 1), np.stack([np.bincount(image[side == s], minlength=image[-1] + 1) for s in range(3)])
-        mine = np.flatnonzero((side == 2) & (counts[0] > 0)[image] & (counts[1] > 0)[image])
-        of = image[mine]
-        near, _ = _nearest(x[mine], y[mine], starts[of], counts[0][of], x, y, 2)
-        # The second terminal is missing where an image has one only.
-        node, dist = zip(*[_nearest(x[t], y[t], (starts + counts[0])[of], np.where(t < 0, 0, counts[1][of]), x, y, 2) for t in near])
-        same = node[0][0] == node[1][0]
-        stays = dist[0][0] <= dist[1][0]
-        other = lambda n: np.where(n[1] < 0, n[0], n[1])
-        picked = np.where(same & ~stays, other(node[0]), node[0][0]), np.where(same & stays, other(node[1]), node[1][0])
-        ids = table.column("node_id")
-        taken = [ids.take(pa.array(p, mask=p < 0)) for p in picked]
-        out = pa.table([table.column("image").take(mine), table.column("comp_id").take(mine), *taken], names=["image_id", "comp_id", "node1", "node2"])
-        return out.combine_chunks()
+        column = lambda name: pa.concat_arrays(table.column(name).chunks)
+        ids = column("image_id")
+        fresh = np.concatenate([[True], _differs(ids)])
+        own = ids.take(pa.array(np.flatnonzero(fresh)))
+        image, images, known = np.cumsum(fresh) - 1, len(own), own.is_valid().to_numpy(zero_copy_only=False)
+        components, terminals, nodes = (_Points(column(name), image, images) for name in ("component", "terminal", "node"))
+        picked = _mapped(components, terminals, nodes, known)
+        start, end, first = _links(nodes, np.concatenate(picked), known)
+
+        def listed(count: np.ndarray, fields: dict[str, pa.Array]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+        ends = {f"node{k}": nodes.taken(p) for k, p in enumerate(picked, 1)} | {f"at{k}": nodes.placed(p, components.image) for k, p in enumerate(picked, 1)}
+        of = nodes.image[start]
+        links = {"node_id": nodes.taken(start), "to_node": nodes.taken(end), "at": nodes.placed(start, of), "to": nodes.placed(end, of), "first": pa.array(first)}
+        lists = [listed(components.count, components.kept() | ends), listed(nodes.count, nodes.kept()), listed(np.bincount(of, minlength=images), links)]
+        return pa.RecordBatch.from_arrays([own, *lists], names=["image_id", "components", "nodes", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            fresh = np.flatnonzero(batch.column(6).to_numpy() == 1)
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            cuts = np.flatnonzero(_differs(ids)) + 1
             # All images but the last one are complete.
-            if len(fresh):
-                table = pa.Table.from_batches(held)
-                cut = table.num_rows - batch.num_rows + int(fresh[-1])
-                if cut:
-                    yield from found(table.slice(0, cut)).to_batches()
-                held = table.slice(cut).to_batches()
+            cut = int(cuts[-1]) if len(cuts) else 0
+            if held and (cut or _differs(pa.concat_arrays([held[-1].column(0)[-1:], ids[:1]]))[0]):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield found(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
         if held:
-            yield from found(pa.Table.from_batches(held)).to_batches()
+            yield found(pa.Table.from_batches(held))
+
+    kind = {c: rows.schema[c].dataType for c in ("component", "node")}
+    kept = {c: [f for f in k.fields if f.name not in ("x", "y")] for c, k in kind.items()}
+    a_node = lambda name: StructField(name, kind["node"]["id"].dataType)
+    a_place = lambda name: StructField(name, IntegerType())
+    lists = {
+        "components": [*kept["component"], a_node("node1"), a_node("node2"), a_place("at1"), a_place("at2")],
+        "nodes": kept["node"],
+        "links": [a_node("node_id"), a_node("to_node"), a_place("at"), a_place("to"), StructField("first", BooleanType())],
+    }
+    return rows.mapInArrow(run, StructType([rows.schema["image_id"], *[StructField(name, ArrayType(StructType(fields))) for name, fields in lists.items()]]))
 
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("image", "comp_id", "node_id")}
-    return rows.mapInArrow(run, f"image_id {kind['image']}, comp_id {kind['comp_id']}, node1 {kind['node_id']}, node2 {kind['node_id']}")
+
+def terminals_mapped(found: DataFrame) -> DataFrame:
+    """Rows of components and the nodes of both terminals from :func:`image_circuits`; those of an image without terminals or nodes are left out."""
+    rows = found.select("image_id", F.explode("components").alias("c")).where("c.at1 is not null")
+    return rows.select("image_id", F.col("c.id").alias("comp_id"), "c.node1", "c.node2")
+
+
+def nodes_linked(found: DataFrame) -> DataFrame:
+    """Rows of links from :func:`image_circuits`, as :func:`hanging_links` gives them."""
+    return found.select("image_id", F.explode("links").alias("l")).select("image_id", "l.node_id", "l.to_node")
+
+
+def terminal_map(components: DataFrame, terminals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Node of both terminals of each component: :func:`terminal_nodes` of :func:`nearest_terminals`, without a sort of all pairs."""
+    return terminals_mapped(image_circuits(circuit_parts(components, terminals, nodes)))
 
 
 def hanging_links(mapped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes with fewer than two terminals, linked to as many of the nearest such nodes as they lack."""
+    """Nodes with fewer than two terminals, linked to as many of the nearest such nodes as they lack; unknown distances come last."""
     uses = mapped.select("image_id", F.explode(F.array("node1", "node2")).alias("node_id")).groupBy("image_id", "node_id").agg(F.count("*").alias("uses"))
     hanging = nodes.join(uses, ["image_id", "node_id"], "left").withColumn("uses", F.coalesce("uses", F.lit(0))).where("uses < 2")
     other = hanging.select("image_id", F.col("node_id").alias("to_node"), F.col("nx").alias("ox"), F.col("ny").alias("oy"))
     pairs = hanging.join(other, "image_id").withColumn("dist", F.sqrt(F.pow(F.col("nx") - F.col("ox"), 2) + F.pow(F.col("ny") - F.col("oy"), 2)))
-    order = Window.partitionBy("image_id", "node_id").orderBy("dist", "to_node")
+    order = Window.partitionBy("image_id", "node_id").orderBy(F.col("dist").asc_nulls_last(), "to_node")
     return pairs.withColumn("r", F.row_number().over(order)).where((F.col("r") > 1) & (F.col("r") <= 3 - F.col("uses"))).select("image_id", "node_id", "to_node")
 
 

@@ -46,28 +46,26 @@ def netlist_text(entries: DataFrame, titles: DataFrame) -> DataFrame:
     return titles.join(parts, "image_id", "left").select("image_id", F.array_join(F.concat(head, *body), "\n").alias("spice_code"))
 
 
-def circuit_report(components: DataFrame, nodes: DataFrame, mapped: DataFrame, links: DataFrame) -> DataFrame:
-    """Report of components, junctions and connections.
+def marked(components: DataFrame) -> DataFrame:
+    """Components with their ``mark``: the class and the number within it, from 1, in id order."""
+    of_class = Window.partitionBy("image_id", "cls").orderBy("comp_id")
+    return components.withColumn("mark", F.concat(F.col("cls").cast("string"), F.row_number().over(of_class).cast("string")))
+
+
+def circuit_report(found: DataFrame) -> DataFrame:
+    """Report of components, junctions and connections of :func:`circuits.image_circuits`, whose components have ``ctype`` and ``mark``.
 
-    Components are numbered from 1 within their class, junctions from 1, nodes
-    of connections from 0.  A pair of nodes is told at most once in either order.
+    Junctions are numbered from 1, nodes of connections from 0.  A pair of nodes is told at
+    most once in either order.  Components without a type are left out, as are images without any other.
     """
-    of_class = Window.partitionBy("image_id", "cls").orderBy("comp_id")
-    named = components.withColumn("mark", F.concat(F.col("cls").cast("string"), F.row_number().over(of_class).cast("string")))
-    parts = lines_of(named, ["comp_id"], F.concat("ctype", F.lit(" "), "mark"), "parts")
-    place = F.row_number().over(Window.partitionBy("image_id").orderBy("node_id"))
-    numbered = nodes.select("image_id", "node_id", (place - 1).alias("at"))
-    junctions = lines_of(numbered, ["at"], F.concat(F.lit("Node N"), (F.col("at") + 1).cast("string")), "junctions")
-    at = lambda name: numbered.select("image_id", F.col("node_id").alias(name), F.col("at").cast("string").alias(f"{name}_at"))
-    joined = mapped.join(named.select("image_id", "comp_id", "mark"), ["image_id", "comp_id"]).join(at("node1"), ["image_id", "node1"]).join(at("node2"), ["image_id", "node2"])
-    between = lines_of(joined, ["comp_id"], F.concat("mark", F.lit(" is between Node"), "node1_at", F.lit(" and Node"), "node2_at"), "between")
-    pairs = links.join(at("node_id"), ["image_id", "node_id"]).join(at("to_node"), ["image_id", "to_node"])
-    pair = [F.least(F.col("node_id"), F.col("to_node")), F.greatest(F.col("node_id"), F.col("to_node"))]
-    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("image_id", *pair).orderBy("node_id", "to_node"))).where("nth = 1")
-    linked = lines_of(first, ["node_id", "to_node"], F.concat(F.lit("Node"), "node_id_at", F.lit(" and Node"), "to_node_at", F.lit(" are connected")), "linked")
-    whole = parts.join(junctions, "image_id", "left").join(between, "image_id", "left").join(linked, "image_id", "left")
-    text = F.concat(*[F.concat(F.array(F.lit(h)), *[F.coalesce(c, _none()) for c in own]) for h, own in zip(REPORT, (["parts"], ["junctions"], ["between", "linked"]))])
-    return whole.select("image_id", F.array_join(text, "\n").alias("report"))
+    node = lambda at: F.concat(F.lit("Node"), at.cast("string"))
+    parts = F.transform("components", lambda c: F.concat(c["ctype"], F.lit(" "), c["mark"]))
+    junctions = F.transform("nodes", lambda _, at: F.concat(F.lit("Node N"), (at + 1).cast("string")))
+    between = F.transform("components", lambda c: F.when(c["ctype"].isNotNull(), F.concat(c["mark"], F.lit(" is between "), node(c["at1"]), F.lit(" and "), node(c["at2"]))))
+    linked = F.transform("links", lambda l: F.when(l["first"], F.concat(node(l["at"]), F.lit(" and "), node(l["to"]), F.lit(" are connected"))))  # noqa: E741
+    # Lines that are null are not joined.
+    text = F.concat(*[F.concat(F.array(F.lit(h)), *own) for h, own in zip(REPORT, ([parts], [junctions], [between, linked]))])
+    return found.where(F.exists("components", lambda c: c["ctype"].isNotNull())).select("image_id", F.array_join(text, "\n").alias("report"))
 
 
 def connected_nodes(mapped: DataFrame) -> DataFrame:
@@ -86,15 +84,18 @@ def connectivity_prompts(components: DataFrame, segments: DataFrame) -> DataFram
     return both.select("image_id", F.concat(F.array_join(F.concat(head, "c", F.array(F.lit(""), F.lit("Hough lines:")), "s"), "\n"), F.lit("\n")).alias("prompt"))
 
 
-def netlist_prompts(components: DataFrame, mapped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Prompt with each component's terminals and the kind of each node (``image_id, node_id, kind``)."""
-    known = components.join(mapped, ["image_id", "comp_id"], "left")
-    node = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    line = F.concat(F.lit("  "), F.col("comp_id").cast("string"), F.lit(" ("), "ctype", F.lit("): t1→"), node("node1"), F.lit(", t2→"), node("node2"))
-    c = lines_of(known, ["comp_id"], line, "c")
-    n = lines_of(nodes, ["node_id"], F.concat(F.lit("  "), F.col("node_id").cast("string"), F.lit(" ("), "kind", F.lit(")")), "n")
+def netlist_prompts(found: DataFrame) -> DataFrame:
+    """Prompt with each component's terminals and the kind of each node of :func:`circuits.image_circuits`, whose components have ``ctype`` and nodes ``kind``.
+
+    Components without a type are left out, as are images without any other and points without an image.
+    """
+    node = lambda n: F.coalesce(n.cast("string"), F.lit("unknown"))
+    c = F.transform("components", lambda c: F.concat(F.lit("  "), c["id"].cast("string"), F.lit(" ("), c["ctype"], F.lit("): t1→"), node(c["node1"]), F.lit(", t2→"), node(c["node2"])))
+    n = F.transform("nodes", lambda n: F.concat(F.lit("  "), n["id"].cast("string"), F.lit(" ("), n["kind"], F.lit(")")))
     fixed = lambda x: F.array(*map(F.lit, x))
-    return c.join(n, "image_id", "left").select("image_id", F.array_join(F.concat(fixed(NETLIST_HEAD), "c", fixed(NETLIST_MIDDLE), F.coalesce("n", _none()), fixed(NETLIST_TAIL)), "\n").alias("prompt"))
+    text = F.array_join(F.concat(fixed(NETLIST_HEAD), c, fixed(NETLIST_MIDDLE), n, fixed(NETLIST_TAIL)), "\n")
+    told = F.col("image_id").isNotNull() & F.exists("components", lambda c: c["ctype"].isNotNull())
+    return found.where(told).select("image_id", text.alias("prompt"))
 
 
 def retry_prompts(prompts: DataFrame, issues: DataFrame) -> DataFrame:

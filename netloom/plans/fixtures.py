@@ -18,6 +18,8 @@ FEW_PARTS = 8
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
+#: Far end of the segment of a box: nearly level or nearly upright.
+_END = ("case when det_id % 2 = 0 then x2 else x1 + det_id % 3 end", "case when det_id % 2 = 0 then y1 + det_id % 3 else y2 end")
 #: Corners of a polygon with a notch, in a box of cells of 8 pixels.
 _CORNERS = ["gx", "gy + 1", "gx + w", "gy + id % 3", "gx + w - cls % 4", "gy + h", "gx + cast(floor(w / 2e0) as bigint)", "gy + cast(floor(h / 2e0) as bigint)", "gx + cls % 3", "gy + h"]
 _POLYGON = """
@@ -31,8 +33,10 @@ from (select l_orderkey as image_id, {_ORDER}, cast(l_partkey % 12 as int) as cl
     "ground_truth": (["detections"], """
 select image_id, det_id as gt_id, case when det_id % 7 = 0 then (cls + 1) % 12 else cls end as cls,
  x1 + (det_id % 3) * 4 as x1, y1 + (det_id % 2) * 4 as y1, x2 + (det_id % 3) * 4 as x2, y2 + (det_id % 2) * 4 as y2 from detections where det_id % 5 <> 0"""),
-    "segments": (["detections"], """
-select image_id, det_id as seg_id, x1, y1, case when det_id % 2 = 0 then x2 else x1 + det_id % 3 end as x2, case when det_id % 2 = 0 then y1 + det_id % 3 else y2 end as y2 from detections"""),
+    "segments": (["detections"], f"""
+select image_id, det_id as seg_id, x1, y1, {_END[0]} as x2, {_END[1]} as y2 from detections"""),
+    # Each box beside its segment, for queries that need both in one reading.
+    "drawn": (["detections"], f"select *, det_id as seg_id, x1 as sx1, y1 as sy1, {_END[0]} as sx2, {_END[1]} as sy2 from detections"),
     "stage_results": ([], """
 select image_id, stage, cast(row_number() over (partition by image_id, stage order by ts, event_id) as bigint) as iteration, score, tokens
 from (select user_id * 100 + day(ts) as image_id, event_type as stage, ts, event_id, cast(least(value, 100.0) as double) / 100 as score, cast(round(value * 10) as bigint) as tokens from events) s"""),

@@ -480,6 +480,51 @@ def test_terminal_map_is_the_map_of_nearest_terminals(spark, monkeypatch):
     assert circuits.terminal_map(components.limit(0), terminals, nodes).count() == circuits.terminal_map(components, terminals, nodes.limit(0)).count() == 0
 
 
+def test_circuits_of_images_are_those_of_maps_and_links(spark, monkeypatch):
+    # Images cross the batches of a task; ids are texts, some places are unknown, several points lie in one place.
+    monkeypatch.setattr(circuits, "PAIRS", 5)
+    draw = random.Random(11)
+    place = lambda: None if draw.random() < 0.04 else draw.randrange(5) / 2
+    of = lambda most: [(f"i{i}" if i else None, f"k{k}", place(), place()) for i in range(60) for k in range(draw.randrange(most))]
+    kinds = [(of(9), "comp_id string, mx double, my double"), (of(4), "term_id string, tx double, ty double"), (of(8), "node_id string, nx double, ny double")]
+    components, terminals, nodes = (spark.createDataFrame(r, f"image_id string, {kind}") for r, kind in kinds)
+    placed = [components.where("mx + my is not null"), terminals.where("tx + ty is not null"), nodes.where("nx + ny is not null")]
+    known = circuits.image_circuits(circuits.circuit_parts(*placed))
+    want = circuits.terminal_nodes(circuits.nearest_terminals(*placed[:2]), placed[2])
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert rows(circuits.terminals_mapped(known).collect()) == rows(want.collect())
+        whole = circuits.image_circuits(circuits.circuit_parts(components, terminals, nodes))
+        links = circuits.hanging_links(circuits.terminals_mapped(whole), nodes)
+        assert rows(circuits.nodes_linked(whole).collect()) == rows(links.collect()) and links.count() > 50
+        for r in whole.collect():
+            ids = [n.id for n in r.nodes]
+            assert r.image_id or not r.links and not any(c.node1 for c in r.components)
+            assert ids == sorted(ids) and [c.id for c in r.components] == sorted(c.id for c in r.components)
+            assert all((c.node1, c.node2) == tuple(None if a is None else ids[a] for a in (c.at1, c.at2)) for c in r.components)
+            told = [(ids[l["at"]], ids[l["to"]]) for l in r.links]  # noqa: E741
+            assert told == [(l.node_id, l.to_node) for l in r.links] == sorted(told)  # noqa: E741
+            assert [l["first"] for l in r.links] == [{*t} not in [{*u} for u in told[:k]] for k, t in enumerate(told)]  # noqa: E741
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+@pytest.mark.parametrize("name", "circuit_report netlist_prompt hanging_nodes component_terminal_map".split())
+def test_circuits_of_boxes_without_an_image_are_those_of_sql(spark, tmp_path, name):
+    base = duckdb.connect()
+    base.execute(f"copy (select * replace (case when l_orderkey % 50 = 1 then null else l_orderkey end as l_orderkey) from '{SF}/lineitem.parquet' where l_orderkey < 400) to '{tmp_path}/lineitem.parquet'")
+    base.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = base.execute(registry.oracle_sql()[name]).fetchall()
+    assert rows(registry.queries()[name](spark, str(tmp_path)).collect()) == rows(want) and len(want) > 50
+
+
+@pytest.mark.parametrize("name", "circuit_report hanging_nodes component_terminal_map".split())
+def test_circuits_need_one_reading_and_one_exchange_of_boxes(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("MapInArrow") == plan.count("FileScan") == 1
+
+
 def test_series_of_all_lengths_are_filtered_together(spark, monkeypatch):
     b, a = filters.butterworth(5, 0.1)
     draw = np.random.default_rng(3)
