@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame
@@ -62,30 +63,59 @@ def graph_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return v.join(e, "image_id", "left").select("image_id", F.to_json(F.struct("nodes", F.coalesce("links", F.array()).alias("links"))).alias("graph"))
 
 
+#: Lists of a detection document, and the part of a row that each is made of.
+_LISTS = {"yolo_detections": "box", "hough_lines": "segment", "junction_candidates": "junction", "components": "component", "nodes": "node", "connections": "connection"}
+
+
+def placed(pos: str, value: Column) -> Column:
+    """A part of a detection document as :func:`detection_documents` reads it."""
+    return F.struct(F.col(pos).alias("pos"), value.alias("value"))
+
+
+def box_value() -> Column:
+    """A box in a detection document."""
+    return F.struct("det_id", "cls", "conf", "x1", "y1", "x2", "y2")
+
+
+def point_value(x: str, y: str) -> Column:
+    """A point in a detection document."""
+    return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def segment_value(x1: str, y1: str, x2: str, y2: str) -> Column:
+    """A segment in a detection document, with both ends."""
+    return F.struct(point_value(x1, y1).alias("start"), point_value(x2, y2).alias("end"))
+
+
+def detection_documents(rows: DataFrame) -> DataFrame:
+    """One JSON document with seven keys for each image that has a size, in one grouping.
+
+    ``rows`` have ``image_id``, the struct ``size`` (``width, height``) and the parts ``box, segment, junction,
+    component, node, connection`` (:func:`placed`); a struct that is null is not there, so one row may hold many parts
+    or one (:func:`detection_json`).  Lists are in order of ``pos``; what an image lacks is an empty list.
+    """
+    lists = [F.sort_array(F.collect_list(part)).alias(part) for part in _LISTS.values()]
+    found = rows.where("image_id is not null").groupBy("image_id").agg(F.max("size").alias("size"), *lists).where("size is not null")
+    kept = {name: F.col(f"{part}.value") for name, part in _LISTS.items()}
+    names = [*list(kept)[:3], "image_size", *list(kept)[3:]]
+    return found.select("image_id", F.to_json(F.struct(*[(kept | {"image_size": F.col("size")})[n].alias(n) for n in names])).alias("json"))
+
+
 def detection_json(boxes: DataFrame, segments: DataFrame, junctions: DataFrame, sizes: DataFrame, components: DataFrame, nodes: DataFrame, connections: DataFrame) -> DataFrame:
-    """One JSON document with seven keys for each image of ``sizes`` (``image_id, width, height``).
+    """:func:`detection_documents` of seven tables, for each image of ``sizes`` (``image_id, width, height``).
 
     Boxes are in id order, segments with both ends, junctions as points; the
-    others have ``image_id, pos, line``.  What an image lacks is an empty list.
+    others have ``image_id, pos, line``.
     """
-
-    def part(rows: DataFrame, order: str, value: Column, name: str) -> DataFrame:
-        found = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), value.alias("_v")))).alias("r"))
-        return found.select("image_id", F.transform("r", lambda x: x["_v"]).alias(name))
-
-    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    parts = [
-        part(boxes, "det_id", F.struct("det_id", "cls", "conf", "x1", "y1", "x2", "y2"), "yolo_detections"),
-        part(segments, "seg_id", F.struct(point("x1", "y1").alias("start"), point("x2", "y2").alias("end")), "hough_lines"),
-        part(junctions, "node_id", point("nx", "ny"), "junction_candidates"),
-        *(part(rows, "pos", F.col("line"), name) for rows, name in ((components, "components"), (nodes, "nodes"), (connections, "connections"))),
-    ]
-    joined = sizes.select("image_id", F.struct("width", "height").alias("image_size"))
-    for p in parts:
-        joined = joined.join(p, "image_id", "left")
-    names = ["yolo_detections", "hough_lines", "junction_candidates", "image_size", "components", "nodes", "connections"]
-    filled = [F.col(n) if n == "image_size" else F.coalesce(n, F.array()).alias(n) for n in names]
-    return joined.select("image_id", F.to_json(F.struct(*filled)).alias("json"))
+    parts = {
+        "size": (sizes, F.struct("width", "height")),
+        "box": (boxes, placed("det_id", box_value())),
+        "segment": (segments, placed("seg_id", segment_value("x1", "y1", "x2", "y2"))),
+        "junction": (junctions, placed("node_id", point_value("nx", "ny"))),
+        **{name: (rows, placed("pos", F.col("line"))) for name, rows in (("component", components), ("node", nodes), ("connection", connections))},
+    }
+    rows = [table.select("image_id", value.alias(name)) for name, (table, value) in parts.items()]
+    return detection_documents(functools.reduce(lambda a, b: a.unionByName(b, True), rows))
 
 
 def write_products(products: DataFrame, folder: str) -> None:

@@ -510,7 +510,7 @@ def test_circuits_of_images_are_those_of_maps_and_links(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
-@pytest.mark.parametrize("name", "circuit_report netlist_prompt hanging_nodes component_terminal_map".split())
+@pytest.mark.parametrize("name", "circuit_report netlist_prompt hanging_nodes component_terminal_map detection_json_values".split())
 def test_circuits_of_boxes_without_an_image_are_those_of_sql(spark, tmp_path, name):
     base = duckdb.connect()
     base.execute(f"copy (select * replace (case when l_orderkey % 50 = 1 then null else l_orderkey end as l_orderkey) from '{SF}/lineitem.parquet' where l_orderkey < 400) to '{tmp_path}/lineitem.parquet'")
@@ -519,10 +519,29 @@ def test_circuits_of_boxes_without_an_image_are_those_of_sql(spark, tmp_path, na
     assert rows(registry.queries()[name](spark, str(tmp_path)).collect()) == rows(want) and len(want) > 50
 
 
-@pytest.mark.parametrize("name", "circuit_report hanging_nodes component_terminal_map".split())
+@pytest.mark.parametrize("name", "circuit_report hanging_nodes component_terminal_map detection_json_values".split())
 def test_circuits_need_one_reading_and_one_exchange_of_boxes(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == plan.count("MapInArrow") == plan.count("FileScan") == 1
+    assert plan.count("Exchange hashpartitioning") == plan.count("FileScan") == 1 and plan.count("SortMergeJoin") == 0
+
+
+def test_detection_documents_of_tables_list_what_each_image_has(spark):
+    df = spark.createDataFrame
+    boxes = df([(1, 2, 3, 0.5, 0, 0, 4, 4), (1, 1, 5, 0.25, 1, 1, 2, 2), (9, 1, 5, 0.25, 1, 1, 2, 2)], "image_id long, det_id long, cls int, conf double, x1 long, y1 long, x2 long, y2 long")
+    segments = df([(1, 7, 0, 0, 4, 1)], "image_id long, seg_id long, x1 long, y1 long, x2 long, y2 long")
+    junctions = df([(2, 2, 1.5, 2.0), (2, 1, 0.0, 0.5)], "image_id long, node_id long, nx double, ny double")
+    lines = lambda *r: df(list(r), "image_id long, pos long, line string")
+    sizes = df([(1, 64, 48), (2, 32, 24), (3, 8, 8), (None, 1, 1)], "image_id long, width int, height int")
+    found = sinks.detection_json(boxes, segments, junctions, sizes, lines((1, 2, "b"), (1, 1, "a"), (1, 3, None)), lines((2, 1, "n")), lines((None, 1, "x"), (1, 1, "c")))
+    got = {r.image_id: json.loads(r.json) for r in found.collect()}
+    empty = {"yolo_detections": [], "hough_lines": [], "junction_candidates": [], "components": [], "nodes": [], "connections": []}
+    point = lambda x, y: {"x": x, "y": y}
+    box = lambda *v: dict(zip(("det_id", "cls", "conf", "x1", "y1", "x2", "y2"), v))
+    assert got == {
+        1: empty | {"yolo_detections": [box(1, 5, 0.25, 1, 1, 2, 2), box(2, 3, 0.5, 0, 0, 4, 4)], "hough_lines": [{"start": point(0, 0), "end": point(4, 1)}], "image_size": {"width": 64, "height": 48}, "components": ["a", "b", None], "connections": ["c"]},
+        2: empty | {"junction_candidates": [point(0.0, 0.5), point(1.5, 2.0)], "image_size": {"width": 32, "height": 24}, "nodes": ["n"]},
+        3: empty | {"image_size": {"width": 8, "height": 8}},
+    }
 
 
 def test_series_of_all_lengths_are_filtered_together(spark, monkeypatch):
