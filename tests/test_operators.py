@@ -525,6 +525,12 @@ def test_circuits_need_one_reading_and_one_exchange_of_boxes(spark, name):
     assert plan.count("Exchange hashpartitioning") == plan.count("FileScan") == 1 and plan.count("SortMergeJoin") == 0
 
 
+def test_prompts_of_netlists_send_boxes_and_prompts_once(spark):
+    plan = registry.queries()["netlist_prompt"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # Boxes for circuits, those of every third image for the netlists before, and the prompts unless one side is broadcast.
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("FileScan") == 2
+
+
 def test_detection_documents_of_tables_list_what_each_image_has(spark):
     df = spark.createDataFrame
     boxes = df([(1, 2, 3, 0.5, 0, 0, 4, 4), (1, 1, 5, 0.25, 1, 1, 2, 2), (9, 1, 5, 0.25, 1, 1, 2, 2)], "image_id long, det_id long, cls int, conf double, x1 long, y1 long, x2 long, y2 long")
