@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from netloom.operators.ordering import placed
+from netloom.operators.ordering import codes, placed
 from netloom.plans.shared import quoted
 
 #: Pieces of a layer that one row holds on its way, and rows of a layer that leave a task together.
@@ -98,6 +98,53 @@ def _part(name: str) -> Callable[[Column], Column]:
     return lambda point: point[name].cast("long")
 
 
+def _sides(points: str) -> tuple[Column, Column]:
+    """Both sides of the corners of a polygon as plain arrays; a corner with a null counts for nothing."""
+    whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return F.transform(whole, _part("x")).alias("x"), F.transform(whole, _part("y")).alias("y")
+
+
+def _filled(xs: pa.ListArray, ys: pa.ListArray, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the polygons of both lists of corners as row, low and high."""
+    xs, ys = xs.fill_null([]), ys.fill_null([])
+    owner = np.repeat(np.arange(len(xs)), np.diff(xs.offsets.to_numpy()))
+    return _fill(owner, xs.flatten().to_numpy(), ys.flatten().to_numpy(), width, height)
+
+
+def _images(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole images of at most ``rows`` rows together, or one that has more, with the number of each row's image; rows come by image, in the first column."""
+
+    def parted(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        whole = parts[0] if len(parts) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)], parts[0].schema.names)
+        image = np.cumsum(np.diff(codes(whole.column(0)), prepend=0) != 0)
+        cuts, start = np.append(np.flatnonzero(np.diff(image, prepend=-1))[1:], whole.num_rows), 0
+        while start < whole.num_rows:
+            stop = int(cuts[max(np.searchsorted(cuts, start + rows, "right") - 1, np.searchsorted(cuts, start, "right"))])
+            yield whole.slice(start, stop - start), image[start:stop] - image[start]
+            start = stop
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # All images but the last one are complete; that may have ended with the batch before.
+        ids = pa.concat_arrays([held[-1].column(0)[-1:], batch.column(0)]) if held else batch.column(0)
+        fresh = np.flatnonzero(np.diff(codes(ids))) + (0 if held else 1)
+        if len(fresh):
+            cut = int(fresh[-1])
+            yield from parted([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield from parted(held)
+
+
+def _by_image(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of ``rows``, image first, in tasks that have all rows of an image beside each other."""
+    # The window asks for rows by image, and for an exchange or a sort only where they are not.
+    return rows.select(F.col("image_id"), *columns, F.count("*").over(Window.partitionBy("image_id")).alias("size"))
+
+
 def _packed_runs(sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
     """One value of bytes for each mask of as many runs as ``sizes`` tells."""
     offsets = np.concatenate(([0], np.cumsum(16 * sizes)))
@@ -127,18 +174,13 @@ def polygon_masks(polygons: DataFrame, width: int, height: int, points: str = "p
     order, which :func:`mask_iou` and :func:`paired_mask_iou` read too.
     """
     kept = [c for c in polygons.columns if c not in (points, "runs")]
-    whole = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    side = {c: F.transform(whole, _part(c)).alias(c) for c in "xy"}
-    rows = polygons.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], side["x"], side["y"])
+    rows = polygons.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)], *_sides(points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, FILLED):
                 batch = whole.slice(start, FILLED)
-                xs, ys = (batch.column(len(kept) + i).fill_null([]) for i in (0, 1))
-                sizes = np.diff(xs.offsets.to_numpy())
-                owner = np.repeat(np.arange(batch.num_rows), sizes)
-                of, low, high = _fill(owner, xs.flatten().to_numpy(), ys.flatten().to_numpy(), width, height)
+                of, low, high = _filled(*batch.columns[len(kept) :], width, height)
                 offsets = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
                 if packed:
                     runs = _packed_runs(np.diff(offsets).astype(np.int64), low, high)
@@ -266,6 +308,62 @@ def _topmost(of: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray
     return owner[kept], (ends[fresh] - owner * apart)[kept], (until - owner * apart)[kept], top[fresh][kept]
 
 
+class _Runs:
+    """Runs of many masks, mask by mask."""
+
+    def __init__(self, xs: pa.ListArray, ys: pa.ListArray, width: int, height: int, step: int) -> None:
+        parts = [(of + start, low, high) for start in range(0, len(xs), step) for of, low, high in [_filled(xs.slice(start, step), ys.slice(start, step), width, height)]]
+        of, self.low, self.high = (np.concatenate(p) for p in zip(*parts))
+        self.size = np.bincount(of, minlength=len(xs))
+        self.start = np.cumsum(self.size) - self.size
+        self.area = np.diff(np.concatenate(([0], np.cumsum(self.high - self.low)))[np.append(self.start, len(of))])
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of runs of the masks ``at`` these places, their lows and their highs."""
+        size = self.size[at]
+        run = np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return size, self.low[run], self.high[run]
+
+
+def layered_polygons(polygons: DataFrame, width: int, height: int, id_col: str = "det_id", points: str = "points") -> DataFrame:
+    """:func:`layered_masks` of filled polygons, in one row for each: ``image_id, id, area, rank`` and the maximal ``runs`` in which it is topmost.
+
+    A task that has all rows of an image fills, ranks and lays them, so neither runs nor layers are
+    shuffled.  Images of few masks are laid together.  The masks of a larger one are filled a few thousand at a
+    time, first for their areas, then from the topmost down onto what is covered, so a task holds the corners of
+    one image and its layer, not its masks.
+    """
+    sent = _by_image(polygons, F.col(id_col).alias("id"), *_sides(points))
+    filled = FILLED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, image in _images(batches, filled):
+            rows, ids, xs, ys = batch.num_rows, *batch.columns[1:4]
+            whole = _Runs(xs, ys, width, height, filled) if rows <= filled else None
+            area = whole.area if whole else np.concatenate([_Runs(xs.slice(s, filled), ys.slice(s, filled), width, height, filled).area for s in range(0, rows, filled)])
+            table = pa.table([pa.array(image), pa.array(-area), ids], names=["image", "area", "id"])
+            order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names], null_placement="at_start").to_numpy().astype(np.int64)
+            begin = np.flatnonzero(np.diff(image[order], prepend=-1))
+            rank = np.arange(rows) - np.repeat(begin, np.diff(np.append(begin, rows))) + 1
+            covered = [np.zeros(0, np.int64)] * 2
+            # From the topmost down; what is covered already has a rank beyond all others.
+            for start in range((rows - 1) // filled * filled, -1, -filled):
+                at, level = order[start : start + filled], rank[start : start + filled]
+                size, low, high = whole.taken(at) if whole else _Runs(xs.take(pa.array(at)), ys.take(pa.array(at)), width, height, filled).taken(np.arange(len(at)))
+                parts = (np.repeat(image[at], size), low, high, np.repeat(level, size))
+                of, low, high, top = _topmost(*(np.concatenate(p) for p in zip((np.zeros(len(covered[0]), np.int64), *covered, np.full(len(covered[0]), rows + 1)), parts)))
+                covered, seen = [low, high], top <= rows
+                place = (begin[of] + top - 1 - start)[seen]
+                by = np.argsort(place, kind="stable")
+                offsets = np.searchsorted(place[by], np.arange(len(at) + 1)).astype(np.int32)
+                runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(low[seen][by]), pa.array(high[seen][by])], ["low", "high"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.take(pa.array(at)), pa.array(area[at]), pa.array(level), runs], names)
+
+    names = ["image_id", "id", "area", "rank", "runs"]
+    kinds = [polygons.schema["image_id"].dataType, polygons.schema[id_col].dataType, LongType(), LongType(), RUNS]
+    return sent.mapInArrow(run, StructType([StructField(n, k) for n, k in zip(names, kinds)])).withColumnRenamed("id", id_col)
+
+
 _LAID = ("low", "high", "rank")
 
 

@@ -169,3 +169,31 @@ def test_places_move_rows_once(spark):
         assert [n for n, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "Join Inner" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+@pytest.fixture(scope="module")
+def outlines(spark, polygons):
+    rows = [(i, d, None if p is None else [{"x": x, "y": y} for x, y in p]) for i, d, p in polygons[0]]
+    return spark.createDataFrame(rows, "image_id int, det_id int, points array<struct<x:int,y:int>>")
+
+
+@pytest.mark.parametrize("step", [2000, 7])
+def test_layers_of_polygons(found, outlines, monkeypatch, step):
+    """Polygons ranked and laid in tasks of whole images give the ranks and layers of their masks, also where an image takes many steps."""
+    monkeypatch.setattr(masks, "FILLED", step)
+    ranks, layer = masks.layered_masks(found)
+    got = masks.layered_polygons(outlines, WIDTH, HEIGHT).collect()
+    assert sorted(map(str, ((r.image_id, r.det_id, r.area, r["rank"]) for r in got))) == sorted(map(str, ((r.image_id, r.det_id, r.area, r["rank"]) for r in ranks.collect())))
+    assert sorted(map(str, ((r.image_id, *run, r["rank"]) for r in got for run in r.runs))) == sorted(map(str, map(tuple, layer.collect())))
+    assert all(a.high <= b.low for r in got for a, b in zip(r.runs, r.runs[1:]))
+    assert masks.layered_polygons(outlines.limit(0), WIDTH, HEIGHT).count() == 0
+
+
+def test_layers_of_boxes_move_boxes_once(spark, monkeypatch):
+    """Boxes are exchanged by image; masks, ranks and layers are neither shuffled nor written."""
+    from netloom.plans import operator_queries, shared
+
+    monkeypatch.setattr(shared, "materialize", lambda *_: pytest.fail("written"))
+    monkeypatch.setattr(masks, "placed", lambda *_, **__: pytest.fail("written"))
+    plan = operator_queries.QUERIES["mask_layers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
