@@ -325,6 +325,51 @@ class _Runs:
         return size, self.low[run], self.high[run]
 
 
+def polygon_iou(rows: DataFrame, width: int, height: int, one: tuple[str, str], other: tuple[str, str], paired: bool = False, eps: float = 1e-7) -> DataFrame:
+    """:func:`mask_iou` of the filled polygons of ``rows`` that have ``image_id`` and, as id and points, a polygon of either side or of both.
+
+    A side whose id is null has no polygon in that row.  ``paired`` compares the two polygons of one row only.  A task
+    that has all rows of an image fills each polygon once and compares the pairs a few thousand at a time, so neither runs nor
+    pairs are shuffled: polygons move only where they are not dealt by image yet.
+    """
+    sides = (one, other)
+    sent = [c for i, (ident, points) in enumerate(sides) for c in (F.col(ident).alias(f"id{i}"), *(c.alias(f"{n}{i}") for n, c in zip("xy", _sides(points))))]
+    known = rows.where(F.col("image_id").isNotNull())
+    dealt = known.where(F.col(one[0]).isNotNull() & F.col(other[0]).isNotNull()).select("image_id", *sent) if paired else _by_image(known, *sent)
+    filled, compared = FILLED, COMPARED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((b.slice(s, filled), None) for b in batches for s in range(0, b.num_rows, filled)) if paired else _images(batches, filled)
+        for batch, image in parts:
+            there = [np.flatnonzero(np.asarray(batch.column(1 + 3 * i).is_valid())) for i in (0, 1)]
+            ids, masks = [], []
+            for i, at in enumerate(there):
+                own = pa.RecordBatch.from_arrays(batch.columns[1 + 3 * i : 4 + 3 * i], ["id", "x", "y"]).take(pa.array(at))
+                ids.append(own.column(0))
+                masks.append(_Runs(own.column(1), own.column(2), width, height, filled) if len(at) else None)
+            if None in masks:
+                continue
+            if paired:
+                first, many = np.arange(len(there[1])), np.ones(len(there[0]), np.int64)
+            else:
+                # The others of an image lie beside each other, behind those of the images before.
+                count = np.bincount(image[there[1]], minlength=image[-1] + 1)
+                first, many = (np.cumsum(count) - count)[image[there[0]]], count[image[there[0]]]
+            ends = np.cumsum(many)
+            for start in range(0, int(ends[-1]), compared):
+                pair = np.arange(start, min(start + compared, ends[-1]))
+                a = np.searchsorted(ends, pair, "right")
+                b = first[a] + pair - (ends[a] - many[a])
+                shared = _shared(masks[0].taken(a), masks[1].taken(b))
+                union = masks[0].area[a] + masks[1].area[b] - shared
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(there[0][a])), ids[0].take(pa.array(a)), ids[1].take(pa.array(b)), pa.array(shared), pa.array(union)], names)
+
+    names = ["image_id", "a_id", "b_id", "shared", "union"]
+    schema = StructType([StructField(n, dealt.schema[c].dataType) for n, c in zip(names, ("image_id", "id0", "id1"))] + [StructField(n, LongType()) for n in names[3:]])
+    found = dealt.mapInArrow(run, schema)
+    return found.select("image_id", F.col("a_id").alias(one[0]), F.col("b_id").alias(other[0]), "shared", (F.col("shared") / (F.col("union") + F.lit(eps))).alias("iou"))
+
+
 def layered_polygons(polygons: DataFrame, width: int, height: int, id_col: str = "det_id", points: str = "points") -> DataFrame:
     """:func:`layered_masks` of filled polygons, in one row for each: ``image_id, id, area, rank`` and the maximal ``runs`` in which it is topmost.
 

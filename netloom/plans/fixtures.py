@@ -25,14 +25,27 @@ _CORNERS = ["gx", "gy + 1", "gx + w", "gy + id % 3", "gx + w - cls % 4", "gy + h
 _POLYGON = """
 select {kept}, {list}{point}, {point}, {point}, {point}, {point}{end} as points
 from (select {kept}, {id} as id, cast(floor(x1 / 8e0) as bigint) as gx, cast(floor(y1 / 8e0) as bigint) as gy, cast(floor((x2 - x1) / 8e0) as bigint) as w, cast(floor((y2 - y1) / 8e0) as bigint) as h from {boxes}) b"""
+#: The class and the shift of the corners in the ground truth of a box.
+_TRUE_CLS, _DX, _DY = "case when det_id % 7 = 0 then (cls + 1) % 12 else cls end", "(det_id % 3) * 4", "(det_id % 2) * 4"
+_TRUTH = f"case when det_id % 5 <> 0 then det_id end as gt_id, {_TRUE_CLS} as true_cls, x1 + {_DX} as tx1, y1 + {_DY} as ty1, x2 + {_DX} as tx2, y2 + {_DY} as ty2"
+_TRUE = "gt_id, true_cls, tx1, ty1, tx2, ty2"
+_BESIDE = "(select image_id, det_id, points, gt_id, true_cls as cls, tx1 as x1, ty1 as y1, tx2 as x2, ty2 as y2 from ({}) p)"
+
+
+def _polygon(kept: str, boxes: str, start: str = "array(", end: str = ")", name: str = "points") -> str:
+    """Spark SQL for the polygons of ``boxes`` beside ``kept`` columns, which hold ``cls``."""
+    point = "named_struct('x', {}, 'y', {})"
+    return _POLYGON.replace("as points", f"as {name}").format(kept=kept, boxes=boxes, id="det_id", list=start, end=end, point=point).format(*_CORNERS)
+
+
 VIEWS: dict[str, tuple[list[str], str | dict[str, str]]] = {
     "detections": ([], f"""
 select image_id, cast(row_number() over (partition by image_id order by {_ORDER}) as bigint) as det_id, cls, conf, x1, y1, x1 + w as x2, y1 + h as y2
 from (select l_orderkey as image_id, {_ORDER}, cast(l_partkey % 12 as int) as cls, cast(cast(round(l_extendedprice * 100) as bigint) % 1001 as double) / 1000 as conf,
  l_partkey * 37 % 320 as x1, l_suppkey * 53 % 240 as y1, cast(40 + l_quantity * 4 as bigint) as w, cast(30 + (l_quantity * 7) % 160 as bigint) as h from lineitem) s"""),
-    "ground_truth": (["detections"], """
-select image_id, det_id as gt_id, case when det_id % 7 = 0 then (cls + 1) % 12 else cls end as cls,
- x1 + (det_id % 3) * 4 as x1, y1 + (det_id % 2) * 4 as y1, x2 + (det_id % 3) * 4 as x2, y2 + (det_id % 2) * 4 as y2 from detections where det_id % 5 <> 0"""),
+    "ground_truth": (["detections"], f"""
+select image_id, det_id as gt_id, {_TRUE_CLS} as cls,
+ x1 + {_DX} as x1, y1 + {_DY} as y1, x2 + {_DX} as x2, y2 + {_DY} as y2 from detections where det_id % 5 <> 0"""),
     "segments": (["detections"], f"""
 select image_id, det_id as seg_id, x1, y1, {_END[0]} as x2, {_END[1]} as y2 from detections"""),
     # Each box beside its segment, for queries that need both in one reading.
@@ -55,6 +68,8 @@ select d.doc_id as sample_id, concat('data/images/', d.source, '/', cast(d.doc_i
         "spark": _POLYGON.format(kept="image_id, gt_id, cls", boxes="ground_truth", id="gt_id", list="array(", end=")", point="named_struct('x', {}, 'y', {})").format(*_CORNERS),
         "duckdb": _POLYGON.format(kept="image_id, gt_id, cls", boxes="ground_truth", id="gt_id", list="[", end="]", point="{{'x': {}, 'y': {}}}").format(*_CORNERS),
     }),
+    # Each polygon beside that of its ground truth, for queries that need both in one reading.
+    "outlined": (["detections"], {"spark": _polygon("image_id, det_id, points, gt_id, cls", _BESIDE.format(_polygon(f"image_id, det_id, cls, {_TRUE}", f"(select *, {_TRUTH} from detections)")), "case when gt_id is not null then array(", ") end", "true_points")}),
     "netlist_lines": (["detections"], """
 select image_id, det_id, cls, concat(case cls when 0 then 'V' when 1 then 'Q' when 2 then 'V' when 3 then 'C' when 4 then 'I' when 5 then 'VSUP_' when 6 then 'D' when 7 then '* GND' when 8 then 'L' when 9 then 'M' when 10 then 'R' else 'V' end, cast(det_id as varchar(9)), ' n', cast(x1 % 5 as varchar(9)), case when y1 % 3 = 0 then ' 0' when y1 % 3 = 1 then ' vdd' else concat(' n', cast(y1 % 4 as varchar(9))) end, case when cls = 9 then ' out 0 NMOS W=1u L=180n' else ' 10k' end) as line from detections"""),
     "netlists": (["netlist_lines"], {

@@ -197,3 +197,27 @@ def test_layers_of_boxes_move_boxes_once(spark, monkeypatch):
     monkeypatch.setattr(masks, "placed", lambda *_, **__: pytest.fail("written"))
     plan = operator_queries.QUERIES["mask_layers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("filled, compared", [(2000, 2000), (7, 5)])
+def test_overlaps_of_polygons(found, outlines, monkeypatch, filled, compared):
+    """Pairs of polygons in tasks of whole images are those of their masks, whichever rows hold the sides."""
+    monkeypatch.setattr(masks, "FILLED", filled)
+    monkeypatch.setattr(masks, "COMPARED", compared)
+    sides = ("det_id", "points"), ("gt_id", "true_points")
+    kept = found.where("det_id % 5 <> 0")
+    want = sorted(map(str, masks.mask_iou(found, kept.withColumnRenamed("det_id", "gt_id")).collect()))
+    held = F.col("det_id") % 5 != 0
+    beside = outlines.select("image_id", "det_id", "points", F.when(held, F.col("det_id")).alias("gt_id"), F.when(held, F.col("points")).alias("true_points"))
+    apart = outlines.unionByName(outlines.where(held).select("image_id", F.col("det_id").alias("gt_id"), F.col("points").alias("true_points")), True)
+    for rows in (beside, apart):
+        assert sorted(map(str, masks.polygon_iou(rows, WIDTH, HEIGHT, *sides).collect())) == want
+    one_sided = beside.where("gt_id is null")
+    assert masks.polygon_iou(one_sided, WIDTH, HEIGHT, *sides).count() == 0
+
+
+def test_overlaps_of_boxes_move_boxes_once(spark):
+    from netloom.plans import operator_queries
+
+    plan = operator_queries.QUERIES["mask_iou"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
