@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from netloom.operators.ordering import codes, placed
+from netloom.operators.ordering import placed, whole_groups
 from netloom.plans.shared import quoted
 
 #: Pieces of a layer that one row holds on its way, and rows of a layer that leave a task together.
@@ -111,34 +111,6 @@ def _filled(xs: pa.ListArray, ys: pa.ListArray, width: int, height: int) -> tupl
     return _fill(owner, xs.flatten().to_numpy(), ys.flatten().to_numpy(), width, height)
 
 
-def _images(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Whole images of at most ``rows`` rows together, or one that has more, with the number of each row's image; rows come by image, in the first column."""
-
-    def parted(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        whole = parts[0] if len(parts) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)], parts[0].schema.names)
-        image = np.cumsum(np.diff(codes(whole.column(0)), prepend=0) != 0)
-        cuts, start = np.append(np.flatnonzero(np.diff(image, prepend=-1))[1:], whole.num_rows), 0
-        while start < whole.num_rows:
-            stop = int(cuts[max(np.searchsorted(cuts, start + rows, "right") - 1, np.searchsorted(cuts, start, "right"))])
-            yield whole.slice(start, stop - start), image[start:stop] - image[start]
-            start = stop
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # All images but the last one are complete; that may have ended with the batch before.
-        ids = pa.concat_arrays([held[-1].column(0)[-1:], batch.column(0)]) if held else batch.column(0)
-        fresh = np.flatnonzero(np.diff(codes(ids))) + (0 if held else 1)
-        if len(fresh):
-            cut = int(fresh[-1])
-            yield from parted([*held, batch.slice(0, cut)])
-            held, batch = [], batch.slice(cut)
-        held.append(batch)
-    if held:
-        yield from parted(held)
-
-
 def _by_image(rows: DataFrame, *columns: Column) -> DataFrame:
     """``columns`` of ``rows``, image first, in tasks that have all rows of an image beside each other."""
     # The window asks for rows by image, and for an exchange or a sort only where they are not.
@@ -339,7 +311,7 @@ def polygon_iou(rows: DataFrame, width: int, height: int, one: tuple[str, str],
     filled, compared = FILLED, COMPARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ((b.slice(s, filled), None) for b in batches for s in range(0, b.num_rows, filled)) if paired else _images(batches, filled)
+        parts = ((b.slice(s, filled), None) for b in batches for s in range(0, b.num_rows, filled)) if paired else whole_groups(batches, filled)
         for batch, image in parts:
             there = [np.flatnonzero(np.asarray(batch.column(1 + 3 * i).is_valid())) for i in (0, 1)]
             ids, masks = [], []
@@ -382,7 +354,7 @@ def layered_polygons(polygons: DataFrame, width: int, height: int, id_col: str =
     filled = FILLED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, image in _images(batches, filled):
+        for batch, image in whole_groups(batches, filled):
             rows, ids, xs, ys = batch.num_rows, *batch.columns[1:4]
             whole = _Runs(xs, ys, width, height, filled) if rows <= filled else None
             area = whole.area if whole else np.concatenate([_Runs(xs.slice(s, filled), ys.slice(s, filled), width, height, filled).area for s in range(0, rows, filled)])

@@ -30,6 +30,34 @@ def codes(column: pa.Array) -> np.ndarray:
         return np.cumsum([0, *(a != b for a, b in zip(values, values[1:]))])[: len(values)]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of at most ``rows`` rows together, or one that has more, with the number of each row's group; rows come by group, which the first column tells."""
+
+    def parted(parts: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        whole = parts[0] if len(parts) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)], parts[0].schema.names)
+        group = np.cumsum(np.diff(codes(whole.column(0)), prepend=0) != 0)
+        cuts, start = np.append(np.flatnonzero(np.diff(group, prepend=-1))[1:], whole.num_rows), 0
+        while start < whole.num_rows:
+            stop = int(cuts[max(np.searchsorted(cuts, start + rows, "right") - 1, np.searchsorted(cuts, start, "right"))])
+            yield whole.slice(start, stop - start), group[start:stop] - group[start]
+            start = stop
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        # All groups but the last one are complete; that may have ended with the batch before.
+        ids = pa.concat_arrays([held[-1].column(0)[-1:], batch.column(0)]) if held else batch.column(0)
+        fresh = np.flatnonzero(np.diff(codes(ids))) + (0 if held else 1)
+        if len(fresh):
+            cut = int(fresh[-1])
+            yield from parted([*held, batch.slice(0, cut)])
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield from parted(held)
+
+
 def _inside(keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Add each row's number in its group and in its task; rows are sorted and begin with ``keys`` group columns."""
 

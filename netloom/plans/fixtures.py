@@ -106,6 +106,13 @@ def with_views(query: str, views: list[str], engine: str) -> str:
     return f"with {head} {body}"
 
 
+def dealt(rows: DataFrame, lines: DataFrame, column: str) -> DataFrame:
+    """``rows`` dealt by ``column``, in partitions that grow in number with the files of ``lines``."""
+    parts, least = plan_bytes(lines, "l_orderkey") // BOX_BYTES, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number, adaptive execution merges small partitions.
+    return rows.repartition(max(parts, least), column) if parts >= FEW_PARTS else rows.repartition(column)
+
+
 def by_image(lines: DataFrame) -> DataFrame:
     """Rows of ``lineitem`` dealt by order, the image of all views of boxes.
 
@@ -113,9 +120,7 @@ def by_image(lines: DataFrame) -> DataFrame:
     serves all views of a query and what they group and join by image needs no other. Its
     number of partitions grows with the files, so that tasks do not.
     """
-    parts, least = plan_bytes(lines, "l_orderkey") // BOX_BYTES, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Without a number, adaptive execution merges small partitions.
-    return lines.repartition(max(parts, least), "l_orderkey") if parts >= FEW_PARTS else lines.repartition("l_orderkey")
+    return dealt(lines, lines, "l_orderkey")
 
 
 def tables(spark: SparkSession, sf_dir: str, images: tuple[str, ...] = ()) -> None:

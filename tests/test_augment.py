@@ -7,6 +7,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,59 @@ def test_pasted_copies_leave_no_ranges(spark):
     labels = spark.range(40).select((F.col("id") % 4).alias("mosaic_id"), F.lit(0).alias("tile"), F.col("id").alias("image_id"), F.col("id").alias("det_id"), F.lit(1).alias("cls"), *[(F.col("id") * 10.0 + k).alias(c) for c, k in (("x1", 0), ("y1", 0), ("x2", 5), ("y2", 5))])
     assert augment.pasted_copies(labels, 400, 3).count() > 0
     assert {n.split("-")[0] for n in set(os.listdir(folder)) - held} == {"pasted"}
+
+
+def test_copies_and_labels_in_small_steps(monkeypatch):
+    """Copies that labels hide, and copies in turn, against a loop; a step compares few pairs and drops a copy at its first label."""
+    rng = random.Random(8)
+    monkeypatch.setattr(augment, "PAIRS", 7)
+    sizes = [1, 30, 0, 5, 12]
+    mosaic = np.repeat(np.arange(5), sizes)
+    low = np.array([[rng.random() * 60, rng.random() * 60] for _ in mosaic]).T
+    labels = np.concatenate((low, low + np.array([[rng.random() * 20 + 1, rng.random() * 20 + 1] for _ in mosaic]).T))
+    labels[2, 3] = np.nan
+    copies = np.stack((80 - labels[2], labels[1], 80 - labels[0], labels[3]))
+    first, count = (np.cumsum(sizes) - sizes)[mosaic], np.array(sizes)[mosaic]
+    free = augment._unhidden(copies, labels, first, count, 0.3)
+    want = [all(not share(copies[:, i], labels[:, j]) >= 0.3 for j in range(first[i], first[i] + count[i]) if j != 3) for i in range(len(mosaic))]
+    assert [f for i, f in enumerate(free) if i != 3] == [w for i, w in enumerate(want) if i != 3] and 0 < free.sum() < len(free)
+    at = np.array([i for i in range(len(mosaic)) if i != 3])
+    stay, stand = augment._stay(labels[:, at], mosaic[at], 0.3), []
+    for i, kept in zip(at, stay):
+        assert kept == all(share(labels[:, i], labels[:, j]) < 0.3 for j in stand if mosaic[j] == mosaic[i])
+        stand += [i] * bool(kept)
+    assert 0 < stay.sum() < len(stay)
+
+
+def test_copies_of_groups_across_batches(spark, drawn, monkeypatch):
+    """Mosaics that go on in the next batches, and more of them than are tried together, give the same copies."""
+    images, labels = drawn
+    table = spark.createDataFrame([(k, w, h) for k, (w, h) in images.items()], "image_id long, width int, height int")
+    boxes = spark.createDataFrame(labels, "image_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double")
+    found = augment.mosaic_labels(augment.mosaic_tiles(table, SIZE, SEED), boxes, SIZE).cache()
+    want = sorted(map(str, augment.pasted_copies(found, SIZE, SEED).collect()))
+    monkeypatch.setattr(augment, "LABELS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, augment.pasted_copies(found, SIZE, SEED).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_boxes(spark):
+    rows = [(1, 0, 1, 2, 3), (2, 0, 32767, 32767, 32767), (3, -1, 0, 0, 0), (4, 5, 6, 7, 32768), (5, 1, None, 2, 3), (6, 2**40, 1, 1, 1), (7, None, None, None, None)]
+    table = spark.createDataFrame(rows, "k long, x1 long, y1 long, x2 long, y2 long")
+    packed = augment.packed_boxes(table).cache()
+    assert {r.k for r in packed.where("box is not null").collect()} == {1, 2}
+    assert sorted(map(tuple, augment.unpacked_boxes(packed).select(*table.columns).collect())) == rows
+
+
+def test_pasted_copies_write_no_labels(spark):
+    """Labels of mosaics are exchanged once and written nowhere; what is written are the numbered images and the copies."""
+    from netloom.plans import operator_queries
+    from netloom.plans.shared import shared_dir
+
+    folder = f"{shared_dir(spark)}/netloom"
+    held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert operator_queries.QUERIES["pasted_copies"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - held} == {"ranges", "mosaic-images", "pasted"}
