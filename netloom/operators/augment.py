@@ -30,11 +30,11 @@ def mosaic_tiles(images: DataFrame, size: int, seed: int) -> DataFrame:
     """``mosaic_id, tile, image_id, pad_x, pad_y, width, height``: four images around a centre for each image.
 
     ``images`` has ``image_id, width, height`` of images no larger than ``size``.  Three
-    partners are drawn with replacement from all images and join by their number, so
+    partners are drawn with replacement from all images (one without an id is the last) and join by their number, so
     no image meets all others; the four stand in random order from the upper left to the
     lower right of a canvas of twice the size, whose centre lies in its middle half.
     """
-    told = materialize(numbered(images.select("image_id", "width", "height"), ["image_id"], "nth"), "mosaic-images")
+    told = materialize(numbered(images.select("image_id", "width", "height"), [F.col("image_id").asc_nulls_last()], "nth"), "mosaic-images")
     count = told.count()
     drawn = F.array(*[F.floor(uniform(seed, "image_id", F.lit(f"p{k}")) * count) for k in range(3)])
     centre = lambda axis: F.floor(size / 2 + uniform(seed, "image_id", F.lit(axis)) * size)

@@ -149,3 +149,12 @@ def test_pasted_copies_write_no_labels(spark):
     held = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     assert operator_queries.QUERIES["pasted_copies"](spark, "/root/testdata/sf0.001").count() > 0
     assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - held} == {"ranges", "mosaic-images", "pasted"}
+
+
+def test_an_image_without_an_id_is_numbered_last(spark):
+    """Draws go by the order of the SQL, in which nulls are last."""
+    table = spark.createDataFrame([(None, 50, 40), *[(k, 50, 40) for k in range(5)]], "image_id long, width int, height int")
+    got = {(r.mosaic_id, r.tile): r.image_id for r in augment.mosaic_tiles(table, SIZE, SEED).collect()}
+    for own in range(5):
+        members = [own] + [[0, 1, 2, 3, 4, None][math.floor(draw(own, f"p{k}") * 6)] for k in range(3)]
+        assert [got[own, t] for t in range(4)] == [members[k] for k in sorted(range(4), key=lambda k: (draw(own, f"t{k}"), k))]
